@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import langid, licenses, mixing, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op3_packing": packing.query,
+    "op4_pii": pii.query,
+    "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op8_sharding": sharding.query,
+    "op10_licenses": licenses.query,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
