@@ -1,4 +1,35 @@
-STAGES = []
+"""The training-data pipeline: identify languages, drop near duplicates, mask personal data, mix the sources, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs. All
+but the last return the columns of `documents`."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import jaccard, langid, mixing, packing, pii
+
+STAGES = [
+    ("language_id", langid.stage),
+    ("near_duplicates", jaccard.stage),
+    ("personal_data", pii.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
+]
+
+#: Language models, and tokenizers that SQL engines lack, are part of it: tested against a brute-force version instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to `documents`; each stage's rows are written to the shared checkpoint folder and read again."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-pipeline-")
+    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

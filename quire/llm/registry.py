@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, packing, pii, quality, sharding
+from . import jaccard, langid, licenses, mixing, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op2_ngram_jaccard_join": jaccard.query,
     "op3_packing": packing.query,
     "op4_pii": pii.query,
     "op5_language_id": langid.query,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op1_quality_rules": quality.oracle,
+    "op2_ngram_jaccard_join": jaccard.oracle,
     "op6_mixing": mixing.oracle,
     "op8_sharding": sharding.oracle,
 }
