@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW, FINAL_ID = 2048, 1
 SHARD_DOCS = 1500
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-CACHE_CHUNKS, CACHE_LENGTH = 300_000, 48
+CACHE_PARTS, CACHE_LENGTH = 1_000_000, 1000
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
@@ -37,40 +39,105 @@ def default_vocabulary() -> str:
 
 @cache
 def _tokenizer(path: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task is the unit of parallel work
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+#: ASCII marks that may end a word; the tokenizer always splits between letters and such marks (an apostrophe excepted).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _simple(c: str) -> bool:
+    """Whether `c` keeps its letters apart from its marks, and its offsets, under the tokenizer's normalisation."""
+    return len(c) <= CACHE_LENGTH and (c.isascii() or (max(c) < "\u0250" and "\u0130" not in c))
+
+
+class Parts(dict):
+    """Parts of texts between white space -> their place in `values`; new ones are put down to be encoded together.
+
+    A word with marks behind it is its letters, in lower case where that is plain, and its marks, so few of the parts need
+    the tokenizer."""
+
+    def __init__(self):
+        super().__init__()
+        self.values: list[bytes] = []
+        self.new: list[tuple[int, str]] = []
+        self.joined: list[tuple[int, int, int]] = []
+
+    def __missing__(self, c: str) -> int:
+        i = self[c] = len(self.values)
+        self.values.append(b"")
+        letters = c.rstrip(MARKS)
+        lower = letters.lower() if letters.isascii() else letters
+        if lower != c and letters.isalpha() and _simple(letters):
+            self.joined.append((i, self[lower], self[c[len(letters) :]] if len(letters) < len(c) else -1))
+        else:
+            self.new.append((i, c))
+        return i
+
+
 class Ids:
-    """Token ids as little-endian 32-bit bytes. No token crosses white space, so the ids of the parts between white space are
-    kept (a bounded cache) and joined; texts with separators on which Python and the tokenizer differ are encoded whole."""
+    """Token ids, little-endian and 16-bit where the vocabulary allows it.
+
+    No token crosses white space, so the ids of the parts between white space are kept (a bounded cache) and joined. New parts
+    of a batch are encoded in one call and told apart by their offsets. Texts with separators on which Python and the
+    tokenizer differ are encoded by themselves."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.cache = _tokenizer(path), {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in ODD_SPACES):
-            return self._whole([text])[0]
-        chunks, known = text.split(), self.cache
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        new = list({c for c in chunks if c not in known})
-        fresh = dict(zip(new, self._whole(new), strict=True))
-        out = b"".join([known[c] if c in known else fresh[c] for c in chunks])
-        known.update((c, v) for c, v in fresh.items() if len(c) <= CACHE_LENGTH)
+        self.tokenizer = _tokenizer(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.parts = Parts()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self) -> None:
+        """Ids of the new parts."""
+        new, values = self.parts.new, self.parts.values
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            plain = [x for x in some if _simple(x[1])]
+            if plain:
+                e = self.tokenizer.encode(" ".join([c for _, c in plain]), add_special_tokens=False)
+                ids, begins = np.array(e.ids, self.kind), np.array(e.offsets).reshape(-1, 2)[:, 0]
+                edges = np.cumsum([0, *[len(c) + 1 for _, c in plain]])
+                cuts = np.searchsorted(begins, edges).tolist()
+                for (i, _), x, y in zip(plain, cuts, cuts[1:], strict=False):
+                    values[i] = ids[x:y].tobytes()
+            other = [x for x in some if not _simple(x[1])]
+            for (i, _), e in zip(other, self.tokenizer.encode_batch([c for _, c in other], add_special_tokens=False), strict=True):
+                values[i] = np.array(e.ids, self.kind).tobytes()
+        for i, x, y in self.parts.joined:
+            values[i] = values[x] + (values[y] if y >= 0 else b"")
+        self.parts.new, self.parts.joined = [], []
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = self.parts
+        found: list = []
+        for t in texts:
+            if t and any(c in t for c in ODD_SPACES):
+                found.append(self._whole(t))
+            else:
+                found.append(list(map(parts.__getitem__, t.split())) if t else [])
+        long = any(len(c) > CACHE_LENGTH for _, c in parts.new)
+        self._learn()
+        value = parts.values.__getitem__
+        out = [np.frombuffer(f if isinstance(f, bytes) else b"".join(map(value, f)), self.kind) for f in found]
+        if long or len(parts) > CACHE_PARTS:
+            self.parts = Parts()
         return out
 
 
+@cache
+def ids_by(path: str) -> Ids:
+    """One cache for all tasks of a worker process."""
+    return Ids(path)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
@@ -87,24 +154,33 @@ def _pieces_schema():
 
 
 def split_windows(path: str, shards: int):
-    """Rows for the shuffle: whole windows as finished pieces (ids null), remainders with their ids (16-bit where they fit)."""
+    """Rows for the shuffle: whole windows as finished pieces (ids null) and remainders with their ids. A task's last row (shard
+    -1) holds its document frequencies of every token, with the number of its rows and the length of its remainders."""
 
     def run(batches):
-        ids_of, part, n = Ids(path), _partition(), 0
+        ids_of, part, n, rest = ids_by(path), _partition(), 0, 0
+        df = np.zeros(max(_tokenizer(path).get_vocab_size(), FINAL_ID + 1), np.int64)
         kinds = [*_pieces_schema(), ("shard", pa.int32()), ("ids", pa.binary())]
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(ids_of.of(text), "<u4"), np.uint32(FINAL_ID))
-                total, whole = len(ids), len(ids) // WINDOW * WINDOW
-                n += 1
-                shard = zlib.crc32(f"{doc_id}:{part}:{n}".encode()) % shards
-                for s in range(0, whole, WINDOW):
-                    rows.append((doc_id, s, WINDOW, _crc(ids[s : s + WINDOW]), total, None, None, shard, None))
-                if whole < total:
-                    rows.append((doc_id, whole, total - whole, None, total, None, None, shard, ids[whole:].astype("<u4").tobytes()))
+
+        def batch(rows):
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                rows, some = [], b.slice(at, 1000)
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), ids_of.of(some.column("text").to_pylist()), strict=True):
+                    df[np.unique(ids)] += 1
+                    ids = np.append(ids, ids.dtype.type(FINAL_ID))
+                    total, whole = len(ids), len(ids) // WINDOW * WINDOW
+                    n, rest = n + 1, rest + total - whole
+                    shard = zlib.crc32(f"{doc_id}:{part}:{n}".encode()) % shards
+                    for s in range(0, whole, WINDOW):
+                        rows.append((doc_id, s, WINDOW, _crc(ids[s : s + WINDOW]), total, None, None, shard, None))
+                    if whole < total:
+                        rows.append((doc_id, whole, total - whole, None, total, None, None, shard, ids[whole:].tobytes()))
+                yield batch(rows)
+        yield batch([(None, n, rest, None, None, None, None, -1, df.astype("<i8").tobytes())])
 
     return run
 
@@ -179,36 +255,36 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: in
     return out
 
 
-def document_frequencies(docs: DataFrame, path: str) -> tuple[np.ndarray, int, float]:
-    """idf by token, number of rows and mean remainder length; counts over every whole text, at most one row for each token."""
+def document_frequencies(dealt: DataFrame) -> tuple[np.ndarray, float]:
+    """idf by token and mean remainder length; counts over every whole text, at most one row for each token."""
 
     def run(batches):
-        ids_of, size = Ids(path), _tokenizer(path).get_vocab_size()
-        df, n, rest = np.zeros(size, np.int64), 0, 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                ids = np.frombuffer(ids_of.of(text), "<u4")
-                df[np.unique(ids)] += 1
-                n += 1
-                rest += (len(ids) + 1) % WINDOW
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*seen.tolist(), -1, -2], pa.int32()), pa.array([*df[seen].tolist(), n, rest], pa.int64())], names=["token", "n"])
-
-    counts = {r["token"]: r["n"] for r in docs.select("text").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    rows = counts.pop(-1, 0)
-    rest = counts.pop(-2, 0)
-    df = np.zeros(max(_tokenizer(path).get_vocab_size(), FINAL_ID + 1), np.int64)
+            for n, rest, df in zip(b.column("start").to_pylist(), b.column("length").to_pylist(), b.column("ids"), strict=True):
+                df = np.frombuffer(df.as_buffer(), "<i8")
+                seen = np.flatnonzero(df)
+                yield pa.RecordBatch.from_arrays([pa.array([*seen.tolist(), -1, -2, -3], pa.int32()), pa.array([*df[seen].tolist(), n, rest, 0], pa.int64())], names=["token", "n"])
+
+    rows_of_counts = dealt.filter("shard = -1").select("start", "length", "ids")
+    counts = {r["token"]: r["n"] for r in rows_of_counts.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    rows, rest, _ = (counts.pop(k, 0) for k in (-1, -2, -3))
+    df = np.zeros(1 + max([FINAL_ID, *counts]), np.int64)
     for k, v in counts.items():
         df[k] = v
-    return np.log(1 + (rows - df + 0.5) / (df + 0.5)), rows, max(1.0, rest / max(rows, 1))
+    return np.log(1 + (rows - df + 0.5) / (df + 0.5)), max(1.0, rest / max(rows, 1))
 
 
 def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or default_vocabulary()
-    idf, rows, mean = document_frequencies(docs, path)
-    shards = max(1, -(-rows // shard_docs))
-    shared = docs.sparkSession.sparkContext.broadcast((idf, mean))  # one number for each token of the vocabulary
+    shards = max(1, -(-docs.count() // shard_docs))
+    dealt = cut(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+            split_windows(path, shards), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard int, ids binary"
+        )
+    )
+    kind = "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+    shared = docs.sparkSession.sparkContext.broadcast(document_frequencies(dealt))  # one number for each token of the vocabulary
 
     def run(key, table):
         docs_, meta, out, n = [], [], [], 0
@@ -221,7 +297,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS)
                 else:
                     meta.append((r["doc_id"], r["start"], r["doc_tokens"], r["ids"]))
         meta.sort(key=lambda m: (m[0] is None, m[0] or 0, m[1], m[3]))
-        docs_ = [np.frombuffer(m[3], "<u4") for m in meta]
+        docs_ = [np.frombuffer(m[3], kind) for m in meta]
         for sequence in fill(docs_, *shared.value):
             offset = 0
             for j, s, size in sequence:
@@ -231,10 +307,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS)
         cols = list(zip(*out, strict=True)) or [()] * 7
         return pa.table([pa.array(c, k) for c, (_, k) in zip(cols, _pieces_schema(), strict=True)], names=[x for x, _ in _pieces_schema()])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        split_windows(path, shards), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard int, ids binary"
-    )
-    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.filter("shard >= 0").groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
