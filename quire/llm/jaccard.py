@@ -1,23 +1,25 @@
 """Near-duplicate documents by an exact n-gram Jaccard join.
 
 The join is the sparse product of the document by n-gram incidence matrix with its transpose, done in blocks of n-grams:
-documents that share an n-gram column meet, and a pair goes on only if bounds from the two set sizes still allow the
-threshold. Columns are ordered by a sketch of how many documents have them, rarest first, and only a document's leading
-columns (its prefix) enter the product: two sets of Jaccard 0.8 must share one of them. For the pairs that remain, overlap is
-counted over the whole sets, so the result is exact.
+documents that share an n-gram column meet, overlap counts add up for each pair, and pairs whose count stays below a bound
+that follows from the two set sizes are discarded. Columns are ordered by a sketch of how many documents have them, rarest
+first, and only a document's leading columns (its prefix, a fifth) enter the product: sets of Jaccard 0.8 that overlap in o
+prefix columns overlap in at most o plus the columns behind the prefix, so o must be at least about a twelfth of the size.
+For the pairs that remain, overlap is counted over the whole sets, so the result is exact.
 
 Hot groups: documents with equal sets become one class before the join, so copies cost nothing. In a column, a class first
-meets only the column's smallest class that it can match (a star), which joins up a group of near copies in as many pairs as
-it has members; a second product then takes all remaining pairs, but only between classes that are not yet connected. So no
-group's pairs are all emitted, and no link between different components is lost. A text shared by many documents lies in
-their common columns, which come last and hence stay out of prefixes.
+meets only the two classes that have it nearest to their front, those with the fewest columns of their own, such as the
+original of a group of near copies (a star), which joins up the group in about as many pairs as it has members; a second
+product then takes all remaining pairs, but only between classes that are not yet connected. So no group's pairs are all
+emitted, and no link between different components is lost. A passage shared by many documents lies in their common
+columns, which come last and hence stay out of prefixes.
 
-What is broadcast: the sketch (`SKETCH` counters) and a Bloom filter of at most `BLOOM_MOST` bits. n-grams are compared as
-64-bit hashes, within two documents' sets; classes by 64 bits of a hash of the set, together with its size.
+What is broadcast: the sketch (`SKETCH_BITS`) and a Bloom filter of at most `BLOOM_MOST` bits. n-grams are compared as
+64-bit hashes, within two documents' sets; classes by 64 bits of a hash of the set and its size.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. Repeated rows and
-ids get a row each; a component's id is its smallest non-null doc_id. An empty table gives an empty result. Columns beyond
-doc_id and text are not read."""
+ids get a row each; a component's id is its smallest non-null doc_id; a row without an id is linked with equal sets only. An
+empty table gives an empty result. Columns beyond doc_id and text are not read."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 from .graph import components
 
 WORDS = 5
@@ -59,8 +61,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, known: Words) -> np.ndarray:
-    """The sorted hashes of a text's distinct n-grams of words; of all its words as one where they are fewer."""
+def ngrams(text: str | None, known: Words) -> np.ndarray:
+    """The hashes of a text's n-grams of words, in place; of all its words as one where they are fewer."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
@@ -71,7 +73,14 @@ def shingles(text: str | None, known: Words) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     for i, m in enumerate(MULTIPLIERS):
         total += h[i : i + n] * m
-    return np.unique(_mix(total))
+    return _mix(total)
+
+
+def shingles(text: str | None, known: Words) -> np.ndarray:
+    """The sorted hashes of a text's distinct n-grams."""
+    h = ngrams(text, known)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def prefix_size(n: int) -> int:
@@ -106,13 +115,13 @@ def _added(rows: DataFrame, kind: str, combine) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of documents by the leading bits of their n-grams' hashes: 2^SKETCH_BITS numbers, whatever the input."""
+    """Counts of n-grams by the leading bits of their hashes: 2^SKETCH_BITS numbers, whatever the input."""
 
     def run(batches):
         known, total = Words(), np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
-            sets = [shingles(t.as_py(), known) for t in b.column("text")]
-            if sets:
+            for at in range(0, b.num_rows, 4096):
+                sets = [ngrams(t, known) for t in b.column("text").slice(at, 4096).to_pylist()]
                 total += np.bincount(_slot(np.concatenate(sets)), minlength=len(total)).astype(np.int32)
         used = [i for i in range(len(total) // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i * SLICE : (i + 1) * SLICE].tobytes() for i in used], pa.binary())], names=["i", "part"])
@@ -123,50 +132,41 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that `make(doc_id, set, state)` yields as tuples, for each document; state lives as long as a task."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
-
-    def run(batches):
-        known, state = Words(), {}
-        for b in batches:
-            for chunk in range(0, b.num_rows, 512):
-                part = b.slice(chunk, 512)
-                rows = [make(i, shingles(t, known), state) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)]
-                cols = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [y for x in c for y in x] for c in zip(*(r for r in rows if r is not None), strict=True)] or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def members(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), c (class; null for an empty set), a row for each row of `docs`."""
-    return _sets(docs, lambda i, s, _: ([i], [len(s)], [_class_of(s) if len(s) else None]), "doc_id long, n long, c long")
-
-
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """h, np (size and place, 32 bits each), c for the prefix columns of each class, at least once for each class."""
+    """h, np (place and set size, 32 bits each), c for the prefix columns of each class, at least once for each class; and for
+    each row of `docs` one with np = -1 - set size, its class c (null for an empty set) and its doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def make(_, s, state):
-        if not len(s):
-            return None
-        c = _class_of(s)
-        seen = state.setdefault("seen", set())
-        if c in seen:
-            return None
-        if len(seen) < 500_000:  # only spares copies within a task
-            seen.add(c)
-        p = prefix_size(len(s))
-        lead = s[np.lexsort((s, shared.value[_slot(s)]))[:p]]
-        return lead.view(np.int64), (np.int64(len(s)) << np.int64(32)) + np.arange(p, dtype=np.int64), np.full(p, c, np.int64)
-
-    return _sets(docs, make, "h long, np long, c long")
+    def run(batches):
+        known, seen = Words(), set()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
+                sets = [shingles(t, known) for t in some.column("text").to_pylist()]
+                classes = [_class_of(s) if len(s) else None for s in sets]
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                spread = _mix(size.view(np.uint64) + np.arange(len(sets), dtype=np.uint64)).view(np.int64)
+                columns = [(pa.array(spread), pa.array(-1 - size), pa.array(classes, pa.int64()), some.column("doc_id"))]
+                lead, place, own = [], [], []
+                for s, c in zip(sets, classes, strict=True):
+                    if c is None or c in seen:
+                        continue
+                    if len(seen) < 500_000:  # only spares copies within a task
+                        seen.add(c)
+                    p = prefix_size(len(s))
+                    lead.append(s[np.lexsort((s, shared.value[_slot(s)]))[:p]].view(np.int64))
+                    place.append((np.arange(p, dtype=np.int64) << np.int64(32)) + len(s))
+                    own.append(np.full(p, c, np.int64))
+                if lead:
+                    columns.append((*(pa.array(np.concatenate(x)) for x in (lead, place, own)), pa.nulls(sum(map(len, lead)), pa.int64())))
+                for c in columns:
+                    yield pa.RecordBatch.from_arrays(list(c), names=["h", "np", "c", "doc_id"])
+
+    return docs.mapInArrow(run, "h long, np long, c long, doc_id long")
 
 
 def _groups(batches):
-    """The sorted columns h, np, c (and label) as arrays that hold whole groups of h."""
+    """The sorted columns h, np, c, label as arrays that hold whole groups of h."""
     held = None
     for b in batches:
         new = [b.column(i).to_numpy() for i in range(b.num_columns)]
@@ -182,11 +182,17 @@ def _groups(batches):
         yield held
 
 
-def _can_match(np_a, np_b):
-    """Whether classes whose first common column stands at these places can reach the threshold; a is not the larger."""
-    na, nb = np_a >> 32, np_b >> 32
-    rest = np.minimum(na - (np_a & 0xFFFFFFFF), nb - (np_b & 0xFFFFFFFF))
-    return (na * DEN >= nb * NUM) & (rest >= needed(na, nb))
+SIZE = np.int64(0xFFFFFFFF)
+
+
+def _sizes_match(a, b):
+    return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
+
+
+def _needed_in_prefix(a, b):
+    """The least overlap of prefixes of sets of sizes a and b that reach the threshold."""
+    behind = np.maximum(a - prefix_size(a), b - prefix_size(b))
+    return np.maximum(1, needed(a, b) - behind)
 
 
 def _batch(cols, names):
@@ -194,80 +200,99 @@ def _batch(cols, names):
 
 
 def _shared_columns(batches):
-    """The rows, each class once, of columns that more than one class has; a column's rows need not fit in memory."""
-    last, first, waiting = None, None, None
+    """The rows, each class once, of columns that more than one class has; a column's rows need not fit in memory. Rows of
+    documents (np below 0) pass through."""
+    waiting, given = None, False
     for b in batches:
-        h, p, c = (b.column(i).to_numpy() for i in range(3))
+        h, p = b.column("h").to_numpy(), b.column("np").to_numpy()
+        document = p < 0
+        if document.any():
+            yield b.filter(pa.array(document))
+        h, p, c = h[~document], p[~document], b.column("c").to_numpy(zero_copy_only=False)[~document].astype(np.int64)
         if not len(h):
             continue
-        # as many rows as came before, at most two of them, stand in front to see whether a group goes on
-        if waiting is not None:
+        if waiting is not None:  # the last row stands in front, to see whether its column goes on
             h, p, c = (np.concatenate(x) for x in zip(waiting, (h, p, c), strict=True))
-        new_class = np.ones(len(h), bool)
-        new_class[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        new_class = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
         h, p, c = h[new_class], p[new_class], c[new_class]
         same = h[1:] == h[:-1]
-        many = np.zeros(len(h), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        if waiting is not None and first:  # already given out
-            many[0] = False
-        first, last = bool(same[-1]) if len(same) else (bool(first) and len(h) == 1), h[-1]
-        yield _batch((h[many], p[many], c[many]), ["h", "np", "c"])
+        many = np.append(False, same) | np.append(same, False)
         waiting = (h[-1:], p[-1:], c[-1:])
+        last = bool(many[-1])
+        if given:
+            many[0] = False
+        given = last or (given and len(h) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(p[many]), pa.array(c[many]), pa.nulls(int(many.sum()), pa.int64())], names=["h", "np", "c", "doc_id"])
+
+
+HEADS = 2
+
+
+def _counted(parts):
+    """(a, b, need, n): how often each pair came, in about a million at a time."""
+
+    def one(held):
+        x, n = np.unique(np.stack([np.concatenate(c) for c in zip(*held, strict=True)], 1), axis=0, return_counts=True)
+        return _batch((x[:, 0], x[:, 1], x[:, 2], n.astype(np.int64)), ["a", "b", "need", "n"])
+
+    held, size = [], 0
+    for a, b, need in parts:
+        if len(a):
+            held.append((np.minimum(a, b), np.maximum(a, b), need))
+            size += len(a)
+        if size > 1_000_000:
+            yield one(held)
+            held, size = [], 0
+    if held:
+        yield one(held)
 
 
 def _stars(batches):
-    """In each column, pairs of the smallest class with those it can match; then the same with what is left."""
-    for h, p, c in _groups(batches):
-        a, b = [], []
-        while len(h) > 1:
-            start = np.ones(len(h), bool)
-            start[1:] = h[1:] != h[:-1]
-            head = np.flatnonzero(start)[np.cumsum(start) - 1]
-            ok = ~start & _can_match(p[head], p)
-            a.append(c[head[ok]]), b.append(c[ok])
-            left = ~start & ~ok
-            h, p, c = h[left], p[left], c[left]
-        yield _pairs(a, b)
+    """In each column, pairs of the classes that have it nearest to their front with the others."""
+
+    def pairs():
+        for h, p, c, label in _groups(batches):
+            n = p & SIZE
+            start = np.append(True, h[1:] != h[:-1])
+            head, group = np.flatnonzero(start), np.cumsum(start) - 1
+            place = np.arange(len(h))
+            for k in range(HEADS):
+                at = head[group] + k
+                ok = (at < place) & (h[np.minimum(at, len(h) - 1)] == h)
+                at, i = at[ok], place[ok]
+                ok = (label[at] != label[i]) & _sizes_match(n[at], n[i])
+                at, i = at[ok], i[ok]
+                yield c[at], c[i], _needed_in_prefix(n[at], n[i])
+
+    yield from _counted(pairs())
 
 
 def _crossing(batches):
-    """In each column, all pairs that can match and whose classes have different labels."""
-    for h, p, c, label in _groups(batches):
-        start = np.ones(len(h), bool)
-        start[1:] = h[1:] != h[:-1]
-        group = np.cumsum(start) - 1
-        low = np.minimum.reduceat(label, np.flatnonzero(start))
-        mixed = np.maximum.reduceat(label, np.flatnonzero(start)) != low
-        keep = mixed[group]
-        h, p, c, label = h[keep], p[keep], c[keep], label[keep]
-        a, b, d, held = [], [], 1, 0
-        i = np.arange(len(h))
-        while len(i := i[i + d < len(h)]) and len(i := i[(h[i] == h[i + d]) & ((p[i] >> 32) * DEN >= (p[i + d] >> 32) * NUM)]):
-            ok = i[(label[i] != label[i + d]) & _can_match(p[i], p[i + d])]
-            a.append(c[ok]), b.append(c[ok + d])
-            held, d = held + len(ok), d + 1
-            if held > 1_000_000:
-                yield _pairs(a, b)
-                a, b, held = [], [], 0
-        yield _pairs(a, b)
-
-
-def _pairs(a, b):
-    if not a:
-        return _batch(([], []), ["a", "b"])
-    x = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return _batch((x[:, 0], x[:, 1]), ["a", "b"])
+    """In each column, all pairs of fitting sizes whose classes have different labels."""
+
+    def pairs():
+        for h, p, c, label in _groups(batches):
+            start = np.append(True, h[1:] != h[:-1])
+            mixed = np.minimum.reduceat(label, np.flatnonzero(start)) != np.maximum.reduceat(label, np.flatnonzero(start))
+            keep = np.flatnonzero(mixed[np.cumsum(start) - 1])
+            keep = keep[np.lexsort((p[keep] & SIZE, h[keep]))]
+            h, n, c, label = h[keep], p[keep] & SIZE, c[keep], label[keep]
+            i, d = np.arange(len(h)), 1
+            while len(i := i[i + d < len(h)]) and len(i := i[(h[i] == h[i + d]) & _sizes_match(n[i], n[i + d])]):
+                x = i[label[i] != label[i + d]]
+                yield c[x], c[x + d], _needed_in_prefix(n[x], n[x + d])
+                d += 1
+
+    yield from _counted(pairs())
 
 
 def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the hashes of (c, doc_id)."""
+    """Bits of the hashes of doc_id."""
 
     def run(batches):
         total = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            for at in _places(b.column("c").to_numpy(zero_copy_only=False), b.column("doc_id").to_numpy(zero_copy_only=False), bits):
+            for at in _places(b.column("doc_id").to_numpy(zero_copy_only=False), bits):
                 np.bitwise_or.at(total, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         used = [i for i in range(max(1, len(total) // SLICE)) if total[i * SLICE : (i + 1) * SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i * SLICE : (i + 1) * SLICE].tobytes() for i in used], pa.binary())], names=["i", "part"])
@@ -278,28 +303,38 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _places(c: np.ndarray, doc_id: np.ndarray, bits: int):
-    h = _mix(c.astype(np.int64).view(np.uint64) ^ _mix(doc_id.astype(np.int64).view(np.uint64)))
+def _places(doc_id: np.ndarray, bits: int):
+    h = _mix(doc_id.astype(np.int64).view(np.uint64))
     return [(h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)]
 
 
-def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c, s for the classes (c, doc_id of one member): the Bloom filter keeps other sets from the shuffle."""
+def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """c, s of the documents `ids` (doc_id), and of the few others that a Bloom filter lets through; the rest aren't even split."""
     bits = 1 << 15
-    n = classes.count()
+    n = ids.count()
     while bits < min(16 * n, BLOOM_MOST):
         bits *= 2
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(classes, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
+
+    def run(batches):
+        known = Words()
+        for b in batches:
+            b = b.filter(pa.array([x is not None for x in b.column("doc_id").to_pylist()], pa.bool_()))
+            x, y = _places(b.column("doc_id").to_numpy(zero_copy_only=False), bits)
+            t = shared.value
+            b = b.filter(pa.array((t[x >> 3] >> (x & 7) & t[y >> 3] >> (y & 7) & 1).astype(bool)))
+            for at in range(0, b.num_rows, 512):
+                sets = [s for s in (shingles(t, known) for t in b.column("text").slice(at, 512).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
+
+    return docs.mapInArrow(run, "c long, s binary")
 
-    def make(i, s, _):
-        if i is None or not len(s):
-            return None
-        c = _class_of(s)
-        x, y = (int(z[0]) for z in _places(np.array([c]), np.array([i]), bits))
-        t = shared.value
-        return ([c], [i], [s.tobytes()]) if t[x >> 3] >> (x & 7) & t[y >> 3] >> (y & 7) & 1 else None
 
-    return _sets(docs, make, "c long, doc_id long, s binary").join(classes, ["c", "doc_id"], "left_semi").dropDuplicates(["c"]).select("c", "s")
+def _linked(docs: DataFrame, one: DataFrame, counted: DataFrame) -> DataFrame:
+    """Links (u, v) among pairs counted by column: bound by prefix overlap, then by the whole sets."""
+    pairs = cut(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b"))
+    ids = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(one, "c").filter("doc_id IS NOT NULL").select("doc_id"))
+    return cut(_links(pairs, _needed_sets(docs, ids)))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -322,20 +357,18 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(members(docs))
-    columns = postings(docs, sketch(docs))
-    shared = cut(columns.repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_shared_columns, "h long, np long, c long"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    met = cut(postings(docs, sketch(docs)).repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_shared_columns, "h long, np long, c long, doc_id long"))
+    rows = met.filter("np < 0").select("doc_id", (-1 - F.col("np")).alias("n"), "c")
+    columns = met.filter("np >= 0").select("h", "np", "c")
     one = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    candidates = shared.select("c").distinct().join(one, "c").filter("doc_id IS NOT NULL").select("c", "doc_id")
-    sets = cut(_needed_sets(docs, cut(candidates)))
-    stars = shared.mapInArrow(_stars, "a long, b long").distinct()
-    links = cut(_links(stars, sets))
+    counts = "a long, b long, need long, n long"
+    links = _linked(docs, one, columns.withColumn("label", F.col("c")).mapInArrow(_stars, counts))
     labels = components(links)
-    # Columns keep to their rows' partitions only by h: labels are joined on, then rows meet by column again.
-    labelled = shared.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").select("h", "np", "c", F.coalesce("label", "c").alias("label"))
-    crossing = labelled.repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_crossing, "a long, b long").distinct()
-    more = cut(_links(crossing.join(stars, ["a", "b"], "left_anti"), sets))
+    # Labels are joined on by class, then rows meet by column again.
+    labelled = columns.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").select("h", "np", "c", F.coalesce("label", "c").alias("label"))
+    crossing = labelled.repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_crossing, counts)
+    more = _linked(docs, one, crossing)
     if not more.isEmpty():
         labels = components(links.union(more))
     found = rows.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))

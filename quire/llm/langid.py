@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 FOLDS = 5
 SAMPLE_ROWS, LEAST_PER_LANGUAGE = 2000, 40
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
@@ -89,7 +91,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     shares = counts.select(F.col("lang").alias("_l"), (F.greatest(F.lit(LEAST_PER_LANGUAGE), F.lit(rows) / F.lit(max(counts.count(), 1))) / F.col("count")).alias("_share"))
     u = (F.xxhash64(F.lit(SEED), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
     picked = known.join(shares, F.col("lang") == F.col("_l")).filter(u < F.col("_share")).select("doc_id", "lang", "text")
-    return picked.mapInArrow(_features, "doc_id long, lang string, idx binary, n binary")
+    return bounded(picked).mapInArrow(_features, "doc_id long, lang string, idx binary, n binary")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -205,7 +207,7 @@ def _apply(docs: DataFrame, model: Model | None, extra: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if extra == "all" or f.name != "text")
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
+    return bounded(docs).mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:

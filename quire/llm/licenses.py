@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 #: Base phrases and labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -212,7 +214,7 @@ def _scan(batches):
 
 def scan_all(docs: DataFrame) -> DataFrame:
     """A row of counts, places, labels and score for each row of `docs`."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(_scan, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

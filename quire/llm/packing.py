@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 WINDOW, FINAL_ID = 2048, 1
 SHARD_DOCS = 1500
@@ -279,7 +279,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS)
     path = path or default_vocabulary()
     shards = max(1, -(-docs.count() // shard_docs))
     dealt = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             split_windows(path, shards), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard int, ids binary"
         )
     )

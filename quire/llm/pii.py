@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "iban", "secret", "login")
 SCHEMES = ("http://", "https://", "ftp://", "postgres://", "postgresql://", "mysql://", "mongodb://", "redis://", "amqp://", "ssh://")
@@ -207,7 +209,7 @@ def _find(batches):
 
 def find(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans, for each row of `docs`."""
-    return docs.select("doc_id", "text").mapInArrow(_find, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(_find, SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 arrays[length] = pa.array([None if t is None else len(t) for t in texts], b.column(length).type)
             yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, mixing, packing, pii, quality, sharding
+from . import jaccard, langid, licenses, mixing, neighbours, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op8_sharding": sharding.query,
+    "op9_nearest_neighbours": neighbours.query,
     "op10_licenses": licenses.query,
 }
 
