@@ -27,7 +27,7 @@ SHARD_DOCS = 1500
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-CACHE_PARTS, CACHE_LENGTH = 1_000_000, 1000
+CACHE_PARTS, CACHE_LENGTH = 2_000_000, 1000  # about 180 bytes a part
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
