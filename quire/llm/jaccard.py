@@ -4,13 +4,14 @@ The join is the sparse product of the document by n-gram incidence matrix with i
 documents that share an n-gram column meet, overlap counts add up for each pair, and pairs whose count stays below a bound
 that follows from the two set sizes are discarded. Columns are ordered by a sketch of how many documents have them, rarest
 first, and only a document's leading columns (its prefix, a fifth) enter the product: sets of Jaccard 0.8 that overlap in o
-prefix columns overlap in at most o plus the columns behind the prefix, so o must be at least about a twelfth of the size.
+columns of leading parts fitted to the pair's sizes overlap in at most o plus the columns behind those parts, so o must reach
+a bound of up to a fiftieth of the size, and a column behind the fitted part of either set counts for nothing.
 For the pairs that remain, overlap is counted over the whole sets, so the result is exact.
 
 Hot groups: documents with equal sets become one class before the join, so copies cost nothing. In a column, a class first
-meets only the two classes that have it nearest to their front, those with the fewest columns of their own, such as the
-original of a group of near copies (a star), which joins up the group in about as many pairs as it has members; a second
-product then takes all remaining pairs, but only between classes that are not yet connected. So no group's pairs are all
+meets only the few classes of the least rank (a star). Rank is the number of a class's rare columns, the same wherever the
+class stands, so the text that a group of near copies is closest to meets all of them, which joins up the group in about as
+many pairs as it has members. A last product then takes all remaining pairs, but only between classes not yet connected. So no group's pairs are all
 emitted, and no link between different components is lost. A passage shared by many documents lies in their common
 columns, which come last and hence stay out of prefixes.
 
@@ -133,12 +134,13 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """h, np (place and set size, 32 bits each), c for the prefix columns of each class, at least once for each class; and for
+    """h, np (rank and set size, 32 bits each), c, at (place of h in the set, rarest first) for the prefix columns of each class, at least once for each class; and for
     each row of `docs` one with np = -1 - set size, its class c (null for an empty set) and its doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         known, seen = Words(), set()
+        rare = 2 * int(shared.value.mean()) + 8
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
@@ -146,27 +148,29 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 classes = [_class_of(s) if len(s) else None for s in sets]
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 spread = _mix(size.view(np.uint64) + np.arange(len(sets), dtype=np.uint64)).view(np.int64)
-                columns = [(pa.array(spread), pa.array(-1 - size), pa.array(classes, pa.int64()), some.column("doc_id"))]
-                lead, place, own = [], [], []
+                columns = [(pa.array(spread), pa.array(-1 - size), pa.array(classes, pa.int64()), pa.nulls(len(sets), pa.int32()), some.column("doc_id"))]
+                lead, rank, own, place = [], [], [], []
                 for s, c in zip(sets, classes, strict=True):
                     if c is None or c in seen:
                         continue
                     if len(seen) < 500_000:  # only spares copies within a task
                         seen.add(c)
                     p = prefix_size(len(s))
-                    lead.append(s[np.lexsort((s, shared.value[_slot(s)]))[:p]].view(np.int64))
-                    place.append((np.arange(p, dtype=np.int64) << np.int64(32)) + len(s))
+                    often = shared.value[_slot(s)]
+                    lead.append(s[np.lexsort((s, often))[:p]].view(np.int64))
+                    rank.append(np.full(p, (int(np.count_nonzero(often <= rare)) << 32) + len(s), np.int64))
                     own.append(np.full(p, c, np.int64))
+                    place.append(np.arange(p, dtype=np.int32))
                 if lead:
-                    columns.append((*(pa.array(np.concatenate(x)) for x in (lead, place, own)), pa.nulls(sum(map(len, lead)), pa.int64())))
+                    columns.append((*(pa.array(np.concatenate(x)) for x in (lead, rank, own, place)), pa.nulls(sum(map(len, lead)), pa.int64())))
                 for c in columns:
-                    yield pa.RecordBatch.from_arrays(list(c), names=["h", "np", "c", "doc_id"])
+                    yield pa.RecordBatch.from_arrays(list(c), names=["h", "np", "c", "at", "doc_id"])
 
-    return docs.mapInArrow(run, "h long, np long, c long, doc_id long")
+    return docs.mapInArrow(run, "h long, np long, c long, at int, doc_id long")
 
 
 def _groups(batches):
-    """The sorted columns h, np, c, label as arrays that hold whole groups of h."""
+    """The sorted columns h, np, c, at, label as arrays that hold whole groups of h."""
     held = None
     for b in batches:
         new = [b.column(i).to_numpy() for i in range(b.num_columns)]
@@ -189,10 +193,18 @@ def _sizes_match(a, b):
     return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
 
 
-def _needed_in_prefix(a, b):
-    """The least overlap of prefixes of sets of sizes a and b that reach the threshold."""
-    behind = np.maximum(a - prefix_size(a), b - prefix_size(b))
-    return np.maximum(1, needed(a, b) - behind)
+def _meeting(n, at, i, j):
+    """Of places i and j, in one column each, those where pairs of sets of sizes n may count the column, which stands at `at` in
+    each; and how many columns the pair must have in common then.
+
+    For a pair that needs overlap o, leading parts of n - o + l columns must have l in common, for any l for which these
+    parts lie within the prefixes."""
+    a, b = n[i], n[j]
+    o = needed(a, b)
+    most = o + 1 - np.maximum(-(-a * NUM // DEN), -(-b * NUM // DEN))
+    least = np.maximum(1, np.minimum(1 + np.minimum(a, b) // 50, most))
+    ok = (at[i] < a - o + least) & (at[j] < b - o + least)
+    return i[ok], j[ok], least[ok]
 
 
 def _batch(cols, names):
@@ -203,29 +215,34 @@ def _shared_columns(batches):
     """The rows, each class once, of columns that more than one class has; a column's rows need not fit in memory. Rows of
     documents (np below 0) pass through."""
     waiting, given = None, False
+    name = ["h", "np", "c", "at"]
     for b in batches:
         h, p = b.column("h").to_numpy(), b.column("np").to_numpy()
         document = p < 0
         if document.any():
             yield b.filter(pa.array(document))
-        h, p, c = h[~document], p[~document], b.column("c").to_numpy(zero_copy_only=False)[~document].astype(np.int64)
-        if not len(h):
+        b = b.filter(pa.array(~document)).select(name)
+        if not b.num_rows:
             continue
+        rows = [x.to_numpy() for x in b.columns]
         if waiting is not None:  # the last row stands in front, to see whether its column goes on
-            h, p, c = (np.concatenate(x) for x in zip(waiting, (h, p, c), strict=True))
+            rows = [np.concatenate(x) for x in zip(waiting, rows, strict=True)]
+        h, _, c, _ = rows
         new_class = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
-        h, p, c = h[new_class], p[new_class], c[new_class]
+        rows = [x[new_class] for x in rows]
+        h = rows[0]
         same = h[1:] == h[:-1]
         many = np.append(False, same) | np.append(same, False)
-        waiting = (h[-1:], p[-1:], c[-1:])
+        waiting = [x[-1:] for x in rows]
         last = bool(many[-1])
         if given:
             many[0] = False
         given = last or (given and len(h) == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(p[many]), pa.array(c[many]), pa.nulls(int(many.sum()), pa.int64())], names=["h", "np", "c", "doc_id"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[many]) for x in rows), pa.nulls(int(many.sum()), pa.int64())], names=[*name, "doc_id"])
 
 
-HEADS = 2
+#: Rounds of stars, by the number of classes of least rank that the others in a column meet.
+HEADS = (2, 8)
 
 
 def _counted(parts):
@@ -247,40 +264,41 @@ def _counted(parts):
         yield one(held)
 
 
-def _stars(batches):
-    """In each column, pairs of the classes that have it nearest to their front with the others."""
+def _stars(heads: int):
+    """In each column, pairs of the classes of least rank with the others, where their labels differ."""
 
-    def pairs():
-        for h, p, c, label in _groups(batches):
+    def pairs(batches):
+        for h, p, c, at_, label in _groups(batches):
             n = p & SIZE
             start = np.append(True, h[1:] != h[:-1])
             head, group = np.flatnonzero(start), np.cumsum(start) - 1
             place = np.arange(len(h))
-            for k in range(HEADS):
+            for k in range(heads):
                 at = head[group] + k
                 ok = (at < place) & (h[np.minimum(at, len(h) - 1)] == h)
                 at, i = at[ok], place[ok]
                 ok = (label[at] != label[i]) & _sizes_match(n[at], n[i])
-                at, i = at[ok], i[ok]
-                yield c[at], c[i], _needed_in_prefix(n[at], n[i])
+                at, i, least = _meeting(n, at_, at[ok], i[ok])
+                yield c[at], c[i], least
 
-    yield from _counted(pairs())
+    return lambda batches: _counted(pairs(batches))
 
 
 def _crossing(batches):
     """In each column, all pairs of fitting sizes whose classes have different labels."""
 
     def pairs():
-        for h, p, c, label in _groups(batches):
+        for h, p, c, at, label in _groups(batches):
             start = np.append(True, h[1:] != h[:-1])
             mixed = np.minimum.reduceat(label, np.flatnonzero(start)) != np.maximum.reduceat(label, np.flatnonzero(start))
             keep = np.flatnonzero(mixed[np.cumsum(start) - 1])
             keep = keep[np.lexsort((p[keep] & SIZE, h[keep]))]
-            h, n, c, label = h[keep], p[keep] & SIZE, c[keep], label[keep]
+            h, n, c, at, label = h[keep], p[keep] & SIZE, c[keep], at[keep], label[keep]
             i, d = np.arange(len(h)), 1
             while len(i := i[i + d < len(h)]) and len(i := i[(h[i] == h[i + d]) & _sizes_match(n[i], n[i + d])]):
                 x = i[label[i] != label[i + d]]
-                yield c[x], c[x + d], _needed_in_prefix(n[x], n[x + d])
+                x, y, least = _meeting(n, at, x, x + d)
+                yield c[x], c[y], least
                 d += 1
 
     yield from _counted(pairs())
@@ -358,19 +376,22 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = cut(postings(docs, sketch(docs)).repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_shared_columns, "h long, np long, c long, doc_id long"))
+    met = cut(postings(docs, sketch(docs)).repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_shared_columns, "h long, np long, c long, at int, doc_id long"))
     rows = met.filter("np < 0").select("doc_id", (-1 - F.col("np")).alias("n"), "c")
-    columns = met.filter("np >= 0").select("h", "np", "c")
+    columns = met.filter("np >= 0").select("h", "np", "c", "at")
     one = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     counts = "a long, b long, need long, n long"
-    links = _linked(docs, one, columns.withColumn("label", F.col("c")).mapInArrow(_stars, counts))
-    labels = components(links)
-    # Labels are joined on by class, then rows meet by column again.
-    labelled = columns.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").select("h", "np", "c", F.coalesce("label", "c").alias("label"))
-    crossing = labelled.repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_crossing, counts)
-    more = _linked(docs, one, crossing)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = links = None
+    for meet in (*map(_stars, HEADS), _crossing):
+        if labels is None:
+            met_by_column = columns.withColumn("label", F.col("c"))
+        else:  # labels are joined on by class, then rows meet by column again
+            labelled = columns.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").select("h", "np", "c", "at", F.coalesce("label", "c").alias("label"))
+            met_by_column = labelled.repartition("h").sortWithinPartitions("h", "np", "c")
+        more = _linked(docs, one, met_by_column.mapInArrow(meet, counts))
+        if labels is None or not more.isEmpty():
+            links = more if links is None else links.union(more)
+            labels = components(links)
     found = rows.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
