@@ -216,20 +216,18 @@ def _index(graph: DataFrame, points: DataFrame) -> str:
 
 def _expand(batches):
     """Similarities of a query (its 8-bit vector) with the neighbours of each node it expands, if they beat its worst."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids")]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        x = np.frombuffer(b"".join(b.column("xs").to_pylist()), np.int8).reshape(int(size.sum()), -1).astype(np.float32)
-        q = np.frombuffer(b"".join(b.column("qx").to_pylist()), np.int8).reshape(b.num_rows, -1).astype(np.float32)
-        s = np.einsum("ij,ij->i", x, np.repeat(q, size, axis=0)) / np.float32(127 * 127)
-        key, node = np.repeat(b.column("q").to_numpy(), size), np.concatenate(ids)
-        ok = s > np.repeat(b.column("least").to_numpy(), size)
-        order = np.lexsort((node[ok], key[ok]))
-        key, node, s = key[ok][order], node[ok][order], s[ok][order]
-        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.empty(0, bool)
-        yield _batch("q node s done", key[new], node[new], s[new], np.zeros(int(new.sum()), np.int8))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            ids = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids")]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            x = np.frombuffer(b"".join(b.column("xs").to_pylist()), np.int8).reshape(int(size.sum()), -1).astype(np.float32)
+            q = np.frombuffer(b"".join(b.column("qx").to_pylist()), np.int8).reshape(b.num_rows, -1).astype(np.float32)
+            s = np.einsum("ij,ij->i", x, np.repeat(q, size, axis=0)) / np.float32(127 * 127)
+            key, node = np.repeat(b.column("q").to_numpy(), size), np.concatenate(ids)
+            ok = s > np.repeat(b.column("least").to_numpy(), size)
+            i = best(key[ok], node[ok], s[ok], BEAM)
+            yield _batch("q node s done", key[ok][i], node[ok][i], s[ok][i], np.zeros(len(i), np.int8))
 
 
 def _beam(batches):
