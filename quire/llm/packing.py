@@ -27,7 +27,7 @@ SHARD_DOCS = 1500
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-CACHE_PARTS, CACHE_LENGTH = 2_000_000, 1000  # about 180 bytes a part
+CACHE_PARTS, CACHE_LENGTH = 700_000, 1000  # two generations of so many parts, about 250 bytes each
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
@@ -62,14 +62,19 @@ class Parts(dict):
     A word with marks behind it is its letters, in lower case where that is plain, and its marks, so few of the parts need
     the tokenizer."""
 
-    def __init__(self):
+    def __init__(self, old: Parts | None = None):
+        """old: the generation before; what is asked for again moves from there, the rest goes with it."""
         super().__init__()
+        self.old = {} if old is None else old
         self.values: list[bytes] = []
         self.new: list[tuple[int, str]] = []
         self.joined: list[tuple[int, int, int]] = []
 
     def __missing__(self, c: str) -> int:
         i = self[c] = len(self.values)
+        if c in self.old:
+            self.values.append(self.old.values[self.old[c]])
+            return i
         self.values.append(b"")
         letters = c.rstrip(MARKS)
         lower = letters.lower() if letters.isascii() else letters
@@ -128,7 +133,8 @@ class Ids:
         value = parts.values.__getitem__
         out = [np.frombuffer(f if isinstance(f, bytes) else b"".join(map(value, f)), self.kind) for f in found]
         if long or len(parts) > CACHE_PARTS:
-            self.parts = Parts()
+            parts.old = {}
+            self.parts = Parts(None if long else parts)
         return out
 
 
