@@ -39,7 +39,7 @@ NUM, DEN = 4, 5
 SKETCH_BITS = 20
 SLICE = 1 << 12
 BLOOM_MOST = 1 << 28
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 

@@ -30,7 +30,7 @@ BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 CALIBRATION_PART, PRECISION = 5, 0.99  # one row in five calibrates
 LEAST_THRESHOLD = 0.5  # below it, a calibrated prediction is more likely wrong than right
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = 2  # a code point that no text's letter has
 
