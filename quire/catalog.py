@@ -1,15 +1,617 @@
-"""Every query of the curation engine with, where SQL can say it, the SQL."""
+"""Every query of the curation engine with, where SQL can say it, the SQL.
+
+On the driver's tables a book is a `source`, its pages are its documents in order of doc_id, and a paragraph is a line (no
+document holds a blank line). Tables that the driver lacks (bookmarks, boxes, edits, snapshots) are derived from the others."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import folds
+from .functions import text as T
+from .operators import books, layout, review
+from .operators.rows import flat_map, fold
+from .plans import books as plans
+from .sources import books as sinks
+from .sources import pages as sources
+from .streaming import pages as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WS = r"[\s\p{Z}]"
+STRIP = rf"^{WS}+|{WS}+$"
+PUNCT = T.PUNCTUATION_RUNS
+CHAPTER_SQL = r"""(regexp_matches({0}, '^#+\s+\S') OR ({num}) OR (length({0}) <= 60 AND (regexp_matches({0}, '^#+\s+.*$')
+  OR regexp_matches({0}, '^第\s*[0-9一二三四五六七八九十百千零〇]+\s*[章节篇回卷部集]\s*.*$') OR regexp_matches({0}, '^(?:CHAPTER|Chapter)\s+[0-9IVXLC]+\s*.*$')
+  OR regexp_matches({0}, '^(?:序(?:言|章)?|前言|后记|附录|引子|楔子|尾声)$'))))"""
+NUMERIC_SQL = r"""(regexp_matches({0}, '^([0-9]{{1,3}})\s*[、.．]\s*(\S.*)$')
+  AND length(trim(regexp_extract({0}, '^([0-9]{{1,3}})\s*[、.．]\s*(\S.*)$', 2))) BETWEEN 2 AND 24
+  AND NOT regexp_matches(regexp_extract({0}, '^([0-9]{{1,3}})\s*[、.．]\s*(\S.*)$', 2), '[，。！？；：,:;!?]')
+  AND len(regexp_extract_all(trim(regexp_extract({0}, '^([0-9]{{1,3}})\s*[、.．]\s*(\S.*)$', 2)), '\s')) <= 2
+  AND regexp_matches(regexp_extract({0}, '^([0-9]{{1,3}})\s*[、.．]\s*(\S.*)$', 2), '[A-Za-z]|章|回|篇|卷|部|集|讲|幕|序|引子|楔子|尾声|附录'))"""
+
+
+def chapter_sql(x: str) -> str:
+    return CHAPTER_SQL.format(x, num=NUMERIC_SQL.format(x))
+
+
+PAGES_SQL = "p AS (SELECT source AS book_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS page_no, doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("text", T.text("text"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return books.documents_as_pages(table(spark, d, "documents"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, where rules cost far more than moving the rows and a small table is one file."""
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def per_document(name: str, out: Callable[[], dict], sql: dict[str, str] | None = None) -> None:
+    """A rule on each document's text, as columns beside doc_id."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return docs(spark, d).select("doc_id", *[c.alias(k) for k, c in out().items()])
+
+    query(name, "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in sql.items()) + " FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)" if sql else None)(run)
+
+
+t = lambda: F.col("text")
+collapse_sql = "text"
+for _c in PUNCT:
+    collapse_sql = f"regexp_replace({collapse_sql}, '[{_c}]{{2,}}', '{_c}', 'g')"
+
+# --- projections (P) -------------------------------------------------------------------------------------------------
+per_document("punct_run_collapse", lambda: {"text": T.collapse_punctuation(t())}, {"text": collapse_sql})
+_REP = "repeat(text[1:40], 3)"
+per_document("full_repeat_collapse", lambda: {"text": T.collapse_full_repeat(F.repeat(t().substr(1, 40), F.lit(3)))}, {
+    "text": f"CASE WHEN length({_REP}) >= 8 THEN coalesce({_REP}[1:list_filter(range(1, length({_REP}) // 2 + 1), lambda k: length({_REP}) % k = 0 AND repeat({_REP}[1:k], length({_REP}) // k) = {_REP})[1]], {_REP}) ELSE {_REP} END"})
+per_document("fence_removal", lambda: {"text": T.drop_fences(F.concat(F.lit("```py\nx\n```\n"), t(), F.lit("\n```")))}, {
+    "text": r"regexp_replace(regexp_replace('```py' || chr(10) || 'x' || chr(10) || '```' || chr(10) || text || chr(10) || '```', '(?m)^\s*```[a-zA-Z0-9]*\s*$\n[\s\S]*?^\s*```\s*$', '', 'g'), '(?m)^\s*```[a-zA-Z0-9]*\s*$', '', 'g')"})
+per_document("latex_circled", lambda: {"text": T.circled_numbers(F.concat(F.lit(r"a $\textcircled{7}$ b \textcircled { 20 } c \textcircled{31}. "), t()))}, {"text": "'a ⑦ b⑳c(31). ' || text"})
+per_document("orphan_latex_removal", lambda: {"text": T.drop_orphan_latex(F.concat(F.lit(r"x $\alpha{3}$ "), t()))}, {"text": r"regexp_replace('x $\alpha{3}$ ' || text, '\$\s*\\[a-zA-Z]+\s*\{?[0-9]*\}?\s*\$', '', 'g')"})
+per_document("token_repeat_collapse", lambda: {"text": T.collapse_tokens(t())})
+per_document("figure_index_removal", lambda: {"text": T.drop_figure_index(t())})
+query("clean_page_text")(lambda spark, d: spread(docs(spark, d)).select("doc_id", T.clean_page(t()).alias("text")))
+per_document("noise_line_filter", lambda: {"text": T.drop_noise_lines(t())})
+per_document("char_count", lambda: {"chars": T.char_count(t())}, {"chars": r"length(regexp_replace(text, '[^A-Za-z0-9\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]+', '', 'g'))::INTEGER"})
+per_document("norm_dedup_key", lambda: {"key": T.dedup_key(t())}, {"key": r"regexp_replace(text, '[^\p{L}\p{N}_\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]+', '', 'g')"})
+per_document("proof_norm", lambda: {"norm": T.without_space(t())}, {"norm": rf"regexp_replace(text, '{WS}+', '', 'g')"})
+per_document("normalise_title", lambda: {"title": T.normalise_title(F.concat(F.lit("# 1. "), t().substr(1, 60)))}, {
+    "title": rf"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace('# 1. ' || text[1:60], '{WS}+', ' ', 'g')), '^#+', '')), '^[-*.\s、\p{{Nd}}]+', ''))"})
+per_document("slug", lambda: {"slug": T.slug(t().substr(1, 80))}, {
+    "slug": rf"""(CASE WHEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(text[1:80], '[\\/:*?"<>|\r\n\t]+', '', 'g'), '{STRIP}', '', 'g'), '{WS}+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') = '' THEN 'book' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(text[1:80], '[\\/:*?"<>|\r\n\t]+', '', 'g'), '{STRIP}', '', 'g'), '{WS}+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') END)[1:60]"""})
+per_document("image_marker", lambda: {"marker": T.image_marker(F.concat(F.lit("/a/"), F.regexp_replace(t().substr(1, 20), "/", ""), F.lit(".jpg"))), "skipped": T.is_skipped_asset(F.concat(F.col("doc_id").cast("string"), F.lit(".r1200.jpg")))}, {
+    "marker": rf"""'![插图](images/' || regexp_replace(regexp_replace(replace(text[1:20], '/', '') || '.jpg', '[\x00-\x1f/\\:*?"<>|\s\p{{Z}}]+', '-', 'g'), '^[. -]+|[. -]+$', '', 'g') || ')'""", "skipped": "true"})
+per_document("notes_to_paragraphs", lambda: {"text": T.notes_to_paragraphs(F.regexp_replace(t(), "\nThe", "\n①The"))}, {"text": r"regexp_replace(regexp_replace(text, '\nThe', chr(10) || '①The', 'g'), '\n(\s*[\x{2460}-\x{2473}])', chr(10) || chr(10) || '\1', 'g')"})
+_noted = lambda: F.regexp_replace(t(), " the ", " [[NOTE_REF:7|③]] ")
+_NOTED = "replace(text, ' the ', ' [[NOTE_REF:7|③]] ')"
+per_document("note_refs_as_text", lambda: {"text": T.note_refs_as_text(_noted()), "refs": F.size(T.note_refs(_noted()))}, {
+    "text": rf"regexp_replace({_NOTED}, '\[\[NOTE_REF:([0-9]+)\|(.+?)\]\]', '\2', 'g')", "refs": rf"len(regexp_extract_all({_NOTED}, '\[\[NOTE_REF:([0-9]+)\|(.+?)\]\]'))::INTEGER"})
+per_document("protect_note_refs", lambda: {"text": T.protect_notes(_noted())}, {"text": rf"regexp_replace({_NOTED}, '\[\[NOTE_REF:([0-9]+)\|(.+?)\]\]', chr(57344) || '\1' || chr(57345), 'g')"})
+per_document("batch_normalise", lambda: {"text": T.normalise(t())}, {"text": r"regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')"})
+
+
+@query("batch_clean_by_rules")
+def _by_rules(spark, d):
+    done = T.clean_by_rules(t())
+    return spread(docs(spark, d)).select("doc_id", *[c.alias(k) for k, c in done.items()])
+
+
+_LINES = "string_split(text, chr(10))"
+per_document("broken_line_filter", lambda: {"text": T.drop_broken_lines(t())}, {
+    "text": rf"array_to_string(list_filter({_LINES}, lambda x: NOT (length(regexp_replace(x, '{STRIP}', '', 'g')) BETWEEN 1 AND 30 AND regexp_matches(regexp_replace(x, '{STRIP}', '', 'g'), '[·、，：；/\\—–－]\s*$'))), chr(10))"})
+per_document("batch_broken_lines", lambda: {"text": T.drop_short_broken_lines(t())}, {
+    "text": rf"array_to_string(list_filter({_LINES}, lambda x: NOT (length(regexp_replace(x, '{STRIP}', '', 'g')) > 0 AND ((length(regexp_replace(x, '{STRIP}', '', 'g')) <= 30 AND regexp_matches(regexp_replace(x, '{STRIP}', '', 'g'), '[·、，：；/\\—–－]\s*$')) OR regexp_matches(regexp_replace(x, '{STRIP}', '', 'g'), '^[的和与或了着吗呢而]$')))), chr(10))"})
+
+# --- predicates (F) --------------------------------------------------------------------------------------------------
+per_document("suspicious_text", lambda: {"suspicious": T.is_suspicious(t())})
+per_document("page_ends_cleanly", lambda: {"clean": T.ends_cleanly(t(), "\n")}, {
+    "clean": rf"coalesce(regexp_matches(list_extract(list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, '{STRIP}', '', 'g')), lambda x: x <> ''), -1), '[。！？；：”』」》…!?;:）)]$|^!\[(.*?)\]\((.*?)\)$'), true)"})
+per_document("blank_pages", lambda: {"blank": T.is_blank_page(t())}, {"blank": rf"length(regexp_replace(text, '{STRIP}', '', 'g')) < 50"})
+per_document("numeric_chapter_line", lambda: {"heading": T.is_numeric_chapter(F.concat(F.lit("12. "), F.regexp_replace(t(), "\n", " ").substr(1, 20)))}, {"heading": NUMERIC_SQL.format("('12. ' || replace(text, chr(10), ' ')[1:20])")})
+per_document("lenient_parsers", lambda: {"flag": T.parse_bool(F.element_at(F.array(*map(F.lit, ("1", "Yes", "off", "maybe", " true "))), (F.col("doc_id") % 5 + 1).cast("int"))), "page": T.page_value(F.left(F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, ("", "x"))), (F.col("doc_id") % 2 + 1).cast("int"))), F.lit(8))), "span": T.page_span(F.col("doc_id") % 7, F.col("doc_id") % 5).cast("string")}, {
+    "flag": "doc_id % 5 IN (0, 1, 4)", "page": "CASE WHEN doc_id % 2 = 0 AND doc_id > 0 THEN doc_id::INTEGER END", "span": "CASE WHEN doc_id % 7 > 0 AND doc_id % 5 > 0 THEN '{' || least(doc_id % 7, doc_id % 5) || ', ' || greatest(doc_id % 7, doc_id % 5) || '}' END"})
+_fixed = lambda: F.regexp_replace(t(), "the ", "")
+per_document("length_guard", lambda: {"verdict": T.length_guard(t(), _fixed())}, {
+    "verdict": rf"CASE WHEN length(regexp_replace(replace(text, 'the ', ''), '{WS}+', '', 'g')) = 0 THEN 'empty' WHEN length(regexp_replace(text, '{WS}+', '', 'g')) = 0 THEN 'ok' WHEN length(regexp_replace(replace(text, 'the ', ''), '{WS}+', '', 'g')) < 0.95::DOUBLE * length(regexp_replace(text, '{WS}+', '', 'g')) THEN 'short' WHEN length(regexp_replace(replace(text, 'the ', ''), '{WS}+', '', 'g')) > 1.05::DOUBLE * length(regexp_replace(text, '{WS}+', '', 'g')) THEN 'long' ELSE 'ok' END"})
+
+
+@query("chapter_line_flags", f"SELECT doc_id, count(*) FILTER (WHERE {chapter_sql('l')})::BIGINT AS headings, count(*)::BIGINT AS lines FROM (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '{STRIP}', '', 'g') AS l FROM documents) GROUP BY doc_id")
+def _chapter_lines(spark, d):
+    own = F.transform(T.lines(t()), T.strip)
+    return docs(spark, d).select("doc_id", F.size(F.filter(own, T.is_chapter_line)).cast("long").alias("headings"), F.size(own).cast("long").alias("lines"))
+
+
+@query("repeater_pages", rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT median(length(t)) AS m FROM d),
+x AS (SELECT doc_id, t, m, list_filter(list_transform(string_split(t, chr(10)), lambda y: regexp_replace(y, '{STRIP}', '', 'g')), lambda y: y <> '') AS l, regexp_replace(t, '[^\p{{L}}\p{{N}}_\x{{4e00}}-\x{{9fff}}\x{{3040}}-\x{{30ff}}]+', '', 'g') AS k FROM d, m)
+SELECT doc_id, CASE WHEN m <= 0 OR length(t) <= greatest(m * 2, 1200) THEN 'length_ok' WHEN len(l) >= 4 AND len(list_distinct(l)) < 0.6::DOUBLE * len(l) THEN 'line_repeat'
+ WHEN k <> '' AND len(list_distinct(string_split(k, ''))) < 0.06::DOUBLE * length(k) THEN 'char_repeat' ELSE 'length_warn' END AS verdict FROM x""")
+def _repeaters(spark, d):
+    own = docs(spark, d)
+    median = own.agg(F.median(F.length("text")).alias("m"))  # one row
+    return own.join(F.broadcast(median)).select("doc_id", T.repeater(t(), F.col("m")).alias("verdict"))
+
+
+@query("change_classify", r"""WITH x AS (SELECT l_orderkey, l_linenumber, [ '', ' ', '巳', ',', 'ab', 'long wording' ][(l_orderkey % 6 + 1)::INTEGER] AS o, ['', '已', '。', 'abc', 'other long words', ' '][(l_partkey % 6 + 1)::INTEGER] AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN o = n THEN '无变化' WHEN trim(o) = '' AND trim(n) = '' THEN '空白' WHEN trim(o) = '' THEN '增补' WHEN trim(n) = '' THEN '删除'
+ WHEN regexp_matches(o, '^[^\p{L}\p{N}]+$') AND regexp_matches(n, '^[^\p{L}\p{N}]+$') THEN '标点' WHEN regexp_matches(o, '^[\x{3400}-\x{9fff}]{1,3}$') AND regexp_matches(n, '^[\x{3400}-\x{9fff}]{1,3}$') THEN '错字'
+ WHEN length(o) > 6 OR length(n) > 6 THEN '大段改写' ELSE '词句调整' END AS label,
+ CASE WHEN o <> n AND NOT (trim(o) = '' AND trim(n) = '') AND (trim(o) = '' OR trim(n) = '' OR ((length(o) > 6 OR length(n) > 6) AND NOT (regexp_matches(o, '^[^\p{L}\p{N}]+$') AND regexp_matches(n, '^[^\p{L}\p{N}]+$')))) THEN 'warn' ELSE 'safe' END AS level FROM x""")
+def _classify(spark, d):
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % 6 + 1).cast("int"))
+    o, n = pick(("", " ", "巳", ",", "ab", "long wording"), "l_orderkey"), pick(("", "已", "。", "abc", "other long words", " "), "l_partkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.classify_change(o, n).alias("k")).select("l_orderkey", "l_linenumber", "k.label", "k.level")
+
+
+# --- sources (S) -----------------------------------------------------------------------------------------------------
+_html = "html"
+for _a, _b in ((r"(?s)<\?xml.*?\?>", "''"), (r"(?is)<script[^>]*>.*?</script>", "''"), (r"(?is)<style[^>]*>.*?</style>", "''"), *[(rf"(?is)<h{i}[^>]*>\s*(.*?)\s*</h{i}>", r"chr(10) || chr(10) || '## \1' || chr(10) || chr(10)") for i in range(1, 7)], (r"(?i)<br\s*/?>", "chr(10)"), ("(?i)</p>|</div>|</h[1-6]>", "chr(10) || chr(10)"), ("<[^>]+>", "''")):
+    _html = f"regexp_replace({_html}, '{_a}', {_b}, 'g')"
+for _a, _b in T.ENTITIES:
+    _html = f"replace({_html}, '&{_a};', '{_b.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("html_to_md", rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_html}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '{STRIP}', '', 'g') AS text FROM pages")
+def _html_to_md(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_to_markdown(F.col("html")).alias("text"))
+
+
+@query("stub_source", "SELECT page_id, '[stub] ' || url AS text FROM pages")
+def _stub(spark, d):
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("[stub] "), "url").alias("text"))
+
+
+@query("recognised_pages")
+def _recognised(spark, d):
+    images = table(spark, d, "pages").select(F.lit("web").alias("book_id"), F.col("page_id").cast("int").alias("page_no"), F.encode("url", "utf-8").alias("image"))
+    return sources.recognised(images)
+
+
+@query("source_precedence", """WITH c AS (SELECT (o_custkey % 50)::VARCHAR AS book_id, ['tagged', 'flat', 'epub'][(o_orderkey % 3 + 1)::INTEGER] AS kind, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE o_orderpriority || o_orderkey END AS text FROM orders),
+f AS (SELECT book_id, kind, max(text) AS text FROM c GROUP BY ALL) SELECT book_id, kind, text FROM f WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY list_position(['tagged', 'flat', 'epub'], kind)) = 1""")
+def _precedence(spark, d):
+    o = table(spark, d, "orders")
+    kind = F.element_at(F.array(*map(F.lit, ("tagged", "flat", "epub"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    c = o.select((F.col("o_custkey") % 50).cast("string").alias("book_id"), kind.alias("kind"), F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))).alias("text"))
+    return sources.preferred(c.groupBy("book_id", "kind").agg(F.max("text").alias("text")))
+
+
+@query("largest_file", "SELECT book_id, arg_max(path, struct_pack(s := size, p := path)) AS path FROM (SELECT (l_orderkey % 97)::VARCHAR AS book_id, l_orderkey || '-' || l_linenumber AS path, l_quantity AS size FROM lineitem) GROUP BY book_id")
+def _largest(spark, d):
+    return sources.largest(table(spark, d, "lineitem").select((F.col("l_orderkey") % 97).cast("string").alias("book_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_quantity").alias("size")))
+
+
+@query("tolerant_json", "SELECT event_id, json_extract_string(CASE WHEN event_id % 10 = 0 THEN NULL ELSE props END, '$.page') AS page, event_id % 10 = 0 AS broken FROM events")
+def _json(spark, d):
+    raw = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{oops "), "props")).otherwise(F.col("props"))
+    parsed = F.from_json(raw, "page string, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    return table(spark, d, "events").select("event_id", parsed.alias("j")).select("event_id", "j.page", F.col("j.broken").isNotNull().alias("broken"))
+
+
+_OUTLINE = "o AS (SELECT (o_custkey % 200)::VARCHAR AS book_id, o_orderkey AS ord, (1 + o_orderkey % 2)::INTEGER AS level, '# ' || o_orderpriority AS title, (1 + o_orderkey % 97)::INTEGER AS page FROM orders)"
+
+
+def outline(spark, d):
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_custkey") % 200).cast("string").alias("book_id"), F.col("o_orderkey").alias("ord"), (1 + F.col("o_orderkey") % 2).cast("int").alias("level"), F.concat(F.lit("# "), "o_orderpriority").alias("title"), (1 + F.col("o_orderkey") % 97).cast("int").alias("page"))
+
+
+@query("outline_chapters", rf"""WITH {_OUTLINE}, l AS (SELECT book_id, min(level) AS cl FROM o GROUP BY 1),
+s AS (SELECT book_id, trim(regexp_replace(trim(regexp_replace(trim(title), '^#+', '')), '^[-*.\s、0-9]+', '')) AS title, page, min(ord) AS ord FROM o JOIN l USING (book_id) WHERE level = cl AND page BETWEEN 1 AND 90 GROUP BY ALL),
+e AS (SELECT *, least(90, coalesce(lead(page) OVER (PARTITION BY book_id ORDER BY page, ord), 91) - 1) AS e FROM s WHERE title <> '')
+SELECT book_id, title, greatest(5, page)::INTEGER AS start_page, least(80, e)::INTEGER AS end_page FROM e WHERE e >= 5 AND page <= 80""")
+def _outline(spark, d):
+    o = outline(spark, d)
+    return books.outline_chapters(o, o.select("book_id").distinct().withColumn("total", F.lit(90)), 5, 80)
+
+
+@query("lead_end_page", f"WITH {_OUTLINE}, s AS (SELECT book_id, page, min(ord) AS ord FROM o GROUP BY ALL) SELECT book_id, ord, page AS start_page, (lead(page) OVER (PARTITION BY book_id ORDER BY page) - 1)::INTEGER AS end_page FROM s")
+def _lead(spark, d):
+    s = outline(spark, d).groupBy("book_id", "page").agg(F.min("ord").alias("ord"))
+    return s.select("book_id", "ord", F.col("page").alias("start_page"), (F.lead("page").over(Window.partitionBy("book_id").orderBy("page")) - 1).cast("int").alias("end_page"))
+
+
+@query("running_max_accept", f"WITH {_OUTLINE}, b AS (SELECT *, max(page) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o), k AS (SELECT * FROM b WHERE page > coalesce(m, 0)) SELECT book_id, ord, page AS actual, (lead(page) OVER (PARTITION BY book_id ORDER BY ord) - 1)::INTEGER AS end_page FROM k")
+def _rising(spark, d):
+    return books.accept_rising(outline(spark, d).select("book_id", "ord", F.col("page").alias("actual"))).select("book_id", "ord", "actual", F.col("end_page").cast("int").alias("end_page"))
+
+
+_BODY = "body AS (SELECT DISTINCT (o_custkey % 200)::VARCHAR AS book_id, (10 + 3 * (o_orderkey % 40))::INTEGER AS page_no FROM orders)"
+
+
+def body_pages(spark, d):
+    return table(spark, d, "orders").select((F.col("o_custkey") % 200).cast("string").alias("book_id"), (10 + 3 * (F.col("o_orderkey") % 40)).cast("int").alias("page_no")).distinct()
+
+
+@query("asof_next_page", f"""WITH {_OUTLINE}, {_BODY}, e AS (SELECT book_id, min(page_no) AS lo, max(page_no) AS hi FROM body GROUP BY 1)
+SELECT o.book_id, o.ord, o.page AS printed, CASE WHEN x.page_no IS NOT NULL THEN o.page WHEN lo + o.page - 1 BETWEEN lo AND hi THEN (SELECT min(page_no) FROM body b WHERE b.book_id = o.book_id AND b.page_no >= lo + o.page - 1) END AS actual
+FROM o LEFT JOIN e USING (book_id) LEFT JOIN body x ON x.book_id = o.book_id AND x.page_no = o.page""")
+def _asof(spark, d):
+    return books.next_body_page(outline(spark, d).select("book_id", "ord", F.col("page").alias("printed")), body_pages(spark, d))
+
+
+_SPANS = "c AS (SELECT book_id, ord, page AS s, page + 4 AS e FROM (SELECT book_id, page, min(ord) AS ord FROM o WHERE level = 1 GROUP BY ALL))"
+
+
+@query("interval_chapters", f"""WITH {_OUTLINE}, {_BODY}, {_SPANS}, h AS (SELECT b.book_id, b.page_no, arg_min(c.ord, c.s) AS chapter FROM body b LEFT JOIN c ON c.book_id = b.book_id AND b.page_no BETWEEN s AND e GROUP BY ALL),
+n AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(chapter) OVER w IS DISTINCT FROM chapter THEN 1 ELSE 0 END AS n FROM h WINDOW w AS (PARTITION BY book_id ORDER BY page_no))
+SELECT book_id, page_no, chapter, (sum(n) OVER (PARTITION BY book_id ORDER BY page_no))::BIGINT AS run FROM n""")
+def _intervals(spark, d):
+    c = outline(spark, d).filter("level = 1").groupBy("book_id", "page").agg(F.min("ord").alias("ord")).select("book_id", "ord", F.col("page").alias("start_page"), (F.col("page") + 4).alias("end_page"))
+    return books.pages_in_chapters(body_pages(spark, d), c)
+
+
+@query("trim_chapters_to_body", f"WITH {_OUTLINE}, {_BODY}, e AS (SELECT book_id, min(page_no) AS lo, max(page_no) AS hi FROM body GROUP BY 1) SELECT book_id, ord, title, greatest(lo, page)::INTEGER AS start_page, least(hi, page + 9)::INTEGER AS end_page FROM o JOIN e USING (book_id) WHERE least(hi, page + 9) >= greatest(lo, page)")
+def _trim(spark, d):
+    e = body_pages(spark, d).groupBy("book_id").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
+    x = outline(spark, d).join(e, "book_id").select("book_id", "ord", "title", F.greatest("lo", "page").alias("start_page"), F.least(F.col("hi"), F.col("page") + 9).alias("end_page"))
+    return x.filter("end_page >= start_page")
+
+
+# --- pages of books (G1, J, P3, P17, W, L, F5, F6) -------------------------------------------------------------------
+_RUNNING = rf"""l AS (SELECT book_id, page_no, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{STRIP}', '', 'g')), lambda x: x <> '') AS l FROM p),
+e AS (SELECT book_id, 'head' AS e, l[1] AS line FROM l UNION ALL SELECT book_id, 'foot', l[-1] FROM l),
+k AS (SELECT book_id, e, line, count(*) AS c FROM e WHERE length(line) BETWEEN 1 AND 60 GROUP BY ALL),
+junk AS (SELECT DISTINCT book_id, line FROM k JOIN (SELECT book_id, count(*) AS n FROM p GROUP BY 1) USING (book_id) WHERE c >= 0.02::DOUBLE * n AND c >= 2)"""
+
+
+@query("running_lines", f"WITH {PAGES_SQL}, {_RUNNING} SELECT book_id, line FROM junk")
+def _running(spark, d):
+    return books.running_lines(pages(spark, d), 0.02, min_count=2)
+
+
+_STRIPPED = rf"s AS (SELECT book_id, page_no, (SELECT string_agg(x, chr(10) ORDER BY i) FROM (SELECT unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i) WHERE NOT EXISTS (SELECT 1 FROM junk WHERE junk.book_id = p.book_id AND junk.line = regexp_replace(x, '{STRIP}', '', 'g'))) AS text FROM p)"
+
+
+@query("strip_running_lines", f"WITH {PAGES_SQL}, {_RUNNING}, {_STRIPPED} SELECT book_id, page_no, coalesce(text, '') AS text FROM s")
+def _strip_running(spark, d):
+    p = pages(spark, d)
+    return books.drop_running_lines(p, books.running_lines(p, 0.02, min_count=2)).select("book_id", "page_no", "text")
+
+
+def merged_sql(source: str) -> str:
+    """Wrapped lines merged by gaps and islands: doc_id, text."""
+    return rf"""ml AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, regexp_replace(unnest(string_split(text, chr(10))), '{STRIP}', '', 'g') AS l FROM {source}),
+mf AS (SELECT *, l <> '' AND NOT regexp_matches(l, '^(?:[#>\-*|`]|\p{{Nd}})') AND NOT {chapter_sql('l')} AND NOT regexp_matches(l, '^!\[(.*?)\]\((.*?)\)$') AS plain, regexp_matches(l, '[。！？；：”』」》…!?;:.]$') AS ends FROM ml),
+mg AS (SELECT *, CASE WHEN plain AND coalesce(lag(plain AND NOT ends) OVER w, false) THEN 0 ELSE 1 END AS n FROM mf WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+mi AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mg), mj AS (SELECT doc_id, g, string_agg(l, '' ORDER BY i) AS l FROM mi GROUP BY ALL),
+merged AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY g) AS text FROM mj GROUP BY doc_id)"""
+
+
+query("merge_wrapped", f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {merged_sql('d')} SELECT doc_id, text FROM merged")(lambda spark, d: docs(spark, d).select("doc_id", T.merge_wrapped(t()).alias("text")))
+
+
+def pictured(spark, d):
+    return pages(spark, d).withColumn("illustration", F.col("doc_id") % 11 == 0)
+
+
+_JOINED = rf"""q AS (SELECT *, doc_id % 11 = 0 AS pic, regexp_replace(text, '{STRIP}', '', 'g') AS b FROM p), r AS (SELECT *, regexp_replace(string_split(b, chr(10))[1], '{STRIP}', '', 'g') AS f, lag(pic) OVER (PARTITION BY book_id ORDER BY page_no) AS pp FROM q WHERE b <> ''),
+j AS (SELECT book_id, page_no, CASE WHEN pic OR coalesce(pp, false) OR {chapter_sql('f')} OR regexp_matches(f, '^!\[(.*?)\]\((.*?)\)$') THEN chr(10) || chr(10) ELSE chr(10) END || b AS part FROM r),
+joined AS (SELECT book_id, regexp_replace(string_agg(part, '' ORDER BY page_no), '{STRIP}', '', 'g') AS body FROM j GROUP BY book_id)"""
+
+
+@query("join_pages", f"WITH {PAGES_SQL}, {_JOINED} SELECT book_id, body FROM joined")
+def _join(spark, d):
+    return books.joined_pages(pictured(spark, d))
+
+
+@query("page_position", f"WITH {PAGES_SQL} SELECT book_id, page_no, (row_number() OVER (PARTITION BY book_id ORDER BY page_no) - 1)::INTEGER AS pos, (count(*) OVER (PARTITION BY book_id))::BIGINT AS total FROM p WHERE doc_id % 11 <> 0 AND regexp_replace(text, '{STRIP}', '', 'g') <> ''")
+def _position(spark, d):
+    w = Window.partitionBy("book_id")
+    return pictured(spark, d).filter(~F.col("illustration") & (T.strip(t()) != "")).select("book_id", "page_no", (F.row_number().over(w.orderBy("page_no")) - 1).alias("pos"), F.count("*").over(w).alias("total"))
+
+
+@query("classify_pages")
+def _kinds(spark, d):
+    return books.classify_pages(books.toc_hits(pictured(spark, d)))
+
+
+@query("page_kind_summary")
+def _kind_summary(spark, d):
+    return books.kind_summary(books.classify_pages(books.toc_hits(pictured(spark, d))))
+
+
+@query("toc_entries")
+def _toc(spark, d):
+    return flat_map(pages(spark, d).select("book_id", "page_no", "text"), lambda b, n, x: [(b, n, i, *e) for i, e in enumerate(folds.toc_entries(x))], "book_id string, page_no int, ord int, title string, printed int")
+
+
+_TITLED = rf"hl AS (SELECT book_id, generate_subscripts(string_split(body, chr(10)), 1) AS i, unnest(string_split(body, chr(10))) AS l FROM b), hs AS (SELECT *, regexp_replace(l, '{STRIP}', '', 'g') AS s FROM hl), hf AS (SELECT *, s <> '' AND {chapter_sql('s')} AS h FROM hs), hg AS (SELECT *, sum(h::INTEGER) OVER (PARTITION BY book_id ORDER BY i) AS g FROM hf)"
+
+
+@query("split_chapters", rf"""WITH {PAGES_SQL}, b AS (SELECT book_id, string_agg(CASE WHEN page_no % 5 = 0 THEN 'Chapter ' || page_no || chr(10) || text ELSE text END, chr(10) ORDER BY page_no) AS body FROM p GROUP BY 1), {_TITLED},
+c AS (SELECT book_id, g, coalesce(max(CASE WHEN h THEN s END), '正文') AS title, regexp_replace(coalesce(string_agg(CASE WHEN h THEN NULL ELSE l END, chr(10) ORDER BY i), ''), '{STRIP}', '', 'g') AS body FROM hg GROUP BY ALL)
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY g) - 1)::INTEGER AS ord, title, body FROM c WHERE body <> ''""")
+def _split(spark, d):
+    headed = pages(spark, d).withColumn("text", F.when(F.col("page_no") % 5 == 0, F.concat(F.lit("Chapter "), F.col("page_no").cast("string"), F.lit("\n"), "text")).otherwise(t()))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"])
+    return books.chapters_by_heading(headed.groupBy("book_id").agg(F.array_join(own, "\n").alias("body")))
+
+
+@query("fixed_page_chunks")
+def _page_chunks(spark, d):
+    return books.page_chunks(pages(spark, d))
+
+
+@query("duplicate_pages")
+def _duplicate_pages(spark, d):
+    return books.duplicate_pages(pages(spark, d))
+
+
+@query("exact_dup_groups", r"SELECT key, count(*)::BIGINT AS pages, min(doc_id) AS first FROM (SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]+', '', 'g')) AS key FROM documents) GROUP BY key HAVING count(*) > 1")
+def _groups(spark, d):
+    return docs(spark, d).groupBy(F.md5(T.dedup_key(t())).alias("key")).agg(F.count("*").alias("pages"), F.min("doc_id").alias("first")).filter("pages > 1")
+
+
+def on_lines(name: str, rule) -> None:
+    query(name)(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *rule((x or "").split("\n")))], "doc_id long, text string, gone int"))
+
+
+on_lines("collapse_paragraphs", lambda ps: (lambda kept, gone: ("\n".join(kept), gone))(*folds.dedupe_paragraphs(ps, 0.88)))
+on_lines("prefix_dedup", lambda ps: (lambda kept, trimmed, removed: ("\n".join(kept), trimmed + removed))(*folds.dedupe_prefixes(ps)))
+on_lines("batch_paragraph_dedup", lambda ps: (lambda kept, gone: ("\n".join(kept), gone))(*folds.batch_dedupe(ps)))
+
+
+@query("batch_header_removal")
+def _headers(spark, d):
+    return books.strip_headers(pages(spark, d))
+
+
+@query("layout_part_dedup")
+def _parts(spark, d):
+    return flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, n, p[2]) for n, p in enumerate(folds.dedupe_layout([(y, 0, line) for y, line in enumerate((x or "").split("\n"))]))], "doc_id long, ord int, content string")
+
+
+# --- notes (P12, P13, P14, J1, J2, J3, K7, W13) ----------------------------------------------------------------------
+def noted(spark, d):
+    marked = F.concat(F.regexp_replace(F.regexp_replace(t(), "\n", "\n\n"), r"^(\S+) ", "$1[1] "), F.lit("\n\n[1] a note"))
+    return pages(spark, d).withColumn("text", marked)
+
+
+@query("extract_footnotes")
+def _footnotes(spark, d):
+    return books.number_notes(books.extract_notes(noted(spark, d)))
+
+
+_NOTES = "r AS (SELECT (l_orderkey % 50)::VARCHAR AS book_id, (l_orderkey % 9)::INTEGER AS ord, l_linenumber + l_orderkey % 13 AS note_id, min(l_orderkey) AS pos FROM lineitem GROUP BY ALL), n AS (SELECT DISTINCT (l_orderkey % 50)::VARCHAR AS book_id, l_linenumber + l_orderkey % 13 AS note_id, ((l_linenumber + l_orderkey % 13) % 5)::VARCHAR AS label, 'note ' || (l_linenumber + l_orderkey % 13) AS text FROM lineitem WHERE l_orderkey % 3 > 0)"
+
+
+def notes_tables(spark, d):
+    li = table(spark, d, "lineitem")
+    note = F.col("l_linenumber") + F.col("l_orderkey") % 13
+    refs = li.select((F.col("l_orderkey") % 50).cast("string").alias("book_id"), (F.col("l_orderkey") % 9).cast("int").alias("ord"), note.alias("note_id"), "l_orderkey").groupBy("book_id", "ord", "note_id").agg(F.min("l_orderkey").alias("at"))
+    chapters = refs.groupBy("book_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note_id"))), lambda x: F.concat(F.lit("x [[NOTE_REF:"), x["note_id"].cast("string"), F.lit("|q]] "))), "").alias("body"))
+    notes = li.filter("l_orderkey % 3 > 0").select((F.col("l_orderkey") % 50).cast("string").alias("book_id"), note.alias("note_id"), (note % 5).cast("string").alias("label"), F.concat(F.lit("note "), note.cast("string")).alias("text")).distinct()
+    return chapters, notes
+
+
+@query("chapter_notes", f"WITH {_NOTES} SELECT book_id, ord, note_id, label, text, (row_number() OVER (PARTITION BY book_id, ord ORDER BY pos, note_id))::INTEGER AS number FROM r JOIN n USING (book_id, note_id)")
+def _chapter_notes(spark, d):
+    return books.chapter_notes(*notes_tables(spark, d))
+
+
+@query("notes_appendix", f"WITH {_NOTES} SELECT book_id, '# 注释' || chr(10) || chr(10) || string_agg(label || ' ' || text, chr(10) || chr(10) ORDER BY note_id) AS appendix FROM n GROUP BY book_id")
+def _appendix(spark, d):
+    return books.notes_appendix(notes_tables(spark, d)[1])
+
+
+@query("relabel_note_refs", f"WITH {_NOTES}, k AS (SELECT book_id, ord, note_id, pos, coalesce(label, 'q') AS label FROM r LEFT JOIN n USING (book_id, note_id)) SELECT book_id, ord, string_agg('x [[NOTE_REF:' || note_id || '|' || label || ']] ', '' ORDER BY pos, note_id) AS body FROM k GROUP BY ALL")
+def _relabel(spark, d):
+    chapters, notes = notes_tables(spark, d)
+    labels = notes.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("note_id").cast("string"), "label"))).alias("labels"))
+    pieces = F.split("body", r"\[\[NOTE_REF:", -1)
+    put = lambda x: F.concat(F.lit("[[NOTE_REF:"), F.substring_index(x, "|", 1), F.lit("|"), F.coalesce(F.try_element_at("labels", F.substring_index(x, "|", 1)), F.regexp_extract(x, r"\|(.+?)\]\]", 1)), F.lit("]]"), F.regexp_extract(x, r"(?s)\]\](.*)$", 1))
+    return chapters.join(labels, "book_id", "left").select("book_id", "ord", F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, 10**6), put), "")).alias("body"))
+
+
+# --- boxes (S8, J6, F10, F11, O1) ------------------------------------------------------------------------------------
+_BOXES = "b AS (SELECT l_orderkey AS page_id, l_linenumber AS box_id, ['text', 'figure', 'table', 'header', 'doc_title'][(l_partkey % 5 + 1)::INTEGER] AS label, (l_discount * 10)::DOUBLE AS score, (l_quantity * 4)::BIGINT AS x1, (l_suppkey % 60 * 5)::BIGINT AS y1, (l_quantity * 4)::BIGINT + 40 + l_partkey % 200 AS x2, (l_suppkey % 60 * 5)::BIGINT + 40 + l_partkey % 150 AS y2 FROM lineitem)"
+
+
+def boxes(spark, d):
+    x1, y1 = (F.col("l_quantity") * 4).cast("long"), (F.col("l_suppkey") % 60 * 5).cast("long")
+    label = F.element_at(F.array(*map(F.lit, ("text", "figure", "table", "header", "doc_title"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("box_id"), label.alias("label"), (F.col("l_discount") * 10).alias("score"), x1.alias("x1"), y1.alias("y1"), (x1 + 40 + F.col("l_partkey") % 200).alias("x2"), (y1 + 40 + F.col("l_partkey") % 150).alias("y2"))
+
+
+_KIND = "CASE WHEN {0} IN ('figure', 'chart', 'image', 'picture', 'img', 'photo', 'table', 'formula', 'equation') THEN 'visual' WHEN {0} IN ('header', 'footer', 'page_number', 'seal') THEN 'drop' ELSE 'text' END"
+
+
+@query("box_kinds", f"WITH {_BOXES} SELECT page_id, box_id, {_KIND.format('label')} AS kind, CASE {_KIND.format('label')} WHEN 'visual' THEN 3 WHEN 'text' THEN 2 ELSE 1 END AS priority FROM b")
+def _box_kinds(spark, d):
+    return boxes(spark, d).select("page_id", "box_id", layout.kind(F.col("label")).alias("kind"), layout.priority(F.col("label")).alias("priority"))
+
+
+@query("visual_box_filter", f"WITH {_BOXES} SELECT page_id, box_id FROM b WHERE {_KIND.format('label')} = 'visual' AND score >= CASE WHEN label IN ('figure', 'chart', 'image', 'picture', 'img', 'photo') THEN 0.2::DOUBLE ELSE 0.25::DOUBLE END AND x2 - x1 >= 48 AND y2 - y1 >= 48 AND NOT ((x2 - x1) * (y2 - y1) < 0.008::DOUBLE * 1600 * 1200 AND greatest(x2 - x1, y2 - y1) < 180)")
+def _visual(spark, d):
+    c = F.col
+    return boxes(spark, d).filter((layout.kind(c("label")) == "visual") & layout.keep_visual(c("label"), c("score"), c("x1"), c("y1"), c("x2"), c("y2"), F.lit(1600), F.lit(1200))).select("page_id", "box_id")
+
+
+@query("box_iou_pairs", f"""WITH {_BOXES}, q AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b, a.label AS la, b.label AS lb, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS common, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM b a JOIN b ON a.page_id = b.page_id AND a.box_id < b.box_id)
+SELECT page_id, a, b, round(common::DOUBLE / (aa + ab - common), 6) AS iou, round(common::DOUBLE / least(aa, ab), 6) AS cover FROM q WHERE common > 0 AND (({_KIND.format('la')}) = 'visual') = (({_KIND.format('lb')}) = 'visual') AND (common::DOUBLE / (aa + ab - common) >= 0.5 OR common::DOUBLE / least(aa, ab) >= 0.85)""")
+def _iou(spark, d):
+    return layout.overlaps(boxes(spark, d))
+
+
+@query("box_suppression")
+def _suppress(spark, d):
+    box = F.struct("label", "score", F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("box_id", box.alias("b")))), lambda x: x["b"])
+    return layout.suppressed(boxes(spark, d).groupBy("page_id").agg(own.alias("boxes")))
+
+
+@query("normalise_boxes", f"WITH {_BOXES} SELECT page_id, lower(label) AS label, score, [x1::DOUBLE, y1::DOUBLE, x2::DOUBLE, y2::DOUBLE] AS bbox FROM b WHERE page_id % 3 > 0")
+def _normalise_boxes(spark, d):
+    corners = F.when(F.col("page_id") % 3 > 0, F.array(*[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])).otherwise(F.array(F.lit("1"), F.lit("x")))
+    raw = boxes(spark, d).select("page_id", F.struct(F.concat(F.lit(" "), F.upper("label")).alias("label"), F.col("score").cast("string").alias("score"), corners.alias("bbox")).alias("box"))
+    return layout.normalised(raw)
+
+
+@query("layout_reading_order", f"WITH {_BOXES} SELECT page_id, string_agg(label || '-' || box_id, chr(10) || chr(10) ORDER BY y1, x1, label || '-' || box_id) AS text FROM b GROUP BY page_id")
+def _reading(spark, d):
+    return layout.reading_order(boxes(spark, d).withColumn("content", F.concat_ws("-", "label", F.col("box_id").cast("string"))))
+
+
+@query("full_page_picture", "SELECT l_orderkey, l_linenumber, l_discount * 10 <= 0.76::DOUBLE AND l_tax * 10 >= 0.08::DOUBLE AND l_quantity / 50 >= 0.72::DOUBLE AS full_page FROM lineitem")
+def _full_page(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", layout.is_full_page(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50).alias("full_page"))
+
+
+# --- review, snapshots, statistics (G, W12, K8 to K10, J7, J12, O) ---------------------------------------------------
+@query("todo_antijoin", f"WITH {PAGES_SQL} SELECT book_id, page_no, doc_id FROM p WHERE doc_id % 4 = 0 OR doc_id % 7 = 0")
+def _todo(spark, d):
+    p = pages(spark, d).select("book_id", "page_no", "doc_id")
+    return review.todo(p, p.filter("doc_id % 4 > 0").select("book_id", "page_no", F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("ok").alias("status")))
+
+
+@query("toc_pages_semijoin", f"WITH {PAGES_SQL} SELECT book_id, page_no FROM p WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND l.quality = 0)")
+def _semi(spark, d):
+    return pages(spark, d).join(table(spark, d, "labels").filter("quality = 0"), "doc_id", "left_semi").select("book_id", "page_no")
+
+
+@query("body_pages_antijoin", f"WITH {PAGES_SQL} SELECT book_id, page_no FROM p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id)")
+def _anti(spark, d):
+    return pages(spark, d).join(table(spark, d, "labels"), "doc_id", "left_anti").select("book_id", "page_no")
+
+
+@query("change_summary", """WITH p AS (SELECT (l_orderkey % 20)::VARCHAR AS book_id, l_orderkey::VARCHAR AS i, l_linenumber AS n, ['巳', ',', 'ab', ''][(l_partkey % 4 + 1)::INTEGER] AS old, ['已', '。', 'long rewritten'][(l_suppkey % 3 + 1)::INTEGER] AS new FROM lineitem)
+SELECT book_id, old, new, count(*)::BIGINT AS count, arg_min('c' || i || '.' || n, struct_pack(i := i::INTEGER, n := n)) AS ctx, count(DISTINCT i)::BIGINT AS chunks, CASE WHEN old = '' OR new = 'long rewritten' THEN 'warn' ELSE 'safe' END AS level FROM p GROUP BY ALL""")
+def _changes(spark, d):
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).cast("string").alias("book_id"), F.col("l_orderkey").cast("string").alias("i"), F.col("l_linenumber").alias("n"), pick(("巳", ",", "ab", ""), "l_partkey").alias("old"), pick(("已", "。", "long rewritten"), "l_suppkey").alias("new"))
+    return review.summarise(li.withColumn("ctx", F.concat(F.lit("c"), "i", F.lit("."), F.col("n").cast("string")))).select("book_id", "old", "new", "count", "ctx", F.size("chunks").cast("long").alias("chunks"), "level")
+
+
+def _records(spark, d):
+    return review.proofread(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), "text"), lambda: lambda x: x.replace("teh", "the").replace("  ", " "))
+
+
+query("proofread_records")(_records)
+query("proofread_summary")(lambda spark, d: review.proof_summary(_records(spark, d)))
+query("change_table")(lambda spark, d: review.changes(_records(spark, d)).drop("first"))
+query("proofread_chunks")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))))
+query("batch_smart_chunks")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text")), folds.sentence_chunks, 800))
+query("proofread_guard")(lambda spark, d: review.guarded(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("original"), F.regexp_replace("text", "of ", "").alias("fixed"))))
+query("batch_output_guard")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *folds.batch_guard(x[:2000], x[:2000].replace("e", "")))], "doc_id long, ok boolean, reason string"))
+query("split_failed_chunk")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *(folds.halves(x) or (None, None)))], "doc_id long, left string, right string"))
+query("html_diff")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, sinks.html_diff(x[:500], x[:500].replace("the", "teh")))], "doc_id long, html string"))
+query("markdown_to_xhtml")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, folds.to_xhtml("# " + x))], "doc_id long, xhtml string"))
+
+
+@query("epub_files")
+def _epubs(spark, d):
+    chapters = _QUERIES["split_chapters"](spark, d).groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "body"))), lambda c: F.struct(c["title"].alias("title"), c["body"].alias("body"), F.array().cast("array<struct<note_id:int,label:string,text:string>>").alias("notes"))).alias("chapters"))
+    made = sinks.epubs(chapters.select("book_id", F.col("book_id").alias("title"), F.lit("").alias("author"), F.lit(False).alias("test"), "chapters"))
+    return flat_map(made, lambda b, n, c: [(b, n, len(c), len(sinks.epub_to_markdown(c)))], "book_id string, name string, bytes long, chars long")
+
+
+@query("last_n_log", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 120")
+def _log(spark, d):
+    return review.newest(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 120).drop("ts")
+
+
+@query("newest3_snapshots", "SELECT user_id, event_id FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
+def _snapshots(spark, d):
+    return review.newest(table(spark, d, "events").filter("event_type = 'purchase'").select("user_id", "event_id"), ["user_id"], [F.desc("event_id")], 3)
+
+
+@query("snapshot_restore", "SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'remove' ELSE 'restore' END AS action FROM part WHERE p_partkey % 3 > 0 OR p_partkey % 2 = 0")
+def _restore(spark, d):
+    files = table(spark, d, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), "p_partkey")
+    return review.restore(files.filter("p_partkey % 2 = 0").select("name"), files.filter("p_partkey % 3 > 0").select("name"))
+
+
+@query("jobs_newest_first", "SELECT o_orderkey, o_orderdate, (rank() OVER (ORDER BY o_orderdate DESC, o_orderkey))::INTEGER AS place, c_name FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500) LEFT JOIN customer ON c_custkey = o_custkey")
+def _jobs(spark, d):
+    top = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(500)
+    place = F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey"))  # of 500 rows
+    return top.withColumn("place", place).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", "o_orderdate", "place", "c_name")
+
+
+@query("rolling_speed")
+def _speed(spark, d):
+    return review.speeds(table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("at"), (F.col("event_id") % 40).alias("pages"), F.col("value").alias("seconds")))
+
+
+@query("eta_estimate", "SELECT event_type AS key, CASE WHEN sum(event_id % 40)::BIGINT >= 5 THEN round(sum(value) / sum(event_id % 40)::BIGINT * 300 / 2, 3) END AS seconds FROM events GROUP BY 1")
+def _eta(spark, d):
+    total = table(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.sum(F.col("event_id") % 40).alias("pages"), F.sum("value").alias("total_sec"))
+    return review.estimate(total, 300, 2).select("key", F.round("seconds", 3).alias("seconds"))
+
+
+@query("length_stats", "SELECT source, median(length(text)) AS median, min(length(text))::INTEGER AS least, max(length(text))::INTEGER AS most, sum(length(text))::BIGINT AS total, bool_or(length(text) < 50) AS any_blank, bool_and(length(text) > 0) AS all_filled FROM documents GROUP BY source")
+def _lengths(spark, d):
+    n = F.length("text")
+    return docs(spark, d).groupBy("source").agg(F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"), F.bool_or(n < 50).alias("any_blank"), F.bool_and(n > 0).alias("all_filled"))
+
+
+@query("unique_line_ratio", rf"SELECT doc_id, len(l)::INTEGER AS lines, len(list_distinct(l))::INTEGER AS uniq FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: regexp_replace(y, '{STRIP}', '', 'g')), lambda y: y <> '') AS l FROM documents)")
+def _unique(spark, d):
+    own = T.stripped_lines(t())
+    return docs(spark, d).select("doc_id", F.size(own).alias("lines"), F.size(F.array_distinct(own)).alias("uniq"))
+
+
+@query("sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS end, count(*)::BIGINT AS events FROM g GROUP BY user_id, g")
+def _sessions(spark, d):
+    return streams.sessions(table(spark, d, "events"))
+
+
+@query("ordered_text", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def _ordered(spark, d):
+    own = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"]))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(own, "\n").alias("text"))
+
+
+@query("processed_pages")
+def _processed(spark, d):
+    return plans.processed_pages(spread(pages(spark, d))).drop("notes")
+
+
+@query("book_chapters")
+def _chapters(spark, d):
+    p = pictured(spark, d).select("book_id", "page_no", "illustration", "text")
+    o = outline(spark, d).groupBy("page").agg(F.min("ord").alias("ord"), F.min("title").alias("title")).filter("page % 10 = 1").select(F.lit("src1").alias("book_id"), "ord", "title", F.col("page").alias("start_page"), (F.col("page") + 9).alias("end_page"))
+    return plans.chapters(p, o)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return plans.clean_books(pages(spark, d), plans.Settings(running_ratio=0.02), min_count=2)
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+query("clean_books", rf"""WITH {PAGES_SQL.replace("coalesce(text, '')", collapse_sql)}, {_RUNNING}, {_STRIPPED}, sd AS (SELECT book_id || ':' || page_no AS doc_id, coalesce(text, '') AS text FROM s), {merged_sql('sd')},
+q AS (SELECT string_split(doc_id, ':')[1] AS book_id, string_split(doc_id, ':')[2]::INTEGER AS page_no, regexp_replace(text, '{STRIP}', '', 'g') AS b FROM merged), r AS (SELECT *, regexp_replace(string_split(b, chr(10))[1], '{STRIP}', '', 'g') AS f FROM q WHERE b <> ''),
+j AS (SELECT book_id, page_no, CASE WHEN {chapter_sql('f')} OR regexp_matches(f, '^!\[(.*?)\]\((.*?)\)$') THEN chr(10) || chr(10) ELSE chr(10) END || b AS part FROM r), b AS (SELECT book_id, regexp_replace(string_agg(part, '' ORDER BY page_no), '{STRIP}', '', 'g') AS body FROM j GROUP BY 1)
+SELECT book_id, length(body)::BIGINT AS chars, body FROM b""")(flagship)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracles() -> dict:
-    return {}
+def oracles() -> dict[str, str]:
+    return dict(_SQL)
