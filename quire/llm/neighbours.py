@@ -140,24 +140,43 @@ def leaves(points: DataFrame, parts: int, seed: int) -> DataFrame:
     return points.repartitionByRange(parts, "p", "node").sortWithinPartitions("p", "node").mapInArrow(split, "u long, w long, s float")
 
 
-def kept(edges: DataFrame, k: int = K) -> DataFrame:
-    """The k best edges of each node u."""
+GRAPH = "u long, w long, s float, least float"
+
+
+def _kept(batches):
+    """The K best edges of each node, with the worst similarity it keeps (-2 while it has room)."""
+    for u, w, s in whole_groups(batches):
+        i = best(u, w, s, K)
+        u, w, s = u[i], w[i], s[i]
+        start = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        size = np.diff(np.append(start, len(u)))
+        yield _batch("u w s least", u, w, s, np.repeat(np.where(size >= K, np.minimum.reduceat(s, start), np.float32(-2)), size))
+
+
+def kept(edges: DataFrame) -> DataFrame:
+    """The K best edges of each node u."""
+    return _streamed(edges.select("u", "w", "s"), "u", _kept, GRAPH)
 
-    def run(batches):
-        for u, w, s in whole_groups(batches):
-            i = best(u, w, s, k)
-            yield _batch("u w s", u[i], w[i], s[i])
 
-    return _streamed(edges.select("u", "w", "s"), "u", run, "u long, w long, s float")
+def _members(batches):
+    """Of each node, its neighbours and its K nearest reverse neighbours, each once; `least` is a member's worst kept similarity,
+    where its own row has told it."""
+    for v, m, s, least, reverse in whole_groups(batches):
+        back = np.flatnonzero(reverse == 1)
+        rows = np.concatenate([back[best(v[back], m[back], s[back], K)], np.flatnonzero(reverse == 0)])
+        v, m, least = v[rows], m[rows], least[rows]
+        order = np.lexsort((-least, m, v))
+        first = np.append(True, (v[order][1:] != v[order][:-1]) | (m[order][1:] != m[order][:-1]))
+        i = order[first]
+        yield _batch("v m least", v[i], m[i], least[i])
 
 
 def _around(graph: DataFrame, points: DataFrame) -> DataFrame:
-    """(v, m, x, least): each node's neighbours and K nearest reverse neighbours m, with vector and worst kept similarity."""
-    reverse = kept(graph.select(F.col("w").alias("u"), F.col("u").alias("w"), "s"))
-    members = graph.select("u", "w").union(reverse.select("u", "w")).select(F.col("u").alias("v"), F.col("w").alias("m")).distinct()
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= K, F.min("s")).otherwise(-2.0).cast("float").alias("least")).select(F.col("u").alias("m"), "least")
-    known = points.select(F.col("node").alias("m"), "x").join(worst, "m", "left").withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
-    return members.join(known, "m").select("v", "m", "x", "least")
+    """(v, m, x, least): each node's surroundings with their vectors."""
+    there = graph.select(F.col("u").alias("v"), F.col("w").alias("m"), "s", F.lit(-2.0).cast("float").alias("least"), F.lit(0).alias("reverse"))
+    back = graph.select(F.col("w").alias("v"), F.col("u").alias("m"), "s", "least", F.lit(1).alias("reverse"))
+    members = _streamed(there.union(back), "v", _members, "v long, m long, least float")
+    return members.join(points.select(F.col("node").alias("m"), "x"), "m").select("v", "m", "x", "least")
 
 
 def _offers(batches):
@@ -178,12 +197,12 @@ def _offers(batches):
             k = min(OFFERS, s.shape[1])
             near = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
             score = np.take_along_axis(s, near, 2)
-            g, r, c = np.nonzero(score > np.where(real, least[at], 2)[:, :, None])
+            g, r, c = np.nonzero((score > np.where(real, least[at], 2)[:, :, None]) & (score > -2))
             yield _batch("u w s", m[at[g, r]], m[at[g, near[g, r, c]]], score[g, r, c])
 
 
 def descend(points: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(u, w, s): the neighbour graph of `points` (node, v, x)."""
+    """(u, w, s, least): the neighbour graph of `points` (node, v, x)."""
     parts = max(1, -(-points.count() // PART_NODES))
     start = leaves(points, parts, SEED)
     for t in range(1, TREES):
@@ -191,12 +210,12 @@ def descend(points: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     graph = cut(kept(start))
     for _ in range(iterations):
         offers = _streamed(_around(graph, points), "v", _offers, "u long, w long, s float")
-        graph = cut(kept(graph.union(offers)))
+        graph = cut(kept(graph.select("u", "w", "s").union(offers)))
     return graph
 
 
 def _index(graph: DataFrame, points: DataFrame) -> str:
-    """The name of a table bucketed by v: ids and 8-bit vectors of all neighbours and near reverse neighbours of v."""
+    """The name of a table bucketed by v: ids and 8-bit vectors of the surroundings of v."""
 
     def run(batches):
         for v, m, x, _ in whole_groups(batches):
@@ -214,8 +233,11 @@ def _index(graph: DataFrame, points: DataFrame) -> str:
     return name
 
 
+STATE = "q long, node long, s float, done int, least float, qx binary"
+
+
 def _expand(batches):
-    """Similarities of a query (its 8-bit vector) with the neighbours of each node it expands, if they beat its worst."""
+    """Similarities of a query (its 8-bit vector) with the surroundings of each node it expands, if they beat its worst."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             b = whole.slice(at, 256)
@@ -227,43 +249,39 @@ def _expand(batches):
             key, node = np.repeat(b.column("q").to_numpy(), size), np.concatenate(ids)
             ok = s > np.repeat(b.column("least").to_numpy(), size)
             i = best(key[ok], node[ok], s[ok], BEAM)
-            yield _batch("q node s done", key[ok][i], node[ok][i], s[ok][i], np.zeros(len(i), np.int8))
+            n = len(i)
+            yield _batch("q node s done least qx", key[ok][i], node[ok][i], s[ok][i], np.zeros(n, np.int32), np.zeros(n, np.float32), pa.nulls(n, pa.binary()))
 
 
 def _beam(batches):
-    """Each query's BEAM best nodes; `done` marks the expanded ones."""
-    for q, node, s, done in whole_groups(batches):
+    """Each query's BEAM best nodes. Of those that aren't expanded (done 0) the STEP best are next (done 1, then 2); with its
+    vector and its worst similarity, each can be expanded without another join."""
+    for q, node, s, done, _, qx in whole_groups(batches):
         order = np.lexsort((-done, node, q))  # an expanded one stands before its like
         i = order[best(q[order], node[order], s[order], BEAM)]
-        yield _batch("q node s done", q[i], node[i], s[i], done[i])
-
-
-def _frontier(batches):
-    """Each query's STEP best unexpanded nodes, marked done with a second row, and its worst similarity."""
-    for q, node, s, done in whole_groups(batches):
+        have = [k for k, x in enumerate(qx) if x is not None]
+        vector = {int(q[k]): qx[k] for k in have}
+        q, node, s, done = q[i], node[i], s[i], np.where(done[i] > 0, 2, 0).astype(np.int32)
+        todo = np.flatnonzero(done == 0)
+        done[todo[best(q[todo], node[todo], s[todo], STEP)]] = 1
         start = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
         size = np.diff(np.append(start, len(q)))
         least = np.repeat(np.where(size >= BEAM, np.minimum.reduceat(s, start), np.float32(-2)), size)
-        i = np.flatnonzero(done == 0)
-        i = i[best(q[i], node[i], s[i], STEP)]
-        yield _batch("q node s least", q[i], node[i], s[i], least[i])
+        yield _batch("q node s done least qx", q, node, s, done, least, pa.array([vector[int(k)] for k in q], pa.binary()))
 
 
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, node, s): the BEAM best nodes found for each query node of `queries` (q), itself among them."""
     spark = points.sparkSession
     table = _index(graph, points)
-    schema = "q long, node long, s float, done byte"
-    mine = cut(queries.join(points.select(F.col("node").alias("q"), F.col("x").alias("qx")), "q").select("q", "qx"))
-    state = cut(mine.select("q", F.col("q").alias("node"), F.lit(1.0).cast("float").alias("s"), F.lit(0).cast("byte").alias("done")))
+    start = queries.join(points.select(F.col("node").alias("q"), F.col("x").alias("qx")), "q")
+    state = cut(start.select("q", F.col("q").alias("node"), F.lit(1.0).cast("float").alias("s"), F.lit(1).alias("done"), F.lit(-2.0).cast("float").alias("least"), "qx"))
     for _ in range(MOST_ROUNDS):
-        front = cut(_streamed(state, "q", _frontier, "q long, node long, s float, least float"))
+        front = state.filter("done = 1")
         if front.isEmpty():
             break
-        asked = front.join(mine, "q").join(spark.table(table), F.col("node") == F.col("v")).select("q", "least", "qx", "ids", "xs")
-        found = asked.mapInArrow(_expand, schema)
-        marked = front.select("q", "node", "s", F.lit(1).cast("byte").alias("done"))
-        state = cut(_streamed(state.union(marked).union(found), "q", _beam, schema))
+        asked = front.join(spark.table(table), F.col("node") == F.col("v")).select("q", "least", "qx", "ids", "xs")
+        state = cut(_streamed(state.union(asked.mapInArrow(_expand, STATE)), "q", _beam, STATE))
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     return state.select("q", "node", "s")
 
