@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, mixing, neighbours, packing, pii, quality, sharding
+from . import jaccard, langid, licenses, mixing, neighbours, packing, pii, quality, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": pii.query,
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
+    "op7_repeated_substrings": substrings.query,
     "op8_sharding": sharding.query,
     "op9_nearest_neighbours": neighbours.query,
     "op10_licenses": licenses.query,
