@@ -57,15 +57,15 @@ def _copies(u, rate):
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, output_rows: int | None = None, seed: str = SEED, power: float = POWER) -> DataFrame:
     """`docs` with each row repeated `n_copies` times (`replica` from 0), in the global random order of `mix_key`."""
     docs = docs.drop("replica", "n_copies", "mix_key")
-    r = rates(docs, weights, output_rows, power).select(F.col("source").alias("_s"), "rate")
-    d = docs.join(r, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    r = rates(docs, weights, output_rows, power).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
+    d = docs.join(r, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / 32).cast("int"))
-    d = d.withColumn("_pieces", pieces).withColumn("_part", F.col("rate") / F.col("_pieces"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / 32).cast("int"))
+    d = d.withColumn("_mix_pieces", pieces).withColumn("_mix_part", F.col("_mix_rate") / F.col("_mix_pieces"))
     count = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda i: _copies(unit_hash(seed, "count", key, i), F.col("_part"))), F.lit(0), lambda a, x: a + x
+        F.transform(F.sequence(F.lit(1), F.col("_mix_pieces")), lambda i: _copies(unit_hash(seed, "count", key, i), F.col("_mix_part"))), F.lit(0), lambda a, x: a + x
     )
-    d = d.withColumn("n_copies", count).filter("n_copies > 0").drop("rate", "_pieces", "_part")
+    d = d.withColumn("n_copies", count).filter("n_copies > 0").drop("_mix_rate", "_mix_pieces", "_mix_part")
     d = d.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     return d.withColumn("mix_key", unit_hash(seed, "order", key, F.col("replica"))).orderBy("mix_key", "doc_id", "replica")
 

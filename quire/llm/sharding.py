@@ -1,6 +1,7 @@
 """Sharding by proportional stratified interleaving, in DataFrame functions only.
 
-Within each source the rows are shuffled by a seeded hash and ranked; a row's fractional rank is (rank + 1/2) / source size.
+Within each source the rows are shuffled by a seeded hash and ranked; a row's fractional rank is (rank + phase) / source size,
+where the phase, a hash of the source in [0, 1), keeps sources of equal size from falling into step.
 All rows sorted by fractional rank interleave the sources in proportion, so any stretch of that order, and hence every shard
 cut from it, has the mixture of the whole to within a row or so for each source. Cuts fall so that row counts differ by one
 at most (law `rows`).
@@ -51,7 +52,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, per_bucket:
     n = buckets_for(total, per_bucket)
     tie = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     ranked = _ranked(slim, ["source"], "_u", [F.col("_u"), *tie], n, "_rank")
-    ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).withColumn("frac", (2 * F.col("_rank") + 1) / (2.0 * F.col("_n"))).drop("_s", "_n")
+    ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).withColumn("frac", (F.col("_rank") + unit_hash(seed, "phase", F.coalesce("source", F.lit("")))) / F.col("_n")).drop("_s", "_n")
     ordered = _ranked(ranked.withColumn("_all", F.lit(0)), ["_all"], "frac", [F.col("frac"), F.col("source"), F.col("_rank"), *tie], n, "pos")
     # shard s takes the places from ceil(s * total / shards) on
     ordered = ordered.withColumn("shard", F.expr(f"cast(pos * {shards} div {max(total, 1)} as int)"))
@@ -76,6 +77,6 @@ e AS (SELECT doc_id, source, (length(x) // 2 + {ROW_OVERHEAD})::BIGINT AS size,
   xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
     lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))::BIGINT AS text_crc32 FROM d, tab),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id) - 1 AS rk, count(*) OVER (PARTITION BY source) AS n FROM e),
-o AS (SELECT *, row_number() OVER (ORDER BY (2 * rk + 1) / (2.0::DOUBLE * n), source, rk) - 1 AS pos, count(*) OVER () AS total FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY (rk + ('0x' || md5(concat_ws(':', '{SEED}', 'phase', coalesce(source, '')))[1:13])::BIGINT / {float(2**52)!r}::DOUBLE) / n, source, rk) - 1 AS pos, count(*) OVER () AS total FROM r),
 s AS (SELECT *, (pos * {SHARDS} // total)::INTEGER AS shard FROM o)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s"""
