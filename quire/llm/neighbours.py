@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 K, ITERATIONS, OFFERS = 24, 5, 6
 LEAF, TREES, PART_NODES = 256, 3, 8000
@@ -288,7 +288,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame
 
 def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest vectors found for each row whose vec_id is divisible by `every`."""
-    packed, ids = nodes(vectors)
+    packed, ids = nodes(bounded(vectors))
 
     def shrink(batches):
         for b in batches:
