@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,20 @@ def bounded(df: DataFrame) -> DataFrame:
         if not 0 < int(conf.get(key).rstrip("bB")) <= most:
             conf.set(key, str(most))
     return df
+
+
+def whole_groups(batches):
+    """The columns, sorted by the first, as lists of arrays that hold whole groups of it."""
+    held = None
+    for b in batches:
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        if not len(new[0]):
+            continue
+        if held is not None:
+            new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        at = int(np.searchsorted(new[0], new[0][-1]))
+        if at:
+            yield [x[:at] for x in new]
+        held = [x[at:] for x in new]
+    if held is not None and len(held[0]):
+        yield held

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, whole_groups
 
 K, ITERATIONS, OFFERS = 24, 5, 6
 LEAF, TREES, PART_NODES = 256, 3, 8000
@@ -35,23 +35,6 @@ BEAM, STEP, MOST_ROUNDS = 400, 64, 40
 ANSWERS, FINALISTS, SEED = 5, 30, 11
 
 
-def whole_groups(batches):
-    """The columns, sorted by the first, as lists of arrays that hold whole groups of it."""
-    held = None
-    for b in batches:
-        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if not len(new[0]):
-            continue
-        if held is not None:
-            new = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        at = int(np.searchsorted(new[0], new[0][-1]))
-        if at:
-            yield [x[:at] for x in new]
-        held = [x[at:] for x in new]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def best(key: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Rows of the k best different `other` of each key, by key, best first, ties to the smaller `other`."""
     order = np.lexsort((other, key))

@@ -7,11 +7,13 @@ method first narrows texts down, exactly, and then sorts what is left:
    place. Consecutive windows that pick the same k-gram place form a block, about 35 windows; blocks are keyed by the k-gram and
    by a hash of all their bytes. Blocks whose k-gram stands nowhere else can't repeat. Of equal blocks all but the first go.
 2. Blocks that share their k-gram but not all their bytes, such as those around the edges of a shared passage or of an edit,
-   are unresolved. Only for the first of each their bytes are read again, and their windows are sorted, together with those of
-   the other unresolved blocks, by fingerprint, window by window: of neighbours that are equal all but the first go.
+   are unresolved. For the first of each, and only for these, their bytes are read again and meet by k-gram; there their
+   windows are sorted by fingerprint, and of equal neighbours all but the first go. Where more than `GROUP_MOST` different
+   blocks share a k-gram, they don't meet: their windows are sorted by fingerprint over all tasks instead.
 
-Windows are compared by two 64-bit hashes of their bytes, one of the k-gram, one of the whole. All groups are sorted streams
-with a state of one row, so a passage that a third of all documents share needs no memory, and copies cost one row each.
+Windows are compared by two 64-bit hashes of their bytes, blocks by that of their k-gram and that of the whole. Groups are
+sorted streams with a state of one row, or of a bounded group, so a passage that a third of all documents share needs no
+memory, and copies cost one row each.
 
 This stands in for a distributed difference-cover suffix array: see README for why, with figures.
 
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, whole_groups
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1  # k-grams in a window
 PIECE = 60_000  # windows worked on at once; places within a piece fit in 16 bits
 BLOCK_BITS = 20
 BLOOM_MOST = 1 << 29
+GROUP_MOST = 50_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 with np.errstate(over="ignore"):
     POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PIECE + 2 * LENGTH, B, np.uint64)]).astype(np.uint64), dtype=np.uint64)
@@ -65,6 +68,8 @@ def _range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def blocks(text: bytes):
     """(f, c, lo, n) of all blocks: k-gram hash, hash of all bytes and of the k-gram's place, first window, number of windows."""
+    if len(text) < LENGTH:
+        return None
     out = []
     for base in range(0, len(text) - LENGTH + 1, PIECE):
         part = BYTE[np.frombuffer(text[base : base + PIECE + LENGTH - 1], np.uint8)]
@@ -82,15 +87,31 @@ def blocks(text: bytes):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
 
-def windows(text: bytes, lo: int, n: int) -> np.ndarray:
-    """Two hashes of each of n windows from lo on; n is at most a block's."""
-    part = BYTE[np.frombuffer(text[lo : lo + n + LENGTH - 1], np.uint8)]
+def window_hashes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each window of each piece, and its piece; pieces of blocks, a few hundred at a time."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    part = BYTE[np.frombuffer(b"".join(pieces), np.uint8)]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(part * POWERS[: len(part)], dtype=np.uint64)])
-    at = np.arange(n)
-    h = np.uint64(0)
-    for i in range(0, LENGTH, 10):  # another hash, of ten parts, each with its own multiplier
-        h = mix(h * A + (sums[at + i + 10] - sums[at + i]) * INVERSE[at + i])
-    return np.stack([_range_hash(sums, at, at + LENGTH), h])
+    owner = np.repeat(np.arange(len(pieces)), size - (LENGTH - 1))
+    begin = np.cumsum(size) - size
+    first = np.cumsum(size - (LENGTH - 1)) - (size - (LENGTH - 1))
+    at = np.arange(len(owner)) - first[owner] + begin[owner]
+    h = np.zeros(len(at), np.uint64)
+    for i in range(0, LENGTH, 25):  # another hash, of four parts
+        h = mix(h * A + (sums[at + i + 25] - sums[at + i]) * INVERSE[at + i])
+    return _range_hash(sums, at, at + LENGTH), h, owner
+
+
+def _few(pieces: list[bytes]):
+    """Slices of `pieces` of at most PIECE bytes, or of one."""
+    start = size = 0
+    for i, x in enumerate(pieces):
+        if size and size + len(x) > PIECE:
+            yield start, i
+            start, size = i, 0
+        size += len(x)
+    if pieces:
+        yield start, len(pieces)
 
 
 def _texts(b: pa.RecordBatch):
@@ -127,7 +148,7 @@ def _blocks(batches):
 
 
 def _equal_blocks(batches):
-    """r, lo, hi, kind: of equal blocks, sorted by (f, c, place), the bytes of all but the first (kind 0); and the first of each of
+    """f, r, lo, hi, kind: of equal blocks, sorted by (f, c, place), the bytes of all but the first (kind 0); and the first of each of
     several that share f only (kind 1). What a batch needs from before is its last row and the first row of its f."""
     last_f = last_c = None
     first = None  # the first row (r, at) of the current f, until it is known to be one of several
@@ -140,21 +161,21 @@ def _equal_blocks(batches):
         same_c = same_f & np.append(last_c is not None and c[0] == last_c, c[1:] == c[:-1])
         copy = np.flatnonzero(same_c)
         lead = np.flatnonzero(~same_c)  # first rows of their (f, c)
-        out = [(r[copy], at[copy], np.zeros(len(copy), np.int64))]
+        out = [(f[copy], r[copy], at[copy], np.zeros(len(copy), np.int64))]
         if len(lead):
             follows = same_f[lead]  # an f with an earlier c
             leads = np.append(follows[1:], False)  # the next lead has the same f
             if follows[0] and not several and first is not None:
-                out.append((np.array([first[0]]), np.array([first[1]]), np.ones(1, np.int64)))
+                out.append((f[lead[:1]], np.array([first[0]]), np.array([first[1]]), np.ones(1, np.int64)))
             several_here = follows | leads
             pick = lead[several_here]
-            out.append((r[pick], at[pick], np.ones(len(pick), np.int64)))
+            out.append((f[pick], r[pick], at[pick], np.ones(len(pick), np.int64)))
             several = bool(several_here[-1])
             first = None if several else (r[lead[-1]], at[lead[-1]])
         last_f, last_c = f[-1], c[-1]
-        r_, at_, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+        f_, r_, at_, kind = (np.concatenate(x) for x in zip(*out, strict=True))
         lo, n = at_ >> BLOCK_BITS, at_ & ((1 << BLOCK_BITS) - 1)
-        yield _batch("r lo hi kind", r_, lo, np.where(kind == 0, lo + n + LENGTH - 1, lo + n), kind)
+        yield _batch("f r lo hi kind", f_, r_, lo, np.where(kind == 0, lo + n + LENGTH - 1, lo + n), kind)
 
 
 def _equal_windows(batches):
@@ -237,47 +258,96 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _windows_of(unresolved: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, d, r, p: hashes and place of each window of the unresolved blocks (and of the few blocks that a Bloom filter of fixed
-    size lets through besides, which changes no result)."""
-    n, bits = unresolved.count(), 1 << 17
-    while bits < min(16 * n, BLOOM_MOST):
-        bits *= 2
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(unresolved, bits))
+def _chosen(docs: DataFrame, bloom: np.ndarray, hot: np.ndarray, of_hot: bool):
+    """For each document its blocks (f, lo, n) that the Bloom filter lets through (the few wrong ones change no result) and whose
+    k-gram is one of the hot ones, or isn't."""
+    shared = docs.sparkSession.sparkContext.broadcast((bloom, hot))
 
-    def run(batches):
-        t, held, size = shared.value, [], 0
+    def of(batches):
+        t, hot = shared.value
         for b in batches:
             for r, d, text in _texts(b):
                 found = blocks(text)
                 if found is None:
                     continue
-                _, _, lo, n = found
-                x, y = _places(np.full(len(lo), r), lo, bits)
-                for i in np.flatnonzero(t[x >> 3] >> (x & 7).astype(np.uint8) & t[y >> 3] >> (y & 7).astype(np.uint8) & 1):
-                    for s in range(0, int(n[i]), PIECE):
-                        k = min(PIECE, int(n[i]) - s)
-                        h = windows(text, int(lo[i]) + s, k)
-                        held.append((h[0].view(np.int64), h[1].view(np.int64), np.full(k, d), np.full(k, r), np.arange(k) + int(lo[i]) + s))
-                        size += k
-                if size > 50_000:
-                    yield _batch("a b d r p", *(np.concatenate(z) for z in zip(*held, strict=True)))
-                    held, size = [], 0
-        if held:
-            yield _batch("a b d r p", *(np.concatenate(z) for z in zip(*held, strict=True)))
-
-    return docs.mapInArrow(run, "a long, b long, d long, r long, p long")
-
-
-def removed(docs: DataFrame) -> DataFrame:
+                f, _, lo, n = found
+                x, y = _places(np.full(len(lo), r), lo, len(t) * 8)
+                ok = (t[x >> 3] >> (x & 7).astype(np.uint8) & t[y >> 3] >> (y & 7).astype(np.uint8) & 1).astype(bool)
+                ok &= np.isin(f.view(np.int64), hot) == of_hot
+                if ok.any():
+                    yield r, d, text, f[ok].view(np.int64), lo[ok], n[ok]
+
+    return of
+
+
+def _met(docs: DataFrame, bloom: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """r, lo, hi of windows that repeat, from blocks that meet by k-gram with their bytes."""
+    chosen = _chosen(docs, bloom, hot, False)
+
+    def read(batches):
+        rows: list[tuple] = []
+        for r, d, text, f, lo, n in chosen(batches):
+            rows += [(a, d, r, b, text[b : b + c + LENGTH - 1]) for a, b, c in zip(f.tolist(), lo.tolist(), n.tolist(), strict=True)]
+            if len(rows) > 5000:
+                yield batch(rows)
+                rows = []
+        yield batch(rows)
+
+    def batch(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return _batch("f d r lo bytes", *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()))
+
+    def resolve(batches):
+        for f, r, lo, pieces in whole_groups(batches):
+            pieces = pieces.tolist()
+            found = [(x, y, o + s) for s, e in _few(pieces) for x, y, o in [window_hashes(pieces[s:e])]]
+            x, y, owner = (np.concatenate(z) for z in zip(*found, strict=True))
+            key = x ^ mix(f.view(np.uint64))[owner]
+            order = np.argsort(key, kind="stable")  # in order of place, as the rows are
+            same = np.append(False, (key[order][1:] == key[order][:-1]) & (y[order][1:] == y[order][:-1]))
+            again = np.sort(order[same])
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            p = lo[owner] + np.arange(len(owner)) - first[owner]
+            yield _batch("r lo hi", r[owner[again]], p[again], p[again] + LENGTH)
+
+    rows = docs.mapInArrow(read, "f long, d long, r long, lo long, bytes binary").repartition("f").sortWithinPartitions("f", "d", "r", "lo")
+    return rows.select("f", "r", "lo", "bytes").mapInArrow(resolve, "r long, lo long, hi long")
+
+
+def _sorted_windows(docs: DataFrame, bloom: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """The same from the blocks of hot k-grams, each window a row."""
+    chosen = _chosen(docs, bloom, hot, True)
+
+    def read(batches):
+        for r, d, text, _, lo, n in chosen(batches):
+            pieces = [text[a : a + c + LENGTH - 1] for a, c in zip(lo.tolist(), n.tolist(), strict=True)]
+            for s, e in _few(pieces):
+                x, y, owner = window_hashes(pieces[s:e])
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                p = lo[s + owner] + np.arange(len(owner)) - first[owner]
+                yield _batch("a b d r p", x.view(np.int64), y.view(np.int64), np.full(len(p), d), np.full(len(p), r), p)
+
+    rows = docs.mapInArrow(read, "a long, b long, d long, r long, p long").repartition("a").sortWithinPartitions("a", "b", "d", "r", "p")
+    return rows.select("a", "b", "r", "p").mapInArrow(_equal_windows, "r long, lo long, hi long")
+
+
+def removed(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `docs`."""
     big = F.lit(2**63 - 1)
     own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), big).alias("d"), F.monotonically_increasing_id().alias("r"), "text")
     sliced = own.select("r", "d", "text")
     found = sliced.mapInArrow(_blocks, "f long, c long, d long, r long, at long").repartition("f").sortWithinPartitions("f", "c", "d", "r", "at")
-    marked = cut(found.select("f", "c", "r", "at").mapInArrow(_equal_blocks, "r long, lo long, hi long, kind long"))
-    unresolved = marked.filter("kind = 1").select("r", "lo")
-    loose = _windows_of(unresolved, sliced).repartition("a").sortWithinPartitions("a", "b", "d", "r", "p").select("a", "b", "r", "p").mapInArrow(_equal_windows, "r long, lo long, hi long")
+    marked = cut(found.select("f", "c", "r", "at").mapInArrow(_equal_blocks, "f long, r long, lo long, hi long, kind long"))
+    unresolved = marked.filter("kind = 1")
+    # At most one for each group_most unresolved blocks
+    hot = np.array([x["f"] for x in unresolved.groupBy("f").count().filter(F.col("count") > group_most).select("f").collect()], np.int64)
+    n, bits = unresolved.count(), 1 << 17
+    while bits < min(16 * n, BLOOM_MOST):
+        bits *= 2
+    bloom = _bloom(unresolved.select("r", "lo"), bits)
+    loose = _met(sliced, bloom, hot)
+    if len(hot):
+        loose = loose.union(_sorted_windows(sliced, bloom, hot))
     intervals = marked.filter("kind = 0").select("r", "lo", "hi").union(loose).mapInArrow(_merge_early, "r long, lo long, hi long")
     spans = cut(intervals.repartition("r").sortWithinPartitions("r", "lo").mapInArrow(_merged, "r long, spans binary"))
 
