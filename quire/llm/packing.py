@@ -27,7 +27,7 @@ SHARD_DOCS = 1500
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-CACHE_PARTS, CACHE_LENGTH = 300_000, 1000  # two generations of so many parts, about 250 bytes each
+CACHE_PARTS, CACHE_LENGTH = 400_000, 1000  # two generations of so many parts, about 250 bytes each
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
@@ -51,13 +51,9 @@ def _tokenizer(path: str):
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _simple(c: str) -> bool:
-    """Whether `c` keeps its letters apart from its marks, and its offsets, under the tokenizer's normalisation."""
-    return len(c) <= CACHE_LENGTH and (c.isascii() or (max(c) < "\u0250" and "\u0130" not in c))
-
-
 class Parts(dict):
-    """Parts of texts between white space -> their place in `values`; new ones are put down to be encoded together.
+    """Parts of texts between white space -> their place in `values`; new ones are put down to be encoded together. Parts beyond
+    the Latin letters may mix letters and marks under the tokenizer's normalisation, and are encoded one by one.
 
     A word with marks behind it is its letters, in lower case where that is plain, and its marks, so few of the parts need
     the tokenizer."""
@@ -67,7 +63,9 @@ class Parts(dict):
         super().__init__()
         self.old = {} if old is None else old
         self.values: list[bytes] = []
-        self.new: list[tuple[int, str]] = []
+        self.words: list[tuple[int, str]] = []  # letters alone
+        self.plain: list[tuple[int, str]] = []  # others that keep their offsets
+        self.other: list[tuple[int, str]] = []
         self.joined: list[tuple[int, int, int]] = []
 
     def __missing__(self, c: str) -> int:
@@ -76,12 +74,19 @@ class Parts(dict):
             self.values.append(self.old.values[self.old[c]])
             return i
         self.values.append(b"")
+        simple = c.isascii() or (max(c) < "\u0250" and "\u0130" not in c)
+        if not simple or len(c) > CACHE_LENGTH:
+            self.other.append((i, c))
+            return i
         letters = c.rstrip(MARKS)
+        if not letters.isalpha():
+            self.plain.append((i, c))
+            return i
         lower = letters.lower() if letters.isascii() else letters
-        if lower != c and letters.isalpha() and _simple(letters):
-            self.joined.append((i, self[lower], self[c[len(letters) :]] if len(letters) < len(c) else -1))
+        if lower == c:
+            self.words.append((i, c))
         else:
-            self.new.append((i, c))
+            self.joined.append((i, self[lower], self[c[len(letters) :]] if len(letters) < len(c) else -1))
         return i
 
 
@@ -96,29 +101,38 @@ class Ids:
         self.tokenizer = _tokenizer(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.parts = Parts()
+        self.ends = np.zeros(1 << 16 if self.kind == "<u2" else self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _together(self, parts: list[tuple[int, str]]) -> None:
+        """Ids of parts in one call; a word's last token tells that it ends one, other parts are told apart by offsets."""
+        values = self.parts.values
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            e = self.tokenizer.encode(" ".join([c for _, c in some]), add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1 if parts is self.parts.words else ()
+            if len(cuts) != len(some):
+                edges = np.cumsum([len(c) + 1 for _, c in some])
+                cuts = np.searchsorted(np.array(e.offsets).reshape(-1, 2)[:, 0], edges)
+            whole, x, size = ids.tobytes(), 0, ids.itemsize
+            for (i, _), y in zip(some, (cuts * size).tolist(), strict=True):
+                values[i] = whole[x:y]
+                x = y
+
     def _learn(self) -> None:
         """Ids of the new parts."""
-        new, values = self.parts.new, self.parts.values
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            plain = [x for x in some if _simple(x[1])]
-            if plain:
-                e = self.tokenizer.encode(" ".join([c for _, c in plain]), add_special_tokens=False)
-                ids, begins = np.array(e.ids, self.kind), np.array(e.offsets).reshape(-1, 2)[:, 0]
-                edges = np.cumsum([0, *[len(c) + 1 for _, c in plain]])
-                cuts = np.searchsorted(begins, edges).tolist()
-                for (i, _), x, y in zip(plain, cuts, cuts[1:], strict=False):
-                    values[i] = ids[x:y].tobytes()
-            other = [x for x in some if not _simple(x[1])]
-            for (i, _), e in zip(other, self.tokenizer.encode_batch([c for _, c in other], add_special_tokens=False), strict=True):
-                values[i] = np.array(e.ids, self.kind).tobytes()
+        values = self.parts.values
+        self._together(self.parts.words)
+        self._together(self.parts.plain)
+        for (i, _), e in zip(self.parts.other, self.tokenizer.encode_batch([c for _, c in self.parts.other], add_special_tokens=False), strict=True):
+            values[i] = np.array(e.ids, self.kind).tobytes()
         for i, x, y in self.parts.joined:
             values[i] = values[x] + (values[y] if y >= 0 else b"")
-        self.parts.new, self.parts.joined = [], []
+        self.parts.words, self.parts.plain, self.parts.other, self.parts.joined = [], [], [], []
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = self.parts
@@ -128,7 +142,7 @@ class Ids:
                 found.append(self._whole(t))
             else:
                 found.append(list(map(parts.__getitem__, t.split())) if t else [])
-        long = any(len(c) > CACHE_LENGTH for _, c in parts.new)
+        long = any(len(c) > CACHE_LENGTH for _, c in parts.other)
         self._learn()
         value = parts.values.__getitem__
         out = [np.frombuffer(f if isinstance(f, bytes) else b"".join(map(value, f)), self.kind) for f in found]
