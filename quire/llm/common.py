@@ -71,3 +71,13 @@ def whole_groups(batches):
         held = [x[at:] for x in new]
     if held is not None and len(held[0]):
         yield held
+
+
+SMALL_ROWS = 100_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A table of a few numbers for each key, written once, and marked for broadcast if it has at most SMALL_ROWS rows (some ten
+    megabytes); a larger one is joined by shuffling."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

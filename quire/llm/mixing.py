@@ -5,8 +5,8 @@ copies is the inverse of the Poisson distribution of that rate at a number in [0
 depends on nothing but the row and the rate, and a source's expected share of the output is its weight. Rows are then
 exploded by their counts and put in one global random order by a hash of seed, row and copy.
 
-Only the table of sources, one small row each, is joined to the documents; Spark broadcasts it when its measured size allows
-it and otherwise splits a hot source's rows (adaptive skew join).
+Only the table of sources, one small row each, is joined to the documents: broadcast after a check of its size, so a hot
+source's rows stay where they are; beyond that size by a shuffle join, which splits skewed partitions.
 
 Defined results: a null source is a source of its own. A source that `weights` omits, or whose weight is 0, gets no copies.
 Repeated rows with the same doc_id get the same count. An empty table gives an empty result. The text is carried, not read.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import if_small, unit_hash
 
 SEED = "mix-1"
 #: Default weights: in proportion to rows ** POWER, which lifts small sources.
@@ -57,7 +57,7 @@ def _copies(u, rate):
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, output_rows: int | None = None, seed: str = SEED, power: float = POWER) -> DataFrame:
     """`docs` with each row repeated `n_copies` times (`replica` from 0), in the global random order of `mix_key`."""
     docs = docs.drop("replica", "n_copies", "mix_key")
-    r = rates(docs, weights, output_rows, power).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
+    r = if_small(rates(docs, weights, output_rows, power).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")))
     d = docs.join(r, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / 32).cast("int"))
