@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, if_small
 
 FOLDS = 5
 SAMPLE_ROWS, LEAST_PER_LANGUAGE = 2000, 40
@@ -90,7 +90,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     counts = known.groupBy("lang").count()
     shares = counts.select(F.col("lang").alias("_l"), (F.greatest(F.lit(LEAST_PER_LANGUAGE), F.lit(rows) / F.lit(max(counts.count(), 1))) / F.col("count")).alias("_share"))
     u = (F.xxhash64(F.lit(SEED), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
-    picked = known.join(shares, F.col("lang") == F.col("_l")).filter(u < F.col("_share")).select("doc_id", "lang", "text")
+    picked = known.join(if_small(shares), F.col("lang") == F.col("_l")).filter(u < F.col("_share")).select("doc_id", "lang", "text")
     return bounded(picked).mapInArrow(_features, "doc_id long, lang string, idx binary, n binary")
 
 
