@@ -1,21 +1,21 @@
 """Removal of repeated strings of 100 bytes.
 
-A byte goes if a 100-byte string that covers it also starts earlier (in a smaller doc_id, or earlier in the same text). The
-method first narrows texts down, exactly, and then sorts what is left:
+A byte goes if a 100-byte string that covers it also starts earlier (in a smaller doc_id, or earlier in the same text).
+Suffixes are sorted by the difference-cover algorithm, distributed over buckets that hold all that can be equal:
 
 1. Every 100-byte window picks the least of its k-grams' hashes (winnowing), so equal windows pick the same k-gram at the same
    place. Consecutive windows that pick the same k-gram place form a block, about 35 windows; blocks are keyed by the k-gram and
-   by a hash of all their bytes. Blocks whose k-gram stands nowhere else can't repeat. Of equal blocks all but the first go.
-2. Blocks that share their k-gram but not all their bytes, such as those around the edges of a shared passage or of an edit,
-   are unresolved. For the first of each, and only for these, their bytes are read again and meet by k-gram; there their
-   windows are sorted by fingerprint, and of equal neighbours all but the first go. Where more than `GROUP_MOST` different
-   blocks share a k-gram, they don't meet: their windows are sorted by fingerprint over all tasks instead.
-
-Windows are compared by two 64-bit hashes of their bytes, blocks by that of their k-gram and that of the whole. Groups are
-sorted streams with a state of one row, or of a bounded group, so a passage that a third of all documents share needs no
-memory, and copies cost one row each.
-
-This stands in for a distributed difference-cover suffix array: see README for why, with figures.
+   by a hash of all their bytes. Blocks whose k-gram stands nowhere else can't repeat, and go no further. Of blocks that are
+   equal all but the first are removed as a whole.
+2. The first of each of several different blocks that share their k-gram, such as those around the edges of a shared passage
+   or of an edit, are read again and meet by k-gram with their bytes. Their suffixes are sorted (`suffixes.suffix_array`:
+   sampled triples are sorted and named, names sorted by recursion, the remaining suffixes merged), and of neighbours whose
+   prefixes of 100 bytes are equal all but the first are removed. Where more than `GROUP_MOST` different blocks share a
+   k-gram, they don't meet: their windows are sorted by two 64-bit hashes over all tasks instead.
+
+One suffix array over all bytes would sort them all several times over; see README for figures. Equal blocks are told by two
+64-bit hashes, that of their k-gram and that of the whole. Groups are sorted streams with a state of one row, or of a bounded
+group, so a passage that a third of all documents share needs no memory, and copies cost one row each.
 
 Defined results: a null or empty text has no bytes; texts under 100 bytes lose nothing. Rows that repeat an id count in the
 order of the input. Rows without an id come last. An empty table gives an empty result. Columns beyond doc_id and text are
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, whole_groups
+from .suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1  # k-grams in a window
@@ -102,6 +103,36 @@ def window_hashes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return _range_hash(sums, at, at + LENGTH), h, owner
 
 
+def repeated_windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of each window that is equal to an earlier one of the pieces, by sorting all suffixes."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+    symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 2
+    ends = np.cumsum(size)
+    symbols[ends - 1] = 1  # no byte
+    piece = np.repeat(np.arange(len(pieces)), size)
+    order = suffix_array(symbols)
+    order = order[ends[piece[order]] - 1 - order >= LENGTH]  # windows lie within their piece
+    if not len(order):
+        return order, order
+    rows = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint16), LENGTH)
+    new = np.append(True, np.concatenate([(rows[order[i + 1 : i + 4097]] != rows[order[i : i + 4096][: len(order) - i - 1]]).any(1) for i in range(0, len(order), 4096)]))
+    first = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+    again = np.sort(order[order != first])
+    return piece[again], again - (ends - size)[piece[again]]
+
+
+def _by_group(f: np.ndarray, pieces: np.ndarray, most: int = 300_000):
+    """Ranges of whole groups of f that hold about `most` bytes, or one group."""
+    total = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+    start = 0
+    for g in np.flatnonzero(np.append(f[1:] != f[:-1], True)) + 1:
+        if total[g] - total[start] >= most:
+            yield start, int(g)
+            start = int(g)
+    if start < len(f):
+        yield start, len(f)
+
+
 def _few(pieces: list[bytes]):
     """Slices of `pieces` of at most PIECE bytes, or of one."""
     start = size = 0
@@ -299,16 +330,10 @@ def _met(docs: DataFrame, bloom: np.ndarray, hot: np.ndarray) -> DataFrame:
 
     def resolve(batches):
         for f, r, lo, pieces in whole_groups(batches):
-            pieces = pieces.tolist()
-            found = [(x, y, o + s) for s, e in _few(pieces) for x, y, o in [window_hashes(pieces[s:e])]]
-            x, y, owner = (np.concatenate(z) for z in zip(*found, strict=True))
-            key = x ^ mix(f.view(np.uint64))[owner]
-            order = np.argsort(key, kind="stable")  # in order of place, as the rows are
-            same = np.append(False, (key[order][1:] == key[order][:-1]) & (y[order][1:] == y[order][:-1]))
-            again = np.sort(order[same])
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            p = lo[owner] + np.arange(len(owner)) - first[owner]
-            yield _batch("r lo hi", r[owner[again]], p[again], p[again] + LENGTH)
+            for s, e in _by_group(f, pieces):
+                owner, offset = repeated_windows(pieces[s:e].tolist())
+                p = lo[s + owner] + offset
+                yield _batch("r lo hi", r[s + owner], p, p + LENGTH)
 
     rows = docs.mapInArrow(read, "f long, d long, r long, lo long, bytes binary").repartition("f").sortWithinPartitions("f", "d", "r", "lo")
     return rows.select("f", "r", "lo", "bytes").mapInArrow(resolve, "r long, lo long, hi long")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from quire.llm import langid, licenses, packing, pii
+from quire.llm import langid, licenses, packing, pii, substrings, suffixes
 
 REGEX = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -146,3 +146,25 @@ def test_scores_do_not_depend_on_the_cache():
     assert first.score(texts) == first.score(texts) == langid.Scorer(model).score(texts)
     assert [x[0] for x in zip(*first.score(texts), strict=True)].count("und") == 3
     assert langid.train([]) is None
+
+
+def test_suffix_array_equals_plain_sort(monkeypatch):
+    rng = np.random.default_rng(12)
+    strings = [rng.integers(1, top, n) for top in (2, 3, 5, 300) for n in [*range(12), 50, 200]] + [np.tile([1, 2, 1], 40), np.ones(100, int)]
+    for room in (1 << 62, 1 << 12):  # the second makes keys dense all the way
+        monkeypatch.setattr(suffixes, "ROOM", room)
+        for s in strings:
+            assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_repeated_windows_equal_brute_force():
+    rng = random.Random(13)
+    base = rng.randbytes(160)
+    pieces = [base[i : i + rng.randrange(100, 160)] for i in (0, 0, 5, 9, 20, 40)] + [b"a" * 130, rng.randbytes(120), base[:150], b"x" * 99]
+    seen, want = set(), []
+    for i, p in enumerate(pieces):
+        for k in range(len(p) - 99):
+            if p[k : k + 100] in seen:
+                want.append((i, k))
+            seen.add(p[k : k + 100])
+    assert list(zip(*(x.tolist() for x in substrings.repeated_windows(pieces)), strict=True)) == want
