@@ -89,23 +89,32 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(clash.select("node", "v")), ids
 
 
-def leaves(points: DataFrame, parts: int, seed: int) -> DataFrame:
-    """(u, w, s): for each node its K best partners in its leaf of a random-projection tree."""
+def _bucketed(df: DataFrame, key: str) -> str:
+    """The name of a table that holds `df` by hash of `key`, as joins want it, so it isn't shuffled again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = f"quire_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).saveAsTable(name)
+    return name
+
+
+def leaves(points: DataFrame, parts: int) -> DataFrame:
+    """(u, w, s): for each node its K best partners in its leaf of each of TREES random-projection trees. A tree's first split is
+    the sort over all tasks, by projection on its direction; the others are made within a partition."""
 
     def project(batches):
         for b in batches:
             unit = _unit(b.column("v").to_pylist()) if b.num_rows else np.empty((0, 1), "f4")
-            direction = np.random.default_rng(seed).normal(size=unit.shape[1])
-            yield _batch("p node v", unit @ direction, b.column("node"), b.column("v"))
+            for t in range(TREES):
+                direction = np.random.default_rng(SEED + 10 * t).normal(size=unit.shape[1])
+                yield _batch("t p node v", np.full(b.num_rows, t, np.int32), unit @ direction, b.column("node"), b.column("v"))
 
     def split(batches):
-        ids, packed = [], []
-        for b in batches:
-            ids.append(b.column("node").to_numpy()), packed.extend(b.column("v").to_pylist())
-        if not packed:
+        held = [[c.to_pylist() if n == "v" else c.to_numpy() for n, c in zip(b.schema.names, b.columns, strict=True)] for b in batches if b.num_rows]
+        if not held:
             return
-        node, x = np.concatenate(ids), _unit(packed)
-        rng, todo = np.random.default_rng(seed + 1), [np.arange(len(node))]
+        tree, node = (np.concatenate([h[k] for h in held]) for k in (0, 2))
+        x = _unit([v for h in held for v in h[3]])
+        rng, todo = np.random.default_rng(SEED + 1), [np.flatnonzero(tree == t) for t in range(TREES)]
         while todo:
             i = todo.pop()
             if len(i) > LEAF:
@@ -119,8 +128,8 @@ def leaves(points: DataFrame, parts: int, seed: int) -> DataFrame:
                 near = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 yield _batch("u w s", np.repeat(node[i], k), node[i][near].ravel(), np.take_along_axis(s, near, 1).ravel())
 
-    points = points.select("node", "v").mapInArrow(project, "p double, node long, v binary")
-    return points.repartitionByRange(parts, "p", "node").sortWithinPartitions("p", "node").mapInArrow(split, "u long, w long, s float")
+    points = points.select("node", "v").mapInArrow(project, "t int, p double, node long, v binary")
+    return points.repartitionByRange(TREES * parts, "t", "p", "node").sortWithinPartitions("t", "p", "node").mapInArrow(split, "u long, w long, s float")
 
 
 GRAPH = "u long, w long, s float, least float"
@@ -184,15 +193,12 @@ def _offers(batches):
             yield _batch("u w s", m[at[g, r]], m[at[g, near[g, r, c]]], score[g, r, c])
 
 
-def descend(points: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(u, w, s, least): the neighbour graph of `points` (node, v, x)."""
+def descend(points: DataFrame, near: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """(u, w, s, least): the neighbour graph of `points` (node, v); `near`: their 8-bit vectors (node, x), by node."""
     parts = max(1, -(-points.count() // PART_NODES))
-    start = leaves(points, parts, SEED)
-    for t in range(1, TREES):
-        start = start.union(leaves(points, parts, SEED + 10 * t))
-    graph = cut(kept(start))
+    graph = cut(kept(leaves(points, parts)))
     for _ in range(iterations):
-        offers = _streamed(_around(graph, points), "v", _offers, "u long, w long, s float")
+        offers = _streamed(_around(graph, near), "v", _offers, "u long, w long, s float")
         graph = cut(kept(graph.select("u", "w", "s").union(offers)))
     return graph
 
@@ -208,12 +214,7 @@ def _index(graph: DataFrame, points: DataFrame) -> str:
             vs = [b"".join(x[a:b]) for a, b in zip(start, ends, strict=True)]
             yield _batch("v ids xs", v[start], pa.array(ids, pa.binary()), pa.array(vs, pa.binary()))
 
-    spark = points.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"quire_graph_{uuid.uuid4().hex}"
-    rows = _streamed(_around(graph, points), "v", run, "v long, ids binary, xs binary")
-    rows.repartition(n, "v").write.bucketBy(n, "v").saveAsTable(name)
-    return name
+    return _bucketed(_around(graph, points).repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, ids binary, xs binary"), "v")
 
 
 STATE = "q long, node long, s float, done int, least float, qx binary"
@@ -288,7 +289,10 @@ def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> Data
             yield _batch("query_id v", pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()))
 
     asked = cut(own.mapInArrow(pack_, "query_id long, v binary").distinct().join(points.select("v", "node"), "v").select("query_id", F.col("node").alias("q")))
-    found = search(descend(points), points, asked.select("q").distinct())
+    table = _bucketed(points.select("node", "x"), "node")
+    near = vectors.sparkSession.table(table)
+    found = search(descend(points, near), near, asked.select("q").distinct())
+    vectors.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     finalist = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).filter(F.col("r") <= FINALISTS + 1)
     v = points.select("node", "v")
     both = finalist.join(v, "node").join(v.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
