@@ -3,6 +3,8 @@ pictures matter, illustration."""
 
 from __future__ import annotations
 
+from itertools import tee
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,9 +183,8 @@ def strip_headers(pages: DataFrame) -> DataFrame:
     """The batch cleaner's header rule over each book: pages without lines that resemble the last three pages' ends."""
 
     def clean(rows):
-        rows = list(rows)  # a book of the batch cleaner is one directory
-        texts, _ = folds.strip_headers([r[2] for r in rows])
-        for (book, page, _), t in zip(rows, texts, strict=True):
+        one, other = tee(rows)  # read together, so nothing is held but the page at hand
+        for (book, page, _), (t, _) in zip(one, folds.without_headers(r[2] for r in other), strict=True):
             yield book, page, t
 
     return fold(pages.select("book_id", "page_no", "text"), ["book_id"], ["page_no"], clean, "book_id string, page_no int, text string")

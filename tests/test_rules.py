@@ -59,6 +59,14 @@ def test_paragraph_history():
     assert folds.duplicate_pages(["x" * 130, "y" * 130, "x" * 130]) == [False, False, True]
 
 
+def test_headers():
+    body = lambda k: "\n".join(f"第{k}页的第{i}行正文" + "甲乙丙丁戊己庚辛"[k + i] * 9 for i in range(7))
+    pages = ["这是一本书的书名页眉\n这是章名也很长的\n" + body(k) for k in (0, 1)]
+    kept, gone = folds.strip_headers(pages)
+    assert kept[0] == pages[0] and gone == 2 and not kept[1].startswith("这是一本书")
+    assert folds.strip_headers([]) == ([], 0)
+
+
 def test_notes(spark):
     body, notes = folds.extract_notes("第一章 起始[1]\n\n正文。\n\n[1] 这是注释内容。")
     assert body.startswith("第一章 起始[[NOTE_REF:1|[1]]]") and notes == [(1, "[1]", "这是注释内容。")]
