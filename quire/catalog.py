@@ -599,6 +599,12 @@ def _chapters(spark, d):
     return plans.chapters(p, o)
 
 
+@query("structured_chapters")
+def _structured(spark, d):
+    p = pictured(spark, d).select("book_id", "page_no", "illustration", "text")
+    return plans.structured_chapters(p, {"cover_page": 1, "preface_page_range": [2, 3], "chapter_method": "pages"})
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return plans.clean_books(pages(spark, d), plans.Settings(running_ratio=0.02), min_count=2)
 

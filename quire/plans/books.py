@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..functions import text as T
 from ..operators import books
+from ..operators.rows import flat_map
 
 
 @dataclass(frozen=True)
@@ -62,16 +63,87 @@ def _without_prefixes(text: str, least: int) -> str:
     return "\n\n".join(folds.dedupe_prefixes(folds.split_paragraphs(text), least)[0])
 
 
-def chapters(processed: DataFrame, outline: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """book_id, ord, title, body: by outline (book_id, ord, title, start_page, end_page) where a book has one, else by headings."""
-    bodies = books.chapters_by_heading(books.joined_pages(processed.select("book_id", "page_no", "illustration", "text")))
-    if outline is None:
-        return bodies
+def _by_spans(processed: DataFrame, outline: DataFrame) -> DataFrame:
+    """book_id, ord, title, body: pages by the spans (book_id, ord, title, start_page, end_page) that cover them; what stands
+    before, between and behind them is a chapter of its own."""
     placed = books.pages_in_chapters(processed.select("book_id", "page_no"), outline)
     at = processed.join(placed, ["book_id", "page_no"])
     runs = at.select(F.concat_ws("\x00", "book_id", F.col("run").cast("string")).alias("book_id"), "page_no", "illustration", "text")
     joined = books.joined_pages(runs).select(F.substring_index("book_id", "\x00", 1).alias("book_id"), F.substring_index("book_id", "\x00", -1).cast("int").alias("run"), "body")
     names = placed.groupBy("book_id", "run").agg(F.first("chapter").alias("chapter")).join(outline.select("book_id", F.col("ord").alias("chapter"), "title"), ["book_id", "chapter"], "left")
-    title = F.coalesce("title", F.when(F.col("run") == 1, "前言").otherwise("正文"))
-    cut = joined.join(names, ["book_id", "run"]).select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("run")) - 1).alias("ord"), title.alias("title"), "body")
-    return cut.union(bodies.join(outline.select("book_id").distinct(), "book_id", "left_anti"))
+    spans = outline.select("book_id", F.lit(True).alias("has")).distinct()
+    title = F.coalesce("title", F.when((F.col("run") == 1) & F.coalesce("has", F.lit(False)), "前言").otherwise("正文"))
+    own = joined.join(names, ["book_id", "run"]).join(spans, "book_id", "left")
+    return own.select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("run")) - 1).alias("ord"), title.alias("title"), "body")
+
+
+def chapters(processed: DataFrame, outline: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """book_id, ord, title, body: by outline (book_id, ord, title, start_page, end_page) where a book has one, else by headings."""
+    bodies = books.chapters_by_heading(books.joined_pages(processed.select("book_id", "page_no", "illustration", "text")))
+    if outline is None:
+        return bodies
+    marked = outline.select("book_id").distinct()
+    return _by_spans(processed.join(marked, "book_id", "left_semi"), outline).union(bodies.join(marked, "book_id", "left_anti"))
+
+
+#: Sections before the body: setting, title, kind of page that stands in where the setting is empty; spans take a range of pages.
+SECTIONS = (("cover_page", "封面", "cover"), ("back_cover_page", "封底", "back_cover"), ("title_page", "扉页", "title_page"), ("copyright_page", "版权页", "copyright"))
+SPANS = (("toc_page_range", "目录", "toc"), ("preface_page_range", "序言", None))
+
+
+def assign_sections(pages: list[int], kinds: dict[str, list[int]], given: dict) -> list[tuple[int, str, int]]:
+    """(page, title, place of the section) of a book's structural pages: what was given goes before what was found, and a page
+    belongs to the first section that takes it."""
+    taken: dict[int, tuple[int, str, int]] = {}
+    for place, (key, title, kind) in enumerate((*SECTIONS, *SPANS)):
+        found = sorted(kinds.get(kind) or []) if kind else []
+        value = given.get(key)
+        if (key, title, kind) in SECTIONS:
+            chosen = [value or next(iter(found), None)]
+        else:
+            low, high = (min(value), max(value)) if value and all(value) else (min(found), max(found)) if found else (1, 0)
+            chosen = [p for p in pages if low <= p <= high]
+        for p in chosen:
+            if p in pages and p not in taken:
+                taken[p] = (p, title, place)
+    return list(taken.values())
+
+
+def structured_chapters(processed: DataFrame, given: dict | None = None, outline: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """book_id, ord, title, body: structural pages as sections of their own, then the body by its contents pages, by the outline
+    where these say nothing, or, with chapter_method "pages", by page counts. `given` holds the settings of SECTIONS and SPANS,
+    chapter_method and chapter_target_pages. What is gathered for a book are its page numbers, not its texts."""
+    given = given or {}
+    p = processed.select("book_id", "page_no", "illustration", "text").filter("page_no > 0")
+    kinds = books.classify_pages(books.toc_hits(p))
+    index = p.select("book_id", "page_no").distinct().join(kinds, ["book_id", "page_no"], "left").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "kind"))).alias("pages"))
+
+    def assign(book, rows):
+        found: dict[str, list[int]] = {}
+        for r in rows:
+            if r["kind"]:
+                found.setdefault(r["kind"], []).append(r["page_no"])
+        for page, title, place in assign_sections([r["page_no"] for r in rows], found, given):
+            yield book, page, title, place
+
+    sections = flat_map(index, assign, "book_id string, page_no int, section string, place int")
+    front = p.join(sections, ["book_id", "page_no"])
+    keyed = front.select(F.concat_ws("\x00", "book_id", F.col("place").cast("string"), "section").alias("book_id"), "page_no", "illustration", "text")
+    part = F.split("book_id", "\x00")
+    fronts = books.joined_pages(keyed).filter("body <> ''").select(part[0].alias("book_id"), part[1].cast("int").alias("ord"), part[2].alias("title"), "body")
+    body = p.join(sections, ["book_id", "page_no"], "left_anti")
+    if given.get("chapter_method") == "pages":
+        cut = books.page_chunks(body, given.get("chapter_target_pages") or settings.chapter_pages)
+        spans = cut.select("book_id", F.col("chapter").alias("ord"), F.concat(F.lit("第"), F.col("chapter").cast("string"), F.lit("章")).alias("title"), F.col("first").alias("start_page"), F.col("last").alias("end_page"))
+    else:
+        contents = books.joined_pages(front.filter("section = '目录'").select("book_id", "page_no", F.lit(False).alias("illustration"), "text"))
+        entries = flat_map(contents.select("book_id", "body"), lambda b, t: [(b, i, *e) for i, e in enumerate(folds.toc_entries(t))], "book_id string, ord int, title string, printed int")
+        numbers = body.select("book_id", "page_no").distinct()
+        last = numbers.groupBy("book_id").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
+        mapped = books.accept_rising(books.next_body_page(entries.select("book_id", "ord", "printed"), numbers).filter("actual IS NOT NULL").select("book_id", "ord", "actual"))
+        spans = mapped.join(entries.select("book_id", "ord", "title"), ["book_id", "ord"]).join(last, "book_id").select("book_id", "ord", "title", F.col("actual").alias("start_page"), F.coalesce("end_page", "hi").alias("end_page"))
+        if outline is not None:
+            trimmed = outline.join(last, "book_id").select("book_id", F.col("ord").cast("int").alias("ord"), "title", F.greatest("lo", "start_page").alias("start_page"), F.least("hi", "end_page").alias("end_page")).filter("end_page >= start_page")
+            spans = spans.union(trimmed.join(spans.select("book_id").distinct(), "book_id", "left_anti"))
+    rest = _by_spans(body, spans).withColumn("ord", F.col("ord") + len(SECTIONS) + len(SPANS))
+    return fronts.union(rest).withColumn("ord", (F.row_number().over(Window.partitionBy("book_id").orderBy("ord")) - 1).cast("int"))

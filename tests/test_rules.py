@@ -169,3 +169,13 @@ def test_streaming_resumes(spark, tmp_path):
         streams.cleaned_pages(spark, src, out, state).awaitTermination(60)
         assert spark.read.parquet(out).count() == n
     assert {r["text"] for r in spark.read.parquet(out).collect()} == {"一。"}
+
+
+def test_structured_chapters(spark):
+    texts = ["书名", "目录\n第一章 起始 …… 1\n第二章 收束 …… 4", *(f"正文第{i}页，写得很长很长，不是扉页。" * 9 for i in range(1, 5)), "完"]
+    df = spark.createDataFrame([("b", n, False, t) for n, t in enumerate(texts, 1)], "book_id string, page_no int, illustration boolean, text string")
+    got = [(r["title"], r["body"][:5]) for r in plans.structured_chapters(df).orderBy("ord").collect()]
+    assert [t for t, _ in got] == ["封面", "封底", "目录", "第一章 起始", "第二章 收束"] and got[3][1] == "正文第1页" and got[4][1] == "正文第2页"
+    by_pages = plans.structured_chapters(df, {"chapter_method": "pages", "chapter_target_pages": 2, "cover_page": 3})
+    assert [r["title"] for r in by_pages.orderBy("ord").collect()][0] == "封面"
+    assert plans.assign_sections([1, 2, 3], {"cover": [1], "toc": [2, 3]}, {"cover_page": 2}) == [(2, "封面", 0), (3, "目录", 4)]
