@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions import text as T
+from .ranking import buckets_for, ranked
 from .rows import flat_map, fold
 
 
 def documents_as_pages(docs: DataFrame) -> DataFrame:
-    """The driver's documents as pages: a book for each source, pages in order of doc_id."""
-    at = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("book_id"), F.row_number().over(at).alias("page_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """The driver's documents as pages: a book for each source, pages in order of doc_id. Numbers are given by buckets of doc_id,
+    so the largest source is dealt over all tasks."""
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    place = (F.col("doc_id") - F.lit(low or 0)) / F.lit(float((high or 0) - (low or 0) + 1))
+    own = ranked(docs.select("source", "doc_id", "text"), ["source"], place, [F.col("doc_id")], buckets_for(n, least=1), "rank")
+    return own.select(F.col("source").alias("book_id"), (F.col("rank") + 1).cast("int").alias("page_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def running_lines(pages: DataFrame, min_ratio: float = 0.35, longest: int = 60, min_count: int = 1) -> DataFrame:
