@@ -38,14 +38,6 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16) -> int:
-    """How many hash buckets keep each one's expected size under `per_bucket` rows."""
-    return max(least, -(-rows // per_bucket))
-
-
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """`df`; its session's Arrow batches are from now on held to BATCH_ROWS rows and BATCH_BYTES bytes, so that what a Python
     function holds at once is bounded by bytes (or one text), not by the default of 10,000 texts of any length."""

@@ -15,28 +15,16 @@ doc_id, text and source are not read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, unit_hash
+from ..operators.ranking import buckets_for, ranked
+from .common import cut, unit_hash
 
 SHARDS, SEED = 40, "shard-1"
 ROW_OVERHEAD = 16
 
 
-def _ranked(df: DataFrame, by: list[str], u: str, order: list[Column], n: int, out: str) -> DataFrame:
-    """`df` with the rank (from 0) of each row within `by`, ordered by `order`, whose first term grows with `u` in [0, 1]."""
-    df = df.withColumn("_b", F.least(F.floor(F.col(u) * n), F.lit(n - 1)).cast("int"))
-    counts = df.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = F.col("_b") == F.col("_kb")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1
-    return df.withColumn("_r", local).join(counts, same).withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_r", "_kb", "_before", *[f"_k_{c}" for c in by])
-
-
 def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, per_bucket: int = 20_000) -> DataFrame:
     """doc_id, source, size, text_crc32, frac, pos (place in the interleaved order), shard, slot for every row of `docs`."""
     slim = cut(
@@ -51,9 +39,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, per_bucket:
     total = slim.count()
     n = buckets_for(total, per_bucket)
     tie = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
-    ranked = _ranked(slim, ["source"], "_u", [F.col("_u"), *tie], n, "_rank")
-    ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).withColumn("frac", (F.col("_rank") + unit_hash(seed, "phase", F.coalesce("source", F.lit("")))) / F.col("_n")).drop("_s", "_n")
-    ordered = _ranked(ranked.withColumn("_all", F.lit(0)), ["_all"], "frac", [F.col("frac"), F.col("source"), F.col("_rank"), *tie], n, "pos")
+    within = ranked(slim, ["source"], F.col("_u"), [F.col("_u"), *tie], n, "_rank")
+    within = within.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).withColumn("frac", (F.col("_rank") + unit_hash(seed, "phase", F.coalesce("source", F.lit("")))) / F.col("_n")).drop("_s", "_n")
+    ordered = ranked(within.withColumn("_all", F.lit(0)), ["_all"], F.col("frac"), [F.col("frac"), F.col("source"), F.col("_rank"), *tie], n, "pos")
     # shard s takes the places from ceil(s * total / shards) on
     ordered = ordered.withColumn("shard", F.expr(f"cast(pos * {shards} div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
