@@ -181,7 +181,7 @@ class Scorer:
             index[w] = first + i
         langs, scores, rejected = [], [], []
         for ws in found:
-            if not ws:
+            if not any(c.isalpha() for w in ws for c in w):  # the first character tells, but for numerals such as superscripts
                 langs.append("und"), scores.append(0.0), rejected.append(True)
                 continue
             s = self.sums[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
