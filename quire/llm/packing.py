@@ -27,7 +27,7 @@ SHARD_DOCS = 1500
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-CACHE_PARTS, CACHE_LENGTH = 400_000, 1000  # two generations of so many parts, about 250 bytes each
+CACHE_PARTS, CACHE_LENGTH = 150_000, 1000  # two generations of so many parts, about 250 bytes each
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
