@@ -4,11 +4,13 @@ The neighbour graph starts from random-projection leaves and is improved by iter
 neighbours and reverse neighbours with their vectors, compares them with each other, and offers each its best new partners;
 each node keeps its `K` best. A query is answered by greedy search on the finished graph: all queries advance together, each
 round expanding every query's best unexpanded nodes by a join with the graph, until a query's `BEAM` best are all expanded.
-What is found is scored in double precision on the original vectors.
+Every similarity is worked out in double precision from the original vectors, for edges and search as for the answers, and is
+held as half the squared distance of unit vectors, negative: a 32-bit number keeps the order of near copies, whose cosines
+differ by less than it can tell. All of a beam is scored for the answer.
 
 Vectors that are exactly equal form one node, so a very common vector is one node too; a node stands for its smallest ids,
-as many as an answer can hold. The graph holds a node's neighbours with their vectors in eight bits a component, in a table
-bucketed by node, so a search round moves only the frontier. All groups are processed as sorted streams of arrays: reverse
+as many as an answer can hold. The graph holds a node's neighbours with their vectors, in a table bucketed by node, so a search
+round moves only the frontier. All groups are processed as sorted streams of arrays: reverse
 neighbours are kept to the `K` nearest, so no hub gathers an unbounded group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do vectors whose
@@ -32,7 +34,8 @@ from .common import bounded, cut, whole_groups
 K, ITERATIONS, OFFERS = 24, 5, 6
 LEAF, TREES, PART_NODES = 256, 3, 8000
 BEAM, STEP, MOST_ROUNDS = 400, 64, 40
-ANSWERS, FINALISTS, SEED = 5, 30, 11
+ANSWERS, SEED = 5, 11
+NONE = -3.0  # below any similarity
 
 
 def best(key: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -55,13 +58,10 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def _unit(packed) -> np.ndarray:
-    """Unit vectors from an array of packed 32-bit vectors."""
+    """Unit vectors, in double precision, from an array of packed 32-bit vectors."""
     v = np.frombuffer(b"".join(packed), "<f4").reshape(len(packed), -1).astype(np.float64)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-
-
-def _small(unit: np.ndarray) -> np.ndarray:
-    return np.round(unit * 127).astype(np.int8)
+    v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    return v
 
 
 def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +103,7 @@ def leaves(points: DataFrame, parts: int) -> DataFrame:
 
     def project(batches):
         for b in batches:
-            unit = _unit(b.column("v").to_pylist()) if b.num_rows else np.empty((0, 1), "f4")
+            unit = _unit(b.column("v").to_pylist()) if b.num_rows else np.empty((0, 1))
             for t in range(TREES):
                 direction = np.random.default_rng(SEED + 10 * t).normal(size=unit.shape[1])
                 yield _batch("t p node v", np.full(b.num_rows, t, np.int32), unit @ direction, b.column("node"), b.column("v"))
@@ -122,8 +122,8 @@ def leaves(points: DataFrame, parts: int) -> DataFrame:
                 i = i[np.argsort(x[i] @ (two[0] - two[1]), kind="stable")]
                 todo += [i[: len(i) // 2], i[len(i) // 2 :]]
             elif len(i) > 1:
-                s = x[i] @ x[i].T
-                np.fill_diagonal(s, -2)
+                s = (x[i] @ x[i].T - 1).astype(np.float32)
+                np.fill_diagonal(s, NONE)
                 k = min(K, len(i) - 1)
                 near = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 yield _batch("u w s", np.repeat(node[i], k), node[i][near].ravel(), np.take_along_axis(s, near, 1).ravel())
@@ -136,13 +136,13 @@ GRAPH = "u long, w long, s float, least float"
 
 
 def _kept(batches):
-    """The K best edges of each node, with the worst similarity it keeps (-2 while it has room)."""
+    """The K best edges of each node, with the worst similarity it keeps (NONE while it has room)."""
     for u, w, s in whole_groups(batches):
         i = best(u, w, s, K)
         u, w, s = u[i], w[i], s[i]
         start = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
         size = np.diff(np.append(start, len(u)))
-        yield _batch("u w s least", u, w, s, np.repeat(np.where(size >= K, np.minimum.reduceat(s, start), np.float32(-2)), size))
+        yield _batch("u w s least", u, w, s, np.repeat(np.where(size >= K, np.minimum.reduceat(s, start), np.float32(NONE)), size))
 
 
 def kept(edges: DataFrame) -> DataFrame:
@@ -165,10 +165,10 @@ def _members(batches):
 
 def _around(graph: DataFrame, points: DataFrame) -> DataFrame:
     """(v, m, x, least): each node's surroundings with their vectors."""
-    there = graph.select(F.col("u").alias("v"), F.col("w").alias("m"), "s", F.lit(-2.0).cast("float").alias("least"), F.lit(0).alias("reverse"))
+    there = graph.select(F.col("u").alias("v"), F.col("w").alias("m"), "s", F.lit(NONE).cast("float").alias("least"), F.lit(0).alias("reverse"))
     back = graph.select(F.col("w").alias("v"), F.col("u").alias("m"), "s", "least", F.lit(1).alias("reverse"))
     members = _streamed(there.union(back), "v", _members, "v long, m long, least float")
-    return members.join(points.select(F.col("node").alias("m"), "x"), "m").select("v", "m", "x", "least")
+    return members.join(points.select(F.col("node").alias("m"), F.col("v").alias("x")), "m").select("v", "m", "x", "least")
 
 
 def _offers(batches):
@@ -176,25 +176,25 @@ def _offers(batches):
     for v, m, x, least in whole_groups(batches):
         start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         size = np.diff(np.append(start, len(v)))
-        vectors = np.frombuffer(b"".join(x), np.int8).reshape(len(x), -1).astype(np.float32) / 127
+        vectors = _unit(x)
         for i in range(0, len(start), 128):
             begin, n = start[i : i + 128], size[i : i + 128]
             at = begin[:, None] + np.arange(n.max())
             real = np.arange(n.max()) < n[:, None]
             at = np.where(real, at, begin[:, None])
             a = vectors[at]
-            s = a @ a.transpose(0, 2, 1)
-            s[~(real[:, None, :] & real[:, :, None])] = -2
-            s[:, np.arange(s.shape[1]), np.arange(s.shape[1])] = -2
+            s = (a @ a.transpose(0, 2, 1) - 1).astype(np.float32)
+            s[~(real[:, None, :] & real[:, :, None])] = NONE
+            s[:, np.arange(s.shape[1]), np.arange(s.shape[1])] = NONE
             k = min(OFFERS, s.shape[1])
             near = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
             score = np.take_along_axis(s, near, 2)
-            g, r, c = np.nonzero((score > np.where(real, least[at], 2)[:, :, None]) & (score > -2))
+            g, r, c = np.nonzero((score > np.where(real, least[at], 2)[:, :, None]) & (score > NONE))
             yield _batch("u w s", m[at[g, r]], m[at[g, near[g, r, c]]], score[g, r, c])
 
 
 def descend(points: DataFrame, near: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(u, w, s, least): the neighbour graph of `points` (node, v); `near`: their 8-bit vectors (node, x), by node."""
+    """(u, w, s, least): the neighbour graph of `points` (node, v); `near`: the same, by node."""
     parts = max(1, -(-points.count() // PART_NODES))
     graph = cut(kept(leaves(points, parts)))
     for _ in range(iterations):
@@ -204,7 +204,7 @@ def descend(points: DataFrame, near: DataFrame, iterations: int = ITERATIONS) ->
 
 
 def _index(graph: DataFrame, points: DataFrame) -> str:
-    """The name of a table bucketed by v: ids and 8-bit vectors of the surroundings of v."""
+    """The name of a table bucketed by v: ids and vectors of the surroundings of v."""
 
     def run(batches):
         for v, m, x, _ in whole_groups(batches):
@@ -221,15 +221,16 @@ STATE = "q long, node long, s float, done int, least float, qx binary"
 
 
 def _expand(batches):
-    """Similarities of a query (its 8-bit vector) with the surroundings of each node it expands, if they beat its worst."""
+    """Similarities of a query with the surroundings of each node it expands, if they beat its worst."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             b = whole.slice(at, 256)
             ids = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids")]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            x = np.frombuffer(b"".join(b.column("xs").to_pylist()), np.int8).reshape(int(size.sum()), -1).astype(np.float32)
-            q = np.frombuffer(b"".join(b.column("qx").to_pylist()), np.int8).reshape(b.num_rows, -1).astype(np.float32)
-            s = np.einsum("ij,ij->i", x, np.repeat(q, size, axis=0)) / np.float32(127 * 127)
+            q = _unit(b.column("qx").to_pylist())
+            x = np.frombuffer(b"".join(b.column("xs").to_pylist()), "<f4").reshape(-1, q.shape[1]).astype(np.float64)
+            dot = np.concatenate([x[a:z] @ y for y, a, z in zip(q, np.cumsum(size) - size, np.cumsum(size), strict=True)])
+            s = (dot / np.sqrt(np.einsum("ij,ij->i", x, x)) - 1).astype(np.float32)
             key, node = np.repeat(b.column("q").to_numpy(), size), np.concatenate(ids)
             ok = s > np.repeat(b.column("least").to_numpy(), size)
             i = best(key[ok], node[ok], s[ok], BEAM)
@@ -250,7 +251,7 @@ def _beam(batches):
         done[todo[best(q[todo], node[todo], s[todo], STEP)]] = 1
         start = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
         size = np.diff(np.append(start, len(q)))
-        least = np.repeat(np.where(size >= BEAM, np.minimum.reduceat(s, start), np.float32(-2)), size)
+        least = np.repeat(np.where(size >= BEAM, np.minimum.reduceat(s, start), np.float32(NONE)), size)
         yield _batch("q node s done least qx", q, node, s, done, least, pa.array([vector[int(k)] for k in q], pa.binary()))
 
 
@@ -258,8 +259,8 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame
     """(q, node, s): the BEAM best nodes found for each query node of `queries` (q), itself among them."""
     spark = points.sparkSession
     table = _index(graph, points)
-    start = queries.join(points.select(F.col("node").alias("q"), F.col("x").alias("qx")), "q")
-    state = cut(start.select("q", F.col("q").alias("node"), F.lit(1.0).cast("float").alias("s"), F.lit(1).alias("done"), F.lit(-2.0).cast("float").alias("least"), "qx"))
+    start = queries.join(points.select(F.col("node").alias("q"), F.col("v").alias("qx")), "q")
+    state = cut(start.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("s"), F.lit(1).alias("done"), F.lit(NONE).cast("float").alias("least"), "qx"))
     for _ in range(MOST_ROUNDS):
         front = state.filter("done = 1")
         if front.isEmpty():
@@ -272,15 +273,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame
 
 def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest vectors found for each row whose vec_id is divisible by `every`."""
-    packed, ids = nodes(bounded(vectors))
-
-    def shrink(batches):
-        for b in batches:
-            v = b.column("v").to_pylist()
-            small = _small(_unit(v)) if v else []
-            yield _batch("node v x", b.column("node"), b.column("v"), pa.array([x.tobytes() for x in small], pa.binary()))
-
-    points = cut(packed.mapInArrow(shrink, "node long, v binary, x binary"))
+    points, ids = nodes(bounded(vectors))
     own = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
 
     def pack_(batches):
@@ -289,13 +282,12 @@ def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> Data
             yield _batch("query_id v", pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()))
 
     asked = cut(own.mapInArrow(pack_, "query_id long, v binary").distinct().join(points.select("v", "node"), "v").select("query_id", F.col("node").alias("q")))
-    table = _bucketed(points.select("node", "x"), "node")
+    table = _bucketed(points, "node")
     near = vectors.sparkSession.table(table)
     found = search(descend(points, near), near, asked.select("q").distinct())
     vectors.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    finalist = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).filter(F.col("r") <= FINALISTS + 1)
     v = points.select("node", "v")
-    both = finalist.join(v, "node").join(v.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
+    both = found.join(v, "node").join(v.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
 
     def exact(batches):
         for b in batches:

@@ -218,6 +218,24 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.nearest(df.filter("vec_id < 3")).count() == 2 and neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    groups = [c + noise * rng.normal(size=(1000, 64)) for c, noise in zip(rng.normal(size=(2, 64)), (1e-2, 1e-4), strict=True)]
+    x = np.concatenate([*groups, rng.normal(size=(200, 64))]).astype("f4")
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    for first in (0, 1000):
+        found = 0
+        for q in range(first, first + 1000, 50):
+            s = unit @ unit[q]
+            s[q] = -9
+            found += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+        assert found >= 0.9 * 100
+
+
 def rows_50(x):
     return [float(y) for y in x[50]]  # an id that repeats with its own vector
 
