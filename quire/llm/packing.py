@@ -3,8 +3,11 @@
 Texts become token ids. Whole windows of a document are sequences of their own; what remains of each document, less than a
 window, is dealt into shards of bounded size. Each shard builds a BM25 inverted index of its remainders, with document
 frequencies and lengths counted over the whole corpus. The longest unused remainder seeds a sequence; its unused neighbours
-in the index, best first, fill the window: those that fit whole, then the best other one, cut to what is missing. Every
-sequence but a shard's last is full, and each id lies in exactly one piece.
+in the index, best first, fill the window: of the NEIGHBOURS best those that fit whole, then the best other one, cut to what
+is missing, then the others down the ranking. Every sequence but a shard's last is full, and each id lies in exactly one piece.
+
+A seed meets only its own shard: documents are dealt at random, and their neighbours in other shards are not retrieved (see
+README).
 
 Defined results: a null or empty text is its final id alone. Repeated rows and ids are packed one by one (shards are dealt
 by id and place in the input, so no repeated id can fill a shard). An empty table gives an empty result. Columns beyond
@@ -24,7 +27,6 @@ from .common import bounded, cut
 
 WINDOW, FINAL_ID = 2048, 1
 SHARD_DOCS = 1500
-QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 CACHE_PARTS, CACHE_LENGTH = 150_000, 1000  # two generations of so many parts, about 250 bytes each
@@ -215,8 +217,7 @@ class Bm25:
             t, tf = np.unique(d, return_counts=True)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean_length))
             terms.append(t), owners.append(np.full(len(t), i, np.int32)), weights.append(w)
-            top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(t) > QUERY_TERMS else slice(None)
-            self.queries.append(t[top])
+            self.queries.append(t)
         t = np.concatenate(terms)
         order = np.argsort(t, kind="stable")
         self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(weights)[order]
@@ -224,7 +225,7 @@ class Bm25:
         self.size = len(docs)
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 scores of all documents for document i's heaviest terms."""
+        """BM25 scores of all documents for document i's terms."""
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.queries[i]]
         if not spans:
             return np.zeros(self.size)
@@ -262,8 +263,9 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: in
                             begin[j] += take
                             left[j] -= take
                             room -= take
-                if room:  # no neighbour is left: the next unused ones, in order
-                    for j in np.flatnonzero(left > 0):
+                if room:  # the nearest are used up: on down the ranking
+                    rest = np.flatnonzero(left > 0)
+                    for j in rest[np.argsort(-score[rest], kind="stable")]:
                         take = min(room, int(left[j]))
                         sequence.append((int(j), int(begin[j]), take))
                         begin[j] += take

@@ -127,6 +127,19 @@ def test_fill_covers_each_id_once_and_pads_only_once():
     assert packing.fill([], np.ones(5), 1.0) == []
 
 
+def test_fill_goes_by_all_terms_and_down_the_ranking():
+    idf = np.ones(1000)
+    idf[:30] = 2.0
+    seed = np.arange(100).astype("<u4")  # thirty heavy terms, seventy light ones
+    light, other = np.arange(30, 90).astype("<u4"), np.r_[np.arange(6), np.arange(500, 554)].astype("<u4")
+    assert [j for j, _, _ in packing.fill([seed, other, light], idf, 60.0, window=160)[0]] == [0, 2]
+    seed = np.arange(300).astype("<u4")
+    best = [np.arange(4).astype("<u4")] * packing.NEIGHBOURS
+    docs = [seed, *[np.arange(900, 910).astype("<u4")] * 5, *[np.r_[0, 990:995].astype("<u4")] * 5, *best]
+    first = packing.fill(docs, np.ones(1000), 10.0, window=300 + 4 * len(best) + 30)[0]
+    assert {j for j, _, _ in first} == {0, *range(6, 11), *range(11, len(docs))}
+
+
 def test_ngrams_are_those_of_each_word_alone():
     together = [sorted(b) for b in _by_word(["ab", "überlang", "x"])]
     alone = [sorted(_by_word([w])[0]) for w in ["ab", "überlang", "x"]]
