@@ -100,6 +100,24 @@ def test_license_labels_and_suppression():
     assert {(s, e, r.label) for s, e, r in licenses.detect(low)} == {(s, e, r.label) for s, e, r in brute(found)}
 
 
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+        ("// SPDX-License-Identifier: MPL-2.0\nx", "mpl-2.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+        ("GPLv3", "gpl-3.0"), ("LGPLv2.1+", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("dual Apache-2.0", "apache-2.0"), ("released under MIT.", "mit"), ("MIT\n\n     *  License", "mit"), ("mozilla -----  public\nlicense", "mpl"),
+        (" * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation files\n * (the “Software”), to deal in the Software without restriction, including", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following", "bsd"),
+        ("Neither the name of X nor the names of its\ncontributors may be used to endorse or promote products derived from this software without", "bsd-3-clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided", "isc"),
+        ("redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "agpl-3.0"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"), ("permission is granted; mit freundlichen Grüßen, redistribution and use", ""),
+    ],
+)
+def test_license_bodies_identifiers_and_short_forms(text, label):
+    assert ",".join(sorted({r.label for _, _, r in licenses.detect(text.encode().translate(licenses.LOWER).decode("latin-1"))})) == label
+
+
 def test_ids_equal_the_tokenizer():
     path = packing.default_vocabulary()
     ids, tokenizer = packing.Ids(path), packing._tokenizer(path)
