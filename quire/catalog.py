@@ -517,9 +517,9 @@ query("change_table")(lambda spark, d: review.changes(_records(spark, d)).drop("
 query("proofread_chunks")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))))
 query("batch_smart_chunks")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text")), folds.sentence_chunks, 800))
 query("proofread_guard")(lambda spark, d: review.guarded(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("original"), F.regexp_replace("text", "of ", "").alias("fixed"))))
-query("batch_output_guard")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *folds.batch_guard(x[:2000], x[:2000].replace("e", "")))], "doc_id long, ok boolean, reason string"))
+query("batch_output_guard")(lambda spark, d: flat_map(spread(docs(spark, d).select("doc_id", "text")), lambda i, x: [(i, n, *folds.batch_guard(c, c.replace("e", ""))) for n, c in enumerate(folds.sentence_chunks(x) or [""])], "doc_id long, chunk int, ok boolean, reason string"))
 query("split_failed_chunk")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *(folds.halves(x) or (None, None)))], "doc_id long, left string, right string"))
-query("html_diff")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, sinks.html_diff(x[:500], x[:500].replace("the", "teh")))], "doc_id long, html string"))
+query("html_diff")(lambda spark, d: flat_map(spread(docs(spark, d).select("doc_id", "text")), lambda i, x: [(i, n, sinks.html_diff(c, c.replace("the", "teh"))) for n, c in enumerate(folds.chunks(x) or [""])], "doc_id long, chunk int, html string"))
 query("markdown_to_xhtml")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, folds.to_xhtml("# " + x))], "doc_id long, xhtml string"))
 
 

@@ -1,11 +1,13 @@
 """Golden cases of the text rules, page rules and folds."""
 
 import io
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire import catalog
 from quire.functions import folds
 from quire.functions import text as T
 from quire.operators import books, layout, review
@@ -179,3 +181,13 @@ def test_structured_chapters(spark):
     by_pages = plans.structured_chapters(df, {"chapter_method": "pages", "chapter_target_pages": 2, "cover_page": 3})
     assert [r["title"] for r in by_pages.orderBy("ord").collect()][0] == "封面"
     assert plans.assign_sections([1, 2, 3], {"cover": [1], "toc": [2, 3]}, {"cover_page": 2}) == [(2, "封面", 0), (3, "目录", 4)]
+
+
+def test_diff_and_guard_take_whole_texts(spark, tmp_path):
+    text = "A line of plain words. " * 200 + "At last the end."
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    diffs = catalog.queries()["html_diff"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect()
+    plain = [re.sub("<del>.*?</del>|<ins>(.*?)</ins>", r"\1", r["html"]) for r in diffs if r["doc_id"] == 1]
+    assert re.sub(r"\s", "", "".join(plain)) == re.sub(r"\s", "", text.replace("the", "teh")) and "<del>" in diffs[-2]["html"]
+    guarded = catalog.queries()["batch_output_guard"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in guarded} == {1, 2} and sum(r["doc_id"] == 1 for r in guarded) == len(folds.sentence_chunks(text)) > 5
