@@ -191,3 +191,12 @@ def test_diff_and_guard_take_whole_texts(spark, tmp_path):
     assert re.sub(r"\s", "", "".join(plain)) == re.sub(r"\s", "", text.replace("the", "teh")) and "<del>" in diffs[-2]["html"]
     guarded = catalog.queries()["batch_output_guard"](spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in guarded} == {1, 2} and sum(r["doc_id"] == 1 for r in guarded) == len(folds.sentence_chunks(text)) > 5
+
+
+def test_every_source_has_an_outline(spark, tmp_path):
+    rows = [(i, f"Page {i} of plain words, long enough to be one.", ("one", "two")[i % 2]) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(97 * 3 + 1, 5, "1-URGENT"), (97 * 2 + 3, 6, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["book_chapters"](spark, str(tmp_path)).orderBy("book_id", "ord").collect()
+    assert [(r["book_id"], r["title"]) for r in got] == [(b, t) for b in ("one", "two") for t in ("前言", "URGENT", "HIGH")]
+    assert all(f"Page {i} of" in "".join(r["body"] for r in got) for i in range(12))
