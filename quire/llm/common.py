@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's checkpoint folder and read back, so that lost executors cost no recomputation.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) a temporary one is made."""
+    """`df` written to the cluster's checkpoint folder and read back, so that lost executors cost no recomputation."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`. Only where driver and executors are one process may it be unset; a temporary folder
+    stands in there, and anywhere else, where executors could not see that one, it is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quire-")
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """`folder`, on whatever file system it is, with all that it holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` has it (in any case of letters)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; none for a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
@@ -41,33 +67,56 @@ def unit_hash(*parts: Column | str) -> Column:
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """`df`; its session's Arrow batches are from now on held to BATCH_ROWS rows and BATCH_BYTES bytes, so that what a Python
-    function holds at once is bounded by bytes (or one text), not by the default of 10,000 texts of any length."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(conf.get(key).rstrip("bB")) <= most:
-            conf.set(key, str(most))
-    return df
-
-
-def whole_groups(batches):
-    """The columns, sorted by the first, as lists of arrays that hold whole groups of it."""
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and BATCH_BYTES bytes (or one row), so that what a Python function turns into
+    objects at once is bounded, whatever the session's batches are."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > BATCH_BYTES:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
+
+
+def reduced_groups(batches: Iterable[pa.RecordBatch], reduce: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The columns, sorted by the first, as arrays that hold whole groups of it, each group reduced. `reduce` keeps some rows of
+    each group, and the same of what it kept before and of what follows, so a group of any size takes the memory of what it keeps."""
     held = None
     for b in batches:
-        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if not len(new[0]):
+        if not b.num_rows:
             continue
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
         if held is not None:
             new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        new = reduce(new)
         at = int(np.searchsorted(new[0], new[0][-1]))
         if at:
             yield [x[:at] for x in new]
         held = [x[at:] for x in new]
-    if held is not None and len(held[0]):
+    if held is not None:
         yield held
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns, sorted by the first, as lists of arrays that hold whole groups of it; for groups whose size is bounded."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        at = int(np.searchsorted(new[0], new[0][-1]))
+        if held and (at or new[0][0] != held[-1][0][-1]):  # the held group has ended
+            yield [np.concatenate(x) for x in zip(*held, [c[:at] for c in new], strict=True)]
+            held = []
+        elif at:
+            yield [x[:at] for x in new]
+        held.append([x[at:] for x in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 SMALL_ROWS = 100_000
 
 

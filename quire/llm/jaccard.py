@@ -19,8 +19,9 @@ What is broadcast: the sketch (`SKETCH_BITS`) and a Bloom filter of at most `BLO
 64-bit hashes, within two documents' sets; classes by 64 bits of a hash of the set and its size.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. Repeated rows and
-ids get a row each; a component's id is its smallest non-null doc_id; a row without an id is linked with equal sets only. An
-empty table gives an empty result. Columns beyond doc_id and text are not read."""
+ids get a row each, and rows without an id are linked like others; a component's id is its smallest non-null doc_id, null if it
+has none. A very long text is one set, in one row. Equal counts and ranks are ordered by hash, which changes no result. An empty
+table gives an empty result. Columns beyond doc_id and text are not read; the stage carries them along, whatever their names."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import SMALL_ROWS, cut, fresh, if_small, pieces, whole_groups
 from .graph import components
 
 WORDS = 5
@@ -120,7 +121,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         known, total = Words(), np.zeros(1 << SKETCH_BITS, np.int32)
-        for b in batches:
+        for b in pieces(batches):
             for at in range(0, b.num_rows, 4096):
                 sets = [ngrams(t, known) for t in b.column("text").slice(at, 4096).to_pylist()]
                 total += np.bincount(_slot(np.concatenate(sets)), minlength=len(total)).astype(np.int32)
@@ -135,20 +136,19 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """h, np (rank and set size, 32 bits each), c, at (place of h in the set, rarest first) for the prefix columns of each class, at least once for each class; and for
-    each row of `docs` one with np = -1 - set size, its class c (null for an empty set) and its doc_id."""
+    each row of `docs` (doc_id, text, k) one with h = k, np = -1 - set size, its class c (null for an empty set) and its doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         known, seen = Words(), set()
         rare = 2 * int(shared.value.mean()) + 8
-        for b in batches:
+        for b in pieces(batches):
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
                 sets = [shingles(t, known) for t in some.column("text").to_pylist()]
                 classes = [_class_of(s) if len(s) else None for s in sets]
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                spread = _mix(size.view(np.uint64) + np.arange(len(sets), dtype=np.uint64)).view(np.int64)
-                columns = [(pa.array(spread), pa.array(-1 - size), pa.array(classes, pa.int64()), pa.nulls(len(sets), pa.int32()), some.column("doc_id"))]
+                columns = [(some.column("k"), pa.array(-1 - size), pa.array(classes, pa.int64()), pa.nulls(len(sets), pa.int32()), some.column("doc_id"))]
                 lead, rank, own, place = [], [], [], []
                 for s, c in zip(sets, classes, strict=True):
                     if c is None or c in seen:
@@ -169,23 +169,6 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "h long, np long, c long, at int, doc_id long")
 
 
-def _groups(batches):
-    """The sorted columns h, np, c, at, label as arrays that hold whole groups of h."""
-    held = None
-    for b in batches:
-        new = [b.column(i).to_numpy() for i in range(b.num_columns)]
-        if not len(new[0]):
-            continue
-        if held is not None:
-            new = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        at = int(np.searchsorted(new[0], new[0][-1]))
-        if at:
-            yield [x[:at] for x in new]
-        held = [x[at:] for x in new]
-    if held is not None and len(held[0]):
-        yield held
-
-
 SIZE = np.int64(0xFFFFFFFF)
 
 
@@ -265,21 +248,30 @@ def _counted(parts):
 
 
 def _stars(heads: int):
-    """In each column, pairs of the classes of least rank with the others, where their labels differ."""
+    """In each column, pairs of the classes of least rank with the others, where their labels differ. Columns stream past; what is
+    held of one are its first `heads` classes."""
 
     def pairs(batches):
-        for h, p, c, at_, label in _groups(batches):
+        carried = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, old = [x.to_numpy() for x in b.columns], 0
+            if carried is not None and carried[0][0] == rows[0][0]:  # the column goes on; its first classes stand in front again
+                rows, old = [np.concatenate(x) for x in zip(carried, rows, strict=True)], len(carried[0])
+            h, p, c, at_, label = rows
             n = p & SIZE
             start = np.append(True, h[1:] != h[:-1])
             head, group = np.flatnonzero(start), np.cumsum(start) - 1
             place = np.arange(len(h))
             for k in range(heads):
                 at = head[group] + k
-                ok = (at < place) & (h[np.minimum(at, len(h) - 1)] == h)
+                ok = (at < place) & (place >= old) & (h[np.minimum(at, len(h) - 1)] == h)
                 at, i = at[ok], place[ok]
                 ok = (label[at] != label[i]) & _sizes_match(n[at], n[i])
                 at, i, least = _meeting(n, at_, at[ok], i[ok])
                 yield c[at], c[i], least
+            carried = [x[head[-1] : head[-1] + heads] for x in rows]
 
     return lambda batches: _counted(pairs(batches))
 
@@ -288,7 +280,7 @@ def _crossing(batches):
     """In each column, all pairs of fitting sizes whose classes have different labels."""
 
     def pairs():
-        for h, p, c, at, label in _groups(batches):
+        for h, p, c, at, label in whole_groups(batches):
             start = np.append(True, h[1:] != h[:-1])
             mixed = np.minimum.reduceat(label, np.flatnonzero(start)) != np.maximum.reduceat(label, np.flatnonzero(start))
             keep = np.flatnonzero(mixed[np.cumsum(start) - 1])
@@ -327,31 +319,39 @@ def _places(doc_id: np.ndarray, bits: int):
 
 
 def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """c, s of the documents `ids` (doc_id), and of the few others that a Bloom filter lets through; the rest aren't even split."""
+    """c, s of the documents `ids` (doc_id), and of the few others that a Bloom filter lets through, each class once; the rest
+    aren't even split. Where a class that is asked for has no id (null), rows without one are all let through."""
     bits = 1 << 15
-    n = ids.count()
+    n, without_id = ids.count(), not ids.filter("doc_id IS NULL").isEmpty()
+    ids = ids.filter("doc_id IS NOT NULL")
     while bits < min(16 * n, BLOOM_MOST):
         bits *= 2
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
 
     def run(batches):
-        known = Words()
-        for b in batches:
-            b = b.filter(pa.array([x is not None for x in b.column("doc_id").to_pylist()], pa.bool_()))
-            x, y = _places(b.column("doc_id").to_numpy(zero_copy_only=False), bits)
-            t = shared.value
-            b = b.filter(pa.array((t[x >> 3] >> (x & 7) & t[y >> 3] >> (y & 7) & 1).astype(bool)))
+        known, seen, t = Words(), set(), shared.value
+        for b in pieces(batches):
+            doc_id = b.column("doc_id")
+            x, y = _places(doc_id.fill_null(0).to_numpy(), bits)
+            some = (t[x >> 3] >> (x & 7) & t[y >> 3] >> (y & 7) & 1).astype(bool)
+            no_id = doc_id.is_null().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(np.where(no_id, without_id, some)))
             for at in range(0, b.num_rows, 512):
-                sets = [s for s in (shingles(t, known) for t in b.column("text").slice(at, 512).to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
+                found = {}
+                for s in (shingles(t_, known) for t_ in b.column("text").slice(at, 512).to_pylist()):
+                    if len(s) and (c := _class_of(s)) not in seen:
+                        found[c] = s.tobytes()
+                if len(seen) < 500_000:  # only spares copies within a task
+                    seen.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["c", "s"])
 
-    return docs.mapInArrow(run, "c long, s binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
 
 
 def _linked(docs: DataFrame, one: DataFrame, counted: DataFrame) -> DataFrame:
     """Links (u, v) among pairs counted by column: bound by prefix overlap, then by the whole sets."""
     pairs = cut(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b"))
-    ids = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(one, "c").filter("doc_id IS NOT NULL").select("doc_id"))
+    ids = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(one, "c").select("first.doc_id"))
     return cut(_links(pairs, _needed_sets(docs, ids)))
 
 
@@ -373,13 +373,15 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "u long, v long")
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs`."""
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _clustered(docs: DataFrame) -> DataFrame:
+    """doc_id, k (a hash of id and text), n, c (class), rep (struct of doc_id and k: the component's first row, its own if that is
+    null) for each row of `docs`."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("doc_id", "text"))
     met = cut(postings(docs, sketch(docs)).repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_shared_columns, "h long, np long, c long, at int, doc_id long"))
-    rows = met.filter("np < 0").select("doc_id", (-1 - F.col("np")).alias("n"), "c")
+    rows = met.filter("np < 0").select("doc_id", F.col("h").alias("k"), (-1 - F.col("np")).alias("n"), "c")
     columns = met.filter("np >= 0").select("h", "np", "c", "at")
-    one = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    # The first row of a class, ids before none: copies are counted in each task before they are shuffled.
+    one = cut(rows.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")).alias("first"), F.count("*").alias("rows")))
     counts = "a long, b long, need long, n long"
     labels = links = None
     for meet in (*map(_stars, HEADS), _crossing):
@@ -392,9 +394,26 @@ def clusters(docs: DataFrame) -> DataFrame:
         if labels is None or not more.isEmpty():
             links = more if links is None else links.union(more)
             labels = components(links)
-    found = rows.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = one.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").filter("label IS NOT NULL OR rows > 1").withColumn("label", F.coalesce("label", "c"))
+    reps = if_small(named.groupBy("label").agg(F.min("first").alias("rep")))
+    return _joined_to_classes(rows, named.join(reps, "label").select("c", "rep"))
+
+
+def _joined_to_classes(rows: DataFrame, classes: DataFrame, salts: int = 16) -> DataFrame:
+    """`rows` with `rep` of their class, where `classes` (c, rep) has it. A class may hold a third of all rows: unless the table of
+    classes is small, its rows are dealt over `salts` tasks, and the class goes to each of them."""
+    classes = if_small(classes)
+    if classes.count() > SMALL_ROWS:
+        rows = rows.withColumn("salt", F.pmod("k", F.lit(salts)).cast("int"))
+        classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.join(classes, ["c", "salt"], "left").drop("salt")
+    return rows.join(classes, "c", "left")
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs`."""
+    component = F.when(F.col("rep").isNotNull(), F.col("rep.doc_id")).otherwise(F.col("doc_id"))
+    return _clustered(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -403,10 +422,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each component, only the document with the smallest id stays; rows without an id stay.
-    Rows that repeat an id stay or go together."""
-    gone = clusters(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The pipeline's stage: of each component one document stays, the first row with the smallest id (of those without an id, if
+    none has one). Documents without words all stay. A row is known by its id and a hash of both id and text, so of rows that
+    share an id and differ in text each is judged alone."""
+    found = cut(_clustered(docs).withColumn("kept", F.col("rep").isNull() | (F.col("rep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("rep.k") == F.col("k")))))
+    key, i, k = (fresh(x, docs.columns) for x in ("_key", "_i", "_k"))
+    same = lambda: F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k))
+    named = lambda x: if_small(x.select(F.col("doc_id").alias(i), F.col("k").alias(k)))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    gone = named(found.filter("NOT kept").select("doc_id", "k").distinct())
+    again = named(found.filter("kept AND c IS NOT NULL").groupBy("doc_id", "k").count().filter("count > 1"))
+    stays = keyed.join(gone, same(), "left_anti")
+    if not again.isEmpty():  # rows equal in id and text are one document
+        stays = stays.join(again, same(), "left_anti").union(stays.join(again, same(), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return stays.select(*docs.columns)
 
 
 def oracle() -> str:

@@ -9,8 +9,10 @@ Since averaging is linear, prediction only needs each bucket's product with the
 in a cache of bounded size, and every word of every whole text counts.
 
 Defined results: `und` with score 0, rejected, for a null text, a text without a letter, or when nothing could be learned.
-Repeated rows are treated one by one; an empty table gives an empty result; columns beyond doc_id, text and (for learning)
-lang are not read."""
+Repeated rows and ids are treated one by one; a null doc_id stays null (and its fold is unknown, so it teaches nothing); an
+empty table gives an empty result. A very long text counts whole, in one row. Ties go to the language that sorts first. Where
+there are more than `MOST_LANGUAGES` languages, the commonest are learned (ties: first in order). Columns beyond doc_id, text and
+(for learning) lang are not read; the stage carries them along, whatever their names."""
 
 from __future__ import annotations
 
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, if_small
+from .common import if_small, pieces
 
 FOLDS = 5
-SAMPLE_ROWS, LEAST_PER_LANGUAGE = 2000, 40
+SAMPLE_ROWS, LEAST_PER_LANGUAGE, MOST_LANGUAGES = 2000, 40, 200  # so at most 8,000 rows, and as many languages in the model
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 CALIBRATION_PART, PRECISION = 5, 0.99  # one row in five calibrates
@@ -69,7 +71,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batches):
     """Sparse counts of buckets; at most BUCKETS entries a row, however long its text."""
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for i, lang, t in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             words = WORD.findall((t or "").lower())
@@ -87,11 +89,11 @@ def fold(doc_id) -> F.Column:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Sparse features of about `rows` labelled rows outside the held-out fold, about as many for each language."""
     known = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     shares = counts.select(F.col("lang").alias("_l"), (F.greatest(F.lit(LEAST_PER_LANGUAGE), F.lit(rows) / F.lit(max(counts.count(), 1))) / F.col("count")).alias("_share"))
-    u = (F.xxhash64(F.lit(SEED), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
+    u = (F.xxhash64(F.lit(SEED), "doc_id", "text") % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
     picked = known.join(if_small(shares), F.col("lang") == F.col("_l")).filter(u < F.col("_share")).select("doc_id", "lang", "text")
-    return bounded(picked).mapInArrow(_features, "doc_id long, lang string, idx binary, n binary")
+    return picked.mapInArrow(_features, "doc_id long, lang string, idx binary, n binary")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -193,30 +195,43 @@ class Scorer:
         return langs, scores, rejected
 
 
-def _apply(docs: DataFrame, model: Model | None, extra: str) -> DataFrame:
-    """doc_id or all columns, with lang_pred, score, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the input
+def _scored(shared):
+    """Slices of batches with what the model, broadcast (BUCKETS x at most MOST_LANGUAGES numbers), says of their texts."""
 
-    def run(batches):
+    def run(batches, at):
         scorer = Scorer(shared.value) if shared.value is not None else None
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            out = scorer.score(texts) if scorer else (["und"] * len(texts), [0.0] * len(texts), [True] * len(texts))
-            own = [b.column(i) for i in range(b.num_columns) if extra == "all" or b.schema.names[i] != "text"]
-            names = [n for n in b.schema.names if extra == "all" or n != "text"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+        for b in pieces(batches):
+            texts = b.column(at).to_pylist()
+            yield b, scorer.score(texts) if scorer else (["und"] * len(texts), [0.0] * len(texts), [True] * len(texts))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if extra == "all" or f.name != "text")
-    return bounded(docs).mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
+    return run
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    return train([tuple(r) for r in sample(docs, rows).collect()])  # about `rows` rows of at most BUCKETS entries
+    return train([tuple(r) for r in sample(docs, rows).collect()])  # about `rows` rows, LEAST_PER_LANGUAGE * MOST_LANGUAGES at most, of at most BUCKETS entries
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row of `docs`."""
-    return _apply(docs.select("doc_id", "text"), model, "ids")
+    scored = _scored(docs.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches):
+        for b, (langs, scores, rejected) in scored(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+
+    own = docs.select("doc_id", "text")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose language is not rejected."""
+    at, scored = docs.columns.index("text"), _scored(docs.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches):
+        for b, (_, _, rejected) in scored(batches, at):
+            yield b.filter(pa.array([not x for x in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -227,4 +242,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents whose language is rejected go, the rest stay as they are."""
-    return _apply(docs, learn(docs), "all").filter(~F.col("rejected")).select(*docs.columns)
+    return accepted(docs, learn(docs))

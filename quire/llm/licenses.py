@@ -9,8 +9,9 @@ the same priority and greater length, is suppressed.
 Base phrases are found by words (runs of ASCII letters and digits and of anything beyond ASCII) that stand consecutively.
 
 Defined results: a null or empty text has no words, no labels (an empty string) and score 0; first_word and last_word are
-null without a base phrase. Repeated rows are treated one by one; an empty table gives an empty result; columns beyond
-doc_id and text are not read."""
+null without a base phrase. A null doc_id stays null. Repeated rows and ids are treated one by one; an empty table gives an
+empty result; columns beyond doc_id and text are not read. A very long text is scanned whole, in one row. Of detections with
+the same place and priority all labels count."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded
+from .common import pieces
 
 #: Base phrases and labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -273,14 +274,14 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def _scan(batches):
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for b in batches:
+    for b in pieces(batches):
         cols = list(zip(*(scan(t.as_py()) for t in b.column("text")), strict=True)) or [()] * 7
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
 
 def scan_all(docs: DataFrame) -> DataFrame:
     """A row of counts, places, labels and score for each row of `docs`."""
-    return bounded(docs).select("doc_id", "text").mapInArrow(_scan, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,15 +9,17 @@ Only the table of sources, one small row each, is joined to the documents: broad
 source's rows stay where they are; beyond that size by a shuffle join, which splits skewed partitions.
 
 Defined results: a null source is a source of its own. A source that `weights` omits, or whose weight is 0, gets no copies.
-Repeated rows with the same doc_id get the same count. An empty table gives an empty result. The text is carried, not read.
-Extra columns are carried along; those named `replica`, `n_copies` or `mix_key` are replaced."""
+Rows with the same doc_id get the same count; rows without one are told apart by their texts (a null text counts as empty). Ties
+in the order are broken by doc_id and copy. An empty table gives an empty result. The text, however long, is carried (and hashed
+where there is no doc_id). Extra columns are carried along; `mix` gives those named `replica`, `n_copies` or `mix_key` new values,
+the stage leaves them as they are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, unit_hash
+from .common import fresh, if_small, unit_hash
 
 SEED = "mix-1"
 #: Default weights: in proportion to rows ** POWER, which lifts small sources.
@@ -26,7 +28,7 @@ POWER = 0.7
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, output_rows: int | None = None, power: float = POWER) -> DataFrame:
     """source, rows, weight (sums to 1) and rate (mean copies of a row) for every source."""
-    by = docs.groupBy("source").agg(F.count("*").alias("rows"))
+    by = docs.select("source").groupBy("source").agg(F.count("*").alias("rows"))
     if weights is None:
         by = by.withColumn("_w", F.pow(F.col("rows").cast("double"), F.lit(power)))
     else:
@@ -56,18 +58,20 @@ def _copies(u, rate):
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, output_rows: int | None = None, seed: str = SEED, power: float = POWER) -> DataFrame:
     """`docs` with each row repeated `n_copies` times (`replica` from 0), in the global random order of `mix_key`."""
-    docs = docs.drop("replica", "n_copies", "mix_key")
-    r = if_small(rates(docs, weights, output_rows, power).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")))
-    d = docs.join(r, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / 32).cast("int"))
-    d = d.withColumn("_mix_pieces", pieces).withColumn("_mix_part", F.col("_mix_rate") / F.col("_mix_pieces"))
-    count = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("_mix_pieces")), lambda i: _copies(unit_hash(seed, "count", key, i), F.col("_mix_part"))), F.lit(0), lambda a, x: a + x
-    )
-    d = d.withColumn("n_copies", count).filter("n_copies > 0").drop("_mix_rate", "_mix_pieces", "_mix_part")
-    d = d.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    return d.withColumn("mix_key", unit_hash(seed, "order", key, F.col("replica"))).orderBy("mix_key", "doc_id", "replica")
+    return _mixed(docs.drop("replica", "n_copies", "mix_key"), weights, output_rows, seed, power, "n_copies", "replica", "mix_key")
+
+
+def _mixed(docs: DataFrame, weights, output_rows, seed: str, power: float, copies: str, replica: str, order: str) -> DataFrame:
+    """`docs` and the three columns named, whose names `docs` lacks."""
+    name, rate, parts, part = (fresh(x, docs.columns) for x in ("_mix_source", "_mix_rate", "_mix_parts", "_mix_part"))
+    r = if_small(rates(docs, weights, output_rows, power).select(F.col("source").alias(name), F.col("rate").alias(rate)))
+    d = docs.join(r, F.col("source").eqNullSafe(F.col(name))).drop(name)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
+    d = d.withColumn(parts, F.greatest(F.lit(1), F.ceil(F.col(rate) / 32).cast("int"))).withColumn(part, F.col(rate) / F.col(parts))
+    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: _copies(unit_hash(seed, "count", key, i), F.col(part))), F.lit(0), lambda a, x: a + x)
+    d = d.withColumn(copies, count).filter(F.col(copies) > 0).drop(rate, parts, part)
+    d = d.withColumn(replica, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    return d.withColumn(order, unit_hash(seed, "order", key, F.col(replica))).orderBy(order, "doc_id", replica)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -78,12 +82,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: mixed documents, with the columns of `docs`."""
-    return mix(docs).select(*docs.columns)
+    return _mixed(docs, None, None, SEED, POWER, *(fresh(x, docs.columns) for x in ("_mix_copies", "_mix_replica", "_mix_order"))).select(*docs.columns)
 
 
 def oracle() -> str:
     """The same rows in DuckDB, the inversion as a sum over the first terms of the series."""
-    u = lambda what, more="": f"('0x' || md5(concat_ws(':', '{SEED}', '{what}', doc_id::VARCHAR{more}))[1:13])::BIGINT / {float(2**52)!r}::DOUBLE"
+    u = lambda what, more="": f"('0x' || md5(concat_ws(':', '{SEED}', '{what}', coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))){more}))[1:13])::BIGINT / {float(2**52)!r}::DOUBLE"
     return f"""
 WITH s AS (SELECT source, count(*) AS rows, pow(count(*)::DOUBLE, {POWER}) AS w FROM documents GROUP BY source),
 r AS (SELECT source, w / (SELECT sum(w) FROM s) * (SELECT sum(rows) FROM s) / rows AS rate FROM s),

@@ -8,14 +8,17 @@ Every similarity is worked out in double precision from the original vectors, fo
 held as half the squared distance of unit vectors, negative: a 32-bit number keeps the order of near copies, whose cosines
 differ by less than it can tell. All of a beam is scored for the answer.
 
-Vectors that are exactly equal form one node, so a very common vector is one node too; a node stands for its smallest ids,
-as many as an answer can hold. The graph holds a node's neighbours with their vectors, in a table bucketed by node, so a search
-round moves only the frontier. All groups are processed as sorted streams of arrays: reverse
-neighbours are kept to the `K` nearest, so no hub gathers an unbounded group.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do vectors whose
-length is not the commonest one (ties: the longest). Rows that repeat an id with equal vectors count once. With at most `K`
-other nodes all candidates are found. An empty table gives an empty result. Columns beyond vec_id and embedding are not read.
+A node is a different vector, however many rows have it, so a very common vector is one node too; a node stands for its smallest
+ids, as many as an answer can hold. Nodes are numbered in the order of their smallest ids, so ties inside go the way of the answer's.
+The graph holds a node's neighbours with their vectors, in a table bucketed by node (under `spark.checkpoint.dir`, removed in the
+end), so a search round moves only the frontier. All groups are processed as sorted streams of arrays, and what a hub gathers is
+kept to its `K` best as it streams. The search ends when every query's beam is expanded; each round expands some of it.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do rows without an id
+or vectors whose length is not the commonest one (ties: the longest). Rows that repeat an id with equal vectors count once; an id
+with several vectors is one item, as near to another as the nearest of their vectors, and stands in an answer once. With at most
+`K` other nodes all candidates are found. An empty table gives an empty result. Columns beyond vec_id and embedding are not
+read; the table has no texts.
 
 Recall against brute force: see README; random vectors of 64 dimensions, which have no structure to find, are the hard case
 that `BEAM` is set for."""
@@ -26,14 +29,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, whole_groups
+from .common import cut, pieces, reduced_groups, remove_folder, shared_folder, whole_groups
 
 K, ITERATIONS, OFFERS = 24, 5, 6
 LEAF, TREES, PART_NODES = 256, 3, 8000
-BEAM, STEP, MOST_ROUNDS = 400, 64, 40
+BEAM, STEP = 400, 64
 ANSWERS, SEED = 5, 11
 NONE = -3.0  # below any similarity
 
@@ -74,27 +77,39 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = ok.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             e = b.column("embedding")
-            flat = e.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(e), -1) if len(e) else np.empty((0, 1), "<f4")
+            flat = e.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(e), -1)
             flat = flat + np.float32(0)  # no negative zeros, so equal vectors have equal bytes
             yield _batch("vec_id v", b.column("vec_id"), pa.array([x.tobytes() for x in flat], pa.binary()))
 
-    packed = cut(ok.filter(F.size("embedding") == (size["d"] if size else 0)).mapInArrow(run, "vec_id long, v binary"))
-    one = packed.groupBy("v").agg(F.min("vec_id").alias("node"))
+    packed = cut(ok.filter(F.size("embedding") == (size["d"] if size else 0)).mapInArrow(run, "vec_id long, v binary").distinct())
+    least = packed.groupBy("v").agg(F.min("vec_id").alias("least"))
+    numbered = cut(least.orderBy("least", "v").select(F.monotonically_increasing_id().alias("node"), "v"))  # written once, so the numbers stay
     near = packed.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= 2 * ANSWERS + 2)
-    ids = near.join(one, "v").select("node", "vec_id").distinct()
-    # an id that repeats with other vectors must not give two nodes the same number
-    clash = one.groupBy("node").agg(F.min("v").alias("v"))
-    return cut(clash.select("node", "v")), ids
+    return numbered, near.join(numbered, "v").select("node", "vec_id")
+
+
+class Tables:
+    """Tables bucketed by a key, as joins want them, so they aren't shuffled again; under the shared folder, and removed in the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+        self.folder = f"{shared_folder(spark)}/neighbours-{uuid.uuid4().hex}"
 
+    def add(self, df: DataFrame, key: str) -> DataFrame:
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"quire_{uuid.uuid4().hex}"
+        self.names.append(name)
+        df.repartition(n, key).write.bucketBy(n, key).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return self.spark.table(name)
 
-def _bucketed(df: DataFrame, key: str) -> str:
-    """The name of a table that holds `df` by hash of `key`, as joins want it, so it isn't shuffled again."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    name = f"quire_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).saveAsTable(name)
-    return name
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_folder(self.spark, self.folder)
 
 
 def leaves(points: DataFrame, parts: int) -> DataFrame:
@@ -102,8 +117,8 @@ def leaves(points: DataFrame, parts: int) -> DataFrame:
     the sort over all tasks, by projection on its direction; the others are made within a partition."""
 
     def project(batches):
-        for b in batches:
-            unit = _unit(b.column("v").to_pylist()) if b.num_rows else np.empty((0, 1))
+        for b in pieces(batches):
+            unit = _unit(b.column("v").to_pylist())
             for t in range(TREES):
                 direction = np.random.default_rng(SEED + 10 * t).normal(size=unit.shape[1])
                 yield _batch("t p node v", np.full(b.num_rows, t, np.int32), unit @ direction, b.column("node"), b.column("v"))
@@ -137,9 +152,12 @@ GRAPH = "u long, w long, s float, least float"
 
 def _kept(batches):
     """The K best edges of each node, with the worst similarity it keeps (NONE while it has room)."""
-    for u, w, s in whole_groups(batches):
-        i = best(u, w, s, K)
-        u, w, s = u[i], w[i], s[i]
+
+    def reduce(rows):
+        i = best(*rows, K)
+        return [x[i] for x in rows]
+
+    for u, w, s in reduced_groups(batches, reduce):
         start = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
         size = np.diff(np.append(start, len(u)))
         yield _batch("u w s least", u, w, s, np.repeat(np.where(size >= K, np.minimum.reduceat(s, start), np.float32(NONE)), size))
@@ -153,10 +171,15 @@ def kept(edges: DataFrame) -> DataFrame:
 def _members(batches):
     """Of each node, its neighbours and its K nearest reverse neighbours, each once; `least` is a member's worst kept similarity,
     where its own row has told it."""
-    for v, m, s, least, reverse in whole_groups(batches):
+
+    def reduce(rows):
+        v, m, s, _, reverse = rows
         back = np.flatnonzero(reverse == 1)
-        rows = np.concatenate([back[best(v[back], m[back], s[back], K)], np.flatnonzero(reverse == 0)])
-        v, m, least = v[rows], m[rows], least[rows]
+        i = np.concatenate([back[best(v[back], m[back], s[back], K)], np.flatnonzero(reverse == 0)])
+        i = i[np.argsort(v[i], kind="stable")]
+        return [x[i] for x in rows]
+
+    for v, m, _, least, _ in reduced_groups(batches, reduce):
         order = np.lexsort((-least, m, v))
         first = np.append(True, (v[order][1:] != v[order][:-1]) | (m[order][1:] != m[order][:-1]))
         i = order[first]
@@ -203,8 +226,8 @@ def descend(points: DataFrame, near: DataFrame, iterations: int = ITERATIONS) ->
     return graph
 
 
-def _index(graph: DataFrame, points: DataFrame) -> str:
-    """The name of a table bucketed by v: ids and vectors of the surroundings of v."""
+def _index(graph: DataFrame, points: DataFrame, tables: Tables) -> DataFrame:
+    """A table bucketed by v: ids and vectors of the surroundings of v."""
 
     def run(batches):
         for v, m, x, _ in whole_groups(batches):
@@ -214,7 +237,7 @@ def _index(graph: DataFrame, points: DataFrame) -> str:
             vs = [b"".join(x[a:b]) for a, b in zip(start, ends, strict=True)]
             yield _batch("v ids xs", v[start], pa.array(ids, pa.binary()), pa.array(vs, pa.binary()))
 
-    return _bucketed(_around(graph, points).repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, ids binary, xs binary"), "v")
+    return tables.add(_around(graph, points).repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, ids binary, xs binary"), "v")
 
 
 STATE = "q long, node long, s float, done int, least float, qx binary"
@@ -255,49 +278,43 @@ def _beam(batches):
         yield _batch("q node s done least qx", q, node, s, done, least, pa.array([vector[int(k)] for k in q], pa.binary()))
 
 
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, tables: Tables) -> DataFrame:
     """(q, node, s): the BEAM best nodes found for each query node of `queries` (q), itself among them."""
-    spark = points.sparkSession
-    table = _index(graph, points)
+    index = _index(graph, points, tables)
     start = queries.join(points.select(F.col("node").alias("q"), F.col("v").alias("qx")), "q")
     state = cut(start.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("s"), F.lit(1).alias("done"), F.lit(NONE).cast("float").alias("least"), "qx"))
-    for _ in range(MOST_ROUNDS):
-        front = state.filter("done = 1")
-        if front.isEmpty():
-            break
-        asked = front.join(spark.table(table), F.col("node") == F.col("v")).select("q", "least", "qx", "ids", "xs")
+    while not (front := state.filter("done = 1")).isEmpty():
+        asked = front.join(index, F.col("node") == F.col("v")).select("q", "least", "qx", "ids", "xs")
         state = cut(_streamed(state.union(asked.mapInArrow(_expand, STATE)), "q", _beam, STATE))
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
     return state.select("q", "node", "s")
 
 
+def _exact(batches):
+    """Cosines in double precision of the original vectors; of equal ones exactly 1."""
+    for b in pieces(batches):
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<f4").reshape(b.num_rows, -1).astype(np.float64) for c in ("v", "qv"))
+        s = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        yield _batch("q node score", b.column("q"), b.column("node"), np.where((x == y).all(1), 1.0, s))
+
+
 def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest vectors found for each row whose vec_id is divisible by `every`."""
-    points, ids = nodes(bounded(vectors))
+    points, ids = nodes(vectors)
     own = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
 
     def pack_(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [(i, (np.array(e, "<f4") + np.float32(0)).tobytes()) for i, e in zip(b.column("query_id").to_pylist(), b.column("embedding").to_pylist(), strict=True) if e and None not in e]
             yield _batch("query_id v", pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()))
 
     asked = cut(own.mapInArrow(pack_, "query_id long, v binary").distinct().join(points.select("v", "node"), "v").select("query_id", F.col("node").alias("q")))
-    table = _bucketed(points, "node")
-    near = vectors.sparkSession.table(table)
-    found = search(descend(points, near), near, asked.select("q").distinct())
-    vectors.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    with Tables(vectors.sparkSession) as tables:
+        near = tables.add(points, "node")
+        found = search(descend(points, near), near, asked.select("q").distinct(), tables)
     v = points.select("node", "v")
     both = found.join(v, "node").join(v.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
-
-    def exact(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<f4").reshape(b.num_rows, -1).astype(np.float64) for c in ("v", "qv"))
-                s = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-                yield _batch("q node score", b.column("q"), b.column("node"), np.where((x == y).all(1), 1.0, s))
-
-    scored = both.select("q", "node", "v", "qv").mapInArrow(exact, "q long, node long, score double")
-    rows = asked.join(scored, "q").join(ids, "node").filter("vec_id <> query_id")
+    scored = both.select("q", "node", "v", "qv").mapInArrow(_exact, "q long, node long, score double")
+    rows = asked.join(scored, "q").join(ids, "node").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= answers).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import cut, pieces
 
 WINDOW, FINAL_ID = 2048, 1
 SHARD_DOCS = 1500
@@ -188,7 +188,7 @@ def split_windows(path: str, shards: int):
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
 
-        for b in batches:
+        for b in pieces(batches):
             for at in range(0, b.num_rows, 1000):
                 rows, some = [], b.slice(at, 1000)
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), ids_of.of(some.column("text").to_pylist()), strict=True):
@@ -301,7 +301,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS)
     path = path or default_vocabulary()
     shards = max(1, -(-docs.count() // shard_docs))
     dealt = cut(
-        bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             split_windows(path, shards), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard int, ids binary"
         )
     )

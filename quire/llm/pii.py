@@ -3,14 +3,18 @@
 An Aho-Corasick automaton passes once over each whole text and finds anchors: at-signs, plus signs, digits, URL schemes and
 the words that introduce identifiers. Local parsers then expand each anchor to its boundaries and validate what they find;
 text without anchors costs no more than that pass. Parsers resume where their last match ended, so their matches are the
-leftmost non-overlapping ones of the stated patterns, failing matches included, and the work is linear in the text.
+leftmost non-overlapping ones of the stated patterns, failing matches included. No character is looked at more than a bounded
+number of times: runs between anchors don't overlap, what may be repeated freely in a pattern is bounded, and a run of
+characters that a secret may have is measured once for all cues inside it. So the work is linear in the text.
 
 Base kinds: email, ip, card, phone. The method adds: account (a stand-alone number of card length that fails the card check),
 iban (valid by remainder 97), secret (the value after a token, key or password cue, or a cloud key id) and login (user and
 password inside a URL).
 
-Defined results: a null or empty text has no spans; repeated rows and ids are treated one by one; an empty table gives an
-empty result; columns beyond doc_id and text are not read. Offsets count code points, ends are exclusive."""
+Defined results: a null or empty text has no spans; a null doc_id stays null; repeated rows and ids are treated one by one; an
+empty table gives an empty result; columns beyond doc_id and text are not read, and `redacted` carries them along, whatever their
+names. A very long text is scanned whole, in one row. Spans of different kinds may overlap; of one kind they don't, and those
+with the same start are listed by kind, then end. Offsets count code points, ends are exclusive."""
 
 from __future__ import annotations
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded
+from .common import pieces
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "iban", "secret", "login")
@@ -31,9 +35,11 @@ SECRET_CUES = ("token", "secret", "api_key", "api-key", "apikey", "api key", "ac
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SECRET_VALUE = re.compile(r"[\"']?[ \t]*[:= ][ \t]*[\"']?([A-Za-z0-9+/_.=-]{16,})")
+SECRET_START = re.compile(r"[\"']?[ \t]{0,8}[:= ][ \t]{0,8}[\"']?(?=[A-Za-z0-9+/_.=-])")
+SECRET_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+SECRET_LEAST = 16
 CLOUD_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-IBAN = re.compile(r"[ \t:#.]*(?:number|no\.?|nr\.?)?[ \t:#]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])", re.I)
+IBAN = re.compile(r"[ \t:#.]{0,8}(?:number|no\.?|nr\.?)?[ \t:#]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])", re.I | re.A)
 LOGIN = re.compile(r"([^\s/@:\"'<>]+:[^\s/@\"'<>]+)@")
 
 _automaton = None
@@ -145,6 +151,33 @@ def _iban_valid(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _outside(places: list[int], spans: list[tuple[int, int]]) -> Iterator[int]:
+    """Those of `places` that lie in none of `spans`; both in order."""
+    k = 0
+    for p in places:
+        while k < len(spans) and spans[k][1] <= p:
+            k += 1
+        if k == len(spans) or p < spans[k][0]:
+            yield p
+
+
+def _secrets(text: str, cues: list[int]) -> Iterator[tuple[int, int]]:
+    """Values behind cues (places of their ends): long enough, with letters and digits. Runs of value characters are measured
+    once: any value in a run ends where the run does, and holds the run's last letter or digit if that stands behind its start."""
+    end = low = high = letter = digit = 0
+    for p in cues:
+        if p < end or not (m := SECRET_START.match(text, p)):
+            continue
+        start = m.end()
+        if not low <= start < high:
+            low, high = start, SECRET_RUN.match(text, start).end()
+            letter = max((i for i in range(low, high) if text[i].isalpha()), default=-1)
+            digit = max((i for i in range(low, high) if text[i].isdigit()), default=-1)
+        if high - start >= SECRET_LEAST and letter >= start and digit >= start:
+            end = high
+            yield start, end
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data, by start, then kind as in KINDS."""
     if not text:
@@ -158,13 +191,8 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     out += [("card", *x) for x in _cards(text, runs)]
     out += [("phone", *x) for x in _phones(text, at["plus"])]
     taken = {s for k, s, _ in out if k == "card"}
-    end = 0
-    for p in sorted(set(at["secret"])):
-        if p >= end and (m := SECRET_VALUE.match(text, p)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
-            end = m.end(1)
-            out.append(("secret", m.start(1), end))
-    secrets = [(s, e) for k, s, e in out if k == "secret"]
-    out += [("secret", p, m.end()) for p in at["cloud"] if (m := CLOUD_KEY.match(text, p)) and not any(s <= p < e for s, e in secrets)]
+    out += [("secret", *x) for x in _secrets(text, sorted(set(at["secret"])))]
+    out += [("secret", p, m.end()) for p in _outside(at["cloud"], [x[1:] for x in out if x[0] == "secret"]) if (m := CLOUD_KEY.match(text, p))]
     out += [("iban", m.start(1), m.end(1)) for p in at["iban"] if (m := IBAN.match(text, p)) and _iban_valid(m[1])]
     out += [("account", s, e) for s, e in _accounts(text, runs) if s not in taken]
     out += [("login", m.start(1), m.end(1)) for p in at["scheme"] if (m := LOGIN.match(text, p))]
@@ -196,7 +224,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def _find(batches):
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for t in b.column("text"):
             spans = spans_of(t.as_py())
@@ -209,7 +237,7 @@ def _find(batches):
 
 def find(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans, for each row of `docs`."""
-    return bounded(docs).select("doc_id", "text").mapInArrow(_find, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_find, SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -217,7 +245,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at, length = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = [redact(t.as_py()) for t in b.column(at)]
             arrays = [b.column(i) for i in range(b.num_columns)]
             arrays[at] = pa.array(texts, b.column(at).type)
@@ -225,7 +253,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 arrays[length] = pa.array([None if t is None else len(t) for t in texts], b.column(length).type)
             yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

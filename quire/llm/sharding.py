@@ -9,9 +9,10 @@ at most (law `rows`).
 Ranks come without a task that holds a whole source or the whole table: rows are counted by hash bucket, bucket counts are
 summed up in order, and rows are ranked within their bucket only, which holds about `per_bucket` rows however large a source is.
 
-Defined results: a null text has size 16 and crc 0; a null source is a source of its own; rows that are equal in everything
-are ordered arbitrarily among themselves, which gives the same result. An empty table gives an empty result. Columns beyond
-doc_id, text and source are not read."""
+Defined results: a null text has size 16 and crc 0; a null source is a source of its own; a null doc_id counts as empty. Rows
+that share a doc_id, or have none, are told apart by their texts' crc in the shuffle; rows that are equal in everything are
+ordered arbitrarily among themselves, which gives the same result. A very long text is one row. An empty table gives an empty
+result. Columns beyond doc_id, text and source are not read."""
 
 from __future__ import annotations
 
@@ -32,8 +33,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, per_bucket:
             "doc_id", "source",
             (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            unit_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit(""))).alias("_u"),
-        )
+        ).withColumn("_u", unit_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.col("text_crc32")))
     )
     sizes = slim.groupBy("source").agg(F.count("*").alias("_n")).select(F.col("source").alias("_s"), "_n")
     total = slim.count()
@@ -60,10 +60,11 @@ def oracle() -> str:
     step = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
     return f"""
 WITH tab AS (SELECT list(list_reduce(list_prepend(n, range(0, 8)), lambda c, i: {step}) ORDER BY n) AS t FROM (SELECT unnest(range(0, 256)) AS n)),
-d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, md5(concat_ws(':', '{SEED}', doc_id::VARCHAR, coalesce(source, ''))) AS h FROM documents),
-e AS (SELECT doc_id, source, (length(x) // 2 + {ROW_OVERHEAD})::BIGINT AS size, ('0x' || h[1:13])::BIGINT AS u,
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, source, (length(x) // 2 + {ROW_OVERHEAD})::BIGINT AS size,
   xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
     lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))::BIGINT AS text_crc32 FROM d, tab),
+e AS (SELECT *, ('0x' || md5(concat_ws(':', '{SEED}', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), text_crc32::VARCHAR))[1:13])::BIGINT AS u FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id) - 1 AS rk, count(*) OVER (PARTITION BY source) AS n FROM e),
 o AS (SELECT *, row_number() OVER (ORDER BY (rk + ('0x' || md5(concat_ws(':', '{SEED}', 'phase', coalesce(source, '')))[1:13])::BIGINT / {float(2**52)!r}::DOUBLE) / n, source, rk) - 1 AS pos, count(*) OVER () AS total FROM r),
 s AS (SELECT *, (pos * {SHARDS} // total)::INTEGER AS shard FROM o)

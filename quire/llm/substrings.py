@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, whole_groups
+from .common import cut, whole_groups
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -359,7 +359,7 @@ def _sorted_windows(docs: DataFrame, bloom: np.ndarray, hot: np.ndarray) -> Data
 def removed(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `docs`."""
     big = F.lit(2**63 - 1)
-    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), big).alias("d"), F.monotonically_increasing_id().alias("r"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), big).alias("d"), F.monotonically_increasing_id().alias("r"), "text")
     sliced = own.select("r", "d", "text")
     found = sliced.mapInArrow(_blocks, "f long, c long, d long, r long, at long").repartition("f").sortWithinPartitions("f", "c", "d", "r", "at")
     marked = cut(found.select("f", "c", "r", "at").mapInArrow(_equal_blocks, "f long, r long, lo long, hi long, kind long"))
