@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,18 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             at += n
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Holds the session's Arrow batches to BATCH_BYTES while jobs run inside; what it was before is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def reduced_groups(batches: Iterable[pa.RecordBatch], reduce: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
     """The columns, sorted by the first, as arrays that hold whole groups of it, each group reduced. `reduce` keeps some rows of
     each group, and the same of what it kept before and of what follows, so a group of any size takes the memory of what it keeps."""

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, reduced_groups, remove_folder, shared_folder, whole_groups
+from .common import cut, pieces, reduced_groups, remove_folder, shared_folder, small_batches, whole_groups
 
 K, ITERATIONS, OFFERS = 24, 5, 6
 LEAF, TREES, PART_NODES = 256, 3, 8000
-BEAM, STEP = 400, 64
+BEAM, STEP = 400, 128
 ANSWERS, SEED = 5, 11
 NONE = -3.0  # below any similarity
 
@@ -83,10 +83,15 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             flat = flat + np.float32(0)  # no negative zeros, so equal vectors have equal bytes
             yield _batch("vec_id v", b.column("vec_id"), pa.array([x.tobytes() for x in flat], pa.binary()))
 
-    packed = cut(ok.filter(F.size("embedding") == (size["d"] if size else 0)).mapInArrow(run, "vec_id long, v binary").distinct())
-    least = packed.groupBy("v").agg(F.min("vec_id").alias("least"))
-    numbered = cut(least.orderBy("least", "v").select(F.monotonically_increasing_id().alias("node"), "v"))  # written once, so the numbers stay
-    near = packed.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= 2 * ANSWERS + 2)
+    packed = ok.filter(F.size("embedding") == (size["d"] if size else 0)).mapInArrow(run, "vec_id long, v binary").distinct()
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    near = cut(packed.withColumn("r", first).filter(F.col("r") <= 2 * ANSWERS + 2))
+    # Written once, so the numbers stay; then made dense, which small numbers of partitions do.
+    numbered = cut(near.filter("r = 1").orderBy("vec_id", "v").select(F.monotonically_increasing_id().alias("n"), "v"))
+    part, within = F.shiftright("n", 33).cast("int"), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["p"]: r["count"] for r in numbered.groupBy(part.alias("p")).count().collect()}
+    before = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0)))])
+    numbered = numbered.select((F.get(F.array(*[F.lit(int(x)) for x in before]), part) + within).cast("long").alias("node"), "v")
     return numbered, near.join(numbered, "v").select("node", "vec_id")
 
 
@@ -308,7 +313,7 @@ def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> Data
             yield _batch("query_id v", pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()))
 
     asked = cut(own.mapInArrow(pack_, "query_id long, v binary").distinct().join(points.select("v", "node"), "v").select("query_id", F.col("node").alias("q")))
-    with Tables(vectors.sparkSession) as tables:
+    with small_batches(vectors.sparkSession), Tables(vectors.sparkSession) as tables:
         near = tables.add(points, "node")
         found = search(descend(points, near), near, asked.select("q").distinct(), tables)
     v = points.select("node", "v")

@@ -1,17 +1,21 @@
 """Lexical retrieval packing.
 
-Texts become token ids. Whole windows of a document are sequences of their own; what remains of each document, less than a
-window, is dealt into shards of bounded size. Each shard builds a BM25 inverted index of its remainders, with document
-frequencies and lengths counted over the whole corpus. The longest unused remainder seeds a sequence; its unused neighbours
-in the index, best first, fill the window: of the NEIGHBOURS best those that fit whole, then the best other one, cut to what
-is missing, then the others down the ranking. Every sequence but a shard's last is full, and each id lies in exactly one piece.
-
-A seed meets only its own shard: documents are dealt at random, and their neighbours in other shards are not retrieved (see
-README).
-
-Defined results: a null or empty text is its final id alone. Repeated rows and ids are packed one by one (shards are dealt
-by id and place in the input, so no repeated id can fill a shard). An empty table gives an empty result. Columns beyond
-doc_id and text are not read. The vocabulary file's path is a parameter; tokens are those of the file's tokenizer."""
+Texts become token ids. Whole windows of a document are sequences of their own, finished where they are read; what remains of
+each document, less than a window, is dealt into shards of bounded size. Each shard builds a BM25 inverted index of its
+remainders, with document frequencies and lengths counted over the whole corpus. The longest unused remainder seeds a sequence;
+its unused neighbours in the index, best first, fill the window: of the NEIGHBOURS best those that fit whole, then the best other
+one, cut to what is missing, then the others down the ranking. Every sequence but a shard's last is full, and each id lies in
+exactly one piece.
+
+Documents are dealt by what they are about: each is put in order by its lead terms, drawn by weighted min-hashing of its BM25
+weights with the same clocks everywhere, so documents that share heavy terms come to stand side by side, and consecutive ones
+make a shard. A seed meets only its own shard; README has the share of true neighbours that it meets there. A group of copies of
+any size is cut into as many shards as it fills.
+
+Defined results: a null or empty text is its final id alone. Repeated rows and ids, and rows without an id, are packed one by
+one. Ties of scores go to the earlier document of the shard's order. A very long text is whole windows and one remainder. An
+empty table gives an empty result. Columns beyond doc_id and text are not read. The vocabulary file's path is a parameter;
+tokens are those of the file's tokenizer."""
 
 from __future__ import annotations
 
@@ -20,17 +24,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Bpe, Table
 from .common import cut, pieces
 
 WINDOW, FINAL_ID = 2048, 1
-SHARD_DOCS = 1500
+SHARD_DOCS, SHARDS_IN_PART = 1500, 2
+LEADS, SEED = 3, 5
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-CACHE_PARTS, CACHE_LENGTH = 150_000, 1000  # two generations of so many parts, about 250 bytes each
-ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
+TABLE_BITS, MOST_UNITS = 21, 1_000_000  # some 60 MB; beyond it, a task starts anew with an empty table
 
 
 def default_vocabulary() -> str:
@@ -49,109 +55,156 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: ASCII marks that may end a word; the tokenizer always splits between letters and such marks (an apostrophe excepted).
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class Parts(dict):
-    """Parts of texts between white space -> their place in `values`; new ones are put down to be encoded together. Parts beyond
-    the Latin letters may mix letters and marks under the tokenizer's normalisation, and are encoded one by one.
-
-    A word with marks behind it is its letters, in lower case where that is plain, and its marks, so few of the parts need
-    the tokenizer."""
-
-    def __init__(self, old: Parts | None = None):
-        """old: the generation before; what is asked for again moves from there, the rest goes with it."""
-        super().__init__()
-        self.old = {} if old is None else old
-        self.values: list[bytes] = []
-        self.words: list[tuple[int, str]] = []  # letters alone
-        self.plain: list[tuple[int, str]] = []  # others that keep their offsets
-        self.other: list[tuple[int, str]] = []
-        self.joined: list[tuple[int, int, int]] = []
-
-    def __missing__(self, c: str) -> int:
-        i = self[c] = len(self.values)
-        if c in self.old:
-            self.values.append(self.old.values[self.old[c]])
-            return i
-        self.values.append(b"")
-        simple = c.isascii() or (max(c) < "\u0250" and "\u0130" not in c)
-        if not simple or len(c) > CACHE_LENGTH:
-            self.other.append((i, c))
-            return i
-        letters = c.rstrip(MARKS)
-        if not letters.isalpha():
-            self.plain.append((i, c))
-            return i
-        lower = letters.lower() if letters.isascii() else letters
-        if lower == c:
-            self.words.append((i, c))
-        else:
-            self.joined.append((i, self[lower], self[c[len(letters) :]] if len(letters) < len(c) else -1))
-        return i
+#: Kinds of bytes: white space, letters (of ASCII, and those that UTF-8 writes with 0xC3), digits, other marks.
+SPACE, LETTER, DIGIT, MARK = range(4)
+KIND = np.full(256, MARK, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND[[*range(97, 123), *range(128, 192), 0xC3]] = LETTER
+KIND[48:58] = DIGIT
+#: Bytes beyond that alphabet, and the apostrophe, whose part of a text is left to the tokenizer.
+ODD = np.zeros(256, bool)
+ODD[[39, *range(192, 256)]] = True
+ODD[0xC3] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Units up to this length are compared by a hash of 8 bytes at a time.
+UNIT = 64
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _after(x: np.ndarray) -> np.ndarray:
+    """What stands behind each place; False behind the last."""
+    return np.append(x[1:], False)
+
+
+def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, odd) of the stretches of a text that are encoded by themselves: runs of letters, single
+    digits, runs of marks; or, odd, whole parts between white space, where they hold anything but plain letters and marks."""
+    low = LOWER[raw]
+    wide = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    second = raw[wide]
+    low[wide[(second < 0x9F) & (second != 0x97)]] += 32
+    kind = KIND[low]
+    full = kind != SPACE
+    before = np.append(False, full[:-1])
+    start = full & (np.append(True, kind[1:] != kind[:-1]) | (kind == DIGIT))
+    strange = np.concatenate([np.flatnonzero(ODD[raw]), wide[(second == 0x97) | (second == 0xB7)], np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))])
+    first = np.empty(0, np.int64)
+    if len(strange):
+        part, end = np.flatnonzero(full & ~before), np.flatnonzero(full & ~_after(full)) + 1
+        which = np.unique(np.searchsorted(part, strange, "right") - 1)
+        first = part[which]
+        starts = np.flatnonzero(start)
+        a, z = np.searchsorted(starts, first) + 1, np.searchsorted(starts, end[which])
+        inside = np.arange((z - a).sum()) + np.repeat(a - (np.cumsum(z - a) - (z - a)), z - a)
+        start[starts[inside]] = False
+    last = full & (~_after(full) | _after(start))
+    starts, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
+    odd = np.zeros(len(starts), bool)
+    odd[np.searchsorted(starts, first)] = True
+    return low, starts, ends, odd
+
+
+def keys_of(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes, never 0, of the stretches."""
+    size = ends - starts
+    padded = np.concatenate([bytes_, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(bytes_) + 1,), (1,))
+    h = _mix(size.astype(np.uint64) + np.uint64(1))
+    rows = np.arange(len(starts))
+    for k in range(0, UNIT, 8):
+        rows = rows[size[rows] > k]
+        if not len(rows):
+            break
+        left = np.minimum(size[rows] - k, 8)
+        x = eight[starts[rows] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        h[rows] = _mix(h[rows] ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    for i in np.flatnonzero(size > UNIT):
+        h[i] = xxhash.xxh64_intdigest(bytes_[starts[i] : ends[i]].tobytes())
+    return h | np.uint64(1)
 
 
 class Ids:
     """Token ids, little-endian and 16-bit where the vocabulary allows it.
 
-    No token crosses white space, so the ids of the parts between white space are kept (a bounded cache) and joined. New parts
-    of a batch are encoded in one call and told apart by their offsets. Texts with separators on which Python and the
-    tokenizer differ are encoded by themselves."""
+    No token crosses white space or the bounds of letters, digits and marks, so texts are cut there, equal stretches (told by a
+    64-bit hash) are encoded once, and their ids are kept in a table of bounded size. The tokenizer itself encodes what isn't plain,
+    and everything if its vocabulary or its rules are of another kind."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.bpe = _tokenizer(path), Bpe(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.parts = Parts()
-        self.ends = np.zeros(1 << 16 if self.kind == "<u2" else self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.clear()
+        self.fast = self.bpe.whole and self.kind == "<u2"
+        sample = ["ABC'S don't x1½2² l'été ÆØßÀÞ ¿Qué? a_b--c#d 'tis ÿŒŵĿȺɏ ª3º 12,5% <|endoftext|> <|x İ \x1c\x85.", "".join(map(chr, range(33, 0x250))), *map(chr, range(0x250))]
+        self.fast = self.fast and all(x.tobytes() == self._whole(t) for x, t in zip(self.of(sample), sample, strict=True))
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.n, self.used = Table(TABLE_BITS), 0, 0
+        self.at, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint16)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _together(self, parts: list[tuple[int, str]]) -> None:
-        """Ids of parts in one call; a word's last token tells that it ends one, other parts are told apart by offsets."""
-        values = self.parts.values
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            e = self.tokenizer.encode(" ".join([c for _, c in some]), add_special_tokens=False)
-            ids = np.array(e.ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1 if parts is self.parts.words else ()
-            if len(cuts) != len(some):
-                edges = np.cumsum([len(c) + 1 for _, c in some])
-                cuts = np.searchsorted(np.array(e.offsets).reshape(-1, 2)[:, 0], edges)
-            whole, x, size = ids.tobytes(), 0, ids.itemsize
-            for (i, _), y in zip(some, (cuts * size).tolist(), strict=True):
-                values[i] = whole[x:y]
-                x = y
-
-    def _learn(self) -> None:
-        """Ids of the new parts."""
-        values = self.parts.values
-        self._together(self.parts.words)
-        self._together(self.parts.plain)
-        for (i, _), e in zip(self.parts.other, self.tokenizer.encode_batch([c for _, c in self.parts.other], add_special_tokens=False), strict=True):
-            values[i] = np.array(e.ids, self.kind).tobytes()
-        for i, x, y in self.parts.joined:
-            values[i] = values[x] + (values[y] if y >= 0 else b"")
-        self.parts.words, self.parts.plain, self.parts.other, self.parts.joined = [], [], [], []
+    def _keep(self, places: np.ndarray, ids: np.ndarray, size: np.ndarray | int) -> None:
+        """`ids`, one behind the other, as those of the units at `places`."""
+        size = np.broadcast_to(size, len(places))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.at[places], self.size[places] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, raw: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, keys: np.ndarray) -> None:
+        """Ids of new units."""
+        while self.n + len(keys) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        places, size = self.n + np.arange(len(keys)), ends - starts
+        self.n += len(keys)
+        self.table.add(keys, places.astype(np.int32))
+        here = np.flatnonzero(~odd & (size <= UNIT))
+        for n in np.unique(size[here]).tolist():
+            rows = here[size[here] == n]
+            for k, ids in self.bpe.encode(low[starts[rows][:, None] + np.arange(n)]):
+                self._keep(places[rows[k]], ids.ravel(), ids.shape[1])
+        there = np.flatnonzero(odd | (size > UNIT))
+        for at in range(0, len(there), 1000):
+            some = there[at : at + 1000]
+            texts = [raw[starts[i] : ends[i]].tobytes().decode("utf-8", "surrogatepass") for i in some]
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            self._keep(places[some], np.array([i for f in found for i in f], np.uint16), np.fromiter(map(len, found), np.int64, len(found)))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = self.parts
-        found: list = []
-        for t in texts:
-            if t and any(c in t for c in ODD_SPACES):
-                found.append(self._whole(t))
-            else:
-                found.append(list(map(parts.__getitem__, t.split())) if t else [])
-        long = any(len(c) > CACHE_LENGTH for _, c in parts.other)
-        self._learn()
-        value = parts.values.__getitem__
-        out = [np.frombuffer(f if isinstance(f, bytes) else b"".join(map(value, f)), self.kind) for f in found]
-        if long or len(parts) > CACHE_PARTS:
-            parts.old = {}
-            self.parts = Parts(None if long else parts)
-        return out
+        if not self.fast:
+            return [np.frombuffer(self._whole(t) if t else b"", self.kind) for t in texts]
+        if self.n > MOST_UNITS or self.used > 16 * MOST_UNITS:
+            self.clear()
+        whole = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"\n".join(whole) + b"\n", np.uint8)
+        low, starts, ends, odd = units(raw)
+        keys = keys_of(low, starts, ends)
+        if odd.any():  # the tokenizer's own marks depend on the case of letters
+            keys[odd] = keys_of(raw, starts[odd], ends[odd])
+        places = self.table.find(keys)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            new = new[np.unique(keys[new], return_index=True)[1]]
+            for i in range(0, len(new), 50_000):
+                some = new[i : i + 50_000]
+                self._learn(raw, low, starts[some], ends[some], odd[some], keys[some])
+            places = self.table.find(keys)
+        size = self.size[places]
+        total = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.repeat(self.at[places] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        edges = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in whole]))  # units before each text's end
+        cuts = np.append(0, total)[edges]
+        return [ids[a:z] for a, z in zip(np.append(0, cuts[:-1]), cuts, strict=True)]
 
 
 @cache
@@ -175,53 +228,70 @@ def _pieces_schema():
     return [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
-def split_windows(path: str, shards: int):
-    """Rows for the shuffle: whole windows as finished pieces (ids null) and remainders with their ids. A task's last row (shard
-    -1) holds its document frequencies of every token, with the number of its rows and the length of its remainders."""
+def _rows(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, names, strict=True)], names=[x for x, _ in names])
 
-    def run(batches):
-        ids_of, part, n, rest = ids_by(path), _partition(), 0, 0
-        df = np.zeros(max(_tokenizer(path).get_vocab_size(), FINAL_ID + 1), np.int64)
-        kinds = [*_pieces_schema(), ("shard", pa.int32()), ("ids", pa.binary())]
 
-        def batch(rows):
-            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
+def split_windows(path: str):
+    """Whole windows as finished pieces, each a sequence with an odd number (ids null), and remainders with their ids. A task's last row (doc_tokens
+    null) holds its document frequencies of every token, with the number of its rows and the length of its remainders."""
 
+    def run(batches):
+        ids_of, part, n, rest, sequence = ids_by(path), _partition(), 0, 0, 0
+        df = np.zeros(max(_tokenizer(path).get_vocab_size(), FINAL_ID + 1), np.int64)
+        kinds = [*_pieces_schema(), ("ids", pa.binary())]
         for b in pieces(batches):
-            for at in range(0, b.num_rows, 1000):
-                rows, some = [], b.slice(at, 1000)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), ids_of.of(some.column("text").to_pylist()), strict=True):
-                    df[np.unique(ids)] += 1
-                    ids = np.append(ids, ids.dtype.type(FINAL_ID))
-                    total, whole = len(ids), len(ids) // WINDOW * WINDOW
-                    n, rest = n + 1, rest + total - whole
-                    shard = zlib.crc32(f"{doc_id}:{part}:{n}".encode()) % shards
-                    for s in range(0, whole, WINDOW):
-                        rows.append((doc_id, s, WINDOW, _crc(ids[s : s + WINDOW]), total, None, None, shard, None))
-                    if whole < total:
-                        rows.append((doc_id, whole, total - whole, None, total, None, None, shard, ids[whole:].tobytes()))
-                yield batch(rows)
-        yield batch([(None, n, rest, None, None, None, None, -1, df.astype("<i8").tobytes())])
+            rows = []
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), ids_of.of(b.column("text").to_pylist()), strict=True):
+                df[np.unique(ids)] += 1
+                ids = np.append(ids, ids.dtype.type(FINAL_ID))
+                total, whole = len(ids), len(ids) // WINDOW * WINDOW
+                n, rest = n + 1, rest + total - whole
+                for s in range(0, whole, WINDOW):
+                    rows.append((doc_id, s, WINDOW, _crc(ids[s : s + WINDOW]), total, 2 * ((part << 36) + sequence) + 1, 0, None))
+                    sequence += 1
+                if whole < total:
+                    rows.append((doc_id, whole, total - whole, None, total, None, None, ids[whole:].tobytes()))
+            yield _rows(kinds, rows)
+        yield _rows(kinds, [(None, n, rest, None, None, None, None, df.astype("<i8").tobytes())])
 
     return run
 
 
+class Weights:
+    """BM25 weights of a document's terms by corpus-wide document frequencies, and the terms that it is dealt by."""
+
+    def __init__(self, idf: np.ndarray, mean_length: float):
+        self.idf, self.mean = idf, mean_length
+        self.clocks = np.random.default_rng(SEED).exponential(size=len(idf))
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t, tf = np.unique(ids, return_counts=True)
+        return t, self.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+
+    def leads(self, ids: np.ndarray) -> list[int]:
+        """The LEADS terms whose clocks, as fast as the squares of their weights, ring first: two documents have the first in common
+        with a probability that grows with the weight of the terms they share."""
+        t, w = self.of(ids)
+        first = t[np.argsort(self.clocks[t] / np.maximum(w, 1e-9) ** 2, kind="stable")[:LEADS]].tolist()
+        return first + [-1] * (LEADS - len(first))
+
+
 class Bm25:
-    """An inverted index of one shard's remainders, with corpus-wide document frequencies."""
+    """An inverted index of one shard's remainders."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owners, weights = [], [], []
+    def __init__(self, docs: list[np.ndarray], weights: Weights):
+        terms, owners, values = [], [], []
         self.queries = []
         for i, d in enumerate(docs):
-            t, tf = np.unique(d, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean_length))
-            terms.append(t), owners.append(np.full(len(t), i, np.int32)), weights.append(w)
+            t, w = weights.of(d)
+            terms.append(t), owners.append(np.full(len(t), i, np.int32)), values.append(w)
             self.queries.append(t)
         t = np.concatenate(terms)
         order = np.argsort(t, kind="stable")
-        self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(weights)[order]
-        self.begin = np.searchsorted(t[order], np.arange(len(idf) + 1))
+        self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(values)[order]
+        self.begin = np.searchsorted(t[order], np.arange(len(weights.idf) + 1))
         self.size = len(docs)
 
     def scores(self, i: int) -> np.ndarray:
@@ -232,11 +302,11 @@ class Bm25:
         return np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.size)
 
 
-def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], weights: Weights, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start within it, length), each document covered once."""
     if not docs:
         return []
-    index = Bm25(docs, idf, mean_length)
+    index = Bm25(docs, weights)
     begin = np.zeros(len(docs), np.int64)
     left = np.fromiter(map(len, docs), np.int64, len(docs))
     out = []
@@ -287,7 +357,7 @@ def document_frequencies(dealt: DataFrame) -> tuple[np.ndarray, float]:
                 seen = np.flatnonzero(df)
                 yield pa.RecordBatch.from_arrays([pa.array([*seen.tolist(), -1, -2, -3], pa.int32()), pa.array([*df[seen].tolist(), n, rest, 0], pa.int64())], names=["token", "n"])
 
-    rows_of_counts = dealt.filter("shard = -1").select("start", "length", "ids")
+    rows_of_counts = dealt.filter("doc_tokens IS NULL").select("start", "length", "ids")
     counts = {r["token"]: r["n"] for r in rows_of_counts.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     rows, rest, _ = (counts.pop(k, 0) for k in (-1, -2, -3))
     df = np.zeros(1 + max([FINAL_ID, *counts]), np.int64)
@@ -299,37 +369,48 @@ def document_frequencies(dealt: DataFrame) -> tuple[np.ndarray, float]:
 def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or default_vocabulary()
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            split_windows(path, shards), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard int, ids binary"
-        )
-    )
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    dealt = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split_windows(path), f"{columns}, ids binary"))
     kind = "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
-    shared = docs.sparkSession.sparkContext.broadcast(document_frequencies(dealt))  # one number for each token of the vocabulary
-
-    def run(key, table):
-        docs_, meta, out, n = [], [], [], 0
-        shard = key[0].as_py()
-        for b in table.to_batches(max_chunksize=1024):
-            for r in b.to_pylist():
-                if r["ids"] is None:
-                    out.append((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], shard * 2**32 + n, 0))
-                    n += 1
-                else:
-                    meta.append((r["doc_id"], r["start"], r["doc_tokens"], r["ids"]))
-        meta.sort(key=lambda m: (m[0] is None, m[0] or 0, m[1], m[3]))
-        docs_ = [np.frombuffer(m[3], kind) for m in meta]
-        for sequence in fill(docs_, *shared.value):
-            offset = 0
-            for j, s, size in sequence:
-                out.append((meta[j][0], meta[j][1] + s, size, _crc(docs_[j][s : s + size]), meta[j][2], shard * 2**32 + n, offset))
-                offset += size
-            n += 1
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        return pa.table([pa.array(c, k) for c, (_, k) in zip(cols, _pieces_schema(), strict=True)], names=[x for x, _ in _pieces_schema()])
-
-    return dealt.filter("shard >= 0").groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    shared = docs.sparkSession.sparkContext.broadcast(Weights(*document_frequencies(dealt)))  # two numbers for each token of the vocabulary
+
+    def lead(batches):
+        for b in pieces(batches):
+            ids = [np.frombuffer(x.as_buffer(), kind) for x in b.column("ids")]
+            leads = np.array([shared.value.leads(x) for x in ids], np.int32).reshape(-1, LEADS)
+            crc = pa.array([_crc(x) for x in ids], pa.int64())
+            names = [f"lead{i}" for i in range(LEADS)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(leads[:, i]) for i in range(LEADS)), crc, *b.columns], names=[*names, "crc", *b.schema.names])
+
+    def fill_shards(batches):
+        part, sequence, held = _partition() << 36, 0, []
+
+        def shard(size):
+            nonlocal sequence
+            out, own = [], [np.frombuffer(h[3], kind) for h in held[:size]]
+            for s in fill(own, shared.value):
+                offset = 0
+                for j, begin, size in s:
+                    out.append((held[j][0], held[j][1] + begin, size, _crc(own[j][begin : begin + size]), held[j][2], 2 * (part + sequence), offset))
+                    offset += size
+                sequence += 1
+            del held[:size]
+            return _rows(_pieces_schema(), out)
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
+                held.append(row)
+                if len(held) == shard_docs + shard_docs // 2:  # the last one is not too small
+                    yield shard(shard_docs)
+        yield shard(len(held))
+
+    rest = dealt.filter("ids IS NOT NULL AND doc_tokens IS NOT NULL").select("doc_id", "start", "doc_tokens", "ids")
+    leads = ", ".join(f"lead{i} int" for i in range(LEADS))
+    order = [*(f"lead{i}" for i in range(LEADS)), "crc", "doc_id"]
+    known = cut(rest.mapInArrow(lead, f"{leads}, crc long, doc_id long, start long, doc_tokens long, ids binary"))
+    parts = max(1, -(-known.count() // (SHARDS_IN_PART * shard_docs)))
+    filled = known.repartitionByRange(parts, *order).sortWithinPartitions(*order, "start").mapInArrow(fill_shards, columns)
+    return dealt.filter("ids IS NULL").select(filled.columns).union(filled)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

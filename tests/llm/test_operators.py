@@ -109,6 +109,65 @@ def test_components_of_a_long_chain(spark):
     assert {r["u"]: r["label"] for r in graph.components(links).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def test_jaccard_links_rows_without_ids(spark):
+    """A text without an id links to others, and may be the only bridge between two that have one."""
+    w = [f"w{i}" for i in range(200)]
+    texts = {1: w, 2: [*w[:-8], "x1"], None: [*w[:-16], "y1"], 3: [*w[:-26], "z1"], 4: ["other"] * 3}
+    sets = {k: set(zip(*(v[i:] for i in range(5)), strict=False)) for k, v in texts.items()}
+    ok = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert ok(1, 2) and ok(2, None) and ok(None, 3)
+    rows = [(k, " ".join(v)) for k, v in texts.items()]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[None] == 1 and got[4] == 4 and got[3] == (1 if ok(None, 3) else 3)
+    lonely = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert [(r["n_shingles"], r["component_id"]) for r in jaccard.clusters(lonely).collect()] == [(2, None)] * 2
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text, "a"), (2, text, "b"), (2, other, "c"), (None, text, "d"), (5, other, "e"), (5, other, "f"), (6, None, "g"), (7, "", "h"), (8, "", "i"), (1, text, "j"), (None, "alone here", "k"), (None, "alone here", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c string")
+    for name in ("k", "label", "rep", "_key", "h"):
+        df = df.withColumn(name, F.lit(name))
+    got = jaccard.stage(spark, df, "")
+    assert got.columns == df.columns
+    kept = got.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, text), (2, other), (6, None), (7, ""), (8, ""), (None, "alone here")])
+    assert all(r[n] == n for r in kept for n in ("k", "label", "rep", "_key", "h"))
+
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_on_awkward_tables(name, spark, awkward, empty):
+    """Nulls, repeated rows and ids, columns with the names that stages use inside, empty tables."""
+    df = awkward
+    for c in ("lang_pred", "rejected", "n_copies", "mix_key", "_mix_source", "_mix_copies", "_mix_replica", "_mix_order", "k", "rep", "_key", "weight"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = STAGES[name](spark, df, "")
+    assert got.columns == df.columns
+    rows, own = [r.asDict() for r in got.collect()], {(r["doc_id"], r["source"]) for r in df.collect()}
+    assert rows and all((r["doc_id"], r["source"]) in own and r["replica"] == r["score"] == "x" and r["rejected"] == r["_mix_source"] == "mine" for r in rows)
+    if name == "personal_data":
+        assert len(rows) == df.count()
+    blank = STAGES[name](spark, empty, "")
+    assert blank.collect() == [] and blank.columns == empty.columns
+
+
+def test_mixing_tells_rows_without_ids_apart(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "s") for i in range(300)] + [(i, "t", "t") for i in range(300)], "doc_id long, text string, source string")
+    n = Counter(r["text"] for r in mixing.mix(df, output_rows=600).collect() if r["source"] == "s")
+    assert 100 < len(n) < 280 and len(set(n.values())) > 1
+
+
+def test_sharding_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "s") for i in range(400)] + [(7, f"other {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    rows = sharding.assign(df, per_bucket=50).collect()
+    assert Counter(r["shard"] for r in rows) == Counter({s: 20 for s in range(40)})
+    assert max(sum(r["doc_id"] is None for r in rows if r["shard"] == s) for s in range(40)) < 20
+
+
 def test_substrings_equal_brute_force(docs):
     seen, want = set(), {}
     for i, t, *_ in corpus():
@@ -236,6 +295,25 @@ def test_neighbours_of_near_copies(spark):
         assert found >= 0.9 * 100
 
 
+def test_neighbours_of_ids_that_repeat(spark):
+    """An id with several vectors is as near as the nearest of them; one repeated often does not hide its equals."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 12)).astype("f4")
+    rows = [(i, x[i]) for i in range(60)] + [(60, x[50])] * 14 + [(61, x[50]), (5, x[70]), (5, x[71]), (50, x[72]), (0, x[73]), (62, 2 * x[50])]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, every=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    own = defaultdict(list)
+    for i, v in rows:
+        own[i].append(v.astype("f8") / np.linalg.norm(v.astype("f8")))
+    for q in [i for i in own if i % 5 == 0]:
+        near = sorted((-round(max(float(a @ b) for a in own[q] for b in own[i]), 9), i) for i in own if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in near], q
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def rows_50(x):
     return [float(y) for y in x[50]]  # an id that repeats with its own vector
 

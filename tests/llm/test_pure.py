@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quire.llm import langid, licenses, packing, pii, substrings, suffixes
+from quire.llm import bpe, common, langid, licenses, packing, pii, substrings, suffixes
 
 REGEX = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -65,6 +67,45 @@ def test_pii_leaves_clean_text_and_redacts():
     assert pii.redact("a" * 200_000 + " q@r.st") == "a" * 200_000 + " <EMAIL>"
 
 
+@pytest.mark.parametrize("odd", ["\u212a", "\u0130", "\u0131", "\u017f"])
+def test_pii_letters_beyond_ascii_are_no_account(odd):
+    assert "iban" not in [k for k, _, _ in pii.spans_of(f"IBAN: DE12{odd}00000000000000000 x, IBAN D{odd}12 0000 0000 0000 0000")]
+
+
+def test_pii_secrets_equal_each_cue_alone():
+    """A cue's value: separators, then at least sixteen value characters with a letter and a digit; the next cue stands behind it."""
+    cue, value = re.compile("token|pwd"), re.compile(r"[\"']?[ \t]{0,8}[:= ][ \t]{0,8}[\"']?([A-Za-z0-9+/_.=-]+)")
+    rng = random.Random(21)
+    for _ in range(3000):
+        text = "".join(rng.choice(["token", "pwd", "=", ": ", " ", '"', "a1", "abcdefgh", "12345678", "\n", "-"]) for _ in range(rng.randrange(14)))
+        want, end = [], 0
+        for c in cue.finditer(text):
+            m = value.match(text, c.end()) if c.end() >= end else None
+            if m and len(m[1]) >= 16 and re.search("[A-Za-z]", m[1]) and re.search("[0-9]", m[1]):
+                want.append((m.start(1), m.end(1)))
+                end = m.end(1)
+        assert [(s, e) for k, s, e in pii.spans_of(text) if k == "secret"] == want, text
+
+
+@pytest.mark.parametrize("text", ["token=" * 200_000, "token" + " " * 400_000, "iban " * 100_000, "IBAN DE" + "1" * 400_000, "a@" * 300_000, "+1" * 300_000, "http://a:" * 60_000, "AKIA" * 100_000 + "token=abc1" * 20_000])
+def test_pii_is_linear(text):
+    began = time.process_time()
+    pii.spans_of(text)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("text", ["gnu " * 100_000, "gnu" + "\n" * 300_000 + "general", "licensed under the terms of the " * 20_000 + "mit", "mit" + " -" * 200_000, "neither the name of " * 20_000 + " endorse"])
+def test_licenses_are_linear(text):
+    began = time.process_time()
+    licenses.scan(text)
+    assert time.process_time() - began < 8
+
+
+@pytest.mark.parametrize("text, label", [("the isc\nlicense", "isc"), ("european\nunion public license", "eupl"), ("common\n\tpublic license", "cpl"), ("open  font -- license", "ofl"), ("server\nside public license", "sspl"), ("business\nsource license", "busl"), ("open\ngovernment licence", "ogl"), ("in the public\ndomain", "public-domain")])
+def test_license_names_over_line_breaks(text, label):
+    assert label in licenses.scan(text)[5].split(",")
+
+
 def brute_base(text):
     low = re.sub("[A-Z]", lambda m: m.group().lower(), text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -132,7 +173,7 @@ def test_fill_covers_each_id_once_and_pads_only_once():
     rng = np.random.default_rng(6)
     docs = [rng.integers(0, 50, n).astype("<u4") for n in [*rng.integers(1, 400, 80), 1, 1, 399]]
     docs += [docs[0]] * 30
-    sequences = packing.fill(docs, np.ones(50), 100.0, window=400)
+    sequences = packing.fill(docs, packing.Weights(np.ones(50), 100.0), window=400)
     seen = [set() for _ in docs]
     for s in sequences:
         for j, start, size in s:
@@ -142,7 +183,7 @@ def test_fill_covers_each_id_once_and_pads_only_once():
     assert [len(s) for s in seen] == [len(d) for d in docs]
     sizes = [sum(x[2] for x in s) for s in sequences]
     assert all(n == 400 for n in sizes[:-1]) and sizes[-1] <= 400
-    assert packing.fill([], np.ones(5), 1.0) == []
+    assert packing.fill([], packing.Weights(np.ones(5), 1.0)) == []
 
 
 def test_fill_goes_by_all_terms_and_down_the_ranking():
@@ -150,14 +191,98 @@ def test_fill_goes_by_all_terms_and_down_the_ranking():
     idf[:30] = 2.0
     seed = np.arange(100).astype("<u4")  # thirty heavy terms, seventy light ones
     light, other = np.arange(30, 90).astype("<u4"), np.r_[np.arange(6), np.arange(500, 554)].astype("<u4")
-    assert [j for j, _, _ in packing.fill([seed, other, light], idf, 60.0, window=160)[0]] == [0, 2]
+    assert [j for j, _, _ in packing.fill([seed, other, light], packing.Weights(idf, 60.0), window=160)[0]] == [0, 2]
     seed = np.arange(300).astype("<u4")
     best = [np.arange(4).astype("<u4")] * packing.NEIGHBOURS
     docs = [seed, *[np.arange(900, 910).astype("<u4")] * 5, *[np.r_[0, 990:995].astype("<u4")] * 5, *best]
-    first = packing.fill(docs, np.ones(1000), 10.0, window=300 + 4 * len(best) + 30)[0]
+    first = packing.fill(docs, packing.Weights(np.ones(1000), 10.0), window=300 + 4 * len(best) + 30)[0]
     assert {j for j, _, _ in first} == {0, *range(6, 11), *range(11, len(docs))}
 
 
+def test_bpe_equals_the_tokenizer_word_by_word():
+    path = packing.default_vocabulary()
+    made, tokenizer = bpe.Bpe(path), packing._tokenizer(path)
+    rng = random.Random(14)
+    words = ["".join(rng.choice("etaoinshrdluçéß") for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    by_length: dict[int, list[bytes]] = {}
+    for w in words:
+        by_length.setdefault(len(w.encode()), []).append(w.encode())
+    for some in by_length.values():
+        seen = 0
+        for rows, ids in made.encode(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1)):
+            for r, i in zip(rows.tolist(), ids.tolist(), strict=True):
+                assert i == tokenizer.encode(some[r].decode(), add_special_tokens=False).ids
+                seen += 1
+        assert seen == len(some)
+
+
+def test_table_finds_what_it_holds():
+    keys = np.random.default_rng(3).integers(1, 1 << 63, 900).astype(np.uint64)
+    t = bpe.Table(10)  # nearly full
+    t.add(keys[:500], np.arange(500, dtype=np.int32))
+    t.add(keys[500:800], np.arange(500, 800, dtype=np.int32))
+    assert t.find(keys).tolist() == [*range(800), *[-1] * 100]
+
+
+def test_ids_of_many_texts_with_a_small_table(monkeypatch):
+    path = packing.default_vocabulary()
+    ids, tokenizer = packing.Ids(path), packing._tokenizer(path)
+    assert ids.fast
+    monkeypatch.setattr(packing, "MOST_UNITS", 50)
+    for seed in range(4):
+        texts = random_texts("abcdE éÀß'.,-12\n<|\xa0—中", 300, 80, seed)
+        for t, got in zip(texts, ids.of(texts), strict=True):
+            assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    ids.fast = False  # a vocabulary of another kind
+    assert [x.tolist() for x in ids.of(["One, two", None])] == [tokenizer.encode("One, two", add_special_tokens=False).ids, []]
+
+
+def test_streamed_groups():
+    rng = np.random.default_rng(4)
+    k, v = np.sort(rng.integers(0, 30, 500)), rng.integers(0, 10**6, 500)
+    cuts = [0, 1, 1, 5, 40, 41, 200, 480, 500]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k[a:z]), pa.array(v[a:z])], names=["k", "v"]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    whole = list(common.whole_groups(batches))
+    assert np.array_equal(np.concatenate([x[0] for x in whole]), k) and np.array_equal(np.concatenate([x[1] for x in whole]), v)
+    assert len({g for x in whole for g in set(x[0].tolist())}) == sum(len(set(x[0].tolist())) for x in whole)
+    top = lambda rows: (lambda o: [x[o][np.append(True, rows[0][o][1:] != rows[0][o][:-1])] for x in rows])(np.lexsort((-rows[1], rows[0])))
+    reduced = [x for r in common.reduced_groups(batches, top) for x in zip(*(c.tolist() for c in r), strict=True)]
+    assert reduced == [(g, int(v[k == g].max())) for g in np.unique(k).tolist()]
+    sliced = list(common.pieces([pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (10, 9_000_000, 9_000_000, 1)])], names=["t"])]))
+    assert [b.num_rows for b in sliced] == [2, 2]
+
+
+def test_language_scores_equal_brute_force():
+    """Every n-gram by itself, hashed step by step, averaged over the text."""
+    rng = np.random.default_rng(9)
+    model = langid.Model(("a", "b", "c"), rng.normal(size=(langid.BUCKETS, 3)).astype("f4"), rng.normal(size=3), 0.7, 0.5)
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        h = 14695981039346656037
+        for c in gram:
+            h = (h ^ ord(c)) * 1099511628211 & mask
+            h ^= h >> 29
+        return (h * 0x9E3779B97F4A7C15 & mask) >> 40
+
+    for text in random_texts("abcÉü 1-Z中", 200, 60, 15):
+        total, n = np.zeros(3), 0
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            edged = f"\2{word}\2"
+            for size in (1, 2, 3, 4):
+                for i in range(len(edged) - size + 1):
+                    if edged[i : i + size] != "\2":
+                        total += model.table[bucket(edged[i : i + size]) % langid.BUCKETS]
+                        n += 1
+        got = langid.Scorer(model).score([text])
+        if not n:
+            assert got == (["und"], [0.0], [True])
+            continue
+        z = (total / n + model.bias) / 0.7
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[0] == [model.langs[int(p.argmax())]] and abs(got[1][0] - p.max()) < 2e-6 and got[2] == [bool(p.max() < 0.5)]
+
+
 def test_ngrams_are_those_of_each_word_alone():
     together = [sorted(b) for b in _by_word(["ab", "überlang", "x"])]
     alone = [sorted(_by_word([w])[0]) for w in ["ab", "überlang", "x"]]
