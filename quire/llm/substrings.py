@@ -15,11 +15,12 @@ Suffixes are sorted by the difference-cover algorithm, distributed over buckets
 
 One suffix array over all bytes would sort them all several times over; see README for figures. Equal blocks are told by two
 64-bit hashes, that of their k-gram and that of the whole. Groups are sorted streams with a state of one row, or of a bounded
-group, so a passage that a third of all documents share needs no memory, and copies cost one row each.
+group, so a passage that a third of all documents share needs no memory; its copies within a task's texts are told there, before
+the shuffle, and go to any task.
 
 Defined results: a null or empty text has no bytes; texts under 100 bytes lose nothing. Rows that repeat an id count in the
-order of the input. Rows without an id come last. An empty table gives an empty result. Columns beyond doc_id and text are
-not read."""
+order of the input. Rows without an id come last. A very long text is worked on in pieces that overlap. Of equal strings the
+first stays, so there are no ties. An empty table gives an empty result. Columns beyond doc_id and text are not read."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_groups
+from .common import cut, small_batches, whole_groups
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -157,11 +158,26 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
 
 
+def _copies_apart(f, c, d, r, at):
+    """The rows, with those that equal another one here, earlier in the order (d, r, at), as copies: dealt anywhere (f is a hash of
+    their place) and with at = -1 - at. So a block that a text or a task's texts repeat without end is shuffled once by its key."""
+    order = np.argsort(c, kind="stable")
+    same = (c[order][1:] == c[order][:-1]) & (f[order][1:] == f[order][:-1])
+    rows = order[np.append(same, False) | np.append(False, same)]
+    if len(rows):
+        rows = rows[np.lexsort((at[rows], r[rows], d[rows], f[rows], c[rows]))]
+        copy = rows[1:][(c[rows][1:] == c[rows][:-1]) & (f[rows][1:] == f[rows][:-1])]
+        f, at = f.copy(), at.copy()
+        f[copy] = mix((r[copy].view(np.uint64) * A) ^ at[copy].view(np.uint64)).view(np.int64)
+        at[copy] = -1 - at[copy]
+    return f, c, d, r, at
+
+
 def _blocks(batches):
     held, size = [], 0
 
     def flush():
-        return _batch("f c d r at", *(np.concatenate(x) for x in zip(*held, strict=True)))
+        return _batch("f c d r at", *_copies_apart(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     for b in batches:
         for r, d, text in _texts(b):
@@ -171,7 +187,7 @@ def _blocks(batches):
             f, c, lo, n = found
             held.append((f.view(np.int64), c.view(np.int64), np.full(len(f), d), np.full(len(f), r), (lo << BLOCK_BITS) + n))
             size += len(f)
-            if size > 50_000:
+            if size > 200_000:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -186,6 +202,11 @@ def _equal_blocks(batches):
     several = False
     for b in batches:
         f, c, r, at = (b.column(x).to_numpy() for x in ("f", "c", "r", "at"))
+        if (at < 0).any():  # copies that their task has found
+            f_, r_, at_ = f[at < 0], r[at < 0], -1 - at[at < 0]
+            lo = at_ >> BLOCK_BITS
+            yield _batch("f r lo hi kind", f_, r_, lo, lo + (at_ & ((1 << BLOCK_BITS) - 1)) + LENGTH - 1, np.zeros(len(lo), np.int64))
+            f, c, r, at = (x[at >= 0] for x in (f, c, r, at))
         if not len(f):
             continue
         same_f = np.append(last_f is not None and f[0] == last_f, f[1:] == f[:-1])
@@ -358,8 +379,21 @@ def _sorted_windows(docs: DataFrame, bloom: np.ndarray, hot: np.ndarray) -> Data
 
 def removed(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `docs`."""
-    big = F.lit(2**63 - 1)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), big).alias("d"), F.monotonically_increasing_id().alias("r"), "text")
+    with small_batches(docs.sparkSession):
+        return _removed(_numbered(docs), group_most)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, d (the order of texts), r (a number for each row), text. Where ids tell rows apart they are the numbers; else the
+    table is written once, so that numbers by place in the input stay the same however often it is read."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if own.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return own.select("doc_id", F.col("doc_id").alias("d"), F.col("doc_id").alias("r"), "text")
+    own = cut(own.withColumn("r", F.monotonically_increasing_id()))
+    return own.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "r", "text")
+
+
+def _removed(own: DataFrame, group_most: int) -> DataFrame:
     sliced = own.select("r", "d", "text")
     found = sliced.mapInArrow(_blocks, "f long, c long, d long, r long, at long").repartition("f").sortWithinPartitions("f", "c", "d", "r", "at")
     marked = cut(found.select("f", "c", "r", "at").mapInArrow(_equal_blocks, "f long, r long, lo long, hi long, kind long"))
