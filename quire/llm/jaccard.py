@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, cut, fresh, if_small, pieces, whole_groups
+from .common import SMALL_ROWS, cut, fresh, if_small, pieces, small_batches, whole_groups
 from .graph import components
 
 WORDS = 5
@@ -318,9 +318,10 @@ def _places(doc_id: np.ndarray, bits: int):
     return [(h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)]
 
 
-def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """c, s of the documents `ids` (doc_id), and of the few others that a Bloom filter lets through, each class once; the rest
-    aren't even split. Where a class that is asked for has no id (null), rows without one are all let through."""
+def _needed_sets(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """c, s of the documents `ids` (doc_id), and of the few others that a Bloom filter lets through; the rest aren't even split.
+    Where a class that is asked for has no id (null), rows without one are all let through. Then, and where rows are `repeated`
+    with id and text, a class is taken once."""
     bits = 1 << 15
     n, without_id = ids.count(), not ids.filter("doc_id IS NULL").isEmpty()
     ids = ids.filter("doc_id IS NOT NULL")
@@ -345,14 +346,15 @@ def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     seen.update(found)
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["c", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
+    sets = docs.select("doc_id", "text").mapInArrow(run, "c long, s binary")
+    return sets.groupBy("c").agg(F.first("s").alias("s")) if repeated or without_id else sets
 
 
-def _linked(docs: DataFrame, one: DataFrame, counted: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, one: DataFrame, counted: DataFrame, repeated: bool) -> DataFrame:
     """Links (u, v) among pairs counted by column: bound by prefix overlap, then by the whole sets."""
     pairs = cut(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b"))
     ids = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(one, "c").select("first.doc_id"))
-    return cut(_links(pairs, _needed_sets(docs, ids)))
+    return cut(_links(pairs, _needed_sets(docs, ids, repeated)))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -376,12 +378,17 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _clustered(docs: DataFrame) -> DataFrame:
     """doc_id, k (a hash of id and text), n, c (class), rep (struct of doc_id and k: the component's first row, its own if that is
     null) for each row of `docs`."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("doc_id", "text"))
+    with small_batches(docs.sparkSession):  # sets are large
+        return _classes_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("doc_id", "text")))
+
+
+def _classes_of(docs: DataFrame) -> DataFrame:
     met = cut(postings(docs, sketch(docs)).repartition("h").sortWithinPartitions("h", "np", "c").mapInArrow(_shared_columns, "h long, np long, c long, at int, doc_id long"))
     rows = met.filter("np < 0").select("doc_id", F.col("h").alias("k"), (-1 - F.col("np")).alias("n"), "c")
     columns = met.filter("np >= 0").select("h", "np", "c", "at")
     # The first row of a class, ids before none: copies are counted in each task before they are shuffled.
     one = cut(rows.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")).alias("first"), F.count("*").alias("rows")))
+    repeated = not rows.groupBy("doc_id", "k").count().filter("count > 1").isEmpty()
     counts = "a long, b long, need long, n long"
     labels = links = None
     for meet in (*map(_stars, HEADS), _crossing):
@@ -390,7 +397,7 @@ def _clustered(docs: DataFrame) -> DataFrame:
         else:  # labels are joined on by class, then rows meet by column again
             labelled = columns.join(labels.select(F.col("u").alias("c"), "label"), "c", "left").select("h", "np", "c", "at", F.coalesce("label", "c").alias("label"))
             met_by_column = labelled.repartition("h").sortWithinPartitions("h", "np", "c")
-        more = _linked(docs, one, met_by_column.mapInArrow(meet, counts))
+        more = _linked(docs, one, met_by_column.mapInArrow(meet, counts), repeated)
         if labels is None or not more.isEmpty():
             links = more if links is None else links.union(more)
             labels = components(links)
