@@ -1,7 +1,8 @@
 """Every query of the curation engine with, where SQL can say it, the SQL.
 
-On the driver's tables a book is a `source`, its pages are its documents in order of doc_id, and a paragraph is a line (no
-document holds a blank line). Tables that the driver lacks (bookmarks, boxes, edits, snapshots) are derived from the others."""
+On the driver's tables a book is a `source` and a stretch of ids, its pages are its documents in order of doc_id, and a paragraph
+is a line (no document holds a blank line). Tables that the driver lacks (bookmarks, contents, boxes, edits, snapshots) are derived
+from the others."""
 
 from __future__ import annotations
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from .functions import folds
 from .functions import text as T
 from .operators import books, layout, review
-from .operators.rows import flat_map, fold
+from .operators.ranking import buckets_for, ranked
+from .operators.rows import flat_map, written
 from .plans import books as plans
 from .sources import books as sinks
 from .sources import pages as sources
@@ -40,7 +42,7 @@ def chapter_sql(x: str) -> str:
     return CHAPTER_SQL.format(x, num=NUMERIC_SQL.format(x))
 
 
-PAGES_SQL = "p AS (SELECT source AS book_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS page_no, doc_id, coalesce(text, '') AS text FROM documents)"
+PAGES_SQL = f"p AS (SELECT concat_ws('-', source, (doc_id // {books.BOOK_IDS})::VARCHAR) AS book_id, (doc_id % {books.BOOK_IDS} + 1)::INTEGER AS page_no, doc_id, coalesce(text, '') AS text FROM documents)"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -86,26 +88,52 @@ for _c in PUNCT:
 
 # --- projections (P) -------------------------------------------------------------------------------------------------
 per_document("punct_run_collapse", lambda: {"text": T.collapse_punctuation(t())}, {"text": collapse_sql})
-_REP = "repeat(text[1:40], 3)"
-per_document("full_repeat_collapse", lambda: {"text": T.collapse_full_repeat(F.repeat(t().substr(1, 40), F.lit(3)))}, {
-    "text": f"CASE WHEN length({_REP}) >= 8 THEN coalesce({_REP}[1:list_filter(range(1, length({_REP}) // 2 + 1), lambda k: length({_REP}) % k = 0 AND repeat({_REP}[1:k], length({_REP}) // k) = {_REP})[1]], {_REP}) ELSE {_REP} END"})
+_REP = "CASE doc_id % 3 WHEN 0 THEN repeat(text, 2) WHEN 1 THEN repeat(text, 3) ELSE text END"
+query("full_repeat_collapse", f"""WITH x AS (SELECT doc_id, {_REP} AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+k AS (SELECT doc_id, x, list_filter(range(1, sqrt(length(x))::BIGINT + 2), lambda k: length(x) % k = 0) AS k FROM x)
+SELECT doc_id, CASE WHEN length(x) >= 8 THEN coalesce(x[1:list_min(list_filter(list_concat(k, list_transform(k, lambda k: length(x) // k)), lambda k: k < length(x) AND x[k + 1:] = x[1:length(x) - k]))], x) ELSE x END AS text FROM k""")(
+    lambda spark, d: docs(spark, d).select("doc_id", T.collapse_full_repeat(F.when(F.col("doc_id") % 3 == 0, F.repeat(t(), F.lit(2))).when(F.col("doc_id") % 3 == 1, F.repeat(t(), F.lit(3))).otherwise(t())).alias("text")))
 per_document("fence_removal", lambda: {"text": T.drop_fences(F.concat(F.lit("```py\nx\n```\n"), t(), F.lit("\n```")))}, {
     "text": r"regexp_replace(regexp_replace('```py' || chr(10) || 'x' || chr(10) || '```' || chr(10) || text || chr(10) || '```', '(?m)^\s*```[a-zA-Z0-9]*\s*$\n[\s\S]*?^\s*```\s*$', '', 'g'), '(?m)^\s*```[a-zA-Z0-9]*\s*$', '', 'g')"})
-per_document("latex_circled", lambda: {"text": T.circled_numbers(F.concat(F.lit(r"a $\textcircled{7}$ b \textcircled { 20 } c \textcircled{31}. "), t()))}, {"text": "'a ⑦ b⑳c(31). ' || text"})
-per_document("orphan_latex_removal", lambda: {"text": T.drop_orphan_latex(F.concat(F.lit(r"x $\alpha{3}$ "), t()))}, {"text": r"regexp_replace('x $\alpha{3}$ ' || text, '\$\s*\\[a-zA-Z]+\s*\{?[0-9]*\}?\s*\$', '', 'g')"})
-per_document("token_repeat_collapse", lambda: {"text": T.collapse_tokens(t())})
-per_document("figure_index_removal", lambda: {"text": T.drop_figure_index(t())})
+_NUMBER = lambda: F.col("doc_id") % 33 + 1
+query("latex_circled", r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a ' ELSE 'a' END || CASE WHEN doc_id % 33 < 20 THEN chr((9312 + doc_id % 33)::INTEGER) ELSE '(' || (doc_id % 33 + 1) || ')' END || CASE WHEN doc_id % 2 = 0 THEN ' b' ELSE 'b' END || coalesce(text, '') AS text FROM documents")(
+    lambda spark, d: docs(spark, d).select("doc_id", T.circled_numbers(F.concat(F.lit(r"a "), F.when(F.col("doc_id") % 2 == 0, "$").otherwise(""), F.lit(r"\textcircled{"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(""), _NUMBER().cast("string"), F.lit("}"), F.when(F.col("doc_id") % 2 == 0, "$").otherwise(""), F.lit(" b"), t())).alias("text")))
+query("orphan_latex_removal", r"SELECT doc_id, regexp_replace('x $\' || ['alpha', 'beta', 'q1', 'GAMMA'][(doc_id % 4 + 1)::INTEGER] || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '{' || doc_id || '}' END || '$ ' || coalesce(text, ''), '\$\s*\\[a-zA-Z]+\s*\{?[0-9]*\}?\s*\$', '', 'g') AS text FROM documents")(
+    lambda spark, d: docs(spark, d).select("doc_id", T.drop_orphan_latex(F.concat(F.lit("x $\\"), F.element_at(F.array(*map(F.lit, ("alpha", "beta", "q1", "GAMMA"))), (F.col("doc_id") % 4 + 1).cast("int")), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.concat(F.lit("{"), F.col("doc_id").cast("string"), F.lit("}"))), F.lit("$ "), t())).alias("text")))
+_TOKEN = r"[\p{L}\p{N}_]"
+query("token_repeat_collapse", rf"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), ' (of|de|und) ', ' \1 \1 \1  \1 ', 'g') AS x FROM documents),
+k AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS k FROM (SELECT doc_id, regexp_extract_all(x, '{_TOKEN}+|[^\p{{L}}\p{{N}}_]+') AS l FROM x)),
+w AS (SELECT *, regexp_matches(k, '^{_TOKEN}') AS is_word, lag(k) OVER d AS gap, lag(k, 2) OVER d AS before FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, CASE WHEN is_word AND coalesce(k = before AND regexp_full_match(gap, '[ \t\n\x0B\f\r]+') AND regexp_full_match(k, '[A-Za-z\x{{4e00}}-\x{{9fff}}]{{2,}}'), false) THEN 0 ELSE 1 END AS begins FROM w),
+g AS (SELECT *, sum(CASE WHEN is_word THEN begins ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
+s AS (SELECT *, count(*) FILTER (WHERE is_word) OVER (PARTITION BY doc_id, g) AS words, min(CASE WHEN is_word THEN i END) OVER (PARTITION BY doc_id, g) AS head, max(CASE WHEN is_word THEN i END) OVER (PARTITION BY doc_id, g) AS tail FROM g)
+SELECT x.doc_id, coalesce(string_agg(k, '' ORDER BY i) FILTER (WHERE words < 4 OR i <= head OR i > tail), '') AS text FROM x LEFT JOIN s USING (doc_id) GROUP BY x.doc_id""")(
+    lambda spark, d: docs(spark, d).select("doc_id", T.collapse_tokens(F.regexp_replace(t(), " (of|de|und) ", " $1 $1 $1  $1 ")).alias("text")))
+_FIGURED = lambda: F.array_join(F.transform(T.lines(t()), lambda x, i: F.when((i + F.col("doc_id")) % 3 < 2, F.concat(F.when(i % 7 == 3, F.lit(" 图 ")).otherwise(F.lit("图")), (i + F.col("doc_id") % 9 + 1 - F.when(i % 11 == 5, 3).otherwise(0)).cast("string"))).otherwise(x)), "\n")
+query("figure_index_removal", rf"""WITH x AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, k: CASE WHEN (k - 1 + doc_id) % 3 < 2 THEN CASE WHEN (k - 1) % 7 = 3 THEN ' 图 ' ELSE '图' END || (k - 1 + doc_id % 9 + 1 - CASE WHEN (k - 1) % 11 = 5 THEN 3 ELSE 0 END) ELSE x END) AS l FROM documents),
+f AS (SELECT doc_id, l, list_filter(list_transform(l, lambda x: regexp_replace(x, '{STRIP}', '', 'g')), lambda x: x <> '') AS own FROM x),
+n AS (SELECT *, list_transform(list_filter(own, lambda x: regexp_full_match(x, '图\s*[0-9]{{1,4}}')), lambda x: regexp_extract(x, '([0-9]+)$', 1)::INTEGER) AS n FROM f),
+r AS (SELECT *, len(list_filter(range(1, len(n)), lambda k: n[k + 1] >= n[k])) AS rising FROM n)
+SELECT doc_id, array_to_string(CASE WHEN len(n) >= 8 AND 2 * len(n) >= len(own) AND n[1] <= 5 AND list_max(n) >= 12 AND rising >= greatest(1, len(n) - 2) THEN list_filter(l, lambda x: NOT regexp_full_match(regexp_replace(x, '{STRIP}', '', 'g'), '图\s*[0-9]{{1,4}}')) ELSE l END, chr(10)) AS text FROM r""")(
+    lambda spark, d: docs(spark, d).select("doc_id", T.drop_figure_index(_FIGURED()).alias("text")))
 query("clean_page_text")(lambda spark, d: spread(docs(spark, d)).select("doc_id", T.clean_page(t()).alias("text")))
-per_document("noise_line_filter", lambda: {"text": T.drop_noise_lines(t())})
+_COUNT = r"length(regexp_replace({0}, '[^A-Za-z0-9\x{{4e00}}-\x{{9fff}}\x{{3040}}-\x{{30ff}}]+', '', 'g'))"
+query("noise_line_filter", rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents),
+s AS (SELECT *, regexp_replace(t, '{STRIP}', '', 'g') AS s FROM l), k AS (SELECT *, regexp_replace(s, '{WS}+', '', 'g') AS k FROM s),
+n AS (SELECT *, regexp_full_match(s, '[0-9ivxlcdmIVXLCDM]{{1,8}}') OR regexp_full_match(s, '(?:[·•\-.。…_=]|{WS}){{4,}}') OR (length(k) >= 2 AND regexp_full_match(k, '[^\p{{L}}\p{{N}}]+'))
+  OR (length(k) >= 8 AND {_COUNT.format('s')} < 0.22::DOUBLE * length(k)) OR len(list_filter(range(1, 9), lambda u: contains(array_to_string(list_transform(range(1, len(c) - u + 1), lambda j: CASE WHEN c[j] = c[j + u] THEN '1' ELSE '0' END), ''), repeat('1', 3 * u)))) > 0 AS noise FROM (SELECT *, string_split(k, '') AS c FROM k))
+SELECT doc_id, regexp_replace(coalesce(string_agg(CASE WHEN s = '' THEN '' ELSE t END, chr(10) ORDER BY i) FILTER (WHERE s = '' OR NOT noise), ''), '{STRIP}', '', 'g') AS text FROM n GROUP BY doc_id""")(
+    lambda spark, d: spread(docs(spark, d)).select("doc_id", T.drop_noise_lines(t()).alias("text")))
 per_document("char_count", lambda: {"chars": T.char_count(t())}, {"chars": r"length(regexp_replace(text, '[^A-Za-z0-9\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]+', '', 'g'))::INTEGER"})
 per_document("norm_dedup_key", lambda: {"key": T.dedup_key(t())}, {"key": r"regexp_replace(text, '[^\p{L}\p{N}_\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]+', '', 'g')"})
 per_document("proof_norm", lambda: {"norm": T.without_space(t())}, {"norm": rf"regexp_replace(text, '{WS}+', '', 'g')"})
-per_document("normalise_title", lambda: {"title": T.normalise_title(F.concat(F.lit("# 1. "), t().substr(1, 60)))}, {
-    "title": rf"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace('# 1. ' || text[1:60], '{WS}+', ' ', 'g')), '^#+', '')), '^[-*.\s、\p{{Nd}}]+', ''))"})
-per_document("slug", lambda: {"slug": T.slug(t().substr(1, 80))}, {
-    "slug": rf"""(CASE WHEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(text[1:80], '[\\/:*?"<>|\r\n\t]+', '', 'g'), '{STRIP}', '', 'g'), '{WS}+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') = '' THEN 'book' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(text[1:80], '[\\/:*?"<>|\r\n\t]+', '', 'g'), '{STRIP}', '', 'g'), '{WS}+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') END)[1:60]"""})
-per_document("image_marker", lambda: {"marker": T.image_marker(F.concat(F.lit("/a/"), F.regexp_replace(t().substr(1, 20), "/", ""), F.lit(".jpg"))), "skipped": T.is_skipped_asset(F.concat(F.col("doc_id").cast("string"), F.lit(".r1200.jpg")))}, {
-    "marker": rf"""'![插图](images/' || regexp_replace(regexp_replace(replace(text[1:20], '/', '') || '.jpg', '[\x00-\x1f/\\:*?"<>|\s\p{{Z}}]+', '-', 'g'), '^[. -]+|[. -]+$', '', 'g') || ')'""", "skipped": "true"})
+per_document("normalise_title", lambda: {"title": T.normalise_title(F.concat(F.lit("# 1. "), t()))}, {
+    "title": rf"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace('# 1. ' || text, '{WS}+', ' ', 'g')), '^#+', '')), '^[-*.\s、\p{{Nd}}]+', ''))"})
+_SLUG = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\/:*?"<>|\r\n\t]+', '', 'g'), '{STRIP}', '', 'g'), '{WS}+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g')"""
+per_document("slug", lambda: {"slug": T.slug(t())}, {"slug": f"(CASE WHEN {_SLUG} = '' THEN 'book' ELSE {_SLUG} END)[1:60]"})
+_ENDINGS = (".r1200.jpg", "_crop.png", ".jpg", ".tmp.x", ".r12.png", ".crop.jpg")
+per_document("image_marker", lambda: {"marker": T.image_marker(F.concat(F.lit("/a/"), F.regexp_replace(t(), "/", ""), F.lit(".jpg"))), "skipped": T.is_skipped_asset(F.concat(F.regexp_replace(T.lines(t())[0], "[._]", ""), F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % 6 + 1).cast("int"))))}, {
+    "marker": rf"""'![插图](images/' || regexp_replace(regexp_replace(replace(text, '/', '') || '.jpg', '[\x00-\x1f/\\:*?"<>|\s\p{{Z}}]+', '-', 'g'), '^[. -]+|[. -]+$', '', 'g') || ')'""", "skipped": "doc_id % 6 IN (0, 1, 3, 5)"})
 per_document("notes_to_paragraphs", lambda: {"text": T.notes_to_paragraphs(F.regexp_replace(t(), "\nThe", "\n①The"))}, {"text": r"regexp_replace(regexp_replace(text, '\nThe', chr(10) || '①The', 'g'), '\n(\s*[\x{2460}-\x{2473}])', chr(10) || chr(10) || '\1', 'g')"})
 _noted = lambda: F.regexp_replace(t(), " the ", " [[NOTE_REF:7|③]] ")
 _NOTED = "replace(text, ' the ', ' [[NOTE_REF:7|③]] ')"
@@ -128,11 +156,17 @@ per_document("batch_broken_lines", lambda: {"text": T.drop_short_broken_lines(t(
     "text": rf"array_to_string(list_filter({_LINES}, lambda x: NOT (length(regexp_replace(x, '{STRIP}', '', 'g')) > 0 AND ((length(regexp_replace(x, '{STRIP}', '', 'g')) <= 30 AND regexp_matches(regexp_replace(x, '{STRIP}', '', 'g'), '[·、，：；/\\—–－]\s*$')) OR regexp_matches(regexp_replace(x, '{STRIP}', '', 'g'), '^[的和与或了着吗呢而]$')))), chr(10))"})
 
 # --- predicates (F) --------------------------------------------------------------------------------------------------
-per_document("suspicious_text", lambda: {"suspicious": T.is_suspicious(t())})
+_SUSPECT = lambda: F.when(F.col("doc_id") % 5 == 0, F.concat(F.left(t(), F.lit(30)), F.repeat(F.right(t(), F.lit(1)), F.lit(16)))).when(F.col("doc_id") % 7 == 0, F.concat(F.left(t(), F.col("doc_id").cast("int") % 200), F.lit("…......"))).otherwise(t())
+query("suspicious_text", rf"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text[1:30] || repeat(right(text, 1), 16) WHEN doc_id % 7 = 0 THEN left(text, doc_id % 200) || '…......' ELSE text END AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT doc_id, regexp_replace(x, '{STRIP}', '', 'g') AS s FROM x), n AS (SELECT *, {_COUNT.format('s')} AS few FROM s)
+SELECT doc_id, s IN ('', '{T.NO_TEXT}') OR regexp_full_match(s, '(?:[.。·•…—\-_=~]|{WS})+') OR (regexp_matches(s, '[.。·•…]{{6,}}') AND few < greatest(80, length(s) // 2))
+ OR (few < 60 AND len(list_filter(range(1, CASE WHEN few < 60 THEN length(s) - 14 ELSE 1 END), lambda k: s[k] <> chr(10) AND s[k:k + 15] = repeat(s[k], 16))) > 0) AS suspicious FROM n""")(
+    lambda spark, d: docs(spark, d).select("doc_id", T.is_suspicious(_SUSPECT()).alias("suspicious")))
 per_document("page_ends_cleanly", lambda: {"clean": T.ends_cleanly(t(), "\n")}, {
     "clean": rf"coalesce(regexp_matches(list_extract(list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, '{STRIP}', '', 'g')), lambda x: x <> ''), -1), '[。！？；：”』」》…!?;:）)]$|^!\[(.*?)\]\((.*?)\)$'), true)"})
 per_document("blank_pages", lambda: {"blank": T.is_blank_page(t())}, {"blank": rf"length(regexp_replace(text, '{STRIP}', '', 'g')) < 50"})
-per_document("numeric_chapter_line", lambda: {"heading": T.is_numeric_chapter(F.concat(F.lit("12. "), F.regexp_replace(t(), "\n", " ").substr(1, 20)))}, {"heading": NUMERIC_SQL.format("('12. ' || replace(text, chr(10), ' ')[1:20])")})
+query("numeric_chapter_line", f"SELECT doc_id, (count(*) FILTER (WHERE {NUMERIC_SQL.format('l')}))::BIGINT AS headings FROM (SELECT doc_id, '12. ' || unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id")(
+    lambda spark, d: docs(spark, d).select("doc_id", F.size(F.filter(F.transform(T.lines(t()), lambda x: F.concat(F.lit("12. "), x)), T.is_numeric_chapter)).cast("long").alias("headings")))
 per_document("lenient_parsers", lambda: {"flag": T.parse_bool(F.element_at(F.array(*map(F.lit, ("1", "Yes", "off", "maybe", " true "))), (F.col("doc_id") % 5 + 1).cast("int"))), "page": T.page_value(F.left(F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, ("", "x"))), (F.col("doc_id") % 2 + 1).cast("int"))), F.lit(8))), "span": T.page_span(F.col("doc_id") % 7, F.col("doc_id") % 5).cast("string")}, {
     "flag": "doc_id % 5 IN (0, 1, 4)", "page": "CASE WHEN doc_id % 2 = 0 AND doc_id > 0 THEN doc_id::INTEGER END", "span": "CASE WHEN doc_id % 7 > 0 AND doc_id % 5 > 0 THEN '{' || least(doc_id % 7, doc_id % 5) || ', ' || greatest(doc_id % 7, doc_id % 5) || '}' END"})
 _fixed = lambda: F.regexp_replace(t(), "the ", "")
@@ -185,7 +219,7 @@ def _stub(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat(F.lit("[stub] "), "url").alias("text"))
 
 
-@query("recognised_pages")
+@query("recognised_pages", "SELECT 'web' AS book_id, page_id::INTEGER AS page_no, url AS text, 'ok' AS status FROM pages WHERE length(trim(url)) > 0")
 def _recognised(spark, d):
     images = table(spark, d, "pages").select(F.lit("web").alias("book_id"), F.col("page_id").cast("int").alias("page_no"), F.encode("url", "utf-8").alias("image"))
     return sources.recognised(images)
@@ -325,34 +359,94 @@ def _position(spark, d):
     return pictured(spark, d).filter(~F.col("illustration") & (T.strip(t()) != "")).select("book_id", "page_no", (F.row_number().over(w.orderBy("page_no")) - 1).alias("pos"), F.count("*").over(w).alias("total"))
 
 
-@query("classify_pages")
+def toc_sql(source: str) -> str:
+    """Contents entries of `source` (id, text): toc (id, line, title, printed). Whether a line waits for its page follows from the line
+    alone, unless only the line before makes an entry of it; a walk goes along stretches of such lines."""
+    return rf"""tl AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS i, l FROM (SELECT id, generate_subscripts(string_split(text, chr(10)), 1) AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '{WS}+', ' ', 'g')) AS l FROM {source} WHERE regexp_matches(text, '(?m)[0-9]\s*$')) WHERE l <> ''),
+tm AS MATERIALIZED (SELECT *, m0 OR regexp_matches(pair, '{T.TOC_LINE}') AS m1, NOT m0 AND NOT regexp_matches(l, '(?i){T.TOC_TITLE}') AND length(l) <= 40 AND NOT regexp_matches(l, '[。！？；]$') AS short FROM (SELECT *, regexp_matches(l, '{T.TOC_LINE}') AS m0, coalesce(lag(l) OVER (PARTITION BY id ORDER BY i) || ' ', '') || l AS pair FROM tl)),
+tr AS (SELECT id, i, short AS waits FROM tm WHERE i = 1 OR m0 OR NOT m1 UNION ALL SELECT tm.id, tm.i, short AND NOT tr.waits FROM tr JOIN tm ON tm.id = tr.id AND tm.i = tr.i + 1 AND NOT m0 AND m1),
+tp AS (SELECT tm.*, coalesce(tr.waits, false) AS waits FROM tm LEFT JOIN tr ON tr.id = tm.id AND tr.i = tm.i - 1),
+te AS (SELECT id, i, CASE WHEN waits THEN pair ELSE l END AS probe FROM tp WHERE m0 OR (waits AND m1)),
+toc AS (SELECT * FROM (SELECT id, i AS line, trim(regexp_replace(trim(regexp_replace(trim(regexp_extract(probe, '{T.TOC_LINE}', 1)), '^#+', '')), '^[-*.\s、\p{{Nd}}]+', '')) AS title, regexp_extract(probe, '{T.TOC_LINE}', 2)::INTEGER AS printed FROM te) WHERE title <> '' AND printed > 0)"""
+
+
+# Small books, ten documents each, some cut short or marked, and the books of contents.
+_BOUND_SQL = f"""{PAGES_SQL}, bound AS (SELECT 'd' || doc_id // 10 AS book_id, (doc_id % 10 + 1)::INTEGER AS page_no, doc_id, CASE WHEN doc_id % 3 = 0 THEN text[1:30] WHEN doc_id % 7 = 1 THEN 'ISBN 978' || text ELSE text END AS text FROM p)"""
+
+
+def bound(spark, d):
+    short = F.when(F.col("doc_id") % 3 == 0, F.left(t(), F.lit(30))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("ISBN 978"), t())).otherwise(t())
+    own = docs(spark, d).select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 10).cast("string")).alias("book_id"), (F.col("doc_id") % 10 + 1).cast("int").alias("page_no"), (F.col("doc_id") % 11 == 0).alias("illustration"), short.alias("text"))
+    return own.unionByName(contents(spark, d).withColumn("illustration", F.lit(False)))
+
+
+# A book of contents: four hundred orders are its entries, dealt over four contents pages; its body has pages 5 to 204.
+_CONTENTS_SQL = """e AS (SELECT (o_orderkey // 400)::VARCHAR AS book_id, (1 + o_orderkey % 400 // 100)::INTEGER AS page_no, o_orderkey, '第' || (o_orderkey % 90 + 1) || '章' || CASE WHEN o_orderkey % 4 = 3 THEN chr(10) ELSE ' ' END || o_orderpriority || [' …… ', ' · · ', ' ', '  '][(o_orderkey % 4 + 1)::INTEGER] || (1 + o_orderkey % 400 // 2 + o_custkey % 7) AS line FROM orders),
+contents AS (SELECT book_id, page_no, '目录' || chr(10) || string_agg(line, chr(10) ORDER BY o_orderkey) AS text FROM e GROUP BY ALL)"""
+
+
+def contents(spark, d):
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    line = F.concat(F.lit("第"), (key % 90 + 1).cast("string"), F.lit("章"), F.when(key % 4 == 3, "\n").otherwise(" "), "o_orderpriority", F.element_at(F.array(*map(F.lit, (" …… ", " · · ", " ", "  "))), (key % 4 + 1).cast("int")), (1 + F.floor(key % 400 / 2) + F.col("o_custkey") % 7).cast("string"))
+    e = o.select(F.floor(key / 400).cast("string").alias("book_id"), (1 + F.floor(key % 400 / 100)).cast("int").alias("page_no"), F.struct("o_orderkey", line.alias("line")).alias("e"))
+    own = F.transform(F.array_sort(F.collect_list("e")), lambda x: x["line"])
+    return e.groupBy("book_id", "page_no").agg(F.concat(F.lit("目录\n"), F.array_join(own, "\n")).alias("text"))
+
+
+_KINDS = rf"""{_BOUND_SQL}, {_CONTENTS_SQL}, pg AS (SELECT book_id, page_no, doc_id % 11 = 0 AS pic, text FROM bound UNION ALL SELECT book_id, page_no, false, text FROM contents),
+tx AS (SELECT book_id || ' ' || page_no AS id, text FROM pg WHERE NOT pic), {toc_sql("tx")}, th AS (SELECT id, count(*) AS n FROM toc GROUP BY id),
+c AS (SELECT book_id, page_no, coalesce(n, 0) AS toc, regexp_replace(text, '{STRIP}', '', 'g') AS t FROM pg LEFT JOIN th ON id = book_id || ' ' || page_no WHERE NOT pic AND regexp_replace(text, '{STRIP}', '', 'g') <> ''),
+o AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{STRIP}', '', 'g')), lambda x: x <> '') AS l, {_COUNT.format('t')} AS n, row_number() OVER (PARTITION BY book_id ORDER BY page_no) - 1 AS pos, count(*) OVER (PARTITION BY book_id) AS total FROM c),
+kinds AS (SELECT book_id, page_no, CASE WHEN regexp_matches(l[1], '(?i){T.TOC_HEADING}') OR toc >= 4 THEN 'toc' WHEN regexp_matches(t, '{T.COPYRIGHT_WORDS}') THEN 'copyright' WHEN pos = 0 AND page_no <= 2 AND n <= 60 THEN 'cover' WHEN pos = total - 1 AND n <= 60 THEN 'back_cover'
+  WHEN pos < 6 AND page_no <= 8 AND n <= 120 AND len(l) <= 6 AND len(list_filter(l, lambda x: length(x) > 8 AND regexp_matches(x, '[。！？；]$'))) = 0 AND len(list_filter(l[1:3], lambda x: {chapter_sql('x')})) = 0 THEN 'title_page' END AS kind FROM o)"""
+
+
+@query("classify_pages", f"WITH RECURSIVE {_KINDS} SELECT book_id, page_no, kind FROM kinds")
 def _kinds(spark, d):
-    return books.classify_pages(books.toc_hits(pictured(spark, d)))
+    return books.classify_pages(books.toc_hits(bound(spark, d)))
 
 
-@query("page_kind_summary")
+@query("page_kind_summary", f"WITH RECURSIVE {_KINDS} SELECT book_id, kind, min(page_no) AS first, max(page_no) AS last, count(DISTINCT page_no)::BIGINT AS pages FROM kinds WHERE kind IS NOT NULL GROUP BY ALL")
 def _kind_summary(spark, d):
-    return books.kind_summary(books.classify_pages(books.toc_hits(pictured(spark, d))))
+    return books.kind_summary(books.classify_pages(books.toc_hits(bound(spark, d))))
 
 
-@query("toc_entries")
+@query("toc_entries", f"WITH RECURSIVE {PAGES_SQL}, {_CONTENTS_SQL}, tx AS (SELECT book_id || ' ' || page_no AS id, text FROM (SELECT book_id, page_no, text FROM p UNION ALL SELECT book_id, page_no, text FROM contents)), {toc_sql('tx')} SELECT string_split(id, ' ')[1] AS book_id, string_split(id, ' ')[2]::INTEGER AS page_no, (row_number() OVER (PARTITION BY id ORDER BY line) - 1)::INTEGER AS ord, title, printed FROM toc")
 def _toc(spark, d):
-    return flat_map(pages(spark, d).select("book_id", "page_no", "text"), lambda b, n, x: [(b, n, i, *e) for i, e in enumerate(folds.toc_entries(x))], "book_id string, page_no int, ord int, title string, printed int")
+    both = pages(spark, d).select("book_id", "page_no", "text").union(contents(spark, d))
+    return both.select("book_id", "page_no", F.posexplode(T.toc_entries(t())).alias("ord", "e")).select("book_id", "page_no", "ord", "e.title", "e.printed")
+
+
+@query("contents_chapters", f"""WITH RECURSIVE {_CONTENTS_SQL}, tx AS (SELECT book_id AS id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM contents GROUP BY 1), {toc_sql('tx')},
+x AS (SELECT id, title, line, CASE WHEN printed BETWEEN 5 AND 204 THEN CASE WHEN printed % 3 > 0 THEN printed ELSE (SELECT min(b) FROM (SELECT unnest(range(5, 205)) AS b) WHERE b % 3 > 0 AND b >= 5 + printed - 1) END WHEN 5 + printed - 1 BETWEEN 5 AND 203 THEN (SELECT min(b) FROM (SELECT unnest(range(5, 205)) AS b) WHERE b % 3 > 0 AND b >= 5 + printed - 1) END AS actual FROM toc),
+y AS (SELECT *, max(actual) OVER (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x WHERE actual IS NOT NULL),
+z AS (SELECT id, line, title, actual FROM y WHERE actual > coalesce(before, 0))
+SELECT id AS book_id, title, actual::INTEGER AS start_page, coalesce(lead(actual) OVER (PARTITION BY id ORDER BY line) - 1, 203)::INTEGER AS end_page FROM z""")
+def _contents_chapters(spark, d):
+    c = contents(spark, d)
+    body = c.select("book_id").distinct().select("book_id", F.explode(F.sequence(F.lit(5), F.lit(204))).alias("page_no")).filter("page_no % 3 > 0")
+    return books.contents_spans(c, body).select("book_id", "title", F.col("start_page").cast("int").alias("start_page"), F.col("end_page").cast("int").alias("end_page"))
 
 
 _TITLED = rf"hl AS (SELECT book_id, generate_subscripts(string_split(body, chr(10)), 1) AS i, unnest(string_split(body, chr(10))) AS l FROM b), hs AS (SELECT *, regexp_replace(l, '{STRIP}', '', 'g') AS s FROM hl), hf AS (SELECT *, s <> '' AND {chapter_sql('s')} AS h FROM hs), hg AS (SELECT *, sum(h::INTEGER) OVER (PARTITION BY book_id ORDER BY i) AS g FROM hf)"
 
 
 @query("split_chapters", rf"""WITH {PAGES_SQL}, b AS (SELECT book_id, string_agg(CASE WHEN page_no % 5 = 0 THEN 'Chapter ' || page_no || chr(10) || text ELSE text END, chr(10) ORDER BY page_no) AS body FROM p GROUP BY 1), {_TITLED},
-c AS (SELECT book_id, g, coalesce(max(CASE WHEN h THEN s END), '正文') AS title, regexp_replace(coalesce(string_agg(CASE WHEN h THEN NULL ELSE l END, chr(10) ORDER BY i), ''), '{STRIP}', '', 'g') AS body FROM hg GROUP BY ALL)
-SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY g) - 1)::INTEGER AS ord, title, body FROM c WHERE body <> ''""")
+c AS (SELECT book_id, g, coalesce(max(CASE WHEN h THEN s END), '正文') AS title, regexp_replace(coalesce(string_agg(CASE WHEN h THEN NULL ELSE l END, chr(10) ORDER BY i), ''), '{STRIP}', '', 'g') AS body FROM hg GROUP BY ALL),
+w AS (SELECT *, count(*) OVER (PARTITION BY book_id) = 1 AND length(body) > 30000 AS long FROM c WHERE body <> ''),
+u AS (SELECT book_id, g, title, body, 0 AS k FROM w WHERE NOT long UNION ALL SELECT book_id, g, '第 ' || (k + 1) || ' 部分', body[k * 12000 + 1:(k + 1) * 12000], k FROM (SELECT *, unnest(range(0, (length(body) + 11999) // 12000)) AS k FROM w WHERE long))
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY g, k) - 1)::INTEGER AS ord, title, body FROM u""")
 def _split(spark, d):
     headed = pages(spark, d).withColumn("text", F.when(F.col("page_no") % 5 == 0, F.concat(F.lit("Chapter "), F.col("page_no").cast("string"), F.lit("\n"), "text")).otherwise(t()))
     own = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"])
     return books.chapters_by_heading(headed.groupBy("book_id").agg(F.array_join(own, "\n").alias("body")))
 
 
-@query("fixed_page_chunks")
+@query("fixed_page_chunks", rf"""WITH RECURSIVE {PAGES_SQL}, q AS (SELECT book_id, page_no, regexp_replace(text, '{STRIP}', '', 'g') AS t FROM p WHERE regexp_replace(text, '{STRIP}', '', 'g') <> ''),
+l AS (SELECT *, regexp_replace(string_split(t, chr(10))[1], '{STRIP}', '', 'g') AS h, regexp_replace(string_split_regex(t, '\n\s*\n')[-1], '{STRIP}', '', 'g') AS e, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS k FROM q),
+f AS (SELECT book_id, page_no, k, {chapter_sql('h')} AS heading, regexp_matches(e, '[。！？；：”』」》…!?;:）)]$|^!\[(.*?)\]\((.*?)\)$') AS clean FROM l),
+r AS (SELECT book_id, k, page_no, 1 AS chapter, 1 AS n, clean FROM f WHERE k = 1 UNION ALL SELECT f.book_id, f.k, f.page_no, CASE WHEN r.n >= 20 AND (heading OR r.clean OR r.n >= 26) THEN chapter + 1 ELSE chapter END, CASE WHEN r.n >= 20 AND (heading OR r.clean OR r.n >= 26) THEN 1 ELSE r.n + 1 END, f.clean FROM r JOIN f ON f.book_id = r.book_id AND f.k = r.k + 1)
+SELECT book_id, chapter::INTEGER AS chapter, min(page_no) AS first, max(page_no) AS last FROM r GROUP BY ALL""")
 def _page_chunks(spark, d):
     return books.page_chunks(pages(spark, d))
 
@@ -425,7 +519,7 @@ def _relabel(spark, d):
     labels = notes.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("note_id").cast("string"), "label"))).alias("labels"))
     pieces = F.split("body", r"\[\[NOTE_REF:", -1)
     put = lambda x: F.concat(F.lit("[[NOTE_REF:"), F.substring_index(x, "|", 1), F.lit("|"), F.coalesce(F.try_element_at("labels", F.substring_index(x, "|", 1)), F.regexp_extract(x, r"\|(.+?)\]\]", 1)), F.lit("]]"), F.regexp_extract(x, r"(?s)\]\](.*)$", 1))
-    return chapters.join(labels, "book_id", "left").select("book_id", "ord", F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, 10**6), put), "")).alias("body"))
+    return chapters.join(labels, "book_id", "left").select("book_id", "ord", F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), put), "")).alias("body"))
 
 
 # --- boxes (S8, J6, F10, F11, O1) ------------------------------------------------------------------------------------
@@ -458,11 +552,20 @@ def _iou(spark, d):
     return layout.overlaps(boxes(spark, d))
 
 
-@query("box_suppression")
+_OVERLAP = "(greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1)))::DOUBLE"
+
+
+@query("box_suppression", f"""WITH RECURSIVE {_BOXES}, r AS (SELECT *, CASE {_KIND.format('label')} WHEN 'visual' THEN 3 WHEN 'text' THEN 2 ELSE 1 END AS pr, ((x2 - x1) * (y2 - y1))::DOUBLE AS area FROM b),
+q AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pr = 3 DESC, area DESC, box_id) AS k FROM r),
+s AS (SELECT page_id, k, true AS stays, [struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, pr := pr, area := area)] AS kept FROM q WHERE k = 1 UNION ALL
+ SELECT b.page_id, b.k, hits = 0, CASE WHEN hits = 0 THEN list_append(kept, struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, pr := pr, area := area)) ELSE kept END
+ FROM (SELECT b.*, s.kept, len(list_filter(s.kept, lambda o: (o.pr = 3) = (b.pr = 3) AND o.pr >= b.pr AND ((({_OVERLAP}) > 0 AND ({_OVERLAP}) / (o.area + b.area - ({_OVERLAP})) >= 0.5::DOUBLE) OR (b.area > 0 AND ({_OVERLAP}) / b.area >= 0.85::DOUBLE)))) AS hits FROM s JOIN q b ON b.page_id = s.page_id AND b.k = s.k + 1) b)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, k) - 1)::INTEGER AS place, label, score, x1, y1, x2, y2 FROM q JOIN s USING (page_id, k) WHERE stays""")
 def _suppress(spark, d):
     box = F.struct("label", "score", F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"))
     own = F.transform(F.array_sort(F.collect_list(F.struct("box_id", box.alias("b")))), lambda x: x["b"])
-    return layout.suppressed(boxes(spark, d).groupBy("page_id").agg(own.alias("boxes")))
+    kept = layout.suppressed(boxes(spark, d).groupBy("page_id").agg(own.alias("boxes")))
+    return kept.select("page_id", F.posexplode("boxes").alias("place", "b")).select("page_id", "place", "b.label", "b.score", *[F.get("b.bbox", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
 @query("normalise_boxes", f"WITH {_BOXES} SELECT page_id, lower(label) AS label, score, [x1::DOUBLE, y1::DOUBLE, x2::DOUBLE, y2::DOUBLE] AS bbox FROM b WHERE page_id % 3 > 0")
@@ -477,6 +580,16 @@ def _reading(spark, d):
     return layout.reading_order(boxes(spark, d).withColumn("content", F.concat_ws("-", "label", F.col("box_id").cast("string"))))
 
 
+@query("layout_parts", rf"""WITH {_BOXES}, g AS (SELECT l_suppkey AS page_id, l_orderkey * 8 + l_linenumber AS box_id, label, score, greatest(0, least(x1, 599)) AS x1, greatest(0, least(y1, 399)) AS y1, greatest(0, least(x2, 600)) AS x2, greatest(0, least(y2, 400)) AS y2 FROM b JOIN lineitem ON page_id = l_orderkey AND box_id = l_linenumber),
+k AS (SELECT *, {_KIND.format('label')} AS kind FROM g WHERE x2 - x1 >= 16 AND y2 - y1 >= 16),
+v AS (SELECT * FROM k WHERE kind = 'text' OR (kind = 'visual' AND score >= CASE WHEN label IN ('figure', 'chart', 'image', 'picture', 'img', 'photo') THEN 0.2::DOUBLE ELSE 0.25::DOUBLE END AND x2 - x1 >= 48 AND y2 - y1 >= 48 AND NOT ((x2 - x1) * (y2 - y1) < 0.008::DOUBLE * 600 * 400 AND greatest(x2 - x1, y2 - y1) < 180)))
+SELECT page_id, box_id, kind, x1::INTEGER AS x1, y1::INTEGER AS y1, x2::INTEGER AS x2, y2::INTEGER AS y2 FROM v QUALIFY kind = 'text' OR row_number() OVER (PARTITION BY page_id, kind ORDER BY y1, x1, box_id) <= 24""")
+def _layout_parts(spark, d):
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("box_id"), F.col("l_suppkey").alias("s"))
+    many = boxes(spark, d).join(own, ["page_id", "box_id"]).withColumn("box_id", F.col("page_id") * 8 + F.col("box_id")).withColumn("page_id", F.col("s")).drop("s")
+    return layout.page_parts(many, 600, 400)
+
+
 @query("full_page_picture", "SELECT l_orderkey, l_linenumber, l_discount * 10 <= 0.76::DOUBLE AND l_tax * 10 >= 0.08::DOUBLE AND l_quantity / 50 >= 0.72::DOUBLE AS full_page FROM lineitem")
 def _full_page(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", layout.is_full_page(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50).alias("full_page"))
@@ -489,9 +602,11 @@ def _todo(spark, d):
     return review.todo(p, p.filter("doc_id % 4 > 0").select("book_id", "page_no", F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("ok").alias("status")))
 
 
-@query("toc_pages_semijoin", f"WITH {PAGES_SQL} SELECT book_id, page_no FROM p WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND l.quality = 0)")
+@query("toc_pages_semijoin", f"WITH RECURSIVE {_CONTENTS_SQL}, tx AS (SELECT book_id || ' ' || page_no AS id, text FROM contents), {toc_sql('tx')} SELECT book_id, page_no FROM contents WHERE book_id || ' ' || page_no IN (SELECT id FROM toc WHERE printed > 150)")
 def _semi(spark, d):
-    return pages(spark, d).join(table(spark, d, "labels").filter("quality = 0"), "doc_id", "left_semi").select("book_id", "page_no")
+    c = contents(spark, d)
+    late = c.select("book_id", "page_no", F.explode(T.toc_entries(t())).alias("e")).filter("e.printed > 150")
+    return c.join(late, ["book_id", "page_no"], "left_semi").select("book_id", "page_no")
 
 
 @query("body_pages_antijoin", f"WITH {PAGES_SQL} SELECT book_id, page_no FROM p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id)")
@@ -504,30 +619,79 @@ SELECT book_id, old, new, count(*)::BIGINT AS count, arg_min('c' || i || '.' ||
 def _changes(spark, d):
     pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).cast("string").alias("book_id"), F.col("l_orderkey").cast("string").alias("i"), F.col("l_linenumber").alias("n"), pick(("巳", ",", "ab", ""), "l_partkey").alias("old"), pick(("已", "。", "long rewritten"), "l_suppkey").alias("new"))
-    return review.summarise(li.withColumn("ctx", F.concat(F.lit("c"), "i", F.lit("."), F.col("n").cast("string")))).select("book_id", "old", "new", "count", "ctx", F.size("chunks").cast("long").alias("chunks"), "level")
+    return review.summarise(li.withColumn("ctx", F.concat(F.lit("c"), "i", F.lit("."), F.col("n").cast("string")))).select("book_id", "old", "new", "count", "ctx", "chunks", "level")
+
+
+SENTENCES = ("。！？；!?;", "。！？；.!?;")
+
+
+def chunk_sql(source: str, most: int, batch: bool = False) -> str:
+    """Chunks of `source` (id, text): ch (id, i, total, chunk). Paragraphs, sentences and cuts are numbered pieces; a walk over them
+    carries the length of the chunk at hand."""
+    marks = SENTENCES[batch]
+    own = rf"regexp_replace(p, '{STRIP}', '', 'g')" if batch else "p"
+    if batch:
+        parts = f"CASE WHEN length(s) > {most} THEN list_transform(regexp_extract_all(s, '[^，,、]*[，,、]|[^，,、]+'), lambda x, k: CASE WHEN k > 1 THEN regexp_replace(x, '^{WS}+', '') ELSE x END) ELSE [s] END"
+    else:
+        parts = f"list_transform(range(0, (length(s) + {most} - 1) // {most}), lambda k: s[(k * {most} + 1)::BIGINT:((k + 1) * {most})::BIGINT])"
+    begins = "CASE WHEN c = 1 AND (j = 1 OR cut_before) AND (long OR long_before OR cut_before) THEN 1 ELSE 0 END" if batch else f"CASE WHEN (j = 1 AND c = 1 AND (long OR long_before)) OR length(s) > {most} THEN 1 ELSE 0 END"
+    return rf"""cp AS (SELECT id, pi, {own} AS p FROM (SELECT id, generate_subscripts(string_split_regex(text, '\n{WS}*\n'), 1) AS pi, unnest(string_split_regex(text, '\n{WS}*\n')) AS p FROM {source}) WHERE regexp_replace(p, '{STRIP}', '', 'g') <> ''),
+cl AS (SELECT *, length(p) > {most} AS long, coalesce(lag(length(p) > {most}) OVER (PARTITION BY id ORDER BY pi), false) AS long_before FROM cp),
+cs AS (SELECT id, pi, long, long_before, generate_subscripts(l, 1) AS j, unnest(l) AS s FROM (SELECT *, CASE WHEN long THEN list_filter(list_transform(regexp_extract_all(p, '[^{marks}]*[{marks}]|[^{marks}]+'), lambda x, k: CASE WHEN k > 1 THEN regexp_replace(x, '^{WS}+', '') ELSE x END), lambda x: x <> '') ELSE [p] END AS l FROM cl)),
+cb AS (SELECT *, coalesce(lag(length(s) > {most}) OVER (PARTITION BY id, pi ORDER BY j), false) AS cut_before FROM cs),
+cc AS (SELECT * REPLACE (generate_subscripts(l, 1) AS l), unnest(l) AS t FROM (SELECT *, CASE WHEN long THEN list_filter({parts}, lambda x: x <> '') ELSE [s] END AS l FROM cb)),
+cn AS (SELECT id, t, length(t) AS n, CASE WHEN long THEN '' ELSE chr(10) || chr(10) END AS joint, {begins} AS b, row_number() OVER (PARTITION BY id ORDER BY pi, j, c) AS k FROM (SELECT *, l AS c FROM cc)),
+cr AS (SELECT id, k, 1 AS chunk, n AS held, true AS first FROM cn WHERE k = 1 UNION ALL SELECT id, k, CASE WHEN x THEN chunk + 1 ELSE chunk END, CASE WHEN x THEN n ELSE held + length(joint) + n END, x FROM (SELECT cn.id, cn.k, cr.chunk, cr.held, cn.n, cn.joint, cn.b = 1 OR cr.held + length(cn.joint) + cn.n > {most} AS x FROM cr JOIN cn ON cn.id = cr.id AND cn.k = cr.k + 1)),
+cg AS (SELECT id, chunk AS g, {"regexp_replace(" if batch else ""}string_agg(CASE WHEN first THEN t ELSE joint || t END, '' ORDER BY k){f", '{STRIP}', '', 'g')" if batch else ""} AS chunk FROM cr JOIN cn USING (id, k) GROUP BY id, cr.chunk),
+ch AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY g))::INTEGER AS i, (count(*) OVER (PARTITION BY id))::INTEGER AS total, chunk FROM cg WHERE regexp_replace(chunk, '{STRIP}', '', 'g') <> '')"""
+
+
+_LINED = "tx AS (SELECT doc_id AS id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text FROM documents)"
+_RECORDS_SQL = rf"""tx AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {chunk_sql("tx", 700)},
+rec AS (SELECT id::VARCHAR AS book_id, i::VARCHAR AS i, total, 'ok' AS status, '' AS reason, chunk AS orig, regexp_replace(replace(replace(chunk, 'teh', 'the'), '  ', ' '), '{STRIP}', '', 'g') AS fixed FROM ch)"""
 
 
 def _records(spark, d):
     return review.proofread(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), "text"), lambda: lambda x: x.replace("teh", "the").replace("  ", " "))
 
 
-query("proofread_records")(_records)
-query("proofread_summary")(lambda spark, d: review.proof_summary(_records(spark, d)))
+query("proofread_records", f"WITH RECURSIVE {_RECORDS_SQL} SELECT *, fixed <> orig AS changed FROM rec")(_records)
+query("proofread_summary", f"WITH RECURSIVE {_RECORDS_SQL} SELECT book_id, count(*)::BIGINT AS blocks, count(*)::BIGINT AS ok, 0::BIGINT AS fallback, (count(*) FILTER (WHERE fixed <> orig))::BIGINT AS changed FROM rec GROUP BY book_id")(lambda spark, d: review.proof_summary(_records(spark, d)))
 query("change_table")(lambda spark, d: review.changes(_records(spark, d)).drop("first"))
-query("proofread_chunks")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))))
-query("batch_smart_chunks")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text")), folds.sentence_chunks, 800))
+query("proofread_chunks", f"WITH RECURSIVE {_LINED}, {chunk_sql('tx', 700)} SELECT id::VARCHAR AS book_id, i, chunk FROM ch")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))))
+query("batch_smart_chunks", f"WITH RECURSIVE {_LINED}, {chunk_sql('tx', 800, True)} SELECT id::VARCHAR AS book_id, i, chunk FROM ch")(lambda spark, d: review.chunk_texts(docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text")), folds.sentence_chunks, 800))
 query("proofread_guard")(lambda spark, d: review.guarded(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("original"), F.regexp_replace("text", "of ", "").alias("fixed"))))
 query("batch_output_guard")(lambda spark, d: flat_map(spread(docs(spark, d).select("doc_id", "text")), lambda i, x: [(i, n, *folds.batch_guard(c, c.replace("e", ""))) for n, c in enumerate(folds.sentence_chunks(x) or [""])], "doc_id long, chunk int, ok boolean, reason string"))
-query("split_failed_chunk")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *(folds.halves(x) or (None, None)))], "doc_id long, left string, right string"))
-query("html_diff")(lambda spark, d: flat_map(spread(docs(spark, d).select("doc_id", "text")), lambda i, x: [(i, n, sinks.html_diff(c, c.replace("the", "teh"))) for n, c in enumerate(folds.chunks(x) or [""])], "doc_id long, chunk int, html string"))
+query("split_failed_chunk", rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), e AS (SELECT doc_id, 1 AS o, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(x, '(?s).*?\n{WS}*\n+') AS l FROM d))
+ UNION ALL SELECT doc_id, 2, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY k) FROM (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(x, '[^。！？；!?;]*[。！？；!?;]{WS}*') AS l FROM d))),
+m AS (SELECT doc_id, arg_min(e, struct_pack(a := abs(e - length(x) // 2), o := o, e := e)) AS middle FROM e JOIN d USING (doc_id) WHERE e < length(x) GROUP BY doc_id),
+h AS (SELECT doc_id, x, coalesce(middle, length(x) // 2)::BIGINT AS middle FROM d LEFT JOIN m USING (doc_id)), k AS (SELECT *, length(x) >= 240 AND regexp_replace(x[1:middle], '{STRIP}', '', 'g') <> '' AND regexp_replace(x[middle + 1:], '{STRIP}', '', 'g') <> '' AS ok FROM h)
+SELECT doc_id, CASE WHEN ok THEN x[1:middle] END AS left, CASE WHEN ok THEN x[middle + 1:] END AS right FROM k""")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, *(folds.halves(x) or (None, None)))], "doc_id long, left string, right string"))
+query("html_diff")(lambda spark, d: flat_map(spread(docs(spark, d).select("doc_id", "text")), lambda i, x: [(i, n, *sinks.html_diff(c, c.replace("the", "teh"))) for n, c in enumerate(folds.chunks(x) or [""])], "doc_id long, chunk int, left string, right string"))
 query("markdown_to_xhtml")(lambda spark, d: flat_map(docs(spark, d).select("doc_id", "text"), lambda i, x: [(i, folds.to_xhtml("# " + x))], "doc_id long, xhtml string"))
 
 
+def epubs(spark, d):
+    chapters = _QUERIES["split_chapters"](spark, d).groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "body"))), lambda c: F.struct(c["title"].alias("title"), c["body"].alias("body"), F.array().cast("array<struct<note_id:int,label:string,text:string>>").alias("notes"))).alias("chapters"))
+    return sinks.epubs(chapters.select("book_id", F.col("book_id").alias("title"), F.lit("").alias("author"), F.lit(False).alias("test"), "chapters"))
+
+
 @query("epub_files")
 def _epubs(spark, d):
-    chapters = _QUERIES["split_chapters"](spark, d).groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "body"))), lambda c: F.struct(c["title"].alias("title"), c["body"].alias("body"), F.array().cast("array<struct<note_id:int,label:string,text:string>>").alias("notes"))).alias("chapters"))
-    made = sinks.epubs(chapters.select("book_id", F.col("book_id").alias("title"), F.lit("").alias("author"), F.lit(False).alias("test"), "chapters"))
-    return flat_map(made, lambda b, n, c: [(b, n, len(c), len(sinks.epub_to_markdown(c)))], "book_id string, name string, bytes long, chars long")
+    made = written(epubs(spark, d))
+    return made.select("book_id", "name", F.length("content").alias("bytes")).join(sinks.epub_texts(made).select("book_id", F.length("text").alias("chars")), "book_id")
+
+
+@query("review_reports")
+def _reports(spark, d):
+    records = written(review.proofread(pages(spark, d).select("book_id", "text"), lambda: lambda x: x.replace("the", "teh").replace("  ", " ")).withColumn("i", F.col("i")))
+    pairs = written(review.edits(records))
+    return sinks.reports(records, review.with_chunk_lists(review.summarise(pairs), pairs))
+
+
+@query("batch_refine")
+def _refine(spark, d):
+    return flat_map(spread(docs(spark, d).select("doc_id", "text")), lambda i, x: [(i, *folds.batch_refine(x, lambda c: "校对后：" + c.replace("  ", " ")))], "doc_id long, text string, chunks int, accepted int, fallbacks int")
 
 
 @query("last_n_log", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 120")
@@ -546,16 +710,22 @@ def _restore(spark, d):
     return review.restore(files.filter("p_partkey % 2 = 0").select("name"), files.filter("p_partkey % 3 > 0").select("name"))
 
 
-@query("jobs_newest_first", "SELECT o_orderkey, o_orderdate, (rank() OVER (ORDER BY o_orderdate DESC, o_orderkey))::INTEGER AS place, c_name FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500) LEFT JOIN customer ON c_custkey = o_custkey")
+@query("jobs_newest_first", "SELECT o_orderkey, o_orderdate, (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey))::BIGINT AS place, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def _jobs(spark, d):
-    top = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(500)
-    place = F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey"))  # of 500 rows
-    return top.withColumn("place", place).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", "o_orderdate", "place", "c_name")
-
-
-@query("rolling_speed")
+    """All jobs, ranked by buckets of their date, so no task holds them all."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey", F.lit(0).alias("all"))
+    low, high, n = o.agg(F.min("o_orderdate"), F.max("o_orderdate"), F.count("*")).first()
+    span = (high - low).total_seconds() + 1 if n else 1.0
+    old = F.timestamp_diff("SECOND", F.col("o_orderdate"), F.lit(high)) / F.lit(span) if n else F.lit(0.0)
+    placed = ranked(o, ["all"], old, [F.desc("o_orderdate"), F.col("o_orderkey")], buckets_for(n), "place")
+    return placed.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", "o_orderdate", (F.col("place") + 1).alias("place"), "c_name")
+
+
+@query("rolling_speed", """WITH RECURSIVE e AS (SELECT event_type AS key, (event_id % 40)::BIGINT AS n, value AS s, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id % 40 > 0 AND value > 0),
+r AS (SELECT key, k, n AS pages, s AS total FROM e WHERE k = 1 UNION ALL SELECT e.key, e.k, CASE WHEN pages > 2000 THEN 1000 ELSE pages END + n, CASE WHEN pages > 2000 THEN total / 2 ELSE total END + s FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+SELECT key, arg_max(pages, k) AS pages, round(arg_max(total, k), 6) AS total_sec FROM r GROUP BY key""")
 def _speed(spark, d):
-    return review.speeds(table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("at"), (F.col("event_id") % 40).alias("pages"), F.col("value").alias("seconds")))
+    return review.speeds(table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("at"), (F.col("event_id") % 40).alias("pages"), F.col("value").alias("seconds"))).withColumn("total_sec", F.round("total_sec", 6))
 
 
 @query("eta_estimate", "SELECT event_type AS key, CASE WHEN sum(event_id % 40)::BIGINT >= 5 THEN round(sum(value) / sum(event_id % 40)::BIGINT * 300 / 2, 3) END AS seconds FROM events GROUP BY 1")

@@ -29,7 +29,10 @@ NO_TEXT = "[NO_TEXT]"
 NOTE_REF = r"\[\[NOTE_REF:([0-9]+)\|(.+?)\]\]"
 IMAGE_LINE = r"^!\[(.*?)\]\((.*?)\)$"
 
-SPACES_AROUND = r"(?U)^\s+|\s+$"
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TOC_LINE = r"^(.{2,}?)(?:\s*[·•●‧・._…⋯][\s·•●‧・._…⋯]*\s*|\s+)([0-9]{1,4})\s*$"
+TOC_TITLE = r"^(?:目\s*录|contents?)$"
 
 
 def let(value: Column, use) -> Column:
@@ -42,7 +45,7 @@ def text(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, SPACES_AROUND, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:
@@ -111,8 +114,10 @@ def collapse_full_repeat(c: Column) -> Column:
 
 def _shortest_period(c: Column) -> Column:
     n = F.length(c)
-    # Only lengths that divide the whole can do; building the repeated text is left for those.
-    period = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(n / 2).cast("int"))), lambda k: (n % k == 0) & (F.repeat(F.left(c, k), (n / k).cast("int")) == c)), 0)
+    # Only lengths that divide the whole can do: those up to its root, and what these leave, each tried by one comparison.
+    small = F.filter(F.sequence(F.lit(1), F.floor(F.sqrt(n)).cast("int")), lambda k: n % k == 0)
+    divisors = F.array_sort(F.array_distinct(F.concat(small, F.transform(small, lambda k: (n / k).cast("int")))))
+    period = F.get(F.filter(divisors, lambda k: (k < n) & (F.substring(c, k + 1, n - k) == F.left(c, n - k))), 0)
     return F.when(n >= 8, F.coalesce(F.left(c, period), c)).otherwise(c)
 
 
@@ -150,22 +155,24 @@ def clean_page(c: Column) -> Column:
     return F.when(c == "", c).otherwise(out)
 
 
-def is_noise_line(line: Column) -> Column:
-    """Page numbers, rules and leaders, marks alone, stuttering, hardly any letters; for a stripped line."""
-    compact = without_space(line)
+def is_noise_line(line: Column, compact: Column) -> Column:
+    """Page numbers, rules and leaders, marks alone, hardly any letters, stuttering; for a stripped line, and the same without
+    white space. What is cheap to tell stands first."""
     return (
         line.rlike("^[0-9ivxlcdmIVXLCDM]{1,8}$")
         | line.rlike(r"^(?U)[·•\-.。…_=\s]{4,}$")
         | (compact.rlike(r"^[^\p{L}\p{N}]+$") & (F.length(compact) >= 2))
-        | compact.rlike(r"(.{1,8})\1{3,}")
         | ((F.length(compact) >= 8) & (char_count(line) < F.lit(0.22) * F.length(compact)))
+        | compact.rlike(r"(.{1,8})\1{3,}")
     )
 
 
 def drop_noise_lines(c: Column) -> Column:
     """Empty lines stay, as empty ones."""
-    kept = F.filter(lines(c), lambda x: (strip(x) == "") | ~is_noise_line(strip(x)))
-    return strip(F.array_join(F.transform(kept, lambda x: F.when(strip(x) == "", "").otherwise(x)), "\n"))
+    own = F.transform(lines(c), lambda x: F.struct(x.alias("t"), strip(x).alias("s")))
+    own = F.transform(own, lambda x: F.struct(F.when(x["s"] == "", "").otherwise(x["t"]).alias("t"), x["s"].alias("s"), without_space(x["s"]).alias("k")))
+    kept = F.filter(own, lambda x: (x["s"] == "") | ~is_noise_line(x["s"], x["k"]))
+    return strip(F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))
 
 
 def is_suspicious(c: Column) -> Column:
@@ -256,6 +263,30 @@ def notes_to_paragraphs(c: Column) -> Column:
     return F.regexp_replace(c, r"\n(\s*[\x{2460}-\x{2473}])", "\n\n$1")
 
 
+def toc_entries(c: Column) -> Column:
+    """(title, printed) of each contents line of a text, in order: one aggregation over its lines, whose state is the beginning of
+    a title that waits for its page (a short line without one) and what was found."""
+    own = F.filter(F.transform(lines(c), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    none = F.array().cast("array<struct<title:string,printed:int>>")
+
+    def judged(state: Column, line: Column) -> Column:
+        def judge(whole: Column) -> Column:
+            title = normalise_title(F.regexp_extract(whole, TOC_LINE, 1))
+            entry = F.struct(title.alias("title"), F.regexp_extract(whole, TOC_LINE, 2).cast("int").alias("printed"))
+            found = let(entry, lambda e: F.when((e["title"] != "") & (e["printed"] > 0), F.array_append(state["out"], e)).otherwise(state["out"]))
+            waits = F.when((F.length(line) <= 40) & ~line.rlike("[。！？；]$"), line).otherwise("")
+            return (
+                F.when(line.rlike("(?i)" + TOC_TITLE), F.struct(F.lit("").alias("waits"), state["out"].alias("out")))
+                .when(whole.rlike(TOC_LINE), F.struct(F.lit("").alias("waits"), found.alias("out")))
+                .otherwise(F.struct(waits.alias("waits"), state["out"].alias("out")))
+            )
+
+        return let(F.when(state["waits"] != "", F.concat(state["waits"], F.lit(" "), line)).otherwise(line), judge)
+
+    # Nearly all pages have no line that ends in a digit, and are done with one search.
+    return F.when(c.rlike(r"(?m)[0-9]\s*$"), F.aggregate(own, F.struct(F.lit("").alias("waits"), none.alias("out")), judged)["out"]).otherwise(none)
+
+
 def note_refs(c: Column) -> Column:
     """The references in a text, in order, as structs of id and label."""
     return F.transform(F.regexp_extract_all(text(c), F.lit(NOTE_REF), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, NOTE_REF, 1).cast("long").alias("id"), F.regexp_extract(m, NOTE_REF, 2).alias("label")))

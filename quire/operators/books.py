@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions import text as T
-from .ranking import buckets_for, ranked
 from .rows import flat_map, fold
 
+#: Ids that make a book of each source; a book is joined in one row, so it must stay bounded.
+BOOK_IDS = 5000
+
 
 def documents_as_pages(docs: DataFrame) -> DataFrame:
-    """The driver's documents as pages: a book for each source, pages in order of doc_id. Numbers are given by buckets of doc_id,
-    so the largest source is dealt over all tasks."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    place = (F.col("doc_id") - F.lit(low or 0)) / F.lit(float((high or 0) - (low or 0) + 1))
-    own = ranked(docs.select("source", "doc_id", "text"), ["source"], place, [F.col("doc_id")], buckets_for(n, least=1), "rank")
-    return own.select(F.col("source").alias("book_id"), (F.col("rank") + 1).cast("int").alias("page_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """The driver's documents as pages: a book for each source and each stretch of BOOK_IDS ids, a page's number its place there. So
+    books stay bounded however large a source is, and nothing is shuffled."""
+    book = F.concat_ws("-", "source", F.floor(F.col("doc_id") / BOOK_IDS).cast("string"))
+    return docs.select(book.alias("book_id"), (F.pmod("doc_id", F.lit(BOOK_IDS)) + 1).cast("int").alias("page_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def running_lines(pages: DataFrame, min_ratio: float = 0.35, longest: int = 60, min_count: int = 1) -> DataFrame:
@@ -54,10 +54,8 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 
 def toc_hits(pages: DataFrame) -> DataFrame:
-    """`pages` with `toc_lines`, the number of contents entries on each; pages without a digit at a line's end skip Python."""
-    maybe = F.col("text").rlike(r"(?m)[0-9]\s*$")
-    counted = flat_map(pages.filter(maybe).select("book_id", "page_no", "text"), lambda b, n, t: [(b, n, len(folds.toc_entries(t)))], "book_id string, page_no int, toc_lines int")
-    return pages.join(counted, ["book_id", "page_no"], "left").withColumn("toc_lines", F.coalesce("toc_lines", F.lit(0)))
+    """`pages` with `toc_lines`, the number of contents entries on each."""
+    return pages.withColumn("toc_lines", F.size(T.toc_entries(T.text("text"))))
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
@@ -81,7 +79,8 @@ def classify_pages(pages: DataFrame) -> DataFrame:
 
 
 def kind_summary(classified: DataFrame) -> DataFrame:
-    return classified.filter("kind IS NOT NULL").groupBy("kind").agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.countDistinct("page_no").alias("pages"))
+    """book_id, kind, first, last, pages: where a book's structural pages are."""
+    return classified.filter("kind IS NOT NULL").groupBy("book_id", "kind").agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.countDistinct("page_no").alias("pages"))
 
 
 def outline_chapters(outline: DataFrame, totals: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
@@ -149,9 +148,14 @@ def chapters_by_heading(books: DataFrame, default: str = "正文", most: int = 3
 
 
 def page_chunks(pages: DataFrame, size: int = 20, extra: int = 6) -> DataFrame:
-    """book_id, chapter, first, last: chapters of about `size` pages that end at a clean page or before a heading. Pages stream
-    past; no more than a chapter's flags are held."""
-    flags = pages.filter(T.strip(F.col("text")) != "").select("book_id", "page_no", T.is_chapter_line(F.element_at(T.lines(T.strip(F.col("text"))), 1)).alias("heading"), T.ends_cleanly(F.col("text")).alias("clean"))
+    """book_id, chapter, first, last: chapters of about `size` pages that end at a clean page or before a heading. All rows of a page
+    are one page: its first one (text before picture) tells how it begins, its last one how it ends. Pages stream past; no more
+    than a chapter's flags are held."""
+    size = max(1, size)
+    picture = F.coalesce(F.col("illustration"), F.lit(False)) if "illustration" in pages.columns else F.lit(False)
+    own = pages.filter(T.strip(F.col("text")) != "").withColumn("place", F.struct(picture.alias("p"), F.xxhash64("text").alias("t")))
+    heading, clean = T.is_chapter_line(F.element_at(T.lines(T.strip(F.col("text"))), 1)), T.ends_cleanly(F.col("text"))
+    flags = own.groupBy("book_id", "page_no").agg(F.min_by(heading, "place").alias("heading"), F.max_by(clean, "place").alias("clean"))
 
     def cut(rows):
         chapter, held = 1, []
@@ -199,6 +203,18 @@ def on_pages(pages: DataFrame, rule, *args) -> DataFrame:
     return flat_map(pages.select("book_id", "page_no", "text"), lambda b, n, t: [(b, n, rule(t, *args))], "book_id string, page_no int, text string")
 
 
+def contents_spans(contents: DataFrame, body: DataFrame) -> DataFrame:
+    """book_id, ord, title, start_page, end_page of the chapters that contents pages (book_id, page_no, text) list: printed numbers
+    become pages of the body (book_id, page_no), only such as rise, and each chapter ends before the next one or with the body."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"])
+    whole = contents.groupBy("book_id").agg(F.array_join(own, "\n").alias("text"))
+    entries = whole.select("book_id", F.posexplode(T.toc_entries(F.col("text"))).alias("ord", "e")).select("book_id", "ord", "e.title", "e.printed")
+    numbers = body.select("book_id", "page_no").distinct()
+    last = numbers.groupBy("book_id").agg(F.max("page_no").alias("hi"))
+    mapped = accept_rising(next_body_page(entries.select("book_id", "ord", "printed"), numbers).filter("actual IS NOT NULL").select("book_id", "ord", "actual"))
+    return mapped.join(entries.select("book_id", "ord", "title"), ["book_id", "ord"]).join(last, "book_id").select("book_id", "ord", "title", F.col("actual").alias("start_page"), F.coalesce("end_page", "hi").alias("end_page"))
+
+
 def extract_notes(pages: DataFrame) -> DataFrame:
     """book_id, page_no, body, notes: each page's footnotes with ids from 1 within the page."""
     return flat_map(

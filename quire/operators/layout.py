@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import folds
@@ -55,6 +55,18 @@ def suppressed(pages: DataFrame) -> DataFrame:
     return flat_map(pages.select("page_id", "boxes"), run, f"page_id long, boxes {shape}")
 
 
+def page_parts(boxes: DataFrame, page_w: int, page_h: int, most_visuals: int = 24, least: int = 16) -> DataFrame:
+    """page_id, box_id, kind, x1, y1, x2, y2 of the boxes that are read (text) or kept as pictures (visual): cut to the page, at least
+    `least` pixels on either side, and of the pictures that are sure and large enough the first `most_visuals` in reading order."""
+    side = lambda c, most: F.greatest(F.lit(0), F.least(F.bround(c).cast("int"), F.lit(most)))
+    cut = boxes.select("page_id", "box_id", "label", "score", side("x1", page_w - 1).alias("x1"), side("y1", page_h - 1).alias("y1"), side("x2", page_w).alias("x2"), side("y2", page_h).alias("y2"), kind(F.col("label")).alias("kind"))
+    cut = cut.filter((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least) & (F.col("kind") != "drop"))
+    sure = keep_visual(*[F.col(c) for c in ("label", "score", "x1", "y1", "x2", "y2")], F.lit(page_w), F.lit(page_h))
+    cut = cut.filter((F.col("kind") == "text") | sure)
+    place = F.row_number().over(Window.partitionBy("page_id", "kind").orderBy("y1", "x1", "box_id"))
+    return cut.withColumn("place", place).filter((F.col("kind") == "text") | (F.col("place") <= most_visuals)).select("page_id", "box_id", "kind", "x1", "y1", "x2", "y2")
+
+
 def reading_order(parts: DataFrame) -> DataFrame:
     """page_id, text: the contents of a page's parts (page_id, x1, y1, content) from top to bottom, then left to right."""
     own = F.transform(F.array_sort(F.collect_list(F.struct("y1", "x1", "content"))), lambda x: x["content"])

@@ -17,12 +17,11 @@ RECORD = "i string, total int, status string, reason string, orig string, fixed
 def proofread(texts: DataFrame, client: Callable[[], Callable[[str], str | None]], most: int = 700) -> DataFrame:
     """Records of every chunk of every text (book_id, text). `client` makes a corrector in each task."""
 
-    def run(book, text):
-        correct = client()
+    def run(correct, book, text):
         for r in folds.proofread(text or "", correct, most):
             yield (book, *r.values())
 
-    return flat_map(texts.select("book_id", "text"), run, f"book_id string, {RECORD}")
+    return flat_map(texts.select("book_id", "text"), run, f"book_id string, {RECORD}", client)
 
 
 def chunk_texts(texts: DataFrame, rule: Callable[[str, int], list[str]] = folds.chunks, most: int = 700) -> DataFrame:
@@ -40,25 +39,42 @@ def guarded(pairs: DataFrame) -> DataFrame:
 
 def changes(records: DataFrame) -> DataFrame:
     """book_id, old, new, count, label, level, ctx, chunks: edits of accepted records, counted; the risky ones sort first."""
+    return summarise(edits(records))
+
+
+def edits(records: DataFrame) -> DataFrame:
+    """book_id, i, n, old, new, ctx: the edits of accepted records, n counting within a record. A record shows its first 500 edits,
+    as the change table's contract has it."""
     ok = records.filter("status = 'ok'").select("book_id", "i", "orig", "fixed")
-    pairs = flat_map(
+    return flat_map(
         ok, lambda b, i, o, f: [(b, i, n, old, new, folds.context(o or "", old)) for n, (old, new) in enumerate(folds.change_pairs(o or "", f or ""))],
         "book_id string, i string, n int, old string, new string, ctx string",
     )
-    return summarise(pairs)
 
 
 def summarise(pairs: DataFrame) -> DataFrame:
-    """The change table of pairs (book_id, i, n, old, new, ctx): where `i` is "3" or "3.1" and n counts within it."""
+    """The change table of pairs (book_id, i, n, old, new, ctx): where `i` is "3" or "3.1" and n counts within it. `chunks` is the
+    number of chunks that hold the edit; which they are, `edit_chunks` has a row for each."""
     p = pairs.filter((T.strip(F.col("old")) != "") | (T.strip(F.col("new")) != ""))
     at = F.struct(F.transform(F.split("i", r"\."), lambda x: x.cast("int")).alias("i"), F.col("n"))
     per_chunk = p.groupBy("book_id", "old", "new", "i").agg(F.count("*").alias("c"), F.min(at).alias("at"), F.min_by("ctx", at).alias("ctx"))
-    # An edit's chunks are as many as the texts in which it occurs; the list is kept, as the report shows it.
-    g = per_chunk.groupBy("book_id", "old", "new").agg(F.sum("c").alias("count"), F.min_by("ctx", "at").alias("ctx"), F.min("at").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("at", "i"))), lambda x: x["i"]).alias("chunks"))
+    g = per_chunk.groupBy("book_id", "old", "new").agg(F.sum("c").alias("count"), F.min_by("ctx", "at").alias("ctx"), F.min("at").alias("first"), F.count("*").alias("chunks"))
     kind = T.classify_change(F.col("old"), F.col("new"))
     return g.select("book_id", "old", "new", "count", kind["label"].alias("label"), kind["level"].alias("level"), "ctx", "chunks", "first")
 
 
+def edit_chunks(pairs: DataFrame) -> DataFrame:
+    """book_id, old, new, i: the chunks that hold each edit, a row for each, so that a common edit's fill no row."""
+    return pairs.select("book_id", "old", "new", "i").distinct()
+
+
+def with_chunk_lists(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A change table with the list of chunks in place of their number, as a book's report shows it; for books, which are bounded."""
+    at = F.transform(F.split("i", r"\."), lambda x: x.cast("int"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "i"))), lambda x: x["i"])
+    return table.drop("chunks").join(edit_chunks(pairs).groupBy("book_id", "old", "new").agg(own.alias("chunks")), ["book_id", "old", "new"])
+
+
 def proof_summary(records: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(c).alias
     return records.groupBy("book_id").agg(F.count("*").alias("blocks"), n(F.col("status") == "ok")("ok"), n(F.col("status") != "ok")("fallback"), n(F.col("changed"))("changed"))

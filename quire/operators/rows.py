@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
@@ -25,20 +27,34 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def flat_map(df: DataFrame, function: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """`function(*row)` yields result rows, for each row of `df`; nothing is shuffled."""
+def flat_map(df: DataFrame, function: Callable[..., Iterable[tuple]], schema: str, once: Callable[[], object] | None = None) -> DataFrame:
+    """`function(*row)` yields result rows, for each row of `df`; nothing is shuffled. With `once`, what it makes in each task (a
+    client, say) is the function's first argument."""
     kind = parse(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = _arrow(kind)
+        arrow, made = _arrow(kind), (once(),) if once else ()
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = [c.to_pylist() for c in b.slice(at, SLICE).columns]
-                yield _batch([out for row in zip(*part, strict=True) for out in function(*row)], arrow)
+                yield _batch([out for row in zip(*part, strict=True) for out in function(*made, *row)], arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder of the session (`spark.checkpoint.dir`) and read back: for what costs more to make than
+    to write, and is read several times. Only where driver and executors are one process may that be unset; a temporary folder
+    stands in there."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
+    return df.checkpoint(eager=True)
+
+
 def fold(df: DataFrame, key: list[str], order: list[str], function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """`function(rows)` yields result rows for each key's rows in order. Rows stream past in sorted partitions, so a key of any
     size takes only the memory of the function's own, bounded, state."""

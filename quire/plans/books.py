@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..functions import text as T
 from ..operators import books
-from ..operators.rows import flat_map
+from ..operators.rows import flat_map, written
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,10 @@ class Settings:
 
 
 def clean_books(pages: DataFrame, settings: Settings = Settings(), min_count: int = 1) -> DataFrame:
-    """book_id, pages, chars, body: pages cleaned, without running heads, re-flowed and joined. Page rules run in each page's row;
-    what is shuffled are counts of end lines and, once, the cleaned pages."""
-    cleaned = pages.withColumn("text", T.collapse_full_repeat(T.collapse_punctuation(T.text("text"))))
+    """book_id, chars, body: pages cleaned, without running heads, re-flowed and joined. Page rules run once, in each page's row: the
+    cleaned pages are written, since they are read for their end lines and again without them; what is shuffled are counts of end
+    lines and, once, the cleaned pages."""
+    cleaned = written(pages.withColumn("text", T.collapse_full_repeat(T.collapse_punctuation(T.text("text")))))
     kept = books.drop_running_lines(cleaned, books.running_lines(cleaned, settings.running_ratio, min_count=min_count))
     flowed = kept.select("book_id", "page_no", F.lit(False).alias("illustration"), T.merge_wrapped(F.col("text")).alias("text"))
     body = books.joined_pages(flowed)
@@ -47,7 +48,7 @@ def processed_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFr
     """book_id, page_no, illustration, text, notes: the conversion's page steps up to chaptering, in their order: clean, running
     lines, notes, noise, merge, collapse, repeated pages, shared prefixes."""
     is_picture = F.col("text").startswith("![")
-    cleaned = pages.withColumn("text", T.clean_page(T.text("text")))
+    cleaned = written(pages.withColumn("text", T.clean_page(T.text("text"))))
     kept = books.drop_running_lines(cleaned, books.running_lines(cleaned, settings.running_ratio))
     pictures = kept.filter(is_picture).select("book_id", "page_no", F.lit(True).alias("illustration"), "text")
     noted = books.number_notes(books.extract_notes(kept.filter(~is_picture)))
@@ -136,13 +137,9 @@ def structured_chapters(processed: DataFrame, given: dict | None = None, outline
         cut = books.page_chunks(body, given.get("chapter_target_pages") or settings.chapter_pages)
         spans = cut.select("book_id", F.col("chapter").alias("ord"), F.concat(F.lit("第"), F.col("chapter").cast("string"), F.lit("章")).alias("title"), F.col("first").alias("start_page"), F.col("last").alias("end_page"))
     else:
-        contents = books.joined_pages(front.filter("section = '目录'").select("book_id", "page_no", F.lit(False).alias("illustration"), "text"))
-        entries = flat_map(contents.select("book_id", "body"), lambda b, t: [(b, i, *e) for i, e in enumerate(folds.toc_entries(t))], "book_id string, ord int, title string, printed int")
-        numbers = body.select("book_id", "page_no").distinct()
-        last = numbers.groupBy("book_id").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
-        mapped = books.accept_rising(books.next_body_page(entries.select("book_id", "ord", "printed"), numbers).filter("actual IS NOT NULL").select("book_id", "ord", "actual"))
-        spans = mapped.join(entries.select("book_id", "ord", "title"), ["book_id", "ord"]).join(last, "book_id").select("book_id", "ord", "title", F.col("actual").alias("start_page"), F.coalesce("end_page", "hi").alias("end_page"))
+        spans = books.contents_spans(front.filter("section = '目录'").select("book_id", "page_no", "text"), body)
         if outline is not None:
+            last = body.groupBy("book_id").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
             trimmed = outline.join(last, "book_id").select("book_id", F.col("ord").cast("int").alias("ord"), "title", F.greatest("lo", "start_page").alias("start_page"), F.least("hi", "end_page").alias("end_page")).filter("end_page >= start_page")
             spans = spans.union(trimmed.join(spans.select("book_id").distinct(), "book_id", "left_anti"))
     rest = _by_spans(body, spans).withColumn("ord", F.col("ord") + len(SECTIONS) + len(SPANS))

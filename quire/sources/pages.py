@@ -1,22 +1,40 @@
-"""Sources of pages. Recognition is a model behind an interface: a client maps (image bytes, attempt) to text."""
+"""Sources of pages. Recognition is a model behind an interface: a client maps (image bytes, profile of the attempt) to text."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
-from typing import Protocol
+from functools import reduce
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.rows import flat_map
+from ..operators.rows import flat_map, written
+
+
+class Profile(NamedTuple):
+    """How an attempt asks: the prompt, the longest side of the image (None: as it is), how long an answer may get, and take."""
+
+    prompt: str
+    longest_side: int | None
+    most_tokens: int
+    seconds: int
+
+
+# The attempts, in order. The last one bids a model say that there is no text, and is for what the others fail on.
+PLAIN = "Text Recognition:"
+LAST = f"请逐字逐句完整提取图片中的所有文字。严禁总结，严禁省略，严禁使用“...”或“略”等符号代替原文。如果图片中没有文字，直接输出：{T.NO_TEXT}"
+PROFILES = (Profile(PLAIN, None, 8192, 300), Profile(PLAIN, 1280, 8192, 300), Profile(LAST, 1024, 1024, 150))
+MOST_SIDE, POINTS = 1600, 72  # of a rendered page in pixels; a PDF's units to the inch
 
 
 class Recogniser(Protocol):
-    def __call__(self, image: bytes, attempt: int) -> str: ...
+    def __call__(self, image: bytes, profile: Profile) -> str: ...
 
 
-def stub(image: bytes, attempt: int) -> str:
+def stub(image: bytes, profile: Profile) -> str:
     """A recogniser for tests: the image's bytes as text, if they are text."""
     return bytes(image).decode("utf-8", "replace")
 
@@ -42,57 +60,135 @@ def read_page_images(spark: SparkSession, path: str, first: int | None = None, l
     return at.withColumnRenamed("content", "image")
 
 
-def recognise(image: bytes, recogniser: Recogniser, attempts: int = 3, halves: Callable[[bytes], list[bytes]] | None = None) -> tuple[str | None, str]:
-    """Text and status: up to `attempts` tries until the text isn't suspicious, then the two halves of the image, if these can
-    be made; else the failure."""
-    errors = []
-    for n in range(attempts):
+def shrunk(image: bytes, longest: int | None) -> bytes:
+    """An image whose longest side is at most `longest` pixels; as it is where that is None."""
+    if longest is None:
+        return image
+    from PIL import Image
+
+    picture = Image.open(io.BytesIO(image))
+    if max(picture.size) <= longest:
+        return image
+    picture = picture.convert("RGB")
+    picture.thumbnail((longest, longest))
+    out = io.BytesIO()
+    picture.save(out, "JPEG", quality=90)
+    return out.getvalue()
+
+
+def halved(image: bytes) -> list[bytes]:
+    """The upper and the lower half of a page's image."""
+    from PIL import Image
+
+    picture, halves = Image.open(io.BytesIO(image)).convert("RGB"), []
+    middle = picture.height // 2
+    for box in ((0, 0, picture.width, middle), (0, middle, picture.width, picture.height)):
+        out = io.BytesIO()
+        picture.crop(box).save(out, "JPEG", quality=90)
+        halves.append(out.getvalue())
+    return halves
+
+
+KEY = ["book_id", "page_no"]
+ANSWER = "book_id string, page_no int, part int, answer string, error string"
+
+
+def _asked(images: DataFrame, backend: str, profile: Profile, shrink: Callable[[bytes, int | None], bytes] | None) -> DataFrame:
+    """book_id, page_no, part, text, error: one attempt on each image, cleaned by the page rules; written, since asking is dear. A
+    client is made once in a task."""
+
+    def ask(client, book, page, part, image):
         try:
-            found = recogniser(image, n)
+            yield book, page, part, client(shrink(bytes(image), profile.longest_side) if shrink else bytes(image), profile), None
         except Exception as e:  # the next attempt may do
-            errors.append(f"{type(e).__name__}: {e}")
-            continue
-        if not suspicious(found):
-            return found, "ok"
-        errors.append("suspicious")
+            yield book, page, part, None, f"{type(e).__name__}: {e}"
+
+    got = written(flat_map(images.select(*KEY, "part", "image"), ask, ANSWER, BACKENDS[backend]))
+    text = T.drop_noise_lines(T.clean_page(T.text("answer")))
+    return got.select(*KEY, "part", text.alias("text"), "error").withColumn("error", F.when(F.col("error").isNull() & T.is_suspicious(F.col("text")), "suspicious").otherwise(F.col("error")))
+
+
+def recognised(images: DataFrame, backend: str = "stub", most_tasks: int | None = None, halves: Callable[[bytes], list[bytes]] | None = None, shrink: Callable[[bytes, int | None], bytes] | None = None, picture: Callable[[bytes], bool] | None = None) -> DataFrame:
+    """book_id, page_no, text, status of images (book_id, page_no, image). A page that is one `picture` becomes a marker. The others
+    are asked by PROFILES, those that fail again by the next one, and at last by `halves`; a page that still fails has no text, and
+    the last reasons as its status. `most_tasks` bounds how many clients work at once."""
+    left = images.repartition(most_tasks) if most_tasks else images
+    left, done = left.select(*KEY, F.lit(0).alias("part"), "image"), []
+    if picture:
+        told = flat_map(left.select(*KEY, "image"), lambda b, n, i: [(b, n, bool(picture(bytes(i))))], "book_id string, page_no int, whole boolean")
+        told = written(told.filter("whole").select(*KEY))
+        name = F.concat(F.lit("page_"), F.lpad(F.col("page_no").cast("string"), 4, "0"), F.lit(".jpg"))
+        done.append(told.select(*KEY, T.image_marker(name, "整页插图").alias("text"), F.lit("ok").alias("status")))
+        left = left.join(told, KEY, "left_anti")
+    errors = None
+    for profile in PROFILES:
+        got = _asked(left, backend, profile, shrink)
+        done.append(got.filter("error IS NULL").select(*KEY, "text", F.lit("ok").alias("status")))
+        failed = got.filter("error IS NOT NULL").select(*KEY, F.array("error").alias("e"))
+        errors = failed if errors is None else errors.withColumnRenamed("e", "old").join(failed, KEY).select(*KEY, F.concat("old", "e").alias("e"))
+        left = left.join(failed.select(*KEY), KEY, "left_semi")
     if halves:
-        parts = [recognise(h, recogniser, attempts) for h in halves(image)]
-        if any(t for t, _ in parts):
-            return "\n\n".join(t for t, _ in parts if t), "ok"
-    return None, "failed: " + "; ".join(errors[-4:])
+        parts = flat_map(left.select(*KEY, "image"), lambda b, n, i: [(b, n, k, h) for k, h in enumerate(halves(bytes(i)))], "book_id string, page_no int, part int, image binary")
+        own = _asked(parts, backend, PROFILES[-1], shrink).filter("error IS NULL").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"))
+        whole = own.select(*KEY, T.strip(F.array_join(F.transform("p", lambda x: x["text"]), "\n")).alias("text")).filter(~T.is_suspicious(F.col("text")))
+        done.append(whole.select(*KEY, "text", F.lit("ok").alias("status")))
+        errors = errors.join(whole.select(*KEY), KEY, "left_anti")
+    last = F.slice("e", -F.least(F.size("e"), F.lit(4)), 4)
+    done.append(errors.select(*KEY, F.lit(None).cast("string").alias("text"), F.concat(F.lit("failed: "), F.array_join(last, "; ")).alias("status")))
+    return reduce(DataFrame.union, done)
 
 
-def suspicious(text: str | None) -> bool:
-    """`text.is_suspicious` for a plain value."""
-    import re
+def zoom(width: float, height: float, dpi: int = 200, most: int = MOST_SIDE) -> float:
+    """How much a page of a PDF is enlarged: by its resolution, but no side over `most` pixels."""
+    return min(dpi / POINTS, most / max(width, height))
 
-    s = (text or "").strip()
-    few = len(re.findall("[A-Za-z0-9一-鿿぀-ヿ]", s))
-    return bool(
-        not s or s == T.NO_TEXT or re.fullmatch(r"[\s.。·•…—\-_=~]+", s)
-        or (re.search("[.。·•…]{6,}", s) and few < max(80, len(s) // 2))
-        or (few < 60 and re.search(r"(.)\1{15,}", s))
-    )
 
+def _opened(content: bytes):
+    import fitz  # a PDF library on the executors
 
-def recognised(images: DataFrame, backend: str = "stub", most_tasks: int | None = None) -> DataFrame:
-    """book_id, page_no, text, status of images; `most_tasks` bounds how many clients work at once."""
-    images = images.repartition(most_tasks) if most_tasks else images
-    make = BACKENDS[backend]
-    return flat_map(images.select("book_id", "page_no", "image"), lambda b, n, i: [(b, n, *recognise(i, make()))], "book_id string, page_no int, text string, status string")
+    return fitz.open(stream=bytes(content), filetype="pdf")
 
 
-def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """book_id, page_no, text: the text layer of PDF files; needs a PDF library on the executors."""
+def _pdfs(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("name"), "content")
 
-    def pages(name, content):
+
+def pdf_page_counts(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, pages: the number of pages of PDF files; null for one that cannot be opened."""
+
+    def count(name, content):
+        try:
+            yield name, _opened(content).page_count
+        except (RuntimeError, ValueError):
+            yield name, None
+
+    return flat_map(_pdfs(spark, path), count, "book_id string, pages int")
+
+
+def rendered_pdf(spark: SparkSession, path: str, dpi: int = 200, first: int = 1, last: int | None = None) -> DataFrame:
+    """book_id, page_no, image: the pages of PDF files as JPEG, one row each."""
+
+    def render(name, content):
         import fitz
 
-        for n, page in enumerate(fitz.open(stream=content, filetype="pdf"), 1):
+        document = _opened(content)
+        for n in range(max(1, first), min(last or document.page_count, document.page_count) + 1):
+            page = document[n - 1]
+            z = zoom(page.rect.width, page.rect.height, dpi)
+            yield name, n, page.get_pixmap(matrix=fitz.Matrix(z, z)).tobytes("jpeg", jpg_quality=85)
+
+    return flat_map(_pdfs(spark, path), render, "book_id string, page_no int, image binary")
+
+
+def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, page_no, text: the text layer of PDF files."""
+
+    def pages(name, content):
+        for n, page in enumerate(_opened(content), 1):
             yield name, n, page.get_text("text").strip()
 
-    return flat_map(files.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1), "content"), pages, "book_id string, page_no int, text string")
+    return flat_map(_pdfs(spark, path), pages, "book_id string, page_no int, text string")
 
 
 def preferred(candidates: DataFrame, order: tuple[str, ...] = ("tagged", "flat", "epub")) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases of the text rules, page rules and folds."""
 
 import io
+import json
 import re
 import zipfile
 
@@ -58,15 +59,18 @@ def test_paragraph_history():
     assert folds.dedupe_paragraphs([long, "其他内容在这里", long])[1] == 1
     assert folds.dedupe_paragraphs(["序", "序", "xii"])[0] == ["序"]
     assert folds.batch_dedupe([long, long + "！"])[1] == 1
-    assert folds.duplicate_pages(["x" * 130, "y" * 130, "x" * 130]) == [False, False, True]
 
 
-def test_headers():
+def test_headers(spark):
     body = lambda k: "\n".join(f"第{k}页的第{i}行正文" + "甲乙丙丁戊己庚辛"[k + i] * 9 for i in range(7))
     pages = ["这是一本书的书名页眉\n这是章名也很长的\n" + body(k) for k in (0, 1)]
-    kept, gone = folds.strip_headers(pages)
-    assert kept[0] == pages[0] and gone == 2 and not kept[1].startswith("这是一本书")
-    assert folds.strip_headers([]) == ([], 0)
+    kept = list(folds.without_headers(pages))
+    assert kept[0] == (pages[0], 0) and kept[1][1] == 2 and not kept[1][0].startswith("这是一本书")
+    assert list(folds.without_headers([])) == []
+    df = spark.createDataFrame([("b", n, t) for n, t in enumerate(pages, 1)], "book_id string, page_no int, text string")
+    assert [r["text"] for r in books.strip_headers(df).orderBy("page_no").collect()] == [t for t, _ in kept]
+    twice = spark.createDataFrame([("b", n, t) for n, t in enumerate(["x" * 130, "y" * 130, "x" * 130], 1)], "book_id string, page_no int, text string")
+    assert [r["repeats"] for r in books.duplicate_pages(twice).orderBy("page_no").collect()] == [False, False, True]
 
 
 def test_notes(spark):
@@ -98,8 +102,11 @@ def test_proofread_policies(spark):
     assert folds.proofread("正文。", lambda x: 1 / 0)[0]["status"] == "fallback"
     assert [r["i"] for r in folds.proofread("正文一句。" * 100, lambda x: "")] == ["1.1", "1.2"]
     texts = spark.createDataFrame([("b", "巳经做了。"), ("c", None)], "book_id string, text string")
-    rows = review.changes(review.proofread(texts, lambda: lambda x: x.replace("巳", "已"))).collect()
-    assert [(r["old"], r["new"], r["count"], r["label"], r["level"], r["chunks"]) for r in rows] == [("巳", "已", 1, "错字", "safe", ["1"])]
+    records = review.proofread(texts, lambda: lambda x: x.replace("巳", "已"))
+    rows = review.changes(records).collect()
+    assert [(r["old"], r["new"], r["count"], r["label"], r["level"], r["chunks"]) for r in rows] == [("巳", "已", 1, "错字", "safe", 1)]
+    pairs = review.edits(records)
+    assert [r["chunks"] for r in review.with_chunk_lists(review.summarise(pairs), pairs).collect()] == [["1"]]
 
 
 @pytest.mark.parametrize("old, new, label, level", [("巳", "已", "错字", "safe"), ("", "文", "增补", "warn"), ("，", "。", "标点", "safe"), ("很长的一段旧文字", "很长的一段新文字", "大段改写", "warn"), ("a", "", "删除", "warn")])
@@ -108,15 +115,16 @@ def test_change_labels(spark, old, new, label, level):
 
 
 def test_toc_and_structure(spark):
-    entries = folds.toc_entries("目录\n第一章 起始 …… 1\n第二章\n很远 52\n这是一句正文。\n3. 收束 130")
-    assert [p for _, p in entries] == [1, 52, 130] and entries[1][0] == "第二章 很远"
+    entries, none = column(spark, T.toc_entries, "目录\n第一章 起始 …… 1\n第二章\n很远 52\n这是一句正文。\n3. 收束 130", "no page")
+    assert [e["printed"] for e in entries] == [1, 52, 130] and entries[1]["title"] == "第二章 很远" and none == []
     pages = [("b", 1, "书名"), ("b", 2, "ISBN 978"), ("b", 3, "目录\n一 1"), ("b", 4, "正文的一页，写得很长。" * 20), ("b", 5, "完")]
     df = spark.createDataFrame([(*p, False) for p in pages], "book_id string, page_no int, text string, illustration boolean")
     kinds = {r["page_no"]: r["kind"] for r in books.classify_pages(books.toc_hits(df)).collect()}
     assert kinds == {1: "cover", 2: "copyright", 3: "toc", 4: None, 5: "back_cover"}
-    assert folds.page_chunks([(False, False)] * 5, 2, 1) == [(0, 2), (3, 4)]
     streamed = books.page_chunks(spark.createDataFrame([("b", i, "text") for i in range(1, 6)], "book_id string, page_no int, text string"), 2, 1)
     assert [(r["first"], r["last"]) for r in streamed.orderBy("chapter").collect()] == [(1, 3), (4, 5)]
+    both = spark.createDataFrame([("b", i // 2, "text", i % 2 == 1) for i in range(2, 12)], "book_id string, page_no int, text string, illustration boolean")
+    assert [(r["first"], r["last"]) for r in books.page_chunks(both, 2, 1).orderBy("chapter").collect()] == [(1, 3), (4, 5)]  # a page's rows are one page
 
 
 def test_boxes(spark):
@@ -136,20 +144,67 @@ def test_markdown_and_epub(spark):
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         assert z.infolist()[0].filename == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
         assert 'href="#note-7"' in z.read("OEBPS/chapter-1.xhtml").decode() and "[1]" in z.read("OEBPS/chapter-1.xhtml").decode()
-    assert "## 一\n\n正文[1]。" in sinks.epub_to_markdown(content)
-    assert "<del>" in sinks.html_diff("ab", "ac") and sinks.report({"ok": 1}, [], "json") == '{"summary": {"ok": 1}, "changes": []}'
+    files = spark.createDataFrame([("b", content)], "book_id string, content binary")
+    assert "## 一\n\n正文[1]。" in sinks.epub_texts(files).first()["text"]
+    assert sinks.html_diff("a<b", "a<c") == ("a&lt;<del>b</del>", "a&lt;<ins>c</ins>") and sinks.html_diff("", None) == ("", "")
 
 
-def test_sources(spark):
-    calls = []
+def test_review_reports(spark):
+    texts = spark.createDataFrame([("b", "巳经做了。"), ("c", "一样。")], "book_id string, text string")
+    records = review.proofread(texts, lambda: lambda x: x.replace("巳", "已") if "巳" in x else 1 / 0)
+    pairs = review.edits(records)
+    got = {(r["book_id"], r["kind"]): r["content"] for r in sinks.reports(records, review.with_chunk_lists(review.summarise(pairs), pairs), meta={"model": "m"}).collect()}
+    assert len(got) == 6
+    md = got["b", "md"].split("\n")
+    assert "- 校对模型：m" in md and "- 结果：1 块通过 · 0 块回退原文 · 1 块有改动" in md and "| 1 | 巳 | 已 | 错字 | 1 | 1 | 巳经做了。 |" in md
+    assert "### 块 1/1 —— 已采纳" in md and "- `巳` → `已`" in md
+    assert "回退原文（failed: ZeroDivisionError）" in got["c", "md"] and "<del>巳</del>" in got["b", "html"] and "<ins>已</ins>" in got["b", "html"]
+    assert json.loads(got["b", "json"])["records"][0]["fixed"] == "已经做了。"
 
-    def flaky(image, attempt):
-        calls.append(attempt)
-        return "......" if attempt < 2 else "正常的文字"
 
-    assert sources.recognise(b"x", flaky) == ("正常的文字", "ok") and calls == [0, 1, 2]
-    assert sources.recognise(b"x", lambda i, n: "")[0] is None
-    assert sources.recognise(b"ab", lambda i, n: "" if len(i) > 1 else "半页文字", halves=lambda i: [i[:1], i[1:]]) == ("半页文字\n\n半页文字", "ok")
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "backup")
+    assert sinks.list_snapshots(spark, path).collect() == []
+    files = lambda v: spark.createDataFrame([("b", n, f"{n}{v}".encode()) for n in ("book.md", "notes.json")], "book_id string, name string, content binary")
+    for n in range(5):
+        sinks.write_snapshot(files(n), path, f"2024-01-0{n + 1}", note=f"n{n}")
+    kept = sinks.list_snapshots(spark, path).collect()
+    assert [(r["tag"], r["note"], r["files"]) for r in kept] == [(f"2024-01-0{n}", f"n{n - 1}", ["book.md", "notes.json"]) for n in (5, 4, 3)]
+    now = files(9).union(spark.createDataFrame([("b", "new.epub", b"x"), ("other", "book.md", b"y")], "book_id string, name string, content binary"))
+    back = {(r["book_id"], r["name"]): bytes(r["content"]) for r in sinks.restored(now, path, "2024-01-03").collect()}
+    assert back == {("b", "book.md"): b"book.md2", ("b", "notes.json"): b"notes.json2", ("other", "book.md"): b"y"}
+
+
+def test_batch_refine():
+    text = "正文一句，写得足够长，超过十个字。" * 3
+    assert folds.batch_refine(text, lambda c: "好的，以下是修正后的结果：\n" + c) == (text, 1, 1, 0)
+    assert folds.batch_refine(text, lambda c: "短") == (text, 1, 0, 1) and folds.batch_refine(text, lambda c: None)[3] == 1 and folds.batch_refine("", lambda c: c) == ("", 0, 0, 0)
+
+
+@pytest.fixture
+def backends(monkeypatch):
+    def flaky():
+        return lambda image, profile: {b"first": "正常的文字。", b"last": "......" if profile != sources.PROFILES[-1] else "正常的文字。"}.get(image, "完整的半页文字。" if image in (b"up", b"low") else "")
+
+    monkeypatch.setitem(sources.BACKENDS, "flaky", flaky)
+
+
+def test_recognition_by_attempts_halves_and_pictures(spark, backends):
+    images = spark.createDataFrame([("b", n, i) for n, i in enumerate([b"first", b"last", b"split", b"never", b"picture"], 1)], "book_id string, page_no int, image binary")
+    got = {r["page_no"]: (r["text"], r["status"]) for r in sources.recognised(images, "flaky", halves=lambda i: [b"up", b"low"] if i == b"split" else [i], picture=lambda i: i == b"picture").collect()}
+    assert got[1] == got[2] == ("正常的文字。", "ok") and got[3] == ("完整的半页文字。\n完整的半页文字。", "ok")
+    assert got[4] == (None, "failed: suspicious; suspicious; suspicious") and got[5] == ("![整页插图](images/page_0005.jpg)", "ok")
+
+
+def test_pages_are_rendered_within_bounds():
+    assert sources.zoom(595, 842, 72) == 1.0 and abs(sources.zoom(595, 842, 300) * 842 - 1600) < 1e-9
+
+
+def test_layout_parts_are_bounded(spark):
+    rows = [(1, n, "figure", 0.9, 0.0, float(n), 300.0, n + 300.0) for n in range(30)] + [(1, 50, "text", 0.1, -5.0, 0.0, 700.4, 900.0), (1, 51, "text", 0.9, 0.0, 0.0, 15.0, 90.0), (1, 52, "header", 0.9, 0.0, 0.0, 90.0, 90.0)]
+    df = spark.createDataFrame(rows, "page_id long, box_id long, label string, score double, x1 double, y1 double, x2 double, y2 double")
+    got = layout.page_parts(df, 600, 800).collect()
+    assert sorted(r["box_id"] for r in got) == [*range(24), 50] and [(r["x1"], r["x2"], r["y2"]) for r in got if r["box_id"] == 50] == [(0, 600, 800)]
 
 
 def test_speed_and_estimate(spark):
@@ -187,8 +242,10 @@ def test_diff_and_guard_take_whole_texts(spark, tmp_path):
     text = "A line of plain words. " * 200 + "At last the end."
     spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     diffs = catalog.queries()["html_diff"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect()
-    plain = [re.sub("<del>.*?</del>|<ins>(.*?)</ins>", r"\1", r["html"]) for r in diffs if r["doc_id"] == 1]
-    assert re.sub(r"\s", "", "".join(plain)) == re.sub(r"\s", "", text.replace("the", "teh")) and "<del>" in diffs[-2]["html"]
+    for side, want in (("left", text), ("right", text.replace("the", "teh"))):
+        plain = [re.sub("</?(?:del|ins)>", "", r[side]) for r in diffs if r["doc_id"] == 1]
+        assert re.sub(r"\s", "", "".join(plain)) == re.sub(r"\s", "", want)
+    assert any("<del>" in r["left"] and "<ins>" in r["right"] for r in diffs)
     guarded = catalog.queries()["batch_output_guard"](spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in guarded} == {1, 2} and sum(r["doc_id"] == 1 for r in guarded) == len(folds.sentence_chunks(text)) > 5
 
@@ -198,5 +255,5 @@ def test_every_source_has_an_outline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(97 * 3 + 1, 5, "1-URGENT"), (97 * 2 + 3, 6, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = catalog.queries()["book_chapters"](spark, str(tmp_path)).orderBy("book_id", "ord").collect()
-    assert [(r["book_id"], r["title"]) for r in got] == [(b, t) for b in ("one", "two") for t in ("前言", "URGENT", "HIGH")]
+    assert [(r["book_id"], r["title"]) for r in got] == [("one-0", "前言"), ("one-0", "URGENT"), ("one-0", "HIGH"), ("two-0", "URGENT"), ("two-0", "HIGH")]  # the second book begins with the first mark
     assert all(f"Page {i} of" in "".join(r["body"] for r in got) for i in range(12))
