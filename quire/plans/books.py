@@ -14,23 +14,55 @@ from ..operators import books
 from ..operators.rows import flat_map, written
 
 
+# Names that a stored configuration has for some settings.
+NAMES = {
+    "prefix_dedupe_min_shared": "prefix_shared", "proof_chunk_chars": "chunk_chars", "proof_len_ratio_low": "length_low", "proof_len_ratio_high": "length_high", "proof_similarity_min": "similar",
+    "proof_retry_split_on_fail": "retry", "proof_retry_min_chars": "retry_least", "chapter_target_pages": "chapter_pages", "auto_page_classify": "classify", "dedupe_similarity": "page_similar",
+}
+MOST_CLIENTS, TEST_PAGES = 4, (1, 10)
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Recommended values; a setting that is None or empty falls back to its default."""
+    """Recommended values; a setting that is None or empty falls back to its default, one that was given stands."""
 
     dpi: int = 200
+    concurrency: int = 1  # clients at work at once, at most MOST_CLIENTS
+    backend: str = "stub"
+    mode: str = "full"  # "test" takes TEST_PAGES
+    page_range: tuple[int, int] | None = None
+    force_reocr: bool = False  # pages in the cache are read again
+    classify: bool = True  # structural pages that aren't given are looked for
     running_ratio: float = 0.35
     prefix_shared: int = 5
+    page_similar: float = 0.90  # kept for stored configurations; whole pages are compared by their own threshold
+    chapter_method: str = "toc"
+    chapter_pages: int = 20
+    proofread: bool = False
+    proof_model: str = ""
     chunk_chars: int = 700
     length_low: float = 0.95
     length_high: float = 1.05
     similar: float = 0.90
-    chapter_pages: int = 20
+    retry: bool = True
+    retry_least: int = 240
+    title: str = ""
+    author: str = ""
     language: str = "zh-CN"
 
     @classmethod
     def of(cls, given: dict) -> Settings:
-        return cls(**{k: v for k, v in given.items() if k in cls.__dataclass_fields__ and v not in (None, "")})
+        named = {NAMES.get(k, k): v for k, v in given.items() if v not in (None, "")}
+        known = {k: v for k, v in named.items() if k in cls.__dataclass_fields__}
+        if "concurrency" in known:
+            known["concurrency"] = min(MOST_CLIENTS, max(1, int(known["concurrency"])))
+        if known.get("mode") == "test":
+            known["page_range"] = TEST_PAGES
+        return cls(**known)
+
+    def within(self, pages: DataFrame) -> DataFrame:
+        """The pages (page_no) of the range that is set."""
+        return pages if self.page_range is None else pages.filter(F.col("page_no").between(*self.page_range))
 
 
 def clean_books(pages: DataFrame, settings: Settings = Settings(), min_count: int = 1) -> DataFrame:
@@ -78,13 +110,19 @@ def _by_spans(processed: DataFrame, outline: DataFrame) -> DataFrame:
     return own.select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("run")) - 1).alias("ord"), title.alias("title"), "body")
 
 
+def finished(chapters_: DataFrame) -> DataFrame:
+    """Chapters (book_id, ord, title, body) with lines re-flowed over page breaks, and without the paragraphs that these repeat."""
+    flowed = chapters_.select("book_id", "ord", "title", T.merge_wrapped(F.col("body")).alias("body"))
+    return flat_map(flowed, lambda b, n, t, x: [(b, n, t, folds.collapse_paragraphs(x))], "book_id string, ord int, title string, body string")
+
+
 def chapters(processed: DataFrame, outline: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """book_id, ord, title, body: by outline (book_id, ord, title, start_page, end_page) where a book has one, else by headings."""
     bodies = books.chapters_by_heading(books.joined_pages(processed.select("book_id", "page_no", "illustration", "text")))
     if outline is None:
-        return bodies
+        return finished(bodies)
     marked = outline.select("book_id").distinct()
-    return _by_spans(processed.join(marked, "book_id", "left_semi"), outline).union(bodies.join(marked, "book_id", "left_anti"))
+    return finished(_by_spans(processed.join(marked, "book_id", "left_semi"), outline).union(bodies.join(marked, "book_id", "left_anti")))
 
 
 #: Sections before the body: setting, title, kind of page that stands in where the setting is empty; spans take a range of pages.
@@ -115,8 +153,10 @@ def structured_chapters(processed: DataFrame, given: dict | None = None, outline
     where these say nothing, or, with chapter_method "pages", by page counts. `given` holds the settings of SECTIONS and SPANS,
     chapter_method and chapter_target_pages. What is gathered for a book are its page numbers, not its texts."""
     given = given or {}
+    settings = Settings.of(given | {"chapter_method": given.get("chapter_method") or settings.chapter_method, "chapter_pages": given.get("chapter_target_pages") or settings.chapter_pages})
     p = processed.select("book_id", "page_no", "illustration", "text").filter("page_no > 0")
     kinds = books.classify_pages(books.toc_hits(p))
+    kinds = kinds if settings.classify else kinds.filter(F.lit(False))
     index = p.select("book_id", "page_no").distinct().join(kinds, ["book_id", "page_no"], "left").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "kind"))).alias("pages"))
 
     def assign(book, rows):
@@ -133,8 +173,8 @@ def structured_chapters(processed: DataFrame, given: dict | None = None, outline
     part = F.split("book_id", "\x00")
     fronts = books.joined_pages(keyed).filter("body <> ''").select(part[0].alias("book_id"), part[1].cast("int").alias("ord"), part[2].alias("title"), "body")
     body = p.join(sections, ["book_id", "page_no"], "left_anti")
-    if given.get("chapter_method") == "pages":
-        cut = books.page_chunks(body, given.get("chapter_target_pages") or settings.chapter_pages)
+    if settings.chapter_method == "pages":
+        cut = books.page_chunks(body, settings.chapter_pages)
         spans = cut.select("book_id", F.col("chapter").alias("ord"), F.concat(F.lit("第"), F.col("chapter").cast("string"), F.lit("章")).alias("title"), F.col("first").alias("start_page"), F.col("last").alias("end_page"))
     else:
         spans = books.contents_spans(front.filter("section = '目录'").select("book_id", "page_no", "text"), body)
@@ -143,4 +183,4 @@ def structured_chapters(processed: DataFrame, given: dict | None = None, outline
             trimmed = outline.join(last, "book_id").select("book_id", F.col("ord").cast("int").alias("ord"), "title", F.greatest("lo", "start_page").alias("start_page"), F.least("hi", "end_page").alias("end_page")).filter("end_page >= start_page")
             spans = spans.union(trimmed.join(spans.select("book_id").distinct(), "book_id", "left_anti"))
     rest = _by_spans(body, spans).withColumn("ord", F.col("ord") + len(SECTIONS) + len(SPANS))
-    return fronts.union(rest).withColumn("ord", (F.row_number().over(Window.partitionBy("book_id").orderBy("ord")) - 1).cast("int"))
+    return finished(fronts.union(rest)).withColumn("ord", (F.row_number().over(Window.partitionBy("book_id").orderBy("ord")) - 1).cast("int"))

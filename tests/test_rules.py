@@ -215,6 +215,30 @@ def test_speed_and_estimate(spark):
 
 def test_settings_fall_back():
     assert plans.Settings.of({"dpi": None, "chunk_chars": 500}) == plans.Settings(chunk_chars=500)
+    stored = plans.Settings.of({"proof_model": "", "proof_retry_min_chars": 100, "concurrency": 8, "mode": "test", "unknown": 1, "proof_similarity_min": 0.8})
+    assert stored == plans.Settings(retry_least=100, concurrency=4, mode="test", page_range=(1, 10), similar=0.8)
+
+
+def test_page_range_and_cache(spark, tmp_path):
+    pages = spark.createDataFrame([(b, n, f"{b}{n}") for b in "ab" for n in range(1, 13)], "book_id string, page_no int, text string")
+    assert plans.Settings.of({"mode": "test"}).within(pages).count() == 20 and plans.Settings().within(pages).count() == 24
+    cache = str(tmp_path / "cache")
+    sinks.write_pages(pages, cache)
+    sinks.write_pages(pages.filter("book_id = 'a' AND page_no = 1").withColumn("text", F.lit("new")), cache)  # one book's pages are replaced, the other's stay
+    assert {(r["book_id"], r["text"]) for r in spark.read.parquet(cache).filter("page_no = 1").collect()} == {("a", "new"), ("b", "b1")}
+    notes = spark.createDataFrame([("a", 1, "①", "注")], "book_id string, note_id int, label string, text string")
+    sinks.write_notes(notes, str(tmp_path / "notes"))
+    assert spark.read.json(str(tmp_path / "notes")).first()["text"] == "注"
+
+
+def test_speed_state(spark, tmp_path):
+    from quire.streaming import pages as streams
+
+    src, schema = str(tmp_path / "in"), "key string, pages long, seconds double"
+    spark.createDataFrame([("k", 2001, 10.0), ("j", 1, 1.0), ("j", 0, 5.0)], schema).coalesce(1).write.parquet(src)
+    states = streams.speed_state(spark.readStream.schema(schema).parquet(src))
+    states.writeStream.format("memory").queryName("speeds").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(90)
+    assert {r["key"]: (r["pages"], r["total_sec"]) for r in spark.table("speeds").collect()} == {"k": (2001, 10.0), "j": (1, 1.0)}
 
 
 def test_streaming_resumes(spark, tmp_path):
