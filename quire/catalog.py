@@ -575,6 +575,14 @@ def _normalise_boxes(spark, d):
     return layout.normalised(raw)
 
 
+@query("detected_boxes", f"WITH {_BOXES} SELECT page_id, lower(label) AS label, score, [x1::DOUBLE, y1::DOUBLE, x2::DOUBLE, y2::DOUBLE] AS bbox FROM b WHERE page_id % 10 > 0")
+def _detected(spark, d):
+    box = F.struct(F.upper("label").alias("label"), "score", F.array("x1", "y1", "x2", "y2").alias("bbox"))
+    answer = F.to_json(F.array_sort(F.collect_list(box)))
+    images = boxes(spark, d).groupBy("page_id").agg(F.encode(F.when(F.col("page_id") % 10 == 0, "no boxes {").otherwise(answer), "utf-8").alias("image"))
+    return layout.detected(images)
+
+
 @query("layout_reading_order", f"WITH {_BOXES} SELECT page_id, string_agg(label || '-' || box_id, chr(10) || chr(10) ORDER BY y1, x1, label || '-' || box_id) AS text FROM b GROUP BY page_id")
 def _reading(spark, d):
     return layout.reading_order(boxes(spark, d).withColumn("content", F.concat_ws("-", "label", F.col("box_id").cast("string"))))

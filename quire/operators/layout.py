@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from .rows import flat_map
+from .rows import flat_map, written
 
 
 def kind(label: Column) -> Column:
@@ -26,6 +28,27 @@ def normalised(raw: DataFrame) -> DataFrame:
     return out.filter((F.size("bbox") == 4) & F.col("score").isNotNull() & F.forall("bbox", lambda x: x.isNotNull()))
 
 
+#: Layout detectors by name: what makes a client, in each task, that maps an image to JSON, a list of {label, score, bbox}. The stub
+#: takes the image's bytes for its answer; others are added by the user.
+DETECTORS: dict[str, Callable[[], Callable[[bytes], str]]] = {"stub": lambda: lambda image: bytes(image).decode("utf-8", "replace")}
+ANSWER = "array<struct<label:string,score:string,bbox:array<string>>>"
+
+
+def detected(images: DataFrame, backend: str = "stub", most_tasks: int | None = None) -> DataFrame:
+    """page_id, label, score, bbox of images (page_id, image): a detector's answers, written since asking is dear, then parsed and put
+    in shape in the JVM. An answer that isn't JSON, or none, gives no boxes. `most_tasks` bounds how many clients work at once."""
+
+    def ask(client, page, image):
+        try:
+            yield page, client(bytes(image))
+        except Exception:  # a page without boxes, to be read as a whole
+            yield page, None
+
+    images = images.repartition(most_tasks) if most_tasks else images
+    answers = written(flat_map(images.select("page_id", "image"), ask, "page_id long, answer string", DETECTORS[backend]))
+    return normalised(answers.select("page_id", F.explode(F.from_json("answer", ANSWER)).alias("box")))
+
+
 def keep_visual(label: Column, score: Column, x1: Column, y1: Column, x2: Column, y2: Column, page_w: Column, page_h: Column) -> Column:
     """Whether a picture's box is sure and large enough."""
     w, h = F.greatest(F.lit(0), x2 - x1), F.greatest(F.lit(0), y2 - y1)

@@ -200,6 +200,13 @@ def test_pages_are_rendered_within_bounds():
     assert sources.zoom(595, 842, 72) == 1.0 and abs(sources.zoom(595, 842, 300) * 842 - 1600) < 1e-9
 
 
+def test_detected_boxes(spark, monkeypatch):
+    images = spark.createDataFrame([(1, b'[{"label": " Text", "score": 0.5, "bbox": [1, 2, 3, 4]}, {"label": "x", "bbox": [1]}]'), (2, b"nothing {"), (3, b"")], "page_id long, image binary")
+    assert [(r["page_id"], r["label"], r["score"], r["bbox"]) for r in layout.detected(images).collect()] == [(1, "text", 0.5, [1.0, 2.0, 3.0, 4.0])]
+    monkeypatch.setitem(layout.DETECTORS, "broken", lambda: lambda image: 1 / 0)
+    assert layout.detected(images, "broken").collect() == []
+
+
 def test_layout_parts_are_bounded(spark):
     rows = [(1, n, "figure", 0.9, 0.0, float(n), 300.0, n + 300.0) for n in range(30)] + [(1, 50, "text", 0.1, -5.0, 0.0, 700.4, 900.0), (1, 51, "text", 0.9, 0.0, 0.0, 15.0, 90.0), (1, 52, "header", 0.9, 0.0, 0.0, 90.0, 90.0)]
     df = spark.createDataFrame(rows, "page_id long, box_id long, label string, score double, x1 double, y1 double, x2 double, y2 double")
