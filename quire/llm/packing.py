@@ -385,16 +385,16 @@ def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS)
     def fill_shards(batches):
         part, sequence, held = _partition() << 36, 0, []
 
-        def shard(size):
+        def shard(n):
             nonlocal sequence
-            out, own = [], [np.frombuffer(h[3], kind) for h in held[:size]]
+            out, own = [], [np.frombuffer(h[3], kind) for h in held[:n]]
             for s in fill(own, shared.value):
                 offset = 0
                 for j, begin, size in s:
                     out.append((held[j][0], held[j][1] + begin, size, _crc(own[j][begin : begin + size]), held[j][2], 2 * (part + sequence), offset))
                     offset += size
                 sequence += 1
-            del held[:size]
+            del held[:n]
             return _rows(_pieces_schema(), out)
 
         for b in batches:
