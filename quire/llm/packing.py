@@ -33,7 +33,7 @@ from .common import cut, pieces
 
 WINDOW, FINAL_ID = 2048, 1
 SHARD_DOCS, SHARDS_IN_PART = 1500, 2
-LEADS, SEED = 3, 5
+LEADS, SEED, DENSE = 3, 5, 25
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 TABLE_BITS, MOST_UNITS = 21, 1_000_000  # some 60 MB; beyond it, a task starts anew with an empty table
@@ -274,32 +274,42 @@ class Weights:
         """The LEADS terms whose clocks, as fast as the squares of their weights, ring first: two documents have the first in common
         with a probability that grows with the weight of the terms they share."""
         t, w = self.of(ids)
-        first = t[np.argsort(self.clocks[t] / np.maximum(w, 1e-9) ** 2, kind="stable")[:LEADS]].tolist()
+        rings = self.clocks[t] / np.maximum(w, 1e-9) ** 2
+        soon = np.argpartition(rings, LEADS - 1)[:LEADS] if len(t) > LEADS else np.arange(len(t))
+        first = t[soon[np.argsort(rings[soon], kind="stable")]].tolist()
         return first + [-1] * (LEADS - len(first))
 
 
 class Bm25:
-    """An inverted index of one shard's remainders."""
+    """An inverted index of one shard's remainders. A term's postings are a list of owners and weights; those of a term that more
+    than one in DENSE documents has are a row with a weight for each document, which adds up faster."""
 
     def __init__(self, docs: list[np.ndarray], weights: Weights):
-        terms, owners, values = [], [], []
-        self.queries = []
-        for i, d in enumerate(docs):
-            t, w = weights.of(d)
-            terms.append(t), owners.append(np.full(len(t), i, np.int32)), values.append(w)
-            self.queries.append(t)
-        t = np.concatenate(terms)
+        found = [weights.of(d) for d in docs]
+        self.size, size = len(docs), np.fromiter((len(t) for t, _ in found), np.int64, len(found))
+        t = np.concatenate([t for t, _ in found])
         order = np.argsort(t, kind="stable")
-        self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(values)[order]
-        self.begin = np.searchsorted(t[order], np.arange(len(weights.idf) + 1))
-        self.size = len(docs)
+        t, owners = t[order], np.repeat(np.arange(len(docs)), size)[order]
+        values = np.concatenate([w for _, w in found])[order].astype(np.float32)
+        begin = np.searchsorted(t, np.arange(len(weights.idf) + 1))
+        often = np.flatnonzero(np.diff(begin) * DENSE > self.size)
+        row = np.full(len(weights.idf), -1)
+        row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.size), np.float32)
+        many = row[t] >= 0
+        self.rows[row[t[many]], owners[many]] = values[many]
+        self.owners, self.weights = owners[~many], values[~many]
+        self.begin = np.searchsorted(t[~many], np.arange(len(weights.idf) + 1))
+        self.dense = [row[t][row[t] >= 0] for t, _ in found]
+        self.sparse = [t[row[t] < 0] for t, _ in found]
 
     def scores(self, i: int) -> np.ndarray:
         """BM25 scores of all documents for document i's terms."""
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.queries[i]]
-        if not spans:
-            return np.zeros(self.size)
-        return np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.size)
+        total = self.rows[self.dense[i]].sum(0, dtype=np.float64)
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.sparse[i]]
+        if spans:
+            total += np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.size)
+        return total
 
 
 def fill(docs: list[np.ndarray], weights: Weights, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
