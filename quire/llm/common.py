@@ -82,15 +82,17 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Holds the session's Arrow batches to BATCH_BYTES while jobs run inside; what it was before is put back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_BYTES))
+def small_batches(spark: SparkSession, rows: int = 10_000):
+    """Holds the session's Arrow batches to BATCH_BYTES and `rows` while jobs run inside; what they were before is put back."""
+    most = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": rows}
+    before = {k: spark.conf.get(k) for k in most}
+    for k, n in most.items():
+        spark.conf.set(k, str(n))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def reduced_groups(batches: Iterable[pa.RecordBatch], reduce: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, reduced_groups, remove_folder, shared_folder, small_batches, whole_groups
+from .common import BATCH_ROWS, cut, pieces, reduced_groups, remove_folder, shared_folder, small_batches, whole_groups
 
 K, ITERATIONS, OFFERS = 24, 5, 6
 LEAF, TREES, PART_NODES = 256, 3, 8000
@@ -313,7 +313,7 @@ def nearest(vectors: DataFrame, every: int = 50, answers: int = ANSWERS) -> Data
             yield _batch("query_id v", pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()))
 
     asked = cut(own.mapInArrow(pack_, "query_id long, v binary").distinct().join(points.select("v", "node"), "v").select("query_id", F.col("node").alias("q")))
-    with small_batches(vectors.sparkSession), Tables(vectors.sparkSession) as tables:
+    with small_batches(vectors.sparkSession, BATCH_ROWS), Tables(vectors.sparkSession) as tables:
         near = tables.add(points, "node")
         found = search(descend(points, near), near, asked.select("q").distinct(), tables)
     v = points.select("node", "v")
