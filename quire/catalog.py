@@ -692,7 +692,7 @@ def _epubs(spark, d):
 
 @query("review_reports")
 def _reports(spark, d):
-    records = written(review.proofread(pages(spark, d).select("book_id", "text"), lambda: lambda x: x.replace("the", "teh").replace("  ", " ")).withColumn("i", F.col("i")))
+    records = written(review.proofread(pages(spark, d).select("book_id", "text"), lambda: lambda x: x.replace("the", "teh").replace("  ", " ")))
     pairs = written(review.edits(records))
     return sinks.reports(records, review.with_chunk_lists(review.summarise(pairs), pairs))
 
