@@ -203,6 +203,14 @@ def test_stub_answers_lose_no_line(spark, tmp_path):
     assert [(r["text"], r["status"]) for r in got] == [(u, "ok") for u in urls]
 
 
+def test_next_body_page_of_many_entries(spark):
+    schema = "book_id string, ord long, printed int"
+    entries = spark.createDataFrame([("b", 1, 4), ("b", 2, 2), ("b", 2, 3), ("b", 3, 40), ("b", 4, 0), ("c", 1, 1)], schema)  # two entries of one place
+    body = spark.createDataFrame([("b", n) for n in (3, 4, 8)], "book_id string, page_no int")
+    got = [(r["book_id"], r["ord"], r["printed"], r["actual"]) for r in books.next_body_page(entries, body).orderBy("book_id", "ord", "printed").collect()]
+    assert got == [("b", 1, 4, 4), ("b", 2, 2, 4), ("b", 2, 3, 3), ("b", 3, 40, None), ("b", 4, 0, None), ("c", 1, 1, None)]
+
+
 def test_pages_are_rendered_within_bounds():
     assert sources.zoom(595, 842, 72) == 1.0 and abs(sources.zoom(595, 842, 300) * 842 - 1600) < 1e-9
 
