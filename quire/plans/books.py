@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..functions import text as T
 from ..operators import books
-from ..operators.rows import flat_map, written
+from ..operators.rows import flat_map, partitions, written
 
 
 # Names that a stored configuration has for some settings.
@@ -78,22 +78,23 @@ def clean_books(pages: DataFrame, settings: Settings = Settings(), min_count: in
 
 def processed_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """book_id, page_no, illustration, text, notes: the conversion's page steps up to chaptering, in their order: clean, running
-    lines, notes, noise, merge, collapse, repeated pages, shared prefixes."""
+    lines, notes, noise, merge, collapse, repeated pages, shared prefixes. What is read twice is written once."""
     is_picture = F.col("text").startswith("![")
     cleaned = written(pages.withColumn("text", T.clean_page(T.text("text"))))
     kept = books.drop_running_lines(cleaned, books.running_lines(cleaned, settings.running_ratio))
     pictures = kept.filter(is_picture).select("book_id", "page_no", F.lit(True).alias("illustration"), "text")
     noted = books.number_notes(books.extract_notes(kept.filter(~is_picture)))
+    noted = written(noted.repartition(partitions(noted)))
     flowed = noted.select("book_id", "page_no", T.merge_wrapped(T.drop_noise_lines(F.col("body"))).alias("text"), "notes")
-    collapsed = books.on_pages(flowed, folds.collapse_paragraphs)
+    collapsed = written(books.on_pages(flowed, folds.collapse_pages))
     fresh = collapsed.join(books.duplicate_pages(collapsed).filter("NOT repeats").select("book_id", "page_no"), ["book_id", "page_no"], "left_semi")
     trimmed = books.on_pages(fresh, partial(_without_prefixes, least=settings.prefix_shared)).filter("text <> ''")
     own = trimmed.withColumn("illustration", F.lit(False)).select("book_id", "page_no", "illustration", "text").unionByName(pictures)
     return own.join(noted.select("book_id", "page_no", "notes"), ["book_id", "page_no"], "left")
 
 
-def _without_prefixes(text: str, least: int) -> str:
-    return "\n\n".join(folds.dedupe_prefixes(folds.split_paragraphs(text), least)[0])
+def _without_prefixes(texts: list[str], least: int) -> list[str]:
+    return ["\n\n".join(folds.dedupe_prefixes(folds.split_paragraphs(t), least)[0]) for t in texts]
 
 
 def _by_spans(processed: DataFrame, outline: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def _by_spans(processed: DataFrame, outline: DataFrame) -> DataFrame:
 def finished(chapters_: DataFrame) -> DataFrame:
     """Chapters (book_id, ord, title, body) with lines re-flowed over page breaks, and without the paragraphs that these repeat."""
     flowed = chapters_.select("book_id", "ord", "title", T.merge_wrapped(F.col("body")).alias("body"))
-    return flat_map(flowed, lambda b, n, t, x: [(b, n, t, folds.collapse_paragraphs(x))], "book_id string, ord int, title string, body string")
+    return flat_map(flowed, lambda *row: [row], "book_id string, ord int, title string, body string", ahead=folds.collapse_pages)
 
 
 def chapters(processed: DataFrame, outline: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
