@@ -2,6 +2,7 @@
 
 import random
 import time
+from difflib import SequenceMatcher
 
 from quire.functions import folds, repeats
 
@@ -42,3 +43,19 @@ def test_paragraphs_lose_their_stutter_together():
     line = "one line of some length, "
     assert folds.without_stutter([[line * 4 + "end", None], [], [" x "]]) == [[line + "end", ""], [], ["x"]]
     assert folds.collapse_pages([line * 4 + "end\n\nx y z a b c", None]) == [line + "end\n\nx y z a b c", ""]
+
+
+def test_plain_matcher_is_difflib_s():
+    rng = random.Random(7)
+    pairs = [("".join(rng.choice("ab ") for _ in range(rng.randrange(40))), "".join(rng.choice("ab c") for _ in range(rng.randrange(40)))) for _ in range(400)]
+    texts = [stuttering(rng) + stuttering(rng) for _ in range(100)]
+    pairs += [(t, t.replace("the", "teh").replace("  ", " ")) for t in texts] + list(zip(texts, texts[1:], strict=False))
+    prose = " ".join(rng.choice(["the", "then", "other", "word", "a"]) for _ in range(150))
+    pairs.append((prose, prose.replace("the", "teh")))
+    for a, b in pairs:
+        assert folds.Plain(a, b).get_opcodes() == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    start = time.perf_counter()
+    SequenceMatcher(None, *pairs[-1], autojunk=False).get_opcodes()
+    middle = time.perf_counter()
+    folds.change_pairs(*pairs[-1])
+    assert 2 * (time.perf_counter() - middle) < middle - start
