@@ -109,6 +109,16 @@ def test_proofread_policies(spark):
     assert [r["chunks"] for r in review.with_chunk_lists(review.summarise(pairs), pairs).collect()] == [["1"]]
 
 
+def test_proofread_measures_whole_chunks():
+    few, correct = "enteheitach " * 20 + "das " * 60, lambda x: x.replace("teh", "the")
+    assert folds.guard(few, correct(few)) == (False, "rewritten")  # as difflib's heuristic has it, which counts rare characters only
+    assert [(r["i"], r["status"], r["fixed"]) for r in folds.proofread(few, correct)] == [("1", "ok", correct(few).strip())]
+    same = "一二三四" * 100
+    assert [(r["i"], r["status"], r["changed"]) for r in folds.proofread(same, lambda x: x)] == [("1", "ok", False)]
+    new = "".join(chr(20000 + i) for i in range(300))
+    assert {r["reason"] for r in folds.proofread(new, lambda x: x[::-1])} == {"rewritten"}
+
+
 @pytest.mark.parametrize("old, new, label, level", [("巳", "已", "错字", "safe"), ("", "文", "增补", "warn"), ("，", "。", "标点", "safe"), ("很长的一段旧文字", "很长的一段新文字", "大段改写", "warn"), ("a", "", "删除", "warn")])
 def test_change_labels(spark, old, new, label, level):
     assert tuple(spark.createDataFrame([(old, new)], "o string, n string").select(T.classify_change(F.col("o"), F.col("n"))).first()[0]) == (label, level)
