@@ -119,6 +119,13 @@ def test_proofread_measures_whole_chunks():
     assert {r["reason"] for r in folds.proofread(new, lambda x: x[::-1])} == {"rewritten"}
 
 
+def test_proofread_summary_counts_whole_chunks(spark, tmp_path):
+    rows = [(1, "enteheitach " * 20 + "das " * 60), (2, "one two"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["proofread_summary"](spark, str(tmp_path)).orderBy("book_id").collect()
+    assert [tuple(r) for r in got] == [("1", 1, 1, 0, 1), ("2", 1, 1, 0, 0)]
+
+
 @pytest.mark.parametrize("old, new, label, level", [("巳", "已", "错字", "safe"), ("", "文", "增补", "warn"), ("，", "。", "标点", "safe"), ("很长的一段旧文字", "很长的一段新文字", "大段改写", "warn"), ("a", "", "删除", "warn")])
 def test_change_labels(spark, old, new, label, level):
     assert tuple(spark.createDataFrame([(old, new)], "o string, n string").select(T.classify_change(F.col("o"), F.col("n"))).first()[0]) == (label, level)
