@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +70,26 @@ def unit_hash(*parts: Column | str) -> Column:
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's way to give free memory back; nothing where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """What a Python worker holds but no longer uses goes back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows and BATCH_BYTES bytes (or one row), so that what a Python function turns into
-    objects at once is bounded, whatever the session's batches are."""
+    objects at once is bounded, whatever the session's batches are. What earlier batches and tasks left unused is given back."""
     for b in batches:
+        give_back()
         at = 0
         while at < b.num_rows:
             n = min(rows, b.num_rows - at)
@@ -82,9 +100,9 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 10_000):
-    """Holds the session's Arrow batches to BATCH_BYTES and `rows` while jobs run inside; what they were before is put back."""
-    most = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": rows}
+def small_batches(spark: SparkSession, rows: int = 10_000, size: int = BATCH_BYTES):
+    """Holds the session's Arrow batches to `size` bytes and `rows` while jobs run inside; what they were before is put back."""
+    most = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": rows}
     before = {k: spark.conf.get(k) for k in most}
     for k, n in most.items():
         spark.conf.set(k, str(n))

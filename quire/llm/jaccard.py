@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, cut, fresh, if_small, pieces, small_batches, whole_groups
+from .common import SMALL_ROWS, cut, fresh, give_back, if_small, pieces, small_batches, whole_groups
 from .graph import components
 
 WORDS = 5
@@ -228,19 +228,27 @@ def _shared_columns(batches):
 HEADS = (2, 8)
 
 
+#: Pairs counted at a time; the counts are added up by Spark, so it changes no result.
+PAIRS = 1 << 17
+
+
 def _counted(parts):
-    """(a, b, need, n): how often each pair came, in about a million at a time."""
+    """(a, b, need, n): how often each pair came, in about PAIRS at a time."""
 
     def one(held):
-        x, n = np.unique(np.stack([np.concatenate(c) for c in zip(*held, strict=True)], 1), axis=0, return_counts=True)
-        return _batch((x[:, 0], x[:, 1], x[:, 2], n.astype(np.int64)), ["a", "b", "need", "n"])
+        pairs = [np.concatenate(c) for c in zip(*held, strict=True)]
+        order = np.lexsort(pairs[::-1])
+        pairs = [x[order] for x in pairs]
+        at = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in pairs])))
+        return _batch((*(x[at] for x in pairs), np.diff(at, append=len(order))), ["a", "b", "need", "n"])
 
+    give_back()
     held, size = [], 0
     for a, b, need in parts:
         if len(a):
             held.append((np.minimum(a, b), np.maximum(a, b), need))
             size += len(a)
-        if size > 1_000_000:
+        if size > PAIRS:
             yield one(held)
             held, size = [], 0
     if held:
@@ -378,7 +386,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _clustered(docs: DataFrame) -> DataFrame:
     """doc_id, k (a hash of id and text), n, c (class), rep (struct of doc_id and k: the component's first row, its own if that is
     null) for each row of `docs`."""
-    with small_batches(docs.sparkSession):  # sets are large
+    with small_batches(docs.sparkSession, size=4 << 20):  # sets are large
         return _classes_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("doc_id", "text")))
 
 

@@ -33,6 +33,7 @@ EPOCHS, RATE, SEED = 6, 0.5, 7
 CALIBRATION_PART, PRECISION = 5, 0.99  # one row in five calibrates
 LEAST_THRESHOLD = 0.5  # below it, a calibrated prediction is more likely wrong than right
 CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+NEW_WORDS = 5000  # summed at a time
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = 2  # a code point that no text's letter has
 
@@ -173,8 +174,8 @@ class Scorer:
         index = self.index
         new = [w for w in {w for ws in found for w in ws} if w not in index]
         first = len(index)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), NEW_WORDS):
+            part = new[i : i + NEW_WORDS]
             part_sums = self._sums(part)
             while len(self.sums) < first + i + len(part):
                 self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])

@@ -3,12 +3,14 @@
 import random
 import re
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.llm import bpe, common, langid, licenses, packing, pii, substrings, suffixes
+from quire.llm import bpe, common, jaccard, langid, licenses, packing, pii, substrings, suffixes
 
 REGEX = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -324,3 +326,41 @@ def test_repeated_windows_equal_brute_force():
                 want.append((i, k))
             seen.add(p[k : k + 100])
     assert list(zip(*(x.tolist() for x in substrings.repeated_windows(pieces)), strict=True)) == want
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pairs_are_counted_in_little_memory():
+    rng = np.random.default_rng(5)
+    part = lambda most: (*rng.integers(-most, most, (2, 10_000)), rng.integers(1, 3, 10_000))
+    some = [part(20) for _ in range(20)]
+    found = Counter()
+    for b in jaccard._counted(some):
+        for *pair, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[tuple(pair)] += n
+    assert found == Counter((min(a, b), max(a, b), n) for x in some for a, b, n in zip(*(c.tolist() for c in x), strict=True))
+    rows, mb = peak_mb(lambda: sum(b.num_rows for b in jaccard._counted(part(1 << 60) for _ in range(120))))
+    assert rows == 1_200_000 and mb < 30
+
+
+def test_new_words_are_summed_in_little_memory():
+    rng = np.random.default_rng(5)
+    model = langid.Model(("a", "b"), rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2, np.float32), 1.0, 0.5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    text = " ".join("".join(x) for x in letters[rng.integers(0, 26, (40_000, 8))])
+    scores, mb = peak_mb(lambda: langid.Scorer(model).score([text]))
+    assert scores[0][0] in "ab" and mb < 30
+
+
+def test_a_worker_gives_free_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda f=common.give_back: given.append(f()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 5)], names=["t"])
+    assert [b.num_rows for b in common.pieces([batch, batch], 3)] == [3, 2, 3, 2] and len(given) == 2
