@@ -155,6 +155,22 @@ def test_boxes(spark):
     assert [p[2] for p in folds.dedupe_layout([(2, 0, marker), (1, 0, "正文"), (3, 0, marker)])] == ["正文", marker]
 
 
+def test_suppression_of_odd_boxes(spark, tmp_path):
+    rows = [(1, 7, 3, None, 11.0, 0.05), (1, 7, 3, 1, 10.0, 0.05), (2, None, 3, 1, 10.0, 0.05), (2, 7, 3, 2, 10.4, 0.05), (2, -1, 3, 3, 10.0, 0.05), (2, 7, None, 4, 10.0, 0.05), (3, 9, 3, 1, None, None), (None, 7, 3, 1, 10.0, 0.05)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["box_suppression"](spark, str(tmp_path)).orderBy("page_id", "place").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 0, "table", 0.5, 40, 15, 87, 62), (2, 0, None, 0.5, 40, 15, 79, 54), (2, 1, None, 0.5, 40, 15, None, None), (2, 2, "table", 0.5, 42, 15, 89, 62),
+        (2, 3, "table", 0.5, 40, None, 87, None), (3, 0, "doc_title", None, None, 15, None, 64),
+    ]
+
+
+def test_suppression_of_boxes_inside_out():
+    inverted, whole = ("text", 0.9, (0, 0, -100, -50)), ("text", 0.9, (0, 0, 40, 40))
+    assert folds.suppress_boxes([whole, inverted]) == [inverted, whole]
+
+
 def test_markdown_and_epub(spark):
     assert folds.to_xhtml("# T\n- a\n- b\n\n> q\n\n**x** *y*") == "<h1>T</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<blockquote>\n<p>q</p>\n</blockquote>\n<p><strong>x</strong> <em>y</em></p>"
     content = sinks.epub("书", "人", [{"title": "一", "body": "正文[[NOTE_REF:7|③]]。", "notes": [{"note_id": 7, "label": "③", "text": "注"}]}])
